@@ -147,10 +147,12 @@ def experiment_raw(events: DataFrame) -> DataFrame:
     return raw.select(run, *[c for c in raw.columns if c != "label"])
 
 
-def scores(events: DataFrame, window_seconds: int = 86400) -> DataFrame:
+def scores(events: DataFrame, window_seconds: int = 86400, variation_column: str = "rtt_cv") -> DataFrame:
     """Deterministic classifier output: rule score on the window features, with window label."""
     from netpulse.operators.ml import rule_score
     from netpulse.operators.windows import sensor_feature_frame
 
     feats = sensor_feature_frame(sensor_raw(events), window_seconds, extra_keys=("domain",))
-    return rule_score(feats).select("session_id", "domain", "window_start", "label", "probability")
+    scored = rule_score(feats, variation_column=variation_column)
+    # probabilities rounded to 6 places: ties are common and identical in both engines
+    return scored.select("session_id", "domain", "window_start", "label", F.round("probability", 6).alias("probability"))

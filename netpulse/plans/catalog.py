@@ -124,3 +124,177 @@ def q_class_balance_by_domain(spark, sf_dir):
 def q_dataset_summary(spark, sf_dir):
     """Raw rows and distinct sessions per domain."""
     return windows.dataset_summary(bridge.sensor_raw(events(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ §2.7 evaluation
+
+from netpulse.operators import metrics as M  # noqa: E402
+from netpulse.operators.ml import MODEL_THRESHOLD  # noqa: E402
+
+_T = MODEL_THRESHOLD
+_SCORES = O.scores_ctes(_W)
+
+
+def scores(spark, sf_dir, variation="rtt_cv"):
+    return bridge.scores(events(spark, sf_dir), _W, variation)
+
+
+_RATIO_R = ", ".join(f"round({c}, 6) AS {c}" for c in ("accuracy", "precision", "recall", "f1", "positive_rate"))
+
+
+@register(
+    "binary_metrics",
+    O.with_ctes(*_SCORES, *O.ranking_ctes("scores", ()))
+    + f"""SELECT CAST({_T} AS DOUBLE) AS threshold, {O.ratio_sql()}, tn, fp, fn, tp, round(r.roc_auc, 6) AS roc_auc,
+       round(r.average_precision, 6) AS average_precision
+    FROM (SELECT {O.cm_select(f"probability >= {_T}")} FROM scores) cm CROSS JOIN ranking r""",
+)
+def q_binary_metrics(spark, sf_dir):
+    """Pooled metrics of the rule score at the trained-model default threshold."""
+    return M.binary_metrics(scores(spark, sf_dir), _T)
+
+
+@register(
+    "roc_auc",
+    O.with_ctes(*_SCORES, *O.ranking_ctes("scores", ("domain",))) + "SELECT domain, round(roc_auc, 6) AS roc_auc FROM ranking",
+)
+def q_roc_auc(spark, sf_dir):
+    return M.roc_auc(scores(spark, sf_dir), ["domain"])
+
+
+@register(
+    "average_precision",
+    O.with_ctes(*_SCORES, *O.ranking_ctes("scores", ("domain",)))
+    + "SELECT domain, round(average_precision, 6) AS average_precision FROM ranking",
+)
+def q_average_precision(spark, sf_dir):
+    return M.average_precision(scores(spark, sf_dir), ["domain"])
+
+
+_SWEEP_OUT = "round(threshold, 6) AS threshold, " + _RATIO_R + ", tn, fp, fn, tp"
+
+
+@register(
+    "threshold_sweep",
+    O.with_ctes(*_SCORES, O.thresholds_cte(), O.sweep_cte("scores", ("domain",))) + f"SELECT domain, {_SWEEP_OUT} FROM sweep",
+)
+def q_threshold_sweep(spark, sf_dir):
+    return M.threshold_sweep(scores(spark, sf_dir), ["domain"])
+
+
+@register(
+    "best_threshold",
+    O.with_ctes(*_SCORES, O.thresholds_cte(), O.sweep_cte("scores", ()), O.best_cte("sweep", ())) + f"SELECT {_SWEEP_OUT} FROM best",
+)
+def q_best_threshold(spark, sf_dir):
+    return M.best_threshold(M.threshold_sweep(scores(spark, sf_dir)))
+
+
+@register("probability_summary", O.with_ctes(*_SCORES) + O.summary_select(("domain",), "scores"))
+def q_probability_summary(spark, sf_dir):
+    return M.probability_summary(scores(spark, sf_dir), ["domain"])
+
+
+_BY_DOMAIN_CTES = [
+    *_SCORES,
+    *O.ranking_ctes("scores", ("domain",)),
+    O.thresholds_cte(),
+    O.sweep_cte("scores", ("domain",)),
+    O.best_cte("sweep", ("domain",)),
+    f"""cmd AS (SELECT domain, count(*) AS rows, CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives,
+        CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS positives, {O.cm_select(f"probability >= {_T}")}
+        FROM scores GROUP BY domain)""",
+    f"cmr AS (SELECT *, {O.ratio_sql(rounded=False)} FROM cmd)",
+    f"summ AS ({O.summary_select(('domain',), 'scores')})",
+    f"""by_domain AS (SELECT c.domain, c.rows, c.negatives, c.positives, CAST({_T} AS DOUBLE) AS threshold, c.accuracy, c.precision, c.recall, c.f1, c.positive_rate,
+        c.tn, c.fp, c.fn, c.tp, r.roc_auc, r.average_precision,
+        b.threshold AS best_threshold, b.f1 AS best_f1, b.precision AS best_precision, b.recall AS best_recall,
+        b.positive_rate AS best_positive_rate,
+        s.min AS prob_min, s.p25 AS prob_p25, s.p50 AS prob_p50, s.p75 AS prob_p75, s.p95 AS prob_p95, s.max AS prob_max
+        FROM cmr c JOIN ranking r ON c.domain = r.domain JOIN best b ON c.domain = b.domain JOIN summ s ON c.domain = s.domain)""",
+]
+
+
+def _round_all(cols: list[str], ints: set[str]) -> str:
+    return ", ".join(c if c in ints else f"round({c}, 6) AS {c}" for c in cols)
+
+
+_BY_DOMAIN_COLS = (
+    "domain rows negatives positives threshold accuracy precision recall f1 positive_rate tn fp fn tp roc_auc "
+    "average_precision best_threshold best_f1 best_precision best_recall best_positive_rate prob_min prob_p25 "
+    "prob_p50 prob_p75 prob_p95 prob_max"
+).split()
+
+
+@register(
+    "metrics_by_domain",
+    O.with_ctes(*_BY_DOMAIN_CTES)
+    + f"SELECT {_round_all(_BY_DOMAIN_COLS, {'domain', 'rows', 'negatives', 'positives', 'tn', 'fp', 'fn', 'tp'})} FROM by_domain",
+)
+def q_metrics_by_domain(spark, sf_dir):
+    return M.metrics_by_domain(scores(spark, sf_dir), _T, ["domain"])
+
+
+_MACRO_COLS = [*M.MACRO_METRIC_KEYS, "best_f1", "best_precision", "best_recall", "best_positive_rate", "best_threshold"]
+
+
+@register(
+    "macro_metrics",
+    O.with_ctes(*_BY_DOMAIN_CTES)
+    + "SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _MACRO_COLS) + ", count(*) AS domains FROM by_domain",
+)
+def q_macro_metrics(spark, sf_dir):
+    return M.macro_metrics(M.metrics_by_domain(scores(spark, sf_dir), _T, ["domain"]))
+
+
+# The three rule-score variants ranked against each other.
+_RULE_VARIANTS = ("rtt_cv", "flow_iat_cv", "packet_length_cv")
+
+
+def _variant_scores(spark, sf_dir):
+    feats = features(spark, sf_dir)
+    from netpulse.operators.ml import rule_score
+    from pyspark.sql import functions as F
+
+    parts = [
+        rule_score(feats, variation_column=v).select(
+            F.lit(f"rule_{v}").alias("algorithm"), "domain", "label", F.round("probability", 6).alias("probability")
+        )
+        for v in _RULE_VARIANTS
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _rank_sql() -> str:
+    unions = " UNION ALL ".join(
+        f"SELECT 'rule_{v}' AS algorithm, domain, label, probability FROM ({O.scores_cte(v, name='x')[len('x AS ('):-1]})"
+        for v in _RULE_VARIANTS
+    )
+    return O.with_ctes(
+        *O.features_ctes(_W, keys=("domain",)),
+        f"sc AS ({unions})",
+        *O.ranking_ctes("sc", ("algorithm",)),
+        O.thresholds_cte(),
+        O.sweep_cte("sc", ("algorithm",)),
+        O.best_cte("sweep", ("algorithm",)),
+    ) + """SELECT b.algorithm, round(b.f1, 6) AS best_f1, round(b.recall, 6) AS best_recall,
+        round(r.roc_auc, 6) AS roc_auc, round(r.average_precision, 6) AS average_precision,
+        row_number() OVER (ORDER BY b.f1 DESC, b.recall DESC, coalesce(r.average_precision, 0) DESC,
+          coalesce(r.roc_auc, 0) DESC, b.algorithm) AS rank
+      FROM best b JOIN ranking r ON b.algorithm = r.algorithm"""
+
+
+@register("rank_models", _rank_sql())
+def q_rank_models(spark, sf_dir):
+    """Rank three deterministic scorers by best F1, recall, AP, AUC."""
+    from pyspark.sql import functions as F
+
+    sc = _variant_scores(spark, sf_dir)
+    best = M.best_threshold(M.threshold_sweep(sc, ["algorithm"]), ["algorithm"]).select(
+        "algorithm", F.col("f1").alias("best_f1"), F.col("recall").alias("best_recall")
+    )
+    report = best.join(M.ranking_metrics(sc, ["algorithm"]), "algorithm")
+    return M.rank_models(report).select("algorithm", "best_f1", "best_recall", "roc_auc", "average_precision", F.col("rank").cast("bigint").alias("rank"))

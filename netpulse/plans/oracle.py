@@ -149,3 +149,86 @@ def features_ctes(seconds: int, keys: tuple[str, ...] = (), rounded: bool = Fals
         baseline_cte("feat", keys, rounded=rounded),
     ]
     return out
+
+
+# ------------------------------------------------------------------ scores and metrics
+
+
+def scores_cte(variation: str = "rtt_cv", src: str = "features", name: str = "scores", extra: str = "") -> str:
+    score = f"(packet_loss_ratio + {variation} + retransmission_ratio + reset_ratio) / 4.0"
+    return f"""{name} AS (
+  SELECT session_id, domain, window_start, label{extra},
+    round(CASE WHEN {score} IS NULL THEN NULL ELSE least(greatest({score}, 0.0), 1.0) END, 6) AS probability
+  FROM {src})"""
+
+
+def scores_ctes(seconds: int) -> list[str]:
+    return [*features_ctes(seconds, keys=("domain",)), scores_cte()]
+
+
+def ratio_sql(rounded: bool = True) -> str:
+    def d(a: str, b: str) -> str:
+        return f"CASE WHEN ({b}) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) END"
+
+    cols = {
+        "accuracy": d("tp + tn", "tp + fp + fn + tn"),
+        "precision": d("tp", "tp + fp"),
+        "recall": d("tp", "tp + fn"),
+        "f1": d("2 * tp", "2 * tp + fp + fn"),
+        "positive_rate": d("tp + fp", "tp + fp + fn + tn"),
+    }
+    return ", ".join(r6(e, n) if rounded else f"{e} AS {n}" for n, e in cols.items())
+
+
+def cm_select(pred: str) -> str:
+    return (
+        f"CAST(sum(CASE WHEN label = 1 AND {pred} THEN 1 ELSE 0 END) AS BIGINT) AS tp, "
+        f"CAST(sum(CASE WHEN label <> 1 AND {pred} THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+        f"CAST(sum(CASE WHEN label = 1 AND NOT ({pred}) THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+        f"CAST(sum(CASE WHEN label <> 1 AND NOT ({pred}) THEN 1 ELSE 0 END) AS BIGINT) AS tn"
+    )
+
+
+def ranking_ctes(src: str, keys: tuple[str, ...], name: str = "ranking") -> list[str]:
+    ks = ", ".join(keys)
+    kc = f"{ks}, " if keys else ""
+    part = f"PARTITION BY {ks} " if keys else ""
+    join = " AND ".join(f"c.{k} = t.{k}" for k in keys) or "TRUE"
+    return [
+        f"""{name}_s AS (SELECT {kc}probability, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+            sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg FROM {src} GROUP BY ALL)""",
+        f"""{name}_c AS (SELECT *, coalesce(sum(neg) OVER w, 0) AS nb, coalesce(sum(pos) OVER w, 0) AS pb FROM {name}_s
+            WINDOW w AS ({part}ORDER BY probability ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""",
+        f"""{name}_t AS (SELECT {kc}CAST(sum(pos) AS DOUBLE) AS P, CAST(sum(neg) AS DOUBLE) AS N FROM {name}_s GROUP BY ALL)""",
+        f"""{name} AS (SELECT {", ".join(f"c.{k}" for k in keys)}{", " if keys else ""}
+            CASE WHEN max(t.P) > 0 AND max(t.N) > 0 THEN sum(c.pos * (c.nb + c.neg / 2.0)) / (max(t.P) * max(t.N)) END AS roc_auc,
+            CASE WHEN max(t.P) > 0 AND max(t.N) > 0 THEN
+              sum(CASE WHEN c.pos > 0 THEN c.pos * (t.P - c.pb) / ((t.P - c.pb) + (t.N - c.nb)) ELSE 0.0 END) / max(t.P) END
+              AS average_precision
+            FROM {name}_c c JOIN {name}_t t ON {join} {"GROUP BY " + ", ".join(f"c.{k}" for k in keys) if keys else ""})""",
+    ]
+
+
+def thresholds_cte(name: str = "th") -> str:
+    return f"{name} AS (SELECT i, 0.05::DOUBLE + CAST(i AS DOUBLE) * 0.05::DOUBLE AS threshold FROM range(19) r(i))"
+
+
+def sweep_cte(src: str, keys: tuple[str, ...], name: str = "sweep") -> str:
+    kc = "".join(f"{k}, " for k in keys)
+    return f"""{name} AS (SELECT {kc}threshold, {ratio_sql(rounded=False)}, tn, fp, fn, tp FROM (
+      SELECT {kc}threshold, {cm_select("probability >= threshold")} FROM {src} CROSS JOIN th GROUP BY ALL) x)"""
+
+
+def best_cte(src: str, keys: tuple[str, ...], name: str = "best") -> str:
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    return f"""{name} AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER ({part}ORDER BY f1 DESC, recall DESC,
+      precision DESC, threshold ASC) AS rn FROM {src}) WHERE rn = 1)"""
+
+
+def summary_select(keys: tuple[str, ...], src: str) -> str:
+    kc = "".join(f"{k}, " for k in keys)
+    gb = f" GROUP BY {', '.join(keys)}" if keys else ""
+    qs = ", ".join(f"coalesce(quantile_cont(probability, {q}), 0.0) AS {n}" for n, q in
+                   (("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95)))
+    return (f"SELECT {kc}coalesce(min(probability), 0.0) AS min, {qs}, coalesce(max(probability), 0.0) AS max "
+            f"FROM {src}{gb}")
