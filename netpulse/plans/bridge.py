@@ -86,6 +86,38 @@ def flows_raw(events: DataFrame) -> DataFrame:
         _s(v * 1000.0).alias("Flow IAT Mean"),
         F.when(k % 10 == 0, F.lit("Infinity")).otherwise(_s(v * 2.0)).alias("Flow Packets/s"),
         _s(F.floor(v / 2.0).cast("bigint")).alias("act_data_pkt_fwd"),
+        _s(k * 100).alias("Total Length of Fwd Packets"),
+        _s(k * 60).alias("Total Length of Bwd Packets"),
+        _s(v * 10000.0).alias(" Flow Duration"),
+        F.when(k % 17 == 0, F.lit("-Infinity")).otherwise(_s(v * 50.0)).alias("Flow Bytes/s"),
+        _s(v * 100.0).alias("Flow IAT Std"),
+        F.when(F.col("user_id") % 2 == 1, F.lit("0")).otherwise(_s(k + 50)).alias("Packet Length Mean"),
+        _s(k % 7 + 5).alias("Packet Length Std"),
+        _s(k + 40).alias("Average Packet Size"),
+        F.when(k % 19 == 0, F.lit("NaN")).otherwise(_s((k % 5).cast("double") / 4.0)).alias("Down/Up Ratio"),
+        _s(k % 2).alias("SYN Flag Count"),
+        _s(k % 11).alias("ACK Flag Count"),
+        _s(k % 3).alias("PSH Flag Count"),
+        _s(v * 20.0).alias("Active Mean"),
+        _s(v * 8.0 + 1.0).alias("Idle Mean"),
+    )
+
+
+def sensor_aliased(events: DataFrame) -> DataFrame:
+    """The raw sensor rows under alternative source spellings (timestamps as ISO text)."""
+    raw = sensor_raw(events)
+    return raw.select(
+        F.col("session_id").alias("flow_id"),
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("time"),
+        F.col("packets_sent").alias("packets_total"),
+        F.col("packets_lost").alias("lost_packets"),
+        F.col("rtt_ms").alias("latency_ms"),
+        F.col("retransmissions").alias("retries"),
+        F.col("resets").alias("connection_resets"),
+        F.col("label").alias("target"),
+        "flow_duration_ms",
+        "average_packet_size",
+        "domain",
     )
 
 

@@ -298,3 +298,179 @@ def q_rank_models(spark, sf_dir):
     )
     report = best.join(M.ranking_metrics(sc, ["algorithm"]), "algorithm")
     return M.rank_models(report).select("algorithm", "best_f1", "best_recall", "roc_auc", "average_precision", F.col("rank").cast("bigint").alias("rank"))
+
+
+# ------------------------------------------------------------------ §2.2 cleaning
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from netpulse.operators import clean as C  # noqa: E402
+
+
+def flows(spark, sf_dir):
+    return bridge.flows_raw(events(spark, sf_dir))
+
+
+@register(
+    "normalize_sensor_metrics",
+    O.with_ctes(O.sensor_raw_cte())
+    + """SELECT session_id, "timestamp", packets_sent, packets_lost, round(rtt_ms, 6) AS rtt_ms, retransmissions,
+      CAST(resets AS BIGINT) AS resets, label, round(flow_duration_ms, 6) AS flow_duration_ms, round(average_packet_size, 6) AS average_packet_size,
+      domain FROM sensor_raw""",
+)
+def q_normalize_sensor_metrics(spark, sf_dir):
+    """Alias spellings + ISO text timestamps -> the canonical sensor schema."""
+    return C.normalize_sensor_metrics(bridge.sensor_aliased(events(spark, sf_dir)), passthrough=("domain",))
+
+
+_INT_TEXT = ["event_id", "source", "label", "total_fwd_packets", "total_backward_packets", "rst_flag_count",
+             "act_data_pkt_fwd", "packet_length_mean", "syn_flag_count"]
+
+
+@register(
+    "canonicalize_columns",
+    O.with_ctes(O.flows_raw_cte())
+    + """SELECT event_id, source, "Label" AS label, "Total Fwd Packets" AS total_fwd_packets,
+      "Total Backward Packets" AS total_backward_packets, "RST Flag Count" AS rst_flag_count, act_data_pkt_fwd,
+      "Packet Length Mean" AS packet_length_mean, "SYN Flag Count" AS syn_flag_count FROM flows_raw""",
+)
+def q_canonicalize_columns(spark, sf_dir):
+    return C.canonicalize_columns(flows(spark, sf_dir)).select(*_INT_TEXT)
+
+
+_NUMERIC_HEADERS = ["Total Fwd Packets", "Total Backward Packets", "Flow IAT Mean", "Flow Packets/s", "Flow Bytes/s",
+                    "Down/Up Ratio", "Idle Mean"]
+_ZERO_INF = ["Flow Packets/s", "Flow Bytes/s", "Down/Up Ratio"]
+
+
+def _alias(h: str) -> str:
+    return C.canonical_name(h)
+
+
+@register(
+    "coerce_numeric",
+    O.with_ctes(O.flows_raw_cte())
+    + "SELECT event_id, "
+    + ", ".join(
+        f"round(greatest({O.zinf(O.num(chr(34) + h + chr(34))) if h in _ZERO_INF else O.num(chr(34) + h + chr(34))}, 0.0), 6) AS {_alias(h)}"
+        for h in _NUMERIC_HEADERS
+    )
+    + " FROM flows_raw",
+)
+def q_coerce_numeric(spark, sf_dir):
+    """Dirty text ('n/a', 'Infinity', 'NaN') -> clipped doubles; chosen columns map ±inf to 0."""
+    df = C.coerce_numeric(flows(spark, sf_dir), _NUMERIC_HEADERS, zero_inf=_ZERO_INF)
+    return df.select("event_id", *[F.col(f"`{h}`").alias(_alias(h)) for h in _NUMERIC_HEADERS])
+
+
+_RESOLVED = ["total_packets", "total_fwd_packets", "total_bwd_packets", "flow_duration_us", "flow_duration_ms",
+             "flow_iat_mean_us", "retransmissions"]
+
+
+@register(
+    "resolve_aliases",
+    O.with_ctes(O.flows_raw_cte())
+    + f"""SELECT event_id, CAST(0.0 AS DOUBLE) AS total_packets, round({O.num('"Total Fwd Packets"')}, 6) AS total_fwd_packets,
+      round({O.num('"Total Backward Packets"')}, 6) AS total_bwd_packets,
+      round({O.num('" Flow Duration"')}, 6) AS flow_duration_us, CAST(0.0 AS DOUBLE) AS flow_duration_ms,
+      round({O.num('"Flow IAT Mean"')}, 6) AS flow_iat_mean_us, CAST(0.0 AS DOUBLE) AS retransmissions FROM flows_raw""",
+)
+def q_resolve_aliases(spark, sf_dir):
+    frame = C.canonicalize_columns(flows(spark, sf_dir))
+    return frame.select("event_id", *[C.resolve_aliases(frame, k).alias(k) for k in _RESOLVED])
+
+
+_FALLBACK_OUT = ["total_fwd_packets", "flow_duration_ms", "flow_iat_mean_ms", "flow_iat_std_us", "retransmissions",
+                 "packet_length_mean", "labels_numeric"]
+
+
+@register(
+    "zero_column_fallback",
+    O.with_ctes(O.flows_raw_cte(), *O.app_flow_ctes())
+    + "SELECT event_id, source, "
+    + ", ".join(f"round({c}, 6) AS {c}" if c != "labels_numeric" else c for c in _FALLBACK_OUT)
+    + " FROM vres",
+)
+def q_zero_column_fallback(spark, sf_dir):
+    """Per-source all-zero columns replaced by their fallbacks (flags broadcast per source)."""
+    frame = C.canonicalize_columns(flows(spark, sf_dir))
+    return C.zero_column_fallback(frame, "source", keep=["event_id", "source"]).select("event_id", "source", *_FALLBACK_OUT)
+
+
+@register(
+    "parse_mixed_timestamps",
+    "SELECT event_id, ts AS ts_from_text, ts AS ts_from_number FROM events",
+)
+def q_parse_mixed_timestamps(spark, sf_dir):
+    """ISO text and epoch-second numbers both parse to the same UTC instant."""
+    from pyspark.sql.types import DoubleType, StringType
+
+    e = events(spark, sf_dir).select(
+        "event_id",
+        F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("t_text"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("t_num"),
+    )
+    return e.select(
+        "event_id",
+        C.parse_mixed_timestamps("t_text", StringType()).alias("ts_from_text"),
+        C.parse_mixed_timestamps("t_num", DoubleType()).alias("ts_from_number"),
+    )
+
+
+@register(
+    "label_not_benign",
+    O.with_ctes(O.flows_raw_cte())
+    + "SELECT event_id, CASE WHEN upper(trim(coalesce(\"Label\", 'nan'))) <> 'BENIGN' THEN 1 ELSE 0 END AS label FROM flows_raw",
+)
+def q_label_not_benign(spark, sf_dir):
+    return flows(spark, sf_dir).select("event_id", C.label_not_benign("Label").alias("label"))
+
+
+def _mixed_labels(df):
+    """Source f1 carries numeric 0/1 label text, f0 keeps the words."""
+    numeric_text = F.when(F.col("Label").contains("PortScan"), F.lit("1")).otherwise(F.lit("0"))
+    return df.withColumn("Label", F.when(F.col("source") == "f1", numeric_text).otherwise(F.col("Label")))
+
+
+_PATTERN = "scan"
+
+
+@register(
+    "label_by_pattern",
+    O.with_ctes(
+        O.flows_raw_cte(),
+        """ml AS (SELECT event_id, source, coalesce(CASE WHEN source = 'f1' THEN (CASE WHEN contains("Label", 'PortScan')
+            THEN '1' ELSE '0' END) ELSE "Label" END, 'nan') AS t FROM flows_raw)""",
+        f"mf AS (SELECT source, bool_and({O.label_numeric_ok('t')}) AS ok FROM ml GROUP BY source)",
+    )
+    + f"SELECT event_id, source, CAST({O.label_pattern_sql('t', 'mf.ok', _PATTERN)} AS INTEGER) AS label "
+    "FROM ml JOIN mf USING (source)",
+)
+def q_label_by_pattern(spark, sf_dir):
+    """Numeric labels where a whole source is 0/1, else substring rule (per-source flag, broadcast)."""
+    df = _mixed_labels(flows(spark, sf_dir))
+    text = F.coalesce(F.col("Label").cast("string"), F.lit("nan"))
+    flags = C.source_flags(df, "source", {"ok": C._all_numeric_binary(text)})
+    j = df.join(F.broadcast(flags), "source")
+    return j.select("event_id", "source", C.label_by_pattern(text, F.col("ok"), _PATTERN).alias("label"))
+
+
+@register(
+    "assign_row_ids",
+    O.with_ctes(O.flows_raw_cte())
+    + f"SELECT event_id, source, {O.row_id_sql()} FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY source ORDER BY event_id) - 1 AS i FROM flows_raw)",
+)
+def q_assign_row_ids(spark, sf_dir):
+    """Per-source 0-based positions by the distributed ordered index (no one-partition window)."""
+    return C.assign_row_ids(flows(spark, sf_dir).select("event_id", "source"), "source", ["event_id"])
+
+
+@register("convert_benign_attack_flows", O.cic_sql())
+def q_convert_benign_attack_flows(spark, sf_dir):
+    return C.convert_benign_attack_flows(flows(spark, sf_dir), "source", ["event_id"])
+
+
+@register("convert_labelled_app_flows", O.app_flows_sql(_PATTERN))
+def q_convert_labelled_app_flows(spark, sf_dir):
+    return C.convert_labelled_app_flows(flows(spark, sf_dir), "source", ["event_id"], positive_pattern=_PATTERN)

@@ -232,3 +232,158 @@ def summary_select(keys: tuple[str, ...], src: str) -> str:
                    (("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95)))
     return (f"SELECT {kc}coalesce(min(probability), 0.0) AS min, {qs}, coalesce(max(probability), 0.0) AS max "
             f"FROM {src}{gb}")
+
+
+# ------------------------------------------------------------------ flow tables
+
+
+def num(x: str) -> str:
+    """Lenient parse: bad text / NULL / NaN -> 0.0, infinities kept."""
+    t = f"TRY_CAST({x} AS DOUBLE)"
+    return f"(CASE WHEN {t} IS NULL OR isnan({t}) THEN 0.0 ELSE {t} END)"
+
+
+def zinf(e: str) -> str:
+    return f"(CASE WHEN isinf({e}) THEN 0.0 ELSE {e} END)"
+
+
+def flows_raw_cte(name: str = "flows_raw") -> str:
+    v = "CAST(value AS DOUBLE)"
+    return f"""{name} AS (
+  SELECT event_id, concat('f', CAST(user_id % 2 AS VARCHAR)) AS source,
+    concat(' ', CASE WHEN event_type = 'error' THEN 'PortScan' ELSE 'benign ' END) AS "Label",
+    CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS "Total Fwd Packets",
+    CASE WHEN k % 13 = 0 THEN 'n/a' ELSE CAST(k % 5 AS VARCHAR) END AS "Total Backward Packets",
+    CAST(k % 3 AS VARCHAR) AS "RST Flag Count",
+    CAST({v} * 1000.0 AS VARCHAR) AS "Flow IAT Mean",
+    CASE WHEN k % 10 = 0 THEN 'Infinity' ELSE CAST({v} * 2.0 AS VARCHAR) END AS "Flow Packets/s",
+    CAST(CAST(floor(value / 2.0) AS BIGINT) AS VARCHAR) AS act_data_pkt_fwd,
+    CAST(k * 100 AS VARCHAR) AS "Total Length of Fwd Packets",
+    CAST(k * 60 AS VARCHAR) AS "Total Length of Bwd Packets",
+    CAST({v} * 10000.0 AS VARCHAR) AS " Flow Duration",
+    CASE WHEN k % 17 = 0 THEN '-Infinity' ELSE CAST({v} * 50.0 AS VARCHAR) END AS "Flow Bytes/s",
+    CAST({v} * 100.0 AS VARCHAR) AS "Flow IAT Std",
+    CASE WHEN user_id % 2 = 1 THEN '0' ELSE CAST(k + 50 AS VARCHAR) END AS "Packet Length Mean",
+    CAST(k % 7 + 5 AS VARCHAR) AS "Packet Length Std",
+    CAST(k + 40 AS VARCHAR) AS "Average Packet Size",
+    CASE WHEN k % 19 = 0 THEN 'NaN' ELSE CAST(CAST(k % 5 AS DOUBLE) / 4.0 AS VARCHAR) END AS "Down/Up Ratio",
+    CAST(k % 2 AS VARCHAR) AS "SYN Flag Count", CAST(k % 11 AS VARCHAR) AS "ACK Flag Count",
+    CAST(k % 3 AS VARCHAR) AS "PSH Flag Count",
+    CAST({v} * 20.0 AS VARCHAR) AS "Active Mean", CAST({v} * 8.0 + 1.0 AS VARCHAR) AS "Idle Mean"
+  FROM (SELECT *, {K} AS k FROM events) e)"""
+
+
+ROW_BASE_EPOCH = 1775433600  # 2026-04-06T00:00:00Z
+
+
+def row_id_sql(source: str = "source", i: str = "i") -> str:
+    return (f"printf('%s-%09d', {source}, {i}) AS session_id, "
+            f"make_timestamp((CAST({ROW_BASE_EPOCH} AS BIGINT) + {i}) * 1000000) AS \"timestamp\"")
+
+
+def to_long(e: str) -> str:
+    return f"TRY_CAST(trunc({e}) AS BIGINT)"
+
+
+SENSOR_OUT = ["packets_sent", "packets_lost", "rtt_ms", "retransmissions", "resets", *OPTIONAL_COLUMN_AGGREGATES]
+
+
+def sensor_out_sql(values: dict[str, str], label: str) -> str:
+    cols = []
+    for c in SENSOR_OUT:
+        e = values[c]
+        if c in ("packets_sent", "packets_lost", "retransmissions", "resets"):
+            cols.append(f"{to_long(e)} AS {c}")
+        else:
+            cols.append(f"round(CAST({e} AS DOUBLE), 6) AS {c}")
+    cols.append(f"CAST({label} AS INTEGER) AS label")
+    return ", ".join(cols)
+
+
+def cic_sql() -> str:
+    def n(h: str, zero_inf: bool = False) -> str:
+        e = num(f'"{h}"')
+        return f"greatest({zinf(e) if zero_inf else e}, 0.0)"
+
+    fwd, bwd = n("Total Fwd Packets"), n("Total Backward Packets")
+    total = f"greatest({fwd} + {bwd}, 1.0)"
+    rst, iat = n("RST Flag Count"), n("Flow IAT Mean")
+    values = {
+        "packets_sent": total, "packets_lost": f"least({rst}, {total})",
+        "rtt_ms": f"greatest({iat} / 1000.0, 1.0)",
+        "retransmissions": f"greatest({fwd} - {n('act_data_pkt_fwd')}, 0.0)", "resets": rst,
+        "flow_duration_ms": f"{n('Flow Duration')} / 1000.0",
+        "flow_packets_per_second": n("Flow Packets/s", True), "flow_bytes_per_second": n("Flow Bytes/s", True),
+        "average_packet_size": n("Average Packet Size"), "packet_length_mean": n("Packet Length Mean"),
+        "packet_length_std": n("Packet Length Std"), "fwd_packet_count": fwd, "bwd_packet_count": bwd,
+        "fwd_byte_count": n("Total Length of Fwd Packets"), "bwd_byte_count": n("Total Length of Bwd Packets"),
+        "down_up_ratio": n("Down/Up Ratio", True), "flow_iat_mean_us": iat, "flow_iat_std_us": n("Flow IAT Std"),
+        "active_mean_us": n("Active Mean"), "idle_mean_us": n("Idle Mean"), "syn_flag_count": n("SYN Flag Count"),
+        "ack_flag_count": n("ACK Flag Count"), "psh_flag_count": n("PSH Flag Count"),
+    }
+    label = "CASE WHEN upper(trim(coalesce(\"Label\", 'nan'))) <> 'BENIGN' THEN 1 ELSE 0 END"
+    return with_ctes(
+        flows_raw_cte(),
+        """fr AS (SELECT * RENAME (" Flow Duration" AS "Flow Duration"),
+             row_number() OVER (PARTITION BY source ORDER BY event_id) - 1 AS i FROM flows_raw)""",
+    ) + f"SELECT {row_id_sql()}, {sensor_out_sql(values, label)} FROM fr"
+
+
+def label_numeric_ok(t: str) -> str:
+    v = f"TRY_CAST({t} AS DOUBLE)"
+    return f"({v} IS NOT NULL AND NOT isnan({v}) AND NOT isinf({v}) AND TRY_CAST(trunc({v}) AS BIGINT) IN (0, 1))"
+
+
+def label_pattern_sql(t: str, ok: str, pattern: str) -> str:
+    p = pattern.strip().lower()
+    text = f"(CASE WHEN contains(lower({t}), '{p}') AND NOT contains(lower({t}), 'non{p}') THEN 1 ELSE 0 END)" if p else "0"
+    return f"(CASE WHEN {ok} THEN TRY_CAST(trunc(TRY_CAST({t} AS DOUBLE)) AS BIGINT) ELSE {text} END)"
+
+
+def app_flow_ctes(src: str = "flows_raw") -> list[str]:
+    """Resolution + per-source fallbacks for the canonicalized bridge flows (fixture-specific aliases)."""
+    return [
+        f"""vf AS (SELECT event_id, source, coalesce("Label", 'nan') AS label_text,
+            {num('"Total Fwd Packets"')} AS fwd0, {num('"Total Backward Packets"')} AS bwd,
+            {num('"Total Length of Fwd Packets"')} AS total_fwd_bytes, {num('"Total Length of Bwd Packets"')} AS total_bwd_bytes,
+            {num('"RST Flag Count"')} AS rst, {num('"SYN Flag Count"')} AS syn_flag_count,
+            {num('"ACK Flag Count"')} AS ack_flag_count, {num('"PSH Flag Count"')} AS psh_flag_count,
+            {num('" Flow Duration"')} AS dur_us, {num('"Flow Packets/s"')} AS flow_packets_per_second,
+            {num('"Flow Bytes/s"')} AS flow_bytes_per_second, {num('"Flow IAT Mean"')} AS iat_us,
+            {num('"Flow IAT Std"')} AS iat_std_us, {num('"Average Packet Size"')} AS average_packet_size,
+            {num('"Packet Length Mean"')} AS pl_mean, {num('"Packet Length Std"')} AS packet_length_std,
+            {num('"Down/Up Ratio"')} AS down_up_ratio, {num('"Active Mean"')} AS active_mean_us,
+            {num('"Idle Mean"')} AS idle_mean_us, {num('act_data_pkt_fwd')} AS act_data
+          FROM {src})""",
+        f"""vflags AS (SELECT source, bool_and(fwd0 = 0) AS zf, bool_and(bwd = 0) AS zb,
+            bool_and(iat_std_us = 0) AS zstd, bool_and(pl_mean = 0) AS zpl,
+            bool_and({label_numeric_ok('label_text')}) AS lnum FROM vf GROUP BY source)""",
+        """vres AS (SELECT vf.*, f.lnum AS labels_numeric,
+            CASE WHEN f.zf AND f.zb THEN 0.0 ELSE fwd0 END AS total_fwd_packets,
+            bwd AS total_bwd_packets, dur_us / 1000.0 AS flow_duration_ms, iat_us / 1000.0 AS flow_iat_mean_ms,
+            CASE WHEN f.zstd THEN 0.0 * 1000.0 ELSE iat_std_us END AS flow_iat_std_us,
+            greatest((CASE WHEN f.zf AND f.zb THEN 0.0 ELSE fwd0 END) - act_data, 0.0) AS retransmissions,
+            CASE WHEN f.zpl THEN average_packet_size ELSE pl_mean END AS packet_length_mean,
+            row_number() OVER (PARTITION BY vf.source ORDER BY vf.event_id) - 1 AS i
+          FROM vf JOIN vflags f ON vf.source = f.source)""",
+    ]
+
+
+def app_flows_sql(pattern: str) -> str:
+    c0 = lambda e: f"greatest({e}, 0.0)"
+    total = "greatest(total_fwd_packets + total_bwd_packets, 1.0)"
+    values = {
+        "packets_sent": total, "packets_lost": f"least({c0('rst')}, {total})",
+        "rtt_ms": "greatest(flow_iat_mean_ms, 1.0)", "retransmissions": c0("retransmissions"), "resets": c0("rst"),
+        "flow_duration_ms": c0("flow_duration_ms"), "flow_packets_per_second": c0("flow_packets_per_second"),
+        "flow_bytes_per_second": c0("flow_bytes_per_second"), "average_packet_size": c0("average_packet_size"),
+        "packet_length_mean": c0("packet_length_mean"), "packet_length_std": c0("packet_length_std"),
+        "fwd_packet_count": c0("total_fwd_packets"), "bwd_packet_count": c0("total_bwd_packets"),
+        "fwd_byte_count": c0("total_fwd_bytes"), "bwd_byte_count": c0("total_bwd_bytes"),
+        "down_up_ratio": c0("down_up_ratio"), "flow_iat_mean_us": c0("flow_iat_mean_ms * 1000.0"),
+        "flow_iat_std_us": c0("flow_iat_std_us"), "active_mean_us": c0("active_mean_us"),
+        "idle_mean_us": c0("idle_mean_us"), "syn_flag_count": c0("syn_flag_count"),
+        "ack_flag_count": c0("ack_flag_count"), "psh_flag_count": c0("psh_flag_count"),
+    }
+    label = label_pattern_sql("label_text", "labels_numeric", pattern)
+    return with_ctes(flows_raw_cte(), *app_flow_ctes()) + f"SELECT {row_id_sql()}, {sensor_out_sql(values, label)} FROM vres"
