@@ -176,7 +176,23 @@ def experiment_raw(events: DataFrame) -> DataFrame:
     """Sensor rows of three experiment runs (``run_id`` = user mod 3), no labels."""
     raw = sensor_raw(events)
     run = F.concat(F.lit("r"), F.substring("domain", 2, 20)).alias("run_id")
-    return raw.select(run, *[c for c in raw.columns if c != "label"])
+    return raw.select(run, *[c for c in raw.columns if c not in ("label", "domain")])
+
+
+# Fixed values of the run fixture: application and scenario of every run.
+RUN_APPLICATION = "browser"
+RUN_SCENARIO = "loss-ramp"
+
+
+def run_metadata(events: DataFrame) -> DataFrame:
+    """Manifest scalars per run (domain, application, scenario), one row per run found in the data."""
+    runs = events.select((F.col("user_id") % 3).alias("_r")).distinct()
+    return runs.select(
+        F.concat(F.lit("r"), _s(F.col("_r"))).alias("run_id"),
+        F.concat(F.lit("d"), _s(F.col("_r"))).alias("domain"),
+        F.lit(RUN_APPLICATION).alias("application"),
+        F.lit(RUN_SCENARIO).alias("scenario"),
+    )
 
 
 def scores(events: DataFrame, window_seconds: int = 86400, variation_column: str = "rtt_cv") -> DataFrame:

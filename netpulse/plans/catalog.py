@@ -474,3 +474,164 @@ def q_convert_benign_attack_flows(spark, sf_dir):
 @register("convert_labelled_app_flows", O.app_flows_sql(_PATTERN))
 def q_convert_labelled_app_flows(spark, sf_dir):
     return C.convert_labelled_app_flows(flows(spark, sf_dir), "source", ["event_id"], positive_pattern=_PATTERN)
+
+
+# ------------------------------------------------------------------ §2.6 sampling, §2.5 joins
+
+from netpulse.operators import joins as J  # noqa: E402
+from netpulse.operators import sampling as S  # noqa: E402
+
+_RATIO, _SEED = 0.2, 42
+_FEAT_KEYS = "f.session_id, f.domain, f.window_start, f.label"
+
+
+def _feature_keys(df):
+    return df.select("session_id", "domain", "window_start", "label")
+
+
+@register(
+    "split_by_session",
+    O.with_ctes(*_DOMAIN_FEATURES, *O.split_ctes(_RATIO, _SEED, ()))
+    + f"SELECT {_FEAT_KEYS}, CASE WHEN v.is_val THEN 'validation' ELSE 'train' END AS split "
+    "FROM features f JOIN v ON f.session_id = v.session_id",
+)
+def q_split_by_session(spark, sf_dir):
+    """Stratified session-level split (quota by largest remainder, md5 order)."""
+    return S.split_by_session(_feature_keys(features(spark, sf_dir)), _RATIO, _SEED)
+
+
+@register(
+    "split_by_session_per_domain",
+    O.with_ctes(*_DOMAIN_FEATURES, *O.split_ctes(_RATIO, _SEED, ("domain",)))
+    + f"SELECT {_FEAT_KEYS}, CASE WHEN v.is_val THEN 'validation' ELSE 'train' END AS split "
+    "FROM features f JOIN v ON f.session_id = v.session_id AND f.domain = v.domain",
+)
+def q_split_by_session_per_domain(spark, sf_dir):
+    return S.split_by_session_per_domain(_feature_keys(features(spark, sf_dir)), _RATIO, _SEED)
+
+
+@register(
+    "split_rows_by_session",
+    O.with_ctes(*_DOMAIN_FEATURES, *O.split_ctes(_RATIO, _SEED, ()))
+    + f"SELECT {_FEAT_KEYS} FROM features f WHERE f.session_id IN (SELECT session_id FROM v WHERE is_val)",
+)
+def q_split_rows_by_session(spark, sf_dir):
+    """Validation rows: a left-semi join of the rows with the validation sessions."""
+    feats = _feature_keys(features(spark, sf_dir))
+    val = S.session_split(feats, _RATIO, _SEED).where("is_validation")
+    return S.keep_sessions(feats, val)
+
+
+def _hash_sql(seed: int, *cols: str) -> str:
+    parts = ", ':', ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"md5(concat('{seed}', ':', {parts}))"
+
+
+@register(
+    "balance_domains",
+    O.with_ctes(*_DOMAIN_FEATURES)
+    + f"""SELECT session_id, domain, window_start, label FROM (
+        SELECT *, row_number() OVER (PARTITION BY domain ORDER BY {_hash_sql(_SEED, 'session_id', 'window_start')},
+          session_id, window_start) - 1 AS i FROM features) b,
+        (SELECT min(c) AS target, count(*) AS nd FROM (SELECT domain, count(*) AS c FROM features GROUP BY domain)) t
+      WHERE t.nd < 2 OR b.i < t.target""",
+)
+def q_balance_domains(spark, sf_dir):
+    return S.balance_domains(_feature_keys(features(spark, sf_dir)), _SEED)
+
+
+_DOWNSAMPLE_N = 1000
+
+
+@register(
+    "downsample",
+    O.with_ctes(*_DOMAIN_FEATURES)
+    + f"""SELECT session_id, domain, window_start, label FROM (
+        SELECT *, row_number() OVER (ORDER BY {_hash_sql(_SEED, 'session_id', 'window_start')}, session_id,
+          window_start) - 1 AS i FROM features) WHERE i < {_DOWNSAMPLE_N}""",
+)
+def q_downsample(spark, sf_dir):
+    """At most N rows in hash order (the sampling operator: the limit is the feature)."""
+    return S.downsample(_feature_keys(features(spark, sf_dir)), _DOWNSAMPLE_N, _SEED)
+
+
+_EXP_OUT = ("run_id, session_id, \"timestamp\", domain, application, scenario, phase_name, impairment_type, "
+            "severity, capture_offset_seconds, label")
+
+
+def _experiment(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return bridge.experiment_raw(ev), bridge.phase_table(ev), bridge.run_metadata(ev)
+
+
+@register("label_by_phase", O.with_ctes(*O.experiment_ctes()) + f"SELECT {_EXP_OUT} FROM labelled")
+def q_label_by_phase(spark, sf_dir):
+    """Interval join of rows against run phases; overlapping phases: the later listed wins."""
+    raw, phases, runs = _experiment(spark, sf_dir)
+    out = J.label_by_phase(raw, phases, runs)
+    return out.select(*[c.strip('"') for c in _EXP_OUT.split(", ")])
+
+
+@register(
+    "uncovered_rows",
+    O.with_ctes(*O.experiment_ctes())
+    + """SELECT run_id, session_id, "timestamp", capture_offset_seconds FROM labelled WHERE NOT covered
+      ORDER BY run_id, session_id, "timestamp" LIMIT 5""",
+)
+def q_uncovered_rows(spark, sf_dir):
+    """First five rows no phase covers (top-k; what strict mode reports)."""
+    raw, phases, runs = _experiment(spark, sf_dir)
+    return J.uncovered_rows(J.label_by_phase(raw, phases, runs))
+
+
+@register(
+    "build_experiment_dataset",
+    O.with_ctes(*O.experiment_ctes())
+    + f"SELECT {_EXP_OUT}, packets_sent, packets_lost, round(rtt_ms, 6) AS rtt_ms FROM labelled",
+)
+def q_build_experiment_dataset(spark, sf_dir):
+    """All runs in one job: normalize without labels, label by phase (coverage not strict)."""
+    raw, phases, runs = _experiment(spark, sf_dir)
+    out = J.build_experiment_dataset(raw, phases, runs, strict_coverage=False)
+    return out.select(*[c.strip('"') for c in _EXP_OUT.split(", ")], "packets_sent", "packets_lost", "rtt_ms")
+
+
+@register(
+    "holdout_folds",
+    O.with_ctes(*_DOMAIN_FEATURES)
+    + f"""SELECT d.holdout, {_FEAT_KEYS}, CASE WHEN d.holdout = f.domain THEN 'eval' ELSE 'train' END AS role
+      FROM features f CROSS JOIN (SELECT DISTINCT domain AS holdout FROM features) d""",
+)
+def q_holdout_folds(spark, sf_dir):
+    feats = _feature_keys(features(spark, sf_dir))
+    return J.holdout_folds(feats).select("holdout", "session_id", "domain", "window_start", "label", "role")
+
+
+@register(
+    "check_domains",
+    O.with_ctes(*_DOMAIN_FEATURES)
+    + """SELECT domain, count(DISTINCT label) AS classes,
+      CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives,
+      CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS positives,
+      count(DISTINCT label) >= 2 AS ok FROM features GROUP BY domain""",
+)
+def q_check_domains(spark, sf_dir):
+    return J.check_domains(features(spark, sf_dir))
+
+
+@register(
+    "union_sources",
+    O.with_ctes(O.sensor_raw_cte())
+    + """SELECT session_id, "timestamp", packets_sent, round(rtt_ms, 6) AS rtt_ms, round(flow_duration_ms, 6) AS flow_duration_ms,
+        CAST(NULL AS DOUBLE) AS average_packet_size, CAST(NULL AS VARCHAR) AS domain FROM sensor_raw WHERE domain = 'd0'
+      UNION ALL
+      SELECT session_id, "timestamp", packets_sent, round(rtt_ms, 6), CAST(NULL AS DOUBLE), round(average_packet_size, 6), domain
+        FROM sensor_raw WHERE domain <> 'd0'""",
+)
+def q_union_sources(spark, sf_dir):
+    """UNION ALL by name of two differently shaped sources (missing columns NULL)."""
+    raw = bridge.sensor_raw(events(spark, sf_dir))
+    a = raw.where(F.col("domain") == "d0").select("session_id", "timestamp", "packets_sent", "rtt_ms", "flow_duration_ms")
+    b = raw.where(F.col("domain") != "d0").select("session_id", "timestamp", "packets_sent", "rtt_ms",
+                                                  "average_packet_size", "domain")
+    return J.union_sources([a, b])

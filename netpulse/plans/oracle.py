@@ -387,3 +387,61 @@ def app_flows_sql(pattern: str) -> str:
     }
     label = label_pattern_sql("label_text", "labels_numeric", pattern)
     return with_ctes(flows_raw_cte(), *app_flow_ctes()) + f"SELECT {row_id_sql()}, {sensor_out_sql(values, label)} FROM vres"
+
+
+# ------------------------------------------------------------------ sampling
+
+
+def split_ctes(ratio: float, seed: int, keys: tuple[str, ...], src: str = "features") -> list[str]:
+    """Session split (quota rules of operators.sampling); yields CTE ``v(keys, session_id, is_val)``."""
+    r = f"CAST({ratio!r} AS DOUBLE)"
+    kc = "".join(f"{k}, " for k in keys)
+    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
+    part_l = f"PARTITION BY {', '.join([*keys, 'label'])} "
+    on = " AND ".join([f"cnt.{k} = tot.{k}" for k in keys]) or "TRUE"
+    von = " AND ".join([f"r.{k} = q2.{k}" for k in keys] + ["r.label = q2.label"])
+    return [
+        f"""sl AS (SELECT {kc}session_id, max(label) AS label, md5(concat('{seed}', ':', session_id)) AS h
+            FROM {src} GROUP BY ALL)""",
+        f"cnt AS (SELECT {kc}label, count(*) AS c FROM sl GROUP BY ALL)",
+        f"tot AS (SELECT {kc}sum(c) AS n, count(*) AS k FROM cnt {'GROUP BY ' + ', '.join(keys) if keys else ''})",
+        f"""q0 AS (SELECT {''.join(f'cnt.{k}, ' for k in keys)}cnt.label, cnt.c, tot.n, tot.k,
+            ceil({r} * CAST(tot.n AS DOUBLE)) AS n_test,
+            (tot.k >= 2 AND greatest(1.0, round_even({r} * CAST(tot.n AS DOUBLE), 0)) >= tot.k) AS strat,
+            CAST(cnt.c AS DOUBLE) / CAST(tot.n AS DOUBLE) * ceil({r} * CAST(tot.n AS DOUBLE)) AS cont
+            FROM cnt JOIN tot ON {on})""",
+        "q1 AS (SELECT *, floor(cont) AS fl, cont - floor(cont) AS rem FROM q0)",
+        f"""q2 AS (SELECT {kc}label, strat, n_test, n, CASE WHEN c < 2 THEN 0 ELSE fl + CASE WHEN
+            row_number() OVER ({part}ORDER BY rem DESC, label ASC) <= n_test - sum(fl) OVER ({part.strip()}) THEN 1 ELSE 0 END
+            END AS quota FROM q1)""",
+        f"""rr AS (SELECT sl.*, row_number() OVER ({part_l}ORDER BY h, session_id) - 1 AS il,
+            row_number() OVER ({part}ORDER BY h, session_id) - 1 AS ia FROM sl)""",
+        f"""v AS (SELECT {''.join(f'r.{k}, ' for k in keys)}r.session_id, (q2.n >= 2 AND {ratio} > 0 AND
+            CASE WHEN q2.strat THEN r.il < q2.quota ELSE r.ia < q2.n_test END) AS is_val
+            FROM rr r JOIN q2 ON {von})""",
+    ]
+
+
+def experiment_ctes() -> list[str]:
+    return [
+        sensor_raw_cte(),
+        """er AS (SELECT concat('r', substr(domain, 2)) AS run_id, * EXCLUDE (label, domain) FROM sensor_raw)""",
+        """runs AS (SELECT DISTINCT concat('r', CAST(user_id % 3 AS VARCHAR)) AS run_id,
+            concat('d', CAST(user_id % 3 AS VARCHAR)) AS domain, 'browser' AS application, 'loss-ramp' AS scenario
+            FROM events)""",
+        """phases AS (SELECT r.run_id, p.* FROM runs r CROSS JOIN (VALUES
+            (0, 'baseline', 0.0::DOUBLE, 950400.0::DOUBLE, 0, 'none', 'none'),
+            (1, 'impairment', 864000.0::DOUBLE, 1814400.0::DOUBLE, 1, 'loss', 'high'))
+            p(pos, phase_name, start_offset_seconds, end_offset_seconds, label, impairment_type, severity))""",
+        """starts AS (SELECT run_id, min("timestamp") AS cs FROM er GROUP BY run_id)""",
+        """ex AS (SELECT er.*, CAST(epoch_us(er."timestamp") - epoch_us(s.cs) AS DOUBLE) / 1e6 AS off
+            FROM er JOIN starts s ON er.run_id = s.run_id)""",
+        """ey AS (SELECT ex.*, (SELECT max(p.pos) FROM phases p WHERE p.run_id = ex.run_id
+            AND ex.off >= p.start_offset_seconds AND ex.off < p.end_offset_seconds) AS hit FROM ex)""",
+        """labelled AS (SELECT ey.*, ru.domain, ru.application, ru.scenario,
+            coalesce(p.phase_name, 'unlabeled') AS phase_name, coalesce(p.impairment_type, 'unlabeled') AS impairment_type,
+            coalesce(p.severity, 'none') AS severity, round(ey.off, 6) AS capture_offset_seconds,
+            CAST(coalesce(p.label, 0) AS INTEGER) AS label, p.pos IS NOT NULL AS covered
+            FROM ey LEFT JOIN phases p ON p.run_id = ey.run_id AND p.pos = ey.hit
+            LEFT JOIN runs ru ON ru.run_id = ey.run_id)""",
+    ]
