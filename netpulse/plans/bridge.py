@@ -204,3 +204,13 @@ def scores(events: DataFrame, window_seconds: int = 86400, variation_column: str
     scored = rule_score(feats, variation_column=variation_column)
     # probabilities rounded to 6 places: ties are common and identical in both engines
     return scored.select("session_id", "domain", "window_start", "label", F.round("probability", 6).alias("probability"))
+
+
+def packet_dump_rows(events: DataFrame) -> DataFrame:
+    """Packet-dump shaped rows: per trace a 0-based line index (event order) and epoch seconds."""
+    from netpulse.plans.ordering import row_index
+
+    p = packets(events).select("trace_id", "packet_index", (F.unix_micros("timestamp") / F.lit(1e6)).alias("epoch"))
+    return row_index(p, ["packet_index"], keys=["trace_id"], name="line").select(
+        "trace_id", F.col("line").alias("packet_index"), "epoch"
+    )

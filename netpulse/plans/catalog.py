@@ -635,3 +635,119 @@ def q_union_sources(spark, sf_dir):
     b = raw.where(F.col("domain") != "d0").select("session_id", "timestamp", "packets_sent", "rtt_ms",
                                                   "average_packet_size", "domain")
     return J.union_sources([a, b])
+
+
+# ------------------------------------------------------------------ §2.4 sequences, regression metrics
+
+from netpulse.operators import sequences as Q  # noqa: E402
+
+# Fixed parameters of the packet fixture: day-scale gaps, 5-step histories.
+_MAX_IAT_MS = 86400000.0
+_L = 5
+
+
+def iat(spark, sf_dir):
+    return Q.inter_arrival_times(bridge.packets(events(spark, sf_dir)), max_iat_ms=_MAX_IAT_MS)
+
+
+def _round_array(c: str):
+    return F.transform(F.col(c), lambda x: F.round(x, 6)).alias(c)
+
+
+@register(
+    "inter_arrival_times",
+    O.with_ctes(*O.iat_ctes(_MAX_IAT_MS)) + "SELECT trace_id, packet_index, round(iat_ms, 6) AS iat_ms FROM iat",
+)
+def q_inter_arrival_times(spark, sf_dir):
+    return iat(spark, sf_dir)
+
+
+@register(
+    "dump_inter_arrival_times",
+    O.with_ctes(O.packets_cte())
+    + f"""SELECT trace_id, packet_index, iat_ms FROM (
+      SELECT trace_id, i AS packet_index, CAST(round(CAST(CAST((epoch - lag(epoch) OVER (PARTITION BY trace_id ORDER BY i))
+        * 1000.0 AS VARCHAR) AS DECIMAL(38, 12)), 6) AS DOUBLE) AS iat_ms FROM (SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY packet_index) - 1 AS i,
+          CAST(epoch_us("timestamp") AS DOUBLE) / 1e6 AS epoch FROM packets))
+      WHERE iat_ms > 0 AND iat_ms <= {_MAX_IAT_MS}""",
+)
+def q_dump_inter_arrival_times(spark, sf_dir):
+    return Q.dump_inter_arrival_times(bridge.packet_dump_rows(events(spark, sf_dir)), max_iat_ms=_MAX_IAT_MS)
+
+
+@register("iat_stats", O.with_ctes(*O.iat_ctes(_MAX_IAT_MS)) + "SELECT round(mean, 6) AS mean, round(std, 6) AS std FROM stats")
+def q_iat_stats(spark, sf_dir):
+    return Q.iat_stats(iat(spark, sf_dir))
+
+
+_SEQ_SQL = O.with_ctes(*O.seq_ctes(_MAX_IAT_MS, _L))
+_SEQ_OUT = ("trace_id, packet_index, list_transform(inputs, lambda x: round(x, 6)) AS inputs, round(target, 6) AS target, "
+            "round(actual_iat_ms, 6) AS actual_iat_ms, round(mean, 6) AS mean, round(std, 6) AS std")
+
+
+@register("iat_sequences", _SEQ_SQL + f"SELECT {_SEQ_OUT} FROM seq")
+def q_iat_sequences(spark, sf_dir):
+    s = Q.iat_sequences(iat(spark, sf_dir), _L)
+    return s.select("trace_id", "packet_index", _round_array("inputs"), "target", "actual_iat_ms", "mean", "std")
+
+
+@register(
+    "iat_inference_frame",
+    _SEQ_SQL + "SELECT trace_id, packet_index AS target_packet_index, list_transform(inputs, lambda x: round(x, 6)) AS inputs, "
+    "round(target, 6) AS target, round(actual_iat_ms, 6) AS actual_iat_ms FROM seq",
+)
+def q_iat_inference_frame(spark, sf_dir):
+    """Scoring samples with the stored normalization (here: the stats of the same data)."""
+    gaps = iat(spark, sf_dir)
+    st = Q.iat_stats(gaps).first()  # one row
+    s = Q.iat_inference_frame(gaps, st["mean"], st["std"], _L)
+    return s.select("trace_id", "target_packet_index", _round_array("inputs"), "target", "actual_iat_ms")
+
+
+_TAIL_RATIO = 0.2
+
+
+@register(
+    "tail_split",
+    _SEQ_SQL
+    + f"""SELECT trace_id, packet_index, CASE WHEN {_TAIL_RATIO} > 0 AND n >= 2 AND pos >= n - greatest(1, floor(n * {_TAIL_RATIO}))
+      THEN 'validation' ELSE 'train' END AS split FROM (SELECT trace_id, packet_index,
+        row_number() OVER (ORDER BY trace_id, packet_index) - 1 AS pos, count(*) OVER () AS n FROM seq)""",
+)
+def q_tail_split(spark, sf_dir):
+    """Last 20 % of samples in (trace, index) order for validation, by the distributed ordered index."""
+    s = Q.iat_sequences(iat(spark, sf_dir), _L)
+    return Q.tail_split(s, _TAIL_RATIO).select("trace_id", "packet_index", "split")
+
+
+def _persistence(spark, sf_dir):
+    """Deterministic next-gap forecast: repeat the last observed gap."""
+    s = Q.iat_sequences(iat(spark, sf_dir), _L)
+    last = F.element_at("inputs", -1)
+    return s.select(
+        "target", last.alias("pred_z"), "actual_iat_ms", (last * F.col("std") + F.col("mean")).alias("predicted_iat_ms")
+    )
+
+
+@register(
+    "regression_metrics",
+    _SEQ_SQL + """SELECT round(avg(abs(p - actual_iat_ms)), 6) AS mae, round(sqrt(avg((p - actual_iat_ms) * (p - actual_iat_ms))), 6)
+      AS rmse FROM (SELECT actual_iat_ms, inputs[-1] * std + mean AS p FROM seq)""",
+)
+def q_regression_metrics(spark, sf_dir):
+    """MAE / RMSE in ms of the repeat-last-gap forecast."""
+    from netpulse.operators import metrics as M2
+
+    return M2.regression_metrics(_persistence(spark, sf_dir), "actual_iat_ms", "predicted_iat_ms")
+
+
+@register(
+    "huber_loss",
+    _SEQ_SQL + """SELECT round(avg(CASE WHEN abs(e) <= 1.0 THEN 0.5 * e * e ELSE abs(e) - 0.5 END), 6) AS huber_loss
+      FROM (SELECT inputs[-1] - target AS e FROM seq)""",
+)
+def q_huber_loss(spark, sf_dir):
+    """Mean Huber loss (delta 1) on normalized values of the repeat-last-gap forecast."""
+    from netpulse.operators import metrics as M2
+
+    return M2.huber_loss(_persistence(spark, sf_dir), "target", "pred_z")

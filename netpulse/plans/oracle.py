@@ -445,3 +445,34 @@ def experiment_ctes() -> list[str]:
             FROM ey LEFT JOIN phases p ON p.run_id = ey.run_id AND p.pos = ey.hit
             LEFT JOIN runs ru ON ru.run_id = ey.run_id)""",
     ]
+
+
+# ------------------------------------------------------------------ sequences
+
+
+def packets_cte() -> str:
+    return """packets AS (SELECT concat('u', CAST(user_id AS VARCHAR)) AS trace_id, event_id AS packet_index,
+        ts AS "timestamp" FROM events)"""
+
+
+def iat_ctes(max_iat_ms: float) -> list[str]:
+    return [
+        packets_cte(),
+        f"""iat AS (SELECT trace_id, packet_index, iat_ms FROM (
+            SELECT trace_id, packet_index, CAST(epoch_us("timestamp") - lag(epoch_us("timestamp"))
+              OVER (PARTITION BY trace_id ORDER BY packet_index) AS DOUBLE) / 1000.0 AS iat_ms FROM packets)
+            WHERE iat_ms > 0 AND iat_ms <= {float(max_iat_ms)})""",
+        """stats AS (SELECT avg(iat_ms) AS mean, CASE WHEN stddev_pop(iat_ms) IS NULL OR stddev_pop(iat_ms) = 0
+            THEN 1.0 ELSE stddev_pop(iat_ms) END AS std FROM iat)""",
+    ]
+
+
+def seq_ctes(max_iat_ms: float, length: int) -> list[str]:
+    return [
+        *iat_ctes(max_iat_ms),
+        f"""seq AS (SELECT * FROM (SELECT trace_id, packet_index, iat_ms AS actual_iat_ms, z AS target, mean, std,
+            list(z) OVER (PARTITION BY trace_id ORDER BY packet_index ROWS BETWEEN {length} PRECEDING AND 1 PRECEDING)
+              AS inputs
+            FROM (SELECT iat.*, (iat_ms - s.mean) / s.std AS z, s.mean, s.std FROM iat, stats s))
+            WHERE len(inputs) = {length})""",
+    ]

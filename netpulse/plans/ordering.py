@@ -152,3 +152,110 @@ def exact_quantiles(
     )
     value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
     return pivoted.groupBy(*keys).agg(*[F.max(F.when(F.col("q_name") == k, value)).alias(k) for k in quantiles])
+
+
+def _local_history(keys: Sequence[str], value: str, length: int, out_col: str):
+    """In-partition trailing history of ``value`` (up to ``length`` earlier rows of the same key).
+
+    Rows of the partition's first key run whose history may start in an
+    earlier partition are flagged ``_np_open``; the edge pass recomputes them.
+    """
+
+    def run(batches):
+        tail_key = None
+        tail_vals: list = []
+        first_key = None
+        first_run_open = True
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            key_tuples = list(zip(*[pdf[k].tolist() for k in keys])) if keys else [()] * len(pdf)
+            vals = pdf[value].tolist()
+            hist_out, open_out = [], []
+            for kt, v in zip(key_tuples, vals):
+                if first_key is None:
+                    first_key = kt
+                if kt != tail_key:
+                    if tail_key is not None:
+                        first_run_open = False
+                    tail_key, tail_vals = kt, []
+                hist_out.append(list(tail_vals[-length:]))
+                open_out.append(first_run_open and kt == first_key and len(tail_vals) < length)
+                tail_vals.append(v)
+                if len(tail_vals) > length:
+                    tail_vals = tail_vals[-length:]
+            out = pdf.copy()
+            out[out_col] = hist_out
+            out["_np_open"] = open_out
+            yield out
+
+    return run
+
+
+def _edges(length: int):
+    """First and last ``length`` rows of every partition, with their in-partition position."""
+
+    def run(batches):
+        head = []
+        tail = None
+        pos = 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            pdf = pdf.assign(_np_pos=range(pos, pos + len(pdf)))
+            pos += len(pdf)
+            if sum(len(h) for h in head) < length:
+                need = length - sum(len(h) for h in head)
+                head.append(pdf.iloc[:need])
+            tail = pdf.iloc[-length:] if tail is None else pd.concat([tail, pdf]).iloc[-length:]
+        if head:
+            both = pd.concat([*head, tail]).drop_duplicates(subset=["_np_pos"])
+            yield both
+
+    return run
+
+
+def ordered_history(
+    df: DataFrame,
+    order_cols: Sequence[str],
+    value: str,
+    length: int,
+    keys: Sequence[str] = (),
+    out_col: str = "history",
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """Add ``out_col``: array of up to ``length`` previous ``value``s of the same key in
+    ``order_cols`` order (oldest first) — ``collect_list`` over ``rowsBetween(-length, -1)``
+    without putting a whole key in one task.
+
+    Rows are range-partitioned on (keys, order); each task builds its rows'
+    history locally; rows whose history reaches into an earlier partition are
+    recomputed from the partitions' edge rows (at most 2 * length per partition).
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sort_cols = [*keys, *order_cols]
+    ranged = (
+        df.repartitionByRange(n, *sort_cols)
+        .sortWithinPartitions(*sort_cols)
+        .withColumn(_PID, F.spark_partition_id())
+        .checkpoint(eager=True)
+    )
+    vtype = ranged.schema[value].dataType
+    hist_schema = T.StructType(
+        [*ranged.schema.fields, T.StructField(out_col, T.ArrayType(vtype), True), T.StructField("_np_open", T.BooleanType())]
+    )
+    local = ranged.mapInPandas(_local_history(list(keys), value, length, out_col), hist_schema)
+    closed = local.where(~F.col("_np_open")).drop("_np_open", _PID)
+
+    edge_schema = T.StructType([*ranged.schema.fields, T.StructField("_np_pos", T.LongType())])
+    edges = ranged.mapInPandas(_edges(length), edge_schema)
+    order_w = Window.partitionBy(*keys).orderBy(*order_cols) if keys else Window.orderBy(*order_cols)
+    edge_hist = edges.withColumn(out_col, F.collect_list(value).over(order_w.rowsBetween(-length, -1)))
+    opened = local.where(F.col("_np_open")).select(_PID, *keys, *order_cols)
+    fixed = opened.join(edge_hist.select(_PID, *keys, *order_cols, out_col), on=[_PID, *keys, *order_cols], how="inner")
+    reopened = local.where(F.col("_np_open")).drop(out_col, "_np_open").join(
+        fixed, on=[_PID, *keys, *order_cols], how="inner"
+    ).drop(_PID)
+    return closed.unionByName(reopened)
