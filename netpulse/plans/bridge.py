@@ -123,7 +123,7 @@ def sensor_aliased(events: DataFrame) -> DataFrame:
 
 def decisions(events: DataFrame) -> DataFrame:
     """Transport decision log: one session outcome per event."""
-    e = events.select("event_id", "user_id", "ts", "event_type", _k().alias("k"))
+    e = events.select("event_id", "user_id", "ts", "event_type", "value", _k().alias("k"))
     success = F.when(F.col("event_type") == "error", F.lit(0)).otherwise(F.lit(1))
     return e.select(
         "event_id",
@@ -139,6 +139,8 @@ def decisions(events: DataFrame) -> DataFrame:
         success.alias("success_count"),
         (F.lit(1) - success).alias("failure_count"),
         (F.lit(2) * success - F.lit(1)).alias("reward"),
+        "event_type",
+        "value",
     )
 
 

@@ -751,3 +751,124 @@ def q_huber_loss(spark, sf_dir):
     from netpulse.operators import metrics as M2
 
     return M2.huber_loss(_persistence(spark, sf_dir), "target", "pred_z")
+
+
+# ------------------------------------------------------------------ §2.9 decision log
+
+from datetime import datetime as _dt  # noqa: E402
+
+from netpulse.operators import decisions as D  # noqa: E402
+
+
+def decisions(spark, sf_dir):
+    return bridge.decisions(events(spark, sf_dir))
+
+
+_DEC = O.with_ctes(O.decisions_cte())
+
+
+@register(
+    "hour_features",
+    _DEC + """SELECT event_id, round(sin(2 * pi() * ((hour(ts) + minute(ts) / 60.0) / 24.0)), 6) AS hour_sin,
+      round(cos(2 * pi() * ((hour(ts) + minute(ts) / 60.0) / 24.0)), 6) AS hour_cos,
+      CAST(hour(ts) AS INTEGER) AS hour_bucket FROM decisions""",
+)
+def q_hour_features(spark, sf_dir):
+    return D.hour_features(decisions(spark, sf_dir).select("event_id", "ts")).select(
+        "event_id", "hour_sin", "hour_cos", "hour_bucket")
+
+
+@register(
+    "session_outcomes",
+    _DEC + """SELECT event_id, (NOT (event_type = 'error') AND value > 1.0) AS success,
+      CASE WHEN NOT (event_type = 'error') AND value > 1.0 THEN CAST(1.0 AS DOUBLE) ELSE CAST(-1.0 AS DOUBLE) END AS reward,
+      CASE WHEN NOT (event_type = 'error') AND value > 1.0 THEN 1 ELSE 0 END AS success_count,
+      CASE WHEN NOT (event_type = 'error') AND value > 1.0 THEN 0 ELSE 1 END AS failure_count FROM decisions""",
+)
+def q_session_outcomes(spark, sf_dir):
+    """Outcome of each session: degraded = error event, echoed = payload value above 1."""
+    d = decisions(spark, sf_dir).select(
+        "event_id", (F.col("event_type") == "error").alias("degraded"), (F.col("value") > 1.0).alias("echoed"))
+    return D.session_outcomes(d).select("event_id", "success", F.col("reward").cast("double").alias("reward"),
+                                        "success_count", "failure_count")
+
+
+@register(
+    "aggregate_sessions",
+    _DEC + """SELECT isp_id, traffic_type, hour_bucket, transport, CAST(ts AS DATE) AS day,
+      CAST(sum(success_count) AS BIGINT) AS success_count, CAST(sum(failure_count) AS BIGINT) AS failure_count
+      FROM decisions GROUP BY ALL""",
+)
+def q_aggregate_sessions(spark, sf_dir):
+    """Daily success/failure sums per (isp, traffic type, hour, transport)."""
+    return D.aggregate_sessions(decisions(spark, sf_dir), daily=True)
+
+
+@register(
+    "success_rate_by_context",
+    _DEC + """, hist AS (SELECT isp_id, hour_bucket, traffic_type, sum(success_count) AS s, sum(failure_count) AS f
+        FROM decisions GROUP BY ALL),
+      ctx AS (SELECT DISTINCT isp_id, traffic_type FROM decisions),
+      hrs AS (SELECT CAST(range AS INTEGER) AS hour_bucket FROM range(24))
+      SELECT c.isp_id, h.hour_bucket, c.traffic_type,
+        round(coalesce(CAST(s AS DOUBLE) / NULLIF(CAST(s + f AS DOUBLE), 0), 0.5), 6) AS historical_success_rate
+      FROM ctx c CROSS JOIN hrs h LEFT JOIN hist ON hist.isp_id = c.isp_id AND hist.hour_bucket = h.hour_bucket
+        AND hist.traffic_type = c.traffic_type""",
+)
+def q_success_rate_by_context(spark, sf_dir):
+    return D.success_rate_by_context(decisions(spark, sf_dir))
+
+
+def _arm_sum(t: str) -> str:
+    return (f"coalesce(sum(CASE WHEN transport = '{t}' THEN CAST(reward AS DOUBLE) ELSE 0.0 END) OVER "
+            "(PARTITION BY isp_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)")
+
+
+@register(
+    "choose_transport",
+    _DEC + f""", sc AS (SELECT event_id, isp_id, transport, reward, 0.6 + {_arm_sum('quic')} AS score_quic,
+        0.5 + {_arm_sum('webrtc')} AS score_webrtc, 0.2 + {_arm_sum('doh')} AS score_doh FROM decisions)
+      SELECT event_id, isp_id, transport, reward, round(score_quic, 6) AS score_quic, round(score_webrtc, 6) AS score_webrtc,
+        round(score_doh, 6) AS score_doh,
+        CASE WHEN score_quic >= score_webrtc AND score_quic >= score_doh THEN 'quic'
+             WHEN score_webrtc >= score_doh THEN 'webrtc' ELSE 'doh' END AS chosen_transport,
+        round(greatest(score_quic, score_webrtc, score_doh), 6) AS chosen_score FROM sc""",
+)
+def q_choose_transport(spark, sf_dir):
+    """Replay of the greedy bandit per agent over the decision log."""
+    log = decisions(spark, sf_dir).select("event_id", "isp_id", "transport", "reward")
+    return D.choose_transport(log)
+
+
+@register(
+    "recent_aggregates",
+    _DEC + """SELECT event_id AS id, isp_id, traffic_type, hour_bucket, transport, success_count, failure_count
+      FROM decisions ORDER BY event_id DESC LIMIT 20""",
+)
+def q_recent_aggregates(spark, sf_dir):
+    """Newest 20 aggregates by id (the recent-list report)."""
+    agg = decisions(spark, sf_dir).select(F.col("event_id").alias("id"), "isp_id", "traffic_type", "hour_bucket",
+                                          "transport", "success_count", "failure_count")
+    return D.recent_aggregates(agg, 20)
+
+
+_INGEST_AT = _dt(2026, 1, 1)
+
+
+def _incoming(spark, sf_dir):
+    """Incoming aggregates; sign-up sessions report the transport in upper case (rejected)."""
+    d = decisions(spark, sf_dir)
+    bad = F.when(F.col("event_type") == "signup", F.upper("transport")).otherwise(F.col("transport"))
+    return d.select("isp_id", "traffic_type", "hour_bucket", bad.alias("transport"), "success_count",
+                    "failure_count", "event_id")
+
+
+@register(
+    "ingest_session_aggregates",
+    _DEC + """SELECT isp_id, traffic_type, hour_bucket, transport, success_count, failure_count, event_id,
+      TIMESTAMP '2026-01-01 00:00:00' AS created_at FROM decisions WHERE event_type <> 'signup'""",
+)
+def q_ingest_session_aggregates(spark, sf_dir):
+    """Accepted rows of an ingest batch, stamped with the batch time."""
+    accepted, _ = D.ingest_session_aggregates(_incoming(spark, sf_dir), created_at=_INGEST_AT)
+    return accepted

@@ -476,3 +476,17 @@ def seq_ctes(max_iat_ms: float, length: int) -> list[str]:
             FROM (SELECT iat.*, (iat_ms - s.mean) / s.std AS z, s.mean, s.std FROM iat, stats s))
             WHERE len(inputs) = {length})""",
     ]
+
+
+# ------------------------------------------------------------------ decisions
+
+
+def decisions_cte() -> str:
+    return f"""decisions AS (SELECT event_id, ts, concat('isp-', CAST(user_id % 10 AS VARCHAR)) AS isp_id,
+        CASE WHEN event_type IN ('click', 'view') THEN 'web' WHEN event_type = 'purchase' THEN 'video' ELSE 'voice' END
+          AS traffic_type,
+        CAST(hour(ts) AS INTEGER) AS hour_bucket, (['quic', 'webrtc', 'doh'])[k % 3 + 1] AS transport,
+        CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS success_count,
+        1 - CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS failure_count,
+        2 * CASE WHEN event_type = 'error' THEN 0 ELSE 1 END - 1 AS reward, event_type, value
+      FROM (SELECT *, {K} AS k FROM events) e)"""
