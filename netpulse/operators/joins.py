@@ -19,7 +19,7 @@ from netpulse.operators.clean import normalize_sensor_metrics
 # What a row no phase covers is labelled with.
 UNLABELED = "unlabeled"
 NO_SEVERITY = "none"
-SEVERITIES = ("none", "low", "medium", "high")
+SEVERITIES = ("none", "mild", "moderate", "severe")
 PHASE_FIELDS = ("phase_name", "start_offset_seconds", "end_offset_seconds", "label", "impairment_type", "severity")
 
 

@@ -147,7 +147,7 @@ def decisions(events: DataFrame) -> DataFrame:
 # Fixed values of the phase fixture: (pos, name, start s, end s, label, impairment, severity).
 PHASES = [
     (0, "baseline", 0.0, 950400.0, 0, "none", "none"),
-    (1, "impairment", 864000.0, 1814400.0, 1, "loss", "high"),
+    (1, "impairment", 864000.0, 1814400.0, 1, "loss", "severe"),
 ]
 
 

@@ -872,3 +872,20 @@ def q_ingest_session_aggregates(spark, sf_dir):
     """Accepted rows of an ingest batch, stamped with the batch time."""
     accepted, _ = D.ingest_session_aggregates(_incoming(spark, sf_dir), created_at=_INGEST_AT)
     return accepted
+
+
+# ------------------------------------------------------------------ §2.1 sources with SQL form
+
+from netpulse.sources import io as IO  # noqa: E402
+
+
+@register(
+    "load_domains",
+    O.with_ctes(*O.features_ctes(_W, keys=("domain",), rounded=True))
+    + "SELECT * REPLACE (concat(domain, '::', session_id) AS session_id) FROM features",
+)
+def q_load_domains(spark, sf_dir):
+    """Three sources tagged with their domain name; sessions become ``domain::session``."""
+    raw = bridge.sensor_raw(events(spark, sf_dir))
+    frames = {d: raw.where(F.col("domain") == d) for d in ("d0", "d1", "d2")}
+    return IO.tag_domains(frames, _W)

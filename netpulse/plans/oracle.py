@@ -431,7 +431,7 @@ def experiment_ctes() -> list[str]:
             FROM events)""",
         """phases AS (SELECT r.run_id, p.* FROM runs r CROSS JOIN (VALUES
             (0, 'baseline', 0.0::DOUBLE, 950400.0::DOUBLE, 0, 'none', 'none'),
-            (1, 'impairment', 864000.0::DOUBLE, 1814400.0::DOUBLE, 1, 'loss', 'high'))
+            (1, 'impairment', 864000.0::DOUBLE, 1814400.0::DOUBLE, 1, 'loss', 'severe'))
             p(pos, phase_name, start_offset_seconds, end_offset_seconds, label, impairment_type, severity))""",
         """starts AS (SELECT run_id, min("timestamp") AS cs FROM er GROUP BY run_id)""",
         """ex AS (SELECT er.*, CAST(epoch_us(er."timestamp") - epoch_us(s.cs) AS DOUBLE) / 1e6 AS off
