@@ -21,3 +21,304 @@ def rule_score(features: DataFrame, threshold: float = RULE_THRESHOLD, variation
     score = (inputs[0] + inputs[1] + inputs[2] + inputs[3]) / F.lit(4.0)
     p = clip(score, 0.0, 1.0)
     return features.withColumn("probability", p).withColumn("degraded", F.col("probability") >= F.lit(threshold))
+
+
+# ------------------------------------------------------------------ MLlib estimators
+
+import time  # noqa: E402
+from collections.abc import Sequence  # noqa: E402
+from dataclasses import dataclass, field  # noqa: E402
+
+from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier  # noqa: E402
+from pyspark.ml.feature import StandardScaler, VectorAssembler  # noqa: E402
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+from pyspark.ml.regression import LinearRegression  # noqa: E402
+
+from netpulse.functions.exprs import hash_order  # noqa: E402
+from netpulse.operators import metrics as M  # noqa: E402
+from netpulse.operators.windows import FEATURE_COLUMNS  # noqa: E402
+
+# Estimator settings of the registry (tree counts are overridable).
+DEFAULT_TREES = 300
+LEARNING_RATE = 0.05
+SUBSAMPLE = 0.9
+CALIBRATION_FOLDS = 3
+DEFAULT_SEED = 42
+ALGORITHMS = ("lightgbm", "lightgbm_sigmoid", "hist_gradient_boosting", "random_forest", "logistic_regression")
+NOT_IN_MLLIB = ("extra_trees",)
+
+_VEC, _W = "features_vec", "class_weight"
+
+
+def _assembler() -> VectorAssembler:
+    return VectorAssembler(inputCols=list(FEATURE_COLUMNS), outputCol=_VEC, handleInvalid="keep")
+
+
+def model_input(features: DataFrame) -> DataFrame:
+    """Missing feature values become 0.0 at the model boundary (trees in MLlib take no NaN)."""
+    return features.fillna(0.0, subset=list(FEATURE_COLUMNS))
+
+
+def balanced_weights(frame: DataFrame, label: str = "label") -> DataFrame:
+    """``n / (k * n_c)`` per row (the balanced class weight); the per-class table has k rows."""
+    counts = frame.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
+    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    w = counts.crossJoin(tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias(_W))
+    return frame.join(F.broadcast(w), on=label, how="left")  # k rows: bounded by the class count
+
+
+def build_estimator(algorithm: str, seed: int = DEFAULT_SEED, num_trees: int | None = None):
+    """Pipeline for a registry name; unknown names raise ``ValueError``."""
+    trees = int(num_trees or DEFAULT_TREES)
+    if algorithm in NOT_IN_MLLIB:
+        raise ValueError(f"Algorithm {algorithm!r} has no MLlib counterpart.")
+    if algorithm in ("lightgbm", "lightgbm_sigmoid"):
+        est = GBTClassifier(featuresCol=_VEC, labelCol="label", weightCol=_W, maxIter=trees, stepSize=LEARNING_RATE,
+                            subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(SUBSAMPLE), maxDepth=6,
+                            minInstancesPerNode=40, seed=seed)
+        if algorithm == "lightgbm_sigmoid":
+            return SigmoidCalibrated(Pipeline(stages=[_assembler(), est]), seed=seed)
+    elif algorithm == "hist_gradient_boosting":
+        est = GBTClassifier(featuresCol=_VEC, labelCol="label", maxIter=trees, stepSize=LEARNING_RATE, maxDepth=8,
+                            minInstancesPerNode=40, seed=seed)
+    elif algorithm == "random_forest":
+        est = RandomForestClassifier(featuresCol=_VEC, labelCol="label", weightCol=_W, numTrees=trees, maxDepth=12,
+                                     minInstancesPerNode=10, seed=seed)
+    elif algorithm == "logistic_regression":
+        scaler = StandardScaler(inputCol=_VEC, outputCol="scaled", withMean=True, withStd=True)
+        lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol=_W, maxIter=2000)
+        return Pipeline(stages=[_assembler(), scaler, lr])
+    else:
+        raise ValueError(f"Unknown sensor algorithm {algorithm!r}; choose from {ALGORITHMS}")
+    return Pipeline(stages=[_assembler(), est])
+
+
+def positive_probability(pred: DataFrame) -> DataFrame:
+    return pred.withColumn("probability", vector_to_array("probability")[1])
+
+
+@dataclass
+class SigmoidCalibrated:
+    """Platt scaling in hash folds: each fold's base model is fitted on the other folds and a
+    one-feature logistic model maps its score on the held-out fold to a probability; the
+    prediction averages the fold pairs."""
+
+    base: Pipeline
+    seed: int = DEFAULT_SEED
+    folds: int = CALIBRATION_FOLDS
+    pairs: list = field(default_factory=list)
+
+    def fit(self, frame: DataFrame) -> SigmoidCalibrated:
+        keyed = frame.withColumn("_fold", F.abs(F.xxhash64(hash_order(self.seed, "session_id", "window_start")))
+                                 % F.lit(self.folds))
+        self.pairs = []
+        for i in range(self.folds):
+            base_model = self.base.fit(keyed.where(F.col("_fold") != i))
+            held = positive_probability(base_model.transform(keyed.where(F.col("_fold") == i)))
+            held = held.select("label", F.col("probability").alias("_raw"))
+            held = VectorAssembler(inputCols=["_raw"], outputCol="_score").transform(held)
+            cal = LogisticRegression(featuresCol="_score", labelCol="label", maxIter=100).fit(held)
+            self.pairs.append((base_model, cal))
+        return self
+
+    def transform(self, frame: DataFrame) -> DataFrame:
+        """Row-local: each fold pair adds its calibrated probability as a column; no join."""
+        out = frame
+        names = []
+        for i, (base_model, cal) in enumerate(self.pairs):
+            keep = out.columns
+            s = positive_probability(base_model.transform(out)).select(*keep, F.col("probability").alias("_raw"))
+            s = VectorAssembler(inputCols=["_raw"], outputCol="_score").transform(s)
+            s = cal.transform(s)
+            out = s.select(*keep, vector_to_array("probability")[1].alias(f"_p{i}"))
+            names.append(f"_p{i}")
+        p = sum((F.col(n) for n in names[1:]), F.col(names[0])) / F.lit(float(len(names)))
+        return out.withColumn("probability", F.array(F.lit(1.0) - p, p)).drop(*names)
+
+
+def _probabilities(model, frame: DataFrame) -> DataFrame:
+    out = model.transform(frame)
+    if isinstance(model, SigmoidCalibrated):
+        return out.withColumn("probability", F.col("probability")[1])
+    return positive_probability(out)
+
+
+def _require_two_classes(frame: DataFrame) -> None:
+    if frame.select("label").distinct().limit(2).count() < 2:
+        raise ValueError("Training data must contain both classes.")
+
+
+def fit_sensor_model(train: DataFrame, algorithm: str, seed: int = DEFAULT_SEED, num_trees: int | None = None):
+    est = build_estimator(algorithm, seed, num_trees)
+    data = balanced_weights(model_input(train))
+    t0 = time.perf_counter()
+    model = est.fit(data)
+    return model, time.perf_counter() - t0
+
+
+def score(model, features: DataFrame, threshold: float = MODEL_THRESHOLD, keep: Sequence[str] = ()) -> DataFrame:
+    """probability of the positive class and ``degraded = p >= threshold``; label optional."""
+    keys = [c for c in ("session_id", "domain", "window_start", "label", *keep) if c in features.columns]
+    pred = _probabilities(model, model_input(features).withColumn(_W, F.lit(1.0)))
+    return pred.select(*keys, "probability", (F.col("probability") >= F.lit(threshold)).alias("degraded"))
+
+
+def evaluation_report(scored: DataFrame, threshold: float, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per group: metrics at ``threshold``, best sweep row, probability summary."""
+    return M.metrics_by_domain(scored, threshold, keys)
+
+
+def train_sensor(features: DataFrame, algorithm: str = "lightgbm", validation_ratio: float = 0.2,
+                 seed: int = DEFAULT_SEED, threshold: float = MODEL_THRESHOLD, num_trees: int | None = None):
+    """Split by session, fit, evaluate on validation sessions. Returns (model, report, metadata)."""
+    from netpulse.operators.sampling import split_by_session
+
+    _require_two_classes(features)
+    split = split_by_session(features, validation_ratio, seed).cache()
+    train = split.where(F.col("split") == "train").drop("split")
+    valid = split.where(F.col("split") == "validation").drop("split")
+    model, seconds = fit_sensor_model(train, algorithm, seed, num_trees)
+    scored = score(model, valid, threshold)
+    report = evaluation_report(scored.withColumn("scope", F.lit("validation")), threshold, ["scope"])
+    meta = {"algorithm": algorithm, "threshold": threshold, "fit_seconds": seconds, "seed": seed,
+            "validation_ratio": validation_ratio, "feature_columns": list(FEATURE_COLUMNS)}
+    return model, report, meta
+
+
+def infer_sensor(model, features: DataFrame, threshold: float | None = None, metadata: dict | None = None) -> DataFrame:
+    t = threshold if threshold is not None else (metadata or {}).get("threshold", MODEL_THRESHOLD)
+    return score(model, features, t)
+
+
+def train_sensor_multidomain(features: DataFrame, algorithm: str = "lightgbm", validation_ratio: float = 0.2,
+                             seed: int = DEFAULT_SEED, threshold: float = MODEL_THRESHOLD, balance: bool = True,
+                             num_trees: int | None = None):
+    """Per-domain session split, optional domain balancing, one fit; pooled + per-domain + macro report."""
+    from netpulse.operators.sampling import balance_domains, split_by_session_per_domain
+
+    _require_two_classes(features)
+    split = split_by_session_per_domain(features, validation_ratio, seed).cache()
+    train = split.where(F.col("split") == "train").drop("split")
+    valid = split.where(F.col("split") == "validation").drop("split")
+    fit_rows = balance_domains(train, seed) if balance else train
+    model, seconds = fit_sensor_model(fit_rows, algorithm, seed, num_trees)
+    scored = score(model, valid, threshold).cache()
+    pooled = evaluation_report(scored.withColumn("domain", F.lit("__pooled__")), threshold, ["domain"])
+    per_domain = evaluation_report(scored, threshold, ["domain"])
+    macro = M.macro_metrics(per_domain).withColumn("domain", F.lit("__macro__"))
+    report = pooled.unionByName(per_domain).unionByName(macro, allowMissingColumns=True)
+    meta = {"algorithm": algorithm, "threshold": threshold, "fit_seconds": seconds, "balanced": balance}
+    return model, report, meta
+
+
+def evaluate_transfer(source: DataFrame, target: DataFrame, algorithm: str = "lightgbm", seed: int = DEFAULT_SEED,
+                      threshold: float = MODEL_THRESHOLD, max_rows: int | None = None, num_trees: int | None = None):
+    """Fit on dataset A, evaluate on dataset B (both optionally downsampled)."""
+    from netpulse.operators.sampling import downsample
+
+    a = downsample(source, max_rows, seed)
+    b = downsample(target, max_rows, seed)
+    _require_two_classes(a)
+    model, seconds = fit_sensor_model(a, algorithm, seed, num_trees)
+    scored = score(model, b, threshold).withColumn("scope", F.lit("target"))
+    return evaluation_report(scored, threshold, ["scope"]).withColumn("fit_seconds", F.lit(seconds))
+
+
+def evaluate_holdouts(features: DataFrame, algorithm: str = "logistic_regression", seed: int = DEFAULT_SEED,
+                      threshold: float = MODEL_THRESHOLD, balance: bool = True, num_trees: int | None = None):
+    """Leave-one-domain-out: one fit per holdout domain (each a distributed fit), predictions
+    stacked, all metrics in one grouped aggregate keyed by holdout; macro rows at the default
+    and the best threshold."""
+    from netpulse.operators.joins import check_domains, holdout_domains
+    from netpulse.operators.sampling import balance_domains
+
+    names = holdout_domains(features)
+    if len(names) < 2:
+        raise ValueError("Leave-one-domain-out evaluation requires at least two domains.")
+    bad = check_domains(features).where(~F.col("ok")).limit(1).collect()
+    if bad:
+        raise ValueError(f"Every domain needs both classes; failing: {bad[0]['domain']}")
+    feats = features.cache()
+    preds = []
+    for d in names:
+        train = feats.where(F.col("domain") != d)
+        train = balance_domains(train, seed) if balance else train
+        model, _ = fit_sensor_model(train, algorithm, seed, num_trees)
+        preds.append(score(model, feats.where(F.col("domain") == d), threshold).withColumn("holdout", F.lit(d)))
+    stacked = preds[0]
+    for p in preds[1:]:
+        stacked = stacked.unionByName(p)
+    per = evaluation_report(stacked, threshold, ["holdout"])
+    macro = M.macro_metrics(per).withColumn("holdout", F.lit("__macro__"))
+    return per.unionByName(macro, allowMissingColumns=True)
+
+
+def compare_models(features: DataFrame, algorithms: Sequence[str] = ALGORITHMS, validation_ratio: float = 0.2,
+                   seed: int = DEFAULT_SEED, threshold: float = MODEL_THRESHOLD, max_rows: int | None = None,
+                   num_trees: int | None = None) -> DataFrame:
+    """One split, N estimators; stacked predictions, metrics grouped by algorithm, ranked."""
+    from netpulse.operators.sampling import downsample, split_by_session
+
+    data = downsample(features, max_rows, seed)
+    _require_two_classes(data)
+    split = split_by_session(data, validation_ratio, seed).cache()
+    train = split.where(F.col("split") == "train").drop("split")
+    valid = split.where(F.col("split") == "validation").drop("split")
+    preds, secs = [], {}
+    for a in algorithms:
+        model, s = fit_sensor_model(train, a, seed, num_trees)
+        secs[a] = s
+        preds.append(score(model, valid, threshold).withColumn("algorithm", F.lit(a)))
+    stacked = preds[0]
+    for p in preds[1:]:
+        stacked = stacked.unionByName(p)
+    report = evaluation_report(stacked, threshold, ["algorithm"])
+    fit = report.sparkSession.createDataFrame([(a, float(s)) for a, s in secs.items()], "algorithm string, fit_seconds double")
+    return M.rank_models(report.join(fit, "algorithm"))
+
+
+# ------------------------------------------------------------------ next-gap forecaster
+
+
+def train_iat_forecaster(iat: DataFrame, sequence_length: int = 20, validation_ratio: float = 0.2,
+                         max_iter: int = 100, reg_param: float = 0.0):
+    """Sequences -> tail split -> Huber-loss linear regression on the history vector.
+
+    Returns (model, report, metadata with sequence length, mean, std). Replaces the
+    recurrent network with an MLlib regressor under the same loss.
+    """
+    from netpulse.operators.sequences import iat_sequences, iat_stats, tail_split
+
+    stats = iat_stats(iat).first()  # one row
+    seq = iat_sequences(iat, sequence_length, require_samples=True)
+    split = tail_split(seq, validation_ratio).withColumn("x", array_to_vector("inputs")).cache()
+    train = split.where(F.col("split") == "train")
+    if train.limit(1).count() == 0:
+        raise ValueError("Forecast training needs at least one training sample.")
+    lr = LinearRegression(featuresCol="x", labelCol="target", loss="huber", maxIter=max_iter, regParam=reg_param)
+    model = lr.fit(train)
+    valid = model.transform(split.where(F.col("split") == "validation")).withColumn(
+        "predicted_iat_ms", F.col("prediction") * F.col("std") + F.col("mean"))
+    report = M.regression_metrics(valid, "actual_iat_ms", "predicted_iat_ms").crossJoin(
+        M.huber_loss(valid, "target", "prediction"))
+    meta = {"sequence_length": sequence_length, "mean": stats["mean"], "std": stats["std"]}
+    return model, report, meta
+
+
+def infer_iat_forecaster(model, iat: DataFrame, metadata: dict) -> DataFrame:
+    """Predict next gaps with stored normalization; de-normalize and report the absolute error."""
+    from netpulse.operators.sequences import iat_inference_frame
+
+    frame = iat_inference_frame(iat, metadata["mean"], metadata["std"], metadata["sequence_length"])
+    pred = model.transform(frame.withColumn("x", array_to_vector("inputs")))
+    pred = pred.withColumn("predicted_iat_ms", F.col("prediction") * F.col("std") + F.col("mean"))
+    return pred.select("trace_id", "target_packet_index", "actual_iat_ms", "predicted_iat_ms",
+                       F.abs(F.col("predicted_iat_ms") - F.col("actual_iat_ms")).alias("abs_error_ms"))
+
+
+def save_model(model, path: str) -> None:
+    if isinstance(model, PipelineModel):
+        model.write().overwrite().save(path)
+    else:
+        raise ValueError("Only pipeline models are saved in Spark format.")

@@ -889,3 +889,98 @@ def q_load_domains(spark, sf_dir):
     raw = bridge.sensor_raw(events(spark, sf_dir))
     frames = {d: raw.where(F.col("domain") == d) for d in ("d0", "d1", "d2")}
     return IO.tag_domains(frames, _W)
+
+
+# ------------------------------------------------------------------ §2.8 MLlib jobs (rows-only checks)
+
+from netpulse.operators import ml as ML  # noqa: E402
+
+# Small tree counts keep the registered fits quick; 300 stays the library default.
+_TREES = 10
+
+
+def _fit_features(spark, sf_dir):
+    return features(spark, sf_dir)
+
+
+@register("rule_score", O.with_ctes(*_SCORES) + "SELECT session_id, domain, window_start, label, probability, "
+          "probability >= 0.7 AS degraded FROM scores")
+def q_rule_score(spark, sf_dir):
+    """Rule baseline on the window features: mean of four ratios, degraded at 0.7."""
+    out = ML.rule_score(features(spark, sf_dir))
+    return out.select("session_id", "domain", "window_start", "label", F.round("probability", 6).alias("probability"),
+                      (F.round("probability", 6) >= F.lit(ML.RULE_THRESHOLD)).alias("degraded"))
+
+
+@register("build_estimator")
+def q_build_estimator(spark, sf_dir):
+    """Fit every registry estimator once (small trees) and score the training rows."""
+    feats = features(spark, sf_dir)
+    parts = []
+    for a in ("lightgbm", "hist_gradient_boosting", "random_forest", "logistic_regression"):
+        model, _ = ML.fit_sensor_model(feats, a, num_trees=_TREES)
+        parts.append(ML.score(model, feats).withColumn("algorithm", F.lit(a)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@register("calibrate_sigmoid")
+def q_calibrate_sigmoid(spark, sf_dir):
+    """Three-fold Platt scaling of a boosted model; calibrated scores of all rows."""
+    feats = features(spark, sf_dir)
+    model, _ = ML.fit_sensor_model(feats, "lightgbm_sigmoid", num_trees=_TREES)
+    return ML.score(model, feats)
+
+
+@register("train_sensor")
+def q_train_sensor(spark, sf_dir):
+    _, report, _ = ML.train_sensor(_fit_features(spark, sf_dir), "lightgbm", num_trees=_TREES)
+    return report
+
+
+@register("infer_sensor")
+def q_infer_sensor(spark, sf_dir):
+    feats = _fit_features(spark, sf_dir)
+    model, _, meta = ML.train_sensor(feats, "logistic_regression")
+    return ML.infer_sensor(model, feats.drop("label"), metadata=meta)
+
+
+@register("train_sensor_multidomain")
+def q_train_sensor_multidomain(spark, sf_dir):
+    _, report, _ = ML.train_sensor_multidomain(_fit_features(spark, sf_dir), "random_forest", num_trees=_TREES)
+    return report
+
+
+@register("evaluate_transfer")
+def q_evaluate_transfer(spark, sf_dir):
+    """Fit on domain d0, evaluate on the other domains."""
+    feats = _fit_features(spark, sf_dir)
+    return ML.evaluate_transfer(feats.where(F.col("domain") == "d0"), feats.where(F.col("domain") != "d0"),
+                                "logistic_regression")
+
+
+@register("evaluate_holdouts")
+def q_evaluate_holdouts(spark, sf_dir):
+    """Leave-one-domain-out over the three domains."""
+    return ML.evaluate_holdouts(_fit_features(spark, sf_dir), "logistic_regression")
+
+
+@register("compare_models")
+def q_compare_models(spark, sf_dir):
+    return ML.compare_models(_fit_features(spark, sf_dir), ("lightgbm", "random_forest", "logistic_regression"),
+                             num_trees=_TREES)
+
+
+@register("train_iat_forecaster")
+def q_train_iat_forecaster(spark, sf_dir):
+    _, report, _ = ML.train_iat_forecaster(iat(spark, sf_dir), _L, max_iter=50)
+    return report
+
+
+@register("infer_iat_forecaster")
+def q_infer_iat_forecaster(spark, sf_dir):
+    gaps = iat(spark, sf_dir)
+    model, _, meta = ML.train_iat_forecaster(gaps, _L, max_iter=50)
+    return ML.infer_iat_forecaster(model, gaps, meta)
