@@ -7,6 +7,7 @@ so engine-specific summation order cannot flip a value hash.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -984,3 +985,88 @@ def q_infer_iat_forecaster(spark, sf_dir):
     gaps = iat(spark, sf_dir)
     model, _, meta = ML.train_iat_forecaster(gaps, _L, max_iter=50)
     return ML.infer_iat_forecaster(model, gaps, meta)
+
+
+# ------------------------------------------------------------------ §2.10 streams (rows-only checks)
+
+from netpulse.streaming import streams as ST  # noqa: E402
+
+_DELAY = "1 hour"
+
+
+def _events_stream(spark, sf_dir, max_files=None):
+    return ST.stream_table(spark, sf_dir, "events", max_files_per_trigger=max_files)
+
+
+def _stream_windows(spark, sf_dir) -> str:
+    raw = bridge.sensor_raw(_events_stream(spark, sf_dir))
+    return ST.run_available_now(ST.stream_window_features(raw, _W, _DELAY), name="windows")
+
+
+@register("stream_window_features")
+def q_stream_window_features(spark, sf_dir):
+    """Window features of the event stream (append mode; windows closed by the watermark)."""
+    return spark.read.parquet(_stream_windows(spark, sf_dir))
+
+
+def _stream_baseline(spark, sf_dir) -> str:
+    win_path = _stream_windows(spark, sf_dir)
+    rows = spark.readStream.schema(spark.read.parquet(win_path).schema).parquet(win_path)
+    return ST.run_available_now(ST.stream_session_baseline(rows, _DELAY), name="baseline")
+
+
+@register("stream_session_baseline")
+def q_stream_session_baseline(spark, sf_dir):
+    """Session-relative features with first values held in per-session state."""
+    return spark.read.parquet(_stream_baseline(spark, sf_dir))
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, sf_dir):
+    """Degraded windows (rule score >= 0.7) as a stateless stream over the feature stream."""
+    path = _stream_baseline(spark, sf_dir)
+    feats = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.parquet(ST.run_available_now(ST.stream_alerts(feats, threshold=_T), name="alerts"))
+
+
+def _ping_lines(events_df):
+    """Ping output text derived from events: errors are timeouts, others replies with RTT = value."""
+    seq = F.col("event_id").cast("string")
+    epoch = F.format_string("[%.6f] ", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
+    reply = F.concat(epoch, F.lit("64 bytes from 10.0.0.1: icmp_seq="), seq, F.lit(" ttl=57 time="),
+                     F.format_number(F.col("value"), 3), F.lit(" ms"))
+    timeout = F.concat(epoch, F.lit("no answer yet for icmp_seq="), seq)
+    return events_df.select(F.when(F.col("event_type") == "error", timeout).otherwise(reply).alias("value"))
+
+
+@register("stream_ping_rows")
+def q_stream_ping_rows(spark, sf_dir):
+    """Ping lines picked up as files arrive, parsed into probe rows."""
+    src = ST.scratch(spark, "ping-src")
+    _ping_lines(events(spark, sf_dir)).write.mode("overwrite").text(src)
+    return spark.read.parquet(ST.run_available_now(ST.stream_ping_rows(spark, src), name="ping"))
+
+
+@register("stream_ingest_aggregates")
+def q_stream_ingest_aggregates(spark, sf_dir):
+    """Aggregates ingested per micro-batch (validated, stamped, one folder per batch id)."""
+    base = ST.scratch(spark, "ingest")
+    incoming = bridge.decisions(_events_stream(spark, sf_dir)).select(
+        "isp_id", "traffic_type", "hour_bucket",
+        F.when(F.col("event_type") == "signup", F.upper("transport")).otherwise(F.col("transport")).alias("transport"),
+        "success_count", "failure_count", "event_id")
+    q = ST.stream_ingest_aggregates(incoming, os.path.join(base, "store"), os.path.join(base, "_checkpoint"),
+                                    os.path.join(base, "rejects"))
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "store")).drop("created_at")
+
+
+@register("stream_transport_scores")
+def q_stream_transport_scores(spark, sf_dir):
+    """Running bandit scores per (isp, transport), kept as a snapshot table."""
+    base = ST.scratch(spark, "scores")
+    scores_df = ST.stream_transport_scores(bridge.decisions(_events_stream(spark, sf_dir)))
+    q = (scores_df.writeStream.outputMode("complete").foreachBatch(ST.snapshot_writer(os.path.join(base, "snapshot")))
+         .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(base, "snapshot"))
