@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from netpulse.functions.exprs import sweep_thresholds, zero_if_undefined
 from netpulse.plans.ordering import exact_quantiles, ordered_prefix
+from netpulse.session import materialize
 
 # Metrics averaged over domains in a macro report, the best-threshold
 # subset, and the probability summary's quantiles.
@@ -52,6 +53,8 @@ def confusion_counts(scored: DataFrame, threshold: float, keys: Sequence[str] =
 def binary_metrics(scored: DataFrame, threshold: float, keys: Sequence[str] = (), with_ranking: bool = True) -> DataFrame:
     """Confusion matrix, accuracy, precision, recall, F1, positive rate at ``p >= threshold``
     (+ ROC AUC and average precision, NULL when a group has one class)."""
+    if with_ranking:
+        scored = materialize(scored)  # two consumers: confusion counts and ranking
     cm = confusion_counts(scored, threshold, keys)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     out = cm.select(*keys, F.lit(float(threshold)).alias("threshold"), *_ratios(tp, fp, fn, tn), "tn", "fp", "fn", "tp")
@@ -80,7 +83,8 @@ def ranking_metrics(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """
     table = _score_table(scored, keys)
     pref = ordered_prefix(table, ["probability"], ["pos", "neg"], keys)
-    totals = table.groupBy(*keys).agg(
+    # totals from the checkpointed prefix table: the scores are not aggregated twice
+    totals = pref.groupBy(*keys).agg(
         F.sum("pos").cast("double").alias("_P"), F.sum("neg").cast("double").alias("_N")
     )
     j = pref.join(totals, on=list(keys), how="inner") if keys else pref.crossJoin(totals)
@@ -168,13 +172,17 @@ def huber_loss(pred: DataFrame, actual: str, predicted: str, delta: float = 1.0,
 
 
 def metrics_by_domain(scored: DataFrame, threshold: float, keys: Sequence[str] = ("domain",)) -> DataFrame:
-    """Per group: rows, class counts, metrics at ``threshold``, best sweep row and probability summary."""
+    """Per group: rows, class counts, metrics at ``threshold``, best sweep row and probability summary.
+
+    The scored input feeds five aggregates; it is checkpointed once instead of recomputed.
+    """
+    scored = materialize(scored)
     counts = scored.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum((F.col("label") == 0).cast("bigint")).alias("negatives"),
         F.sum((F.col("label") == 1).cast("bigint")).alias("positives"),
     )
-    m = binary_metrics(scored, threshold, keys)
+    m = binary_metrics(scored, threshold, keys, with_ranking=False).join(ranking_metrics(scored, keys), list(keys))
     best = best_threshold(threshold_sweep(scored, keys), keys)
     best = best.select(*keys, *[F.col(c).alias(f"best_{c}") for c in ("threshold", "f1", "precision", "recall", "positive_rate")])
     summary = probability_summary(scored, keys)

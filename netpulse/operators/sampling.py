@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from netpulse.functions.exprs import hash_order
 from netpulse.operators.windows import session_labels
 from netpulse.plans.ordering import row_index
+from netpulse.session import materialize
 
 DEFAULT_SEED = 42
 
@@ -55,7 +56,8 @@ def session_split(features: DataFrame, validation_ratio: float = 0.2, seed: int
     """One row per session (within ``keys``) with ``is_validation``."""
     _check_ratio(validation_ratio)
     sessions = session_labels(features, keys=(*keys, "session_id"))
-    sessions = sessions.withColumn("_h", hash_order(seed, "session_id"))
+    # one row per session, read by the quota table and two ordered indexes: compute once
+    sessions = materialize(sessions.withColumn("_h", hash_order(seed, "session_id")))
     q = _quotas(sessions, keys, validation_ratio)
     by_label = row_index(sessions, ["_h", "session_id"], keys=[*keys, "label"], name="_i_label")
     by_all = row_index(sessions.select(*keys, "session_id", "_h"), ["_h", "session_id"], keys=list(keys), name="_i_all")
@@ -89,10 +91,10 @@ def split_by_session_per_domain(features: DataFrame, validation_ratio: float = 0
 
 def balance_domains(frame: DataFrame, seed: int = DEFAULT_SEED, row_key: Sequence[str] = ("session_id", "window_start")) -> DataFrame:
     """Undersample every domain to the smallest domain's row count (one domain: unchanged)."""
-    counts = frame.groupBy("domain").agg(F.count(F.lit(1)).alias("_rows"))
-    target = counts.agg(F.min("_rows").alias("_target"), F.count(F.lit(1)).alias("_domains"))
     h = hash_order(seed, *row_key)
     ranked = row_index(frame.withColumn("_h", h), ["_h", *row_key], keys=["domain"], name="_i")
+    counts = ranked.groupBy("domain").agg(F.count(F.lit(1)).alias("_rows"))  # from the checkpointed ranking
+    target = counts.agg(F.min("_rows").alias("_target"), F.count(F.lit(1)).alias("_domains"))
     kept = ranked.crossJoin(F.broadcast(target))  # one-row table
     keep = (F.col("_domains") < 2) | (F.col("_i") < F.col("_target"))
     return kept.where(keep).drop("_h", "_i", "_target", "_domains")

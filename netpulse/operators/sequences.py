@@ -116,7 +116,7 @@ def tail_split(samples: DataFrame, validation_ratio: float) -> DataFrame:
     if not 0.0 <= validation_ratio < 1.0:
         raise ValueError("validation_ratio must be in the range [0.0, 1.0).")
     indexed = row_index(samples, ["trace_id", "packet_index"], name="_pos")
-    n = samples.agg(F.count(F.lit(1)).alias("_n"))
+    n = indexed.agg(F.count(F.lit(1)).alias("_n"))
     k = F.greatest(F.lit(1), F.floor(F.col("_n").cast("double") * F.lit(float(validation_ratio))))
     valid = (F.lit(validation_ratio > 0.0)) & (F.col("_n") >= 2) & (F.col("_pos") >= F.col("_n") - k)
     out = indexed.crossJoin(F.broadcast(n))  # one-row table

@@ -11,7 +11,8 @@ Plan shape (the one that holds at scale):
    with partial ``min_by`` aggregates, joined back on ``session_id``. AQE turns
    the join into a broadcast when the measured baseline side is small and
    splits a hot session on the probe side otherwise (skew join). No window
-   function keeps a whole session in one task.
+   function keeps a whole session in one task. The window rows are
+   checkpointed once, so the raw scan and its shuffle run a single time.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netpulse.functions.exprs import as_utc_timestamp, clip_lower, require_columns
+from netpulse.session import materialize
 
 # The raw sensor schema, the optional per-flow columns with the
 # aggregate each one gets inside a window, and the 30 output features in order.
@@ -232,7 +234,8 @@ def sensor_feature_frame(raw: DataFrame, window_seconds: int = 5, extra_keys: tu
     ``extra_keys`` are carried through as grouping keys (e.g. ``domain``).
     """
     windows = window_aggregate(raw, window_seconds, extra_keys)
-    feats = window_features(windows, window_seconds)
+    # the window rows feed both the baseline aggregate and the join: compute them once
+    feats = materialize(window_features(windows, window_seconds))
     out = session_baseline_features(feats)
     return out.select("session_id", *extra_keys, "window_start", *FEATURE_COLUMNS, "label")
 

@@ -124,7 +124,7 @@ def exact_quantiles(
     """
     counts = df.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_c"))
     ranked = ordered_prefix(counts, [value_col], ["_c"], keys)
-    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    totals = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     spec = F.array(*[F.struct(F.lit(k).alias("q_name"), F.lit(float(q)).alias("q")) for k, q in quantiles.items()])
     targets = totals.select(*keys, "_n", F.inline(spec))
     targets = targets.withColumn("_pos", F.col("q") * (F.col("_n") - 1).cast("double"))

@@ -63,3 +63,13 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return configure(spark)
+
+
+def materialize(df):
+    """Cut lineage and compute once: a reliable checkpoint in the shared checkpoint folder.
+
+    Used where one intermediate feeds several branches of a plan (the branches
+    would otherwise each rescan and reshuffle the input).
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
