@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from netpulse.functions.exprs import require_columns
 from netpulse.operators.windows import sensor_feature_frame
-from netpulse.plans.ordering import row_index
+from netpulse.plans.ordering import scan_order_index
 
 # ARFF attribute declaration and the two ping line shapes
 # (an optional "[epoch] " prefix, replies with seq and time, timeouts with seq).
@@ -142,7 +142,7 @@ def read_packet_dump(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
     rows = raw.select(
         file_stem(F.col("_file")).alias("trace_id"), first.try_cast("double").alias("epoch"), "_file", "_block", "_mono"
     ).where(F.col("epoch").isNotNull())
-    indexed = row_index(rows, ["_block", "_mono"], keys=["trace_id"], name="packet_index")
+    indexed = scan_order_index(rows, ["trace_id"], name="packet_index")
     return indexed.select("trace_id", "packet_index", "epoch")
 
 
