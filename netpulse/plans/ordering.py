@@ -157,37 +157,55 @@ def exact_quantiles(
 def _local_history(keys: Sequence[str], value: str, length: int, out_col: str):
     """In-partition trailing history of ``value`` (up to ``length`` earlier rows of the same key).
 
-    Rows of the partition's first key run whose history may start in an
-    earlier partition are flagged ``_np_open``; the edge pass recomputes them.
+    Vectorized per Arrow batch: key-run starts and in-run positions with numpy,
+    histories as slices of one array. Rows of the partition's first key run with
+    fewer than ``length`` in-partition predecessors are flagged ``_np_open``; the
+    edge pass recomputes them (their history may start in an earlier partition).
     """
 
+    def key_array(pdf: pd.DataFrame) -> np.ndarray:
+        if not keys:
+            return np.zeros(len(pdf), dtype=np.int8)
+        if len(keys) == 1:
+            return pdf[keys[0]].to_numpy()
+        out = np.empty(len(pdf), dtype=object)
+        out[:] = list(zip(*[pdf[k].tolist() for k in keys]))
+        return out
+
     def run(batches):
-        tail_key = None
-        tail_vals: list = []
-        first_key = None
-        first_run_open = True
+        carry_key, carry_vals, carry_count = None, None, 0
+        runs_seen = 0  # key runs started so far in this partition
         for pdf in batches:
-            if pdf.empty:
+            n = len(pdf)
+            if n == 0:
                 continue
-            key_tuples = list(zip(*[pdf[k].tolist() for k in keys])) if keys else [()] * len(pdf)
-            vals = pdf[value].tolist()
-            hist_out, open_out = [], []
-            for kt, v in zip(key_tuples, vals):
-                if first_key is None:
-                    first_key = kt
-                if kt != tail_key:
-                    if tail_key is not None:
-                        first_run_open = False
-                    tail_key, tail_vals = kt, []
-                hist_out.append(list(tail_vals[-length:]))
-                open_out.append(first_run_open and kt == first_key and len(tail_vals) < length)
-                tail_vals.append(v)
-                if len(tail_vals) > length:
-                    tail_vals = tail_vals[-length:]
+            kv = key_array(pdf)
+            vals = pdf[value].to_numpy()
+            new_run = np.empty(n, dtype=bool)
+            new_run[0] = carry_key is None or bool(kv[0] != carry_key)
+            if n > 1:
+                new_run[1:] = kv[1:] != kv[:-1]
+            idx = np.arange(n)
+            run_start = np.maximum.accumulate(np.where(new_run, idx, 0))
+            pos = idx - run_start
+            continuing = np.cumsum(new_run) == 0
+            pos[continuing] += carry_count
+            prefix = carry_vals if (carry_vals is not None and continuing.any()) else vals[:0]
+            c = len(prefix)
+            ext = np.concatenate([prefix, vals])
+            take = np.minimum(pos, length)
+            hist = [ext[c + i - h: c + i] for i, h in enumerate(take.tolist())]
+            # a row belongs to the partition's first key run iff exactly one run has started by it
+            first_run = (runs_seen + np.cumsum(new_run)) == 1
             out = pdf.copy()
-            out[out_col] = hist_out
-            out["_np_open"] = open_out
+            out[out_col] = hist
+            out["_np_open"] = first_run & (pos < length)
             yield out
+            runs_seen += int(new_run.sum())
+            last_start = c + int(run_start[-1]) if not continuing[-1] else 0
+            carry_vals = ext[max(last_start, len(ext) - length):]
+            carry_key = kv[-1]
+            carry_count = int(pos[-1]) + 1
 
     return run
 

@@ -67,3 +67,22 @@ def test_tail_split(spark):
     assert Q.tail_split(df, 0.0).where("split = 'validation'").count() == 0
     with pytest.raises(ValueError):
         Q.tail_split(df, 1.0)
+
+
+def test_history_across_tiny_arrow_batches(spark):
+    """Carry-over between Arrow batches inside one task (batches of 7 rows)."""
+    from netpulse.plans.ordering import ordered_history
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(t, i, float(i) + (1000.0 if t == "b" else 0.0)) for t in ("a", "b", "c") for i in range(40)]
+        df = spark.createDataFrame(rows, "trace_id string, packet_index long, v double")
+        out = ordered_history(df, ["packet_index"], "v", 5, keys=["trace_id"], num_partitions=3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(out) == 120
+    for r in out:
+        off = 1000.0 if r["trace_id"] == "b" else 0.0
+        i = r["packet_index"]
+        assert r["history"] == [off + j for j in range(max(0, i - 5), i)]
