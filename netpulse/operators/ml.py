@@ -87,7 +87,7 @@ def build_estimator(algorithm: str, seed: int = DEFAULT_SEED, num_trees: int | N
                                      minInstancesPerNode=10, seed=seed)
     elif algorithm == "logistic_regression":
         scaler = StandardScaler(inputCol=_VEC, outputCol="scaled", withMean=True, withStd=True)
-        lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol=_W, maxIter=2000)
+        lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol=_W, maxIter=2000, tol=1e-4)
         return Pipeline(stages=[_assembler(), scaler, lr])
     else:
         raise ValueError(f"Unknown sensor algorithm {algorithm!r}; choose from {ALGORITHMS}")
@@ -144,6 +144,15 @@ def _probabilities(model, frame: DataFrame) -> DataFrame:
     return positive_probability(out)
 
 
+def _parallel(fn, items: Sequence, max_workers: int = 4) -> list:
+    """Submit independent fits from driver threads: each stays a distributed MLlib job, and
+    small folds share the cluster instead of running one after another."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(items)))) as pool:
+        return list(pool.map(fn, items))
+
+
 def _require_two_classes(frame: DataFrame) -> None:
     if frame.select("label").distinct().limit(2).count() < 2:
         raise ValueError("Training data must contain both classes.")
@@ -239,13 +248,19 @@ def evaluate_holdouts(features: DataFrame, algorithm: str = "logistic_regression
     bad = check_domains(features).where(~F.col("ok")).limit(1).collect()
     if bad:
         raise ValueError(f"Every domain needs both classes; failing: {bad[0]['domain']}")
+    from netpulse.operators.joins import holdout_folds
+
     feats = features.cache()
-    preds = []
-    for d in names:
-        train = feats.where(F.col("domain") != d)
-        train = balance_domains(train, seed) if balance else train
-        model, _ = fit_sensor_model(train, algorithm, seed, num_trees)
-        preds.append(score(model, feats.where(F.col("domain") == d), threshold).withColumn("holdout", F.lit(d)))
+    train_folds = holdout_folds(feats, names).where(F.col("role") == "train").drop("role")
+    if balance:
+        train_folds = balance_domains(train_folds, seed, groups=("holdout",))
+    train_folds = train_folds.cache()
+
+    def fit_one(d: str):
+        model, _ = fit_sensor_model(train_folds.where(F.col("holdout") == d).drop("holdout"), algorithm, seed, num_trees)
+        return score(model, feats.where(F.col("domain") == d), threshold).withColumn("holdout", F.lit(d))
+
+    preds = _parallel(fit_one, names)
     stacked = preds[0]
     for p in preds[1:]:
         stacked = stacked.unionByName(p)
@@ -265,11 +280,15 @@ def compare_models(features: DataFrame, algorithms: Sequence[str] = ALGORITHMS,
     split = split_by_session(data, validation_ratio, seed).cache()
     train = split.where(F.col("split") == "train").drop("split")
     valid = split.where(F.col("split") == "validation").drop("split")
-    preds, secs = [], {}
-    for a in algorithms:
+    train = train.cache()
+    secs: dict[str, float] = {}
+
+    def fit_one(a: str):
         model, s = fit_sensor_model(train, a, seed, num_trees)
         secs[a] = s
-        preds.append(score(model, valid, threshold).withColumn("algorithm", F.lit(a)))
+        return score(model, valid, threshold).withColumn("algorithm", F.lit(a))
+
+    preds = _parallel(fit_one, list(algorithms))
     stacked = preds[0]
     for p in preds[1:]:
         stacked = stacked.unionByName(p)

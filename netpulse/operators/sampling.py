@@ -89,13 +89,18 @@ def split_by_session_per_domain(features: DataFrame, validation_ratio: float = 0
     return out
 
 
-def balance_domains(frame: DataFrame, seed: int = DEFAULT_SEED, row_key: Sequence[str] = ("session_id", "window_start")) -> DataFrame:
-    """Undersample every domain to the smallest domain's row count (one domain: unchanged)."""
+def balance_domains(frame: DataFrame, seed: int = DEFAULT_SEED, row_key: Sequence[str] = ("session_id", "window_start"),
+                    groups: Sequence[str] = ()) -> DataFrame:
+    """Undersample every domain to the smallest domain's row count (one domain: unchanged).
+
+    ``groups`` balances several frames in one pass (e.g. every holdout fold at once).
+    """
     h = hash_order(seed, *row_key)
-    ranked = row_index(frame.withColumn("_h", h), ["_h", *row_key], keys=["domain"], name="_i")
-    counts = ranked.groupBy("domain").agg(F.count(F.lit(1)).alias("_rows"))  # from the checkpointed ranking
-    target = counts.agg(F.min("_rows").alias("_target"), F.count(F.lit(1)).alias("_domains"))
-    kept = ranked.crossJoin(F.broadcast(target))  # one-row table
+    ranked = row_index(frame.withColumn("_h", h), ["_h", *row_key], keys=[*groups, "domain"], name="_i")
+    counts = ranked.groupBy(*groups, "domain").agg(F.count(F.lit(1)).alias("_rows"))  # from the checkpointed ranking
+    target = counts.groupBy(*groups).agg(F.min("_rows").alias("_target"), F.count(F.lit(1)).alias("_domains"))
+    # one row per group (a single row without groups): bounded by the number of folds
+    kept = ranked.join(F.broadcast(target), on=list(groups), how="inner") if groups else ranked.crossJoin(F.broadcast(target))
     keep = (F.col("_domains") < 2) | (F.col("_i") < F.col("_target"))
     return kept.where(keep).drop("_h", "_i", "_target", "_domains")
 
