@@ -1034,7 +1034,7 @@ def _ping_lines(events_df):
     seq = F.col("event_id").cast("string")
     epoch = F.format_string("[%.6f] ", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
     reply = F.concat(epoch, F.lit("64 bytes from 10.0.0.1: icmp_seq="), seq, F.lit(" ttl=57 time="),
-                     F.format_number(F.col("value"), 3), F.lit(" ms"))
+                     F.format_string("%.3f", F.col("value")), F.lit(" ms"))
     timeout = F.concat(epoch, F.lit("no answer yet for icmp_seq="), seq)
     return events_df.select(F.when(F.col("event_type") == "error", timeout).otherwise(reply).alias("value"))
 
@@ -1070,3 +1070,51 @@ def q_stream_transport_scores(spark, sf_dir):
          .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(os.path.join(base, "snapshot"))
+
+
+@register(
+    "parse_ping_log",
+    """SELECT CASE WHEN event_type = 'error' THEN 'timeout' ELSE 'reply' END AS event_type,
+      round(CAST(epoch_us(ts) AS DOUBLE) / 1e6, 6) AS epoch, event_id AS icmp_seq, CAST(1 AS BIGINT) AS packets_sent,
+      CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS BIGINT) AS packets_lost,
+      CASE WHEN event_type = 'error' THEN CAST(0.0 AS DOUBLE) ELSE round(value, 3) END AS rtt_ms,
+      CAST(0 AS BIGINT) AS retransmissions, CAST(0 AS BIGINT) AS resets FROM events""",
+)
+def q_parse_ping_log(spark, sf_dir):
+    """Ping output lines (replies and timeouts derived from events) parsed back into probe rows."""
+    return IO.parse_ping_log(_ping_lines(events(spark, sf_dir)))
+
+
+_SENSOR_SCHEMA = ("session_id string, timestamp timestamp, packets_sent bigint, packets_lost bigint, rtt_ms double, "
+                  "retransmissions bigint, resets int, label int")
+_SENSOR_SQL = O.with_ctes(O.sensor_raw_cte()) + (
+    "SELECT session_id, \"timestamp\", packets_sent, packets_lost, round(rtt_ms, 6) AS rtt_ms, retransmissions, "
+    "resets, label FROM sensor_raw")
+
+
+def _sensor_base(spark, sf_dir):
+    return bridge.sensor_raw(events(spark, sf_dir)).select(*[f.split()[0] for f in _SENSOR_SCHEMA.split(", ")])
+
+
+@register("read_table", _SENSOR_SQL)
+def q_read_table(spark, sf_dir):
+    """CSV round trip: write the sensor rows with a header, read them back with an explicit schema."""
+    path = ST.scratch(spark, "table") + ".csv"
+    IO.write_table(_sensor_base(spark, sf_dir), path)
+    return IO.read_table(spark, path, _SENSOR_SCHEMA)
+
+
+@register("write_table", _SENSOR_SQL)
+def q_write_table(spark, sf_dir):
+    """Parquet round trip of the sensor rows."""
+    path = ST.scratch(spark, "table") + ".parquet"
+    IO.write_table(_sensor_base(spark, sf_dir), path)
+    return IO.read_table(spark, path)
+
+
+@register("write_report")
+def q_write_report(spark, sf_dir):
+    """Per-domain report written as sorted-key JSON lines and read back as text."""
+    path = ST.scratch(spark, "report")
+    IO.write_report(M.metrics_by_domain(scores(spark, sf_dir), _T, ["domain"]), path)
+    return spark.read.text(path)

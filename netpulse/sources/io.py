@@ -26,6 +26,10 @@ PING_REPLY = r"^(?:\[([0-9]+\.[0-9]+)\]\s+)?.*icmp_seq=(\d+).*time=([0-9.]+)\s*m
 PING_TIMEOUT = r"^(?:\[([0-9]+\.[0-9]+)\]\s+)?no answer yet for icmp_seq=(\d+)"
 
 
+# Fixed value: CSV timestamps keep microseconds and the zone offset.
+CSV_TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def _suffix(path: str) -> str:
     return PurePath(path.rstrip("/")).suffix
 
@@ -34,7 +38,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     """CSV (header row) or Parquet by suffix; anything else raises ``ValueError``."""
     suffix = _suffix(path)
     if suffix == ".csv":
-        reader = spark.read.option("header", True)
+        reader = spark.read.option("header", True).option("timestampFormat", CSV_TIMESTAMP_FORMAT)
         reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
         return reader.csv(path)
     if suffix == ".parquet":
@@ -47,7 +51,7 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write CSV (with header) or Parquet by suffix (a directory of part files)."""
     suffix = _suffix(path)
     if suffix == ".csv":
-        df.write.mode(mode).option("header", True).csv(path)
+        df.write.mode(mode).option("header", True).option("timestampFormat", CSV_TIMESTAMP_FORMAT).csv(path)
     elif suffix == ".parquet":
         df.write.mode(mode).parquet(path)
     else:
