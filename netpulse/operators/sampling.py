@@ -105,12 +105,19 @@ def balance_domains(frame: DataFrame, seed: int = DEFAULT_SEED, row_key: Sequenc
     return kept.where(keep).drop("_h", "_i", "_target", "_domains")
 
 
+# Up to this many rows a top-k keeps N rows per task and merges them in one task;
+# beyond it the distributed ordered index is used (no single task sees N x tasks rows).
+TOPK_MAX_ROWS = 10_000
+
+
 def downsample(frame: DataFrame, max_rows: int | None, seed: int = DEFAULT_SEED,
                row_key: Sequence[str] = ("session_id", "window_start")) -> DataFrame:
     """At most ``max_rows`` rows chosen by hash order; fewer rows stay unchanged."""
     if max_rows is None:
         return frame
     h = hash_order(seed, *row_key)
+    if max_rows <= TOPK_MAX_ROWS:
+        return frame.withColumn("_h", h).orderBy("_h", *row_key).limit(int(max_rows)).drop("_h")
     ranked = row_index(frame.withColumn("_h", h), ["_h", *row_key], name="_i")
     return ranked.where(F.col("_i") < F.lit(int(max_rows))).drop("_h", "_i")
 

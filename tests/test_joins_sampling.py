@@ -86,3 +86,11 @@ def test_folds(spark):
     assert folds.where("role = 'eval' AND holdout <> domain").count() == 0
     with pytest.raises(ValueError):
         J.holdout_folds(f.where("domain = 'd0'"))
+
+
+def test_downsample_topk_and_index_agree(spark, monkeypatch):
+    f = _features(spark, 40)
+    a = sorted((r["session_id"], r["window_start"]) for r in S.downsample(f, 13, 7).collect())
+    monkeypatch.setattr(S, "TOPK_MAX_ROWS", 0)
+    b = sorted((r["session_id"], r["window_start"]) for r in S.downsample(f, 13, 7).collect())
+    assert a == b and len(a) == 13
