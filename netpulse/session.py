@@ -40,8 +40,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        # only when the session names no shared folder (local tests and the bench)
         configured = tempfile.mkdtemp(prefix="netpulse-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
