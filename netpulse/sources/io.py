@@ -77,6 +77,15 @@ def with_file_order(df: DataFrame) -> DataFrame:
     )
 
 
+def read_flow_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Flow CSV files with header rows, every column as text, plus ``source`` (file stem) and
+    ``_row`` (0-based row position in its file, from scan order; no shuffle of the rows)."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(paths)
+    tagged = raw.withColumn("source", file_stem(F.col("_metadata.file_path")))
+    return scan_order_index(tagged, ["source"], name="_row")
+
+
 # ------------------------------------------------------------------ ARFF
 
 
