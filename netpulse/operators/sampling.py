@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netpulse.functions.exprs import hash_order
@@ -125,7 +125,3 @@ def downsample(frame: DataFrame, max_rows: int | None, seed: int = DEFAULT_SEED,
 def keep_sessions(frame: DataFrame, sessions: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
     """Rows whose session is in ``sessions`` (a left-semi join)."""
     return frame.join(sessions.select(*keys), on=list(keys), how="left_semi")
-
-
-def hash_key(seed: int, *cols: str | Column) -> Column:
-    return hash_order(seed, *cols)

@@ -23,10 +23,21 @@ _REQUIRED = {
 }
 
 
+# Settings applied only where the session leaves them unset.
+_DEFAULTS = {
+    # per-session stream state can be large; RocksDB keeps it off the JVM heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators need to an existing session."""
     for key, value in _REQUIRED.items():
         spark.conf.set(key, value)
+    for key, value in _DEFAULTS.items():
+        if not spark.conf.get(key, None):
+            spark.conf.set(key, value)
     return spark
 
 

@@ -80,3 +80,20 @@ def test_regression_and_huber(spark):
     assert r["mae"] == pytest.approx(1.25) and r["rmse"] == pytest.approx(((0.25 + 4) / 2) ** 0.5)
     h = M.huber_loss(df, "y", "p").first()["huber_loss"]
     assert h == pytest.approx((0.5 * 0.25 + 1.5) / 2)
+
+
+def test_ordered_prefix_keys_across_batches_and_partitions(spark):
+    from netpulse.plans.ordering import ordered_prefix, row_index
+
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = [("hot", i, 1) for i in range(200)] + [("cold", i, 2) for i in range(9)]
+        df = spark.createDataFrame(rows, "k string, o long, v long")
+        got = {(r["k"], r["o"]): r["cum_v"] for r in ordered_prefix(df, ["o"], ["v"], ["k"], num_partitions=6).collect()}
+        idx = {(r["k"], r["o"]): r["row_index"] for r in row_index(df, ["o"], ["k"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    for (k, o), c in got.items():
+        assert c == (o if k == "hot" else 2 * o)
+        assert idx[(k, o)] == o
