@@ -1118,3 +1118,46 @@ def q_write_report(spark, sf_dir):
     path = ST.scratch(spark, "report")
     IO.write_report(M.metrics_by_domain(scores(spark, sf_dir), _T, ["domain"]), path)
     return spark.read.text(path)
+
+
+def _manifest_rows(spark, sf_dir):
+    """One manifest document per run found in the data, phases nested in listing order."""
+    ev = events(spark, sf_dir)
+    phases = bridge.phase_table(ev)
+    nested = phases.groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct(
+        "pos", F.col("phase_name").alias("name"), "start_offset_seconds",
+        (F.col("end_offset_seconds") - F.col("start_offset_seconds")).alias("duration_seconds"),
+        "label", "impairment_type", "severity"))).alias("_p"))
+    runs = bridge.run_metadata(ev).join(nested, "run_id")
+    return runs.select(
+        F.lit(1).alias("schema_version"), "run_id", F.lit("2024-01-01T00:00:00Z").alias("created_at"), "domain",
+        "application", "scenario", F.lit(_W).alias("window_seconds"),
+        F.struct(F.lit("sensor_metrics_raw.csv").alias("raw_metrics")).alias("files"),
+        F.transform("_p", lambda x: x.dropFields("pos")).alias("phases"),
+    )
+
+
+@register(
+    "read_manifests",
+    O.with_ctes(*O.experiment_ctes())
+    + """SELECT run_id, CAST(pos AS INTEGER) AS pos, phase_name, start_offset_seconds, end_offset_seconds,
+      CAST(label AS INTEGER) AS label, impairment_type, severity FROM phases""",
+)
+def q_read_manifests(spark, sf_dir):
+    """Manifests of the runs written as JSON and parsed back into validated (run, phase) rows."""
+    path = ST.scratch(spark, "manifests")
+    _manifest_rows(spark, sf_dir).write.mode("overwrite").json(path)
+    _, phases = IO.read_manifests(spark, path, multi_line=False)
+    return phases
+
+
+@register("read_packet_dump")
+def q_read_packet_dump(spark, sf_dir):
+    """Packet-dump text (epoch first, other tokens after) written from events and read back."""
+    path = ST.scratch(spark, "dump")
+    ev = events(spark, sf_dir)
+    line = F.format_string("%.6f IP 10.0.0.%d > 10.0.0.1: length %d",
+                           F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6), F.col("user_id") % 250,
+                           F.col("event_id"))
+    ev.select(line.alias("value")).write.mode("overwrite").text(path)
+    return IO.read_packet_dump(spark, path)

@@ -210,15 +210,18 @@ MANIFEST_SCHEMA = T.StructType([
 ])
 
 
-def read_manifests(spark: SparkSession, paths: str | Sequence[str], validate: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_manifests(spark: SparkSession, paths: str | Sequence[str], validate: bool = True,
+                   multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """JSON manifests -> (runs: one row per run, phases: one row per (run, phase) with position).
 
+    One manifest document per file by default; ``multi_line=False`` reads JSON lines.
+
     Validation (raises on any reject): start >= 0, duration > 0, label >= 0,
     severity in the four known values (missing -> none).
     """
     from netpulse.operators.joins import SEVERITIES, validate_phases
 
-    m = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", True).json(paths)
+    m = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", multi_line).json(paths)
     runs = m.select("run_id", "domain", "application", "scenario",
                     F.coalesce("window_seconds", F.lit(5)).alias("window_seconds"),
                     F.coalesce("files.raw_metrics", F.lit("sensor_metrics_raw.csv")).alias("raw_metrics"),
