@@ -23,6 +23,13 @@ from netpulse.session import checkpoint_dir
 _PID = "_np_pid"
 
 
+def _range(df: DataFrame, sort_cols, num_partitions: int | None) -> DataFrame:
+    """Range-partition on the order key; without an explicit count AQE sizes the partitions."""
+    if num_partitions:
+        return df.repartitionByRange(int(num_partitions), *sort_cols)
+    return df.repartitionByRange(*sort_cols)
+
+
 def _cum_name(v: str) -> str:
     return f"cum_{v}"
 
@@ -76,10 +83,9 @@ def ordered_prefix(
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [*[F.col(k) for k in keys], *[F.col(c) if isinstance(c, str) else c for c in order_cols]]
     ranged = (
-        df.repartitionByRange(n, *sort_cols)
+        _range(df, sort_cols, num_partitions)
         .sortWithinPartitions(*sort_cols)
         .withColumn(_PID, F.spark_partition_id())
         .checkpoint(eager=True)
@@ -252,10 +258,9 @@ def ordered_history(
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [*keys, *order_cols]
     ranged = (
-        df.repartitionByRange(n, *sort_cols)
+        _range(df, sort_cols, num_partitions)
         .sortWithinPartitions(*sort_cols)
         .withColumn(_PID, F.spark_partition_id())
         .checkpoint(eager=True)
