@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from netpulse.functions.exprs import require_columns
 from netpulse.operators.clean import parse_mixed_timestamps
 from netpulse.plans.ordering import ordered_history, row_index
+from netpulse.session import materialize
 
 # Default gap ceiling (ms) and history length.
 DEFAULT_MAX_IAT_MS = 5000.0
@@ -85,7 +86,9 @@ def iat_sequences(
     Normalization uses the global mean / population std of all rows (``iat_stats``).
     """
     frame, order = _ordered_iat(iat)
-    stats = stats if stats is not None else iat_stats(frame)
+    if stats is None:
+        frame = materialize(frame)  # read by the statistics and by the history pass
+        stats = iat_stats(frame)
     z = frame.crossJoin(F.broadcast(stats)).withColumn(  # one-row table
         "_z", (F.col("iat_ms") - F.col("mean")) / F.col("std")
     )
