@@ -53,12 +53,13 @@ def aggregate_sessions(df: DataFrame, keys: Sequence[str] = AGGREGATE_KEYS, dail
 def success_rate_by_context(aggregates: DataFrame, hours: Sequence[int] = tuple(range(24))) -> DataFrame:
     """Historical success rate per (isp, hour, traffic type); 0.5 for hours with no history.
 
-    Every (isp, traffic type) seen gets all ``hours`` by a generator (no join with a grid).
+    Every (isp, traffic type) seen gets all ``hours`` by a generator (no join with a grid);
+    contexts come from the grouped history, so the input is read once.
     """
     hist = aggregates.groupBy("isp_id", "hour_bucket", "traffic_type").agg(
         F.sum("success_count").alias("_s"), F.sum("failure_count").alias("_f")
     )
-    contexts = aggregates.select("isp_id", "traffic_type").distinct().withColumn(
+    contexts = hist.select("isp_id", "traffic_type").distinct().withColumn(
         "hour_bucket", F.explode(F.array(*[F.lit(int(h)) for h in hours]))
     )
     j = contexts.join(hist, on=["isp_id", "hour_bucket", "traffic_type"], how="left")

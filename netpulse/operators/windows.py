@@ -213,7 +213,12 @@ def session_start_values(features: DataFrame, session_key: str = "session_id") -
 
 
 def session_baseline_features(features: DataFrame, session_key: str = "session_id") -> DataFrame:
-    """Add the 7 features relative to the session's first window."""
+    """Add the 7 features relative to the session's first window.
+
+    The window rows feed both the start-value aggregate and the join: they are
+    checkpointed once, so the upstream scan and shuffle run a single time.
+    """
+    features = materialize(features)
     starts = session_start_values(features, session_key)
     joined = features.join(starts, on=session_key, how="left")
     derived = []
@@ -234,8 +239,7 @@ def sensor_feature_frame(raw: DataFrame, window_seconds: int = 5, extra_keys: tu
     ``extra_keys`` are carried through as grouping keys (e.g. ``domain``).
     """
     windows = window_aggregate(raw, window_seconds, extra_keys)
-    # the window rows feed both the baseline aggregate and the join: compute them once
-    feats = materialize(window_features(windows, window_seconds))
+    feats = window_features(windows, window_seconds)
     out = session_baseline_features(feats)
     return out.select("session_id", *extra_keys, "window_start", *FEATURE_COLUMNS, "label")
 
