@@ -295,16 +295,20 @@ def narrow_row_index(df: DataFrame, order_cols: Sequence[str], keys: Sequence[st
 
 def _scan_positions(keys: Sequence[str], name: str):
     def run(batches):
-        counts: dict = {}
+        counts = pd.Series(dtype="int64")  # rows seen so far in this task, per key
         for pdf in batches:
             if pdf.empty:
                 yield pdf.assign(**{name: pd.Series([], dtype="int64")})
                 continue
-            key = pdf[list(keys)].astype(str).agg("\x1f".join, axis=1) if keys else pd.Series("", index=pdf.index)
-            pos = key.groupby(key).cumcount().to_numpy()
-            base = key.map(lambda k: counts.get(k, 0)).to_numpy()
-            for k, c in key.value_counts().items():
-                counts[k] = counts.get(k, 0) + int(c)
+            if len(keys) == 1:
+                key = pdf[keys[0]].astype(str)
+            elif keys:
+                key = pdf[list(keys)].astype(str).agg("\x1f".join, axis=1)
+            else:
+                key = pd.Series("", index=pdf.index)
+            pos = key.groupby(key, sort=False).cumcount().to_numpy()
+            base = key.map(counts).fillna(0).astype("int64").to_numpy()
+            counts = counts.add(key.value_counts(), fill_value=0).astype("int64")
             yield pdf.assign(**{name: base + pos})
 
     return run
