@@ -1058,7 +1058,7 @@ def q_stream_ingest_aggregates(spark, sf_dir):
     q = ST.stream_ingest_aggregates(incoming, os.path.join(base, "store"), os.path.join(base, "_checkpoint"),
                                     os.path.join(base, "rejects"))
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(base, "store")).drop("created_at")
+    return spark.read.parquet(os.path.join(base, "store")).drop("created_at", "batch_id")
 
 
 @register("stream_transport_scores")
@@ -1161,3 +1161,41 @@ def q_read_packet_dump(spark, sf_dir):
                            F.col("event_id"))
     ev.select(line.alias("value")).write.mode("overwrite").text(path)
     return IO.read_packet_dump(spark, path)
+
+
+# ------------------------------------------------------------------ oracles of the stream queries
+# Append mode emits exactly the windows whose end is at or before max(ts) - delay.
+
+_CLOSED = f"window_start + INTERVAL {_W} SECOND <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
+ORACLE["stream_window_features"] = (
+    O.with_ctes(O.sensor_raw_cte(), O.window_agg_cte("sensor_raw", _W), O.window_features_cte("win", _W))
+    + f"SELECT {_WF_COLS} FROM feat WHERE {_CLOSED}"
+)
+_BASE_COLS = "session_id, window_start, " + ", ".join(f"round({c}, 6) AS {c}" for c in windows.FEATURE_COLUMNS) + ", label"
+ORACLE["stream_session_baseline"] = (
+    O.with_ctes(*O.features_ctes(_W)) + f"SELECT {_BASE_COLS} FROM features WHERE {_CLOSED}"
+)
+ORACLE["stream_alerts"] = (
+    O.with_ctes(*O.features_ctes(_W))
+    + f"""SELECT {_BASE_COLS}, round(p, 6) AS probability, p >= {_T} AS degraded FROM (
+      SELECT *, least(greatest((packet_loss_ratio + rtt_cv + retransmission_ratio + reset_ratio) / 4.0, 0.0), 1.0) AS p
+      FROM features WHERE {_CLOSED}) WHERE p >= {_T}"""
+)
+ORACLE["stream_ping_rows"] = (
+    """SELECT CASE WHEN event_type = 'error' THEN 'timeout' ELSE 'reply' END AS event_type,
+      round(CAST(epoch_us(ts) AS DOUBLE) / 1e6, 6) AS epoch, event_id AS icmp_seq, CAST(1 AS BIGINT) AS packets_sent,
+      CAST(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS BIGINT) AS packets_lost,
+      CASE WHEN event_type = 'error' THEN CAST(0.0 AS DOUBLE) ELSE round(value, 3) END AS rtt_ms,
+      CAST(0 AS BIGINT) AS retransmissions, CAST(0 AS BIGINT) AS resets,
+      make_timestamp(CAST(trunc(CAST(round(CAST(epoch_us(ts) AS DOUBLE) / 1e6, 6) AS VARCHAR)::DOUBLE * 1e6) AS BIGINT))
+        AS "timestamp" FROM events"""
+)
+ORACLE["stream_ingest_aggregates"] = (
+    _DEC + """SELECT isp_id, traffic_type, hour_bucket, transport, success_count, failure_count, event_id
+      FROM decisions WHERE event_type <> 'signup'"""
+)
+ORACLE["stream_transport_scores"] = (
+    _DEC + """SELECT isp_id, transport, round(sum(CAST(reward AS DOUBLE)), 6) AS reward_sum, count(*) AS decisions,
+      round(CASE transport WHEN 'quic' THEN 0.6 WHEN 'webrtc' THEN 0.5 WHEN 'doh' THEN 0.2 ELSE 0.0 END
+        + sum(CAST(reward AS DOUBLE)), 6) AS score FROM decisions GROUP BY isp_id, transport"""
+)
