@@ -86,3 +86,15 @@ def test_history_across_tiny_arrow_batches(spark):
         off = 1000.0 if r["trace_id"] == "b" else 0.0
         i = r["packet_index"]
         assert r["history"] == [off + j for j in range(max(0, i - 5), i)]
+
+
+def test_history_longer_than_partitions(spark):
+    """L = 40 over partitions of about 25 rows: histories cross several whole partitions."""
+    from netpulse.plans.ordering import ordered_history
+
+    df = spark.createDataFrame([("t", i, float(i)) for i in range(200)], "trace_id string, packet_index long, v double")
+    out = ordered_history(df, ["packet_index"], "v", 40, keys=["trace_id"], num_partitions=8).collect()
+    assert len(out) == 200
+    for r in out:
+        i = r["packet_index"]
+        assert r["history"] == [float(j) for j in range(max(0, i - 40), i)]
