@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netpulse.functions.exprs import sweep_thresholds, zero_if_undefined
-from netpulse.plans.ordering import exact_quantiles, ordered_prefix
+from netpulse.plans.ordering import exact_quantiles, ordered_prefix, quantiles_from_ranked
 from netpulse.session import materialize
 
 # Metrics averaged over domains in a macro report, the best-threshold
@@ -74,20 +74,27 @@ def _score_table(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def ranking_metrics(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def score_distribution(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Distinct scores with positives, negatives and the counts of lower scores (one ordered pass).
+
+    Shared by ROC AUC / average precision and by the probability percentiles.
+    """
+    return ordered_prefix(_score_table(scored, keys), ["probability"], ["pos", "neg"], keys)
+
+
+def ranking_metrics(scored: DataFrame, keys: Sequence[str] = (), distribution: DataFrame | None = None) -> DataFrame:
     """Exact ROC AUC (ties count one half) and step-wise average precision.
 
     Per distinct score s (ascending) with running counts of lower scores:
     AUC = sum pos_s * (neg_below + neg_s / 2) / (P * N);
     AP  = sum pos_s / P * TP_s / (TP_s + FP_s), TP_s = P - pos_below, FP_s = N - neg_below.
     """
-    table = _score_table(scored, keys)
-    pref = ordered_prefix(table, ["probability"], ["pos", "neg"], keys)
+    pref = distribution if distribution is not None else score_distribution(scored, keys)
     # totals from the checkpointed prefix table: the scores are not aggregated twice
     totals = pref.groupBy(*keys).agg(
         F.sum("pos").cast("double").alias("_P"), F.sum("neg").cast("double").alias("_N")
     )
-    j = pref.join(totals, on=list(keys), how="inner") if keys else pref.crossJoin(totals)
+    j = pref.join(totals, on=list(keys), how="inner") if keys else pref.crossJoin(totals)  # one-row totals
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     tp_s = F.col("_P") - F.col("cum_pos")
     fp_s = F.col("_N") - F.col("cum_neg")
@@ -148,10 +155,15 @@ def best_threshold(sweep: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in cols])
 
 
-def probability_summary(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def probability_summary(scored: DataFrame, keys: Sequence[str] = (), distribution: DataFrame | None = None) -> DataFrame:
     """min, p25, p50, p75, p95, max of the probabilities (linear interpolation); zeros if empty."""
     base = scored.groupBy(*keys).agg(F.min("probability").alias("min"), F.max("probability").alias("max"))
-    q = exact_quantiles(scored, "probability", SUMMARY_QUANTILES, keys)
+    if distribution is not None:
+        d = distribution.withColumn("_cnt", F.col("pos") + F.col("neg")).withColumn(
+            "_before", F.col("cum_pos") + F.col("cum_neg"))
+        q = quantiles_from_ranked(d, "probability", "_cnt", "_before", SUMMARY_QUANTILES, keys)
+    else:
+        q = exact_quantiles(scored, "probability", SUMMARY_QUANTILES, keys)
     # a global aggregate always has one row, so an empty input still yields a (zero) summary
     j = base.join(q, on=list(keys), how="left") if keys else base.join(q, how="left")
     names = ["min", *SUMMARY_QUANTILES, "max"]
@@ -182,10 +194,12 @@ def metrics_by_domain(scored: DataFrame, threshold: float, keys: Sequence[str] =
         F.sum((F.col("label") == 0).cast("bigint")).alias("negatives"),
         F.sum((F.col("label") == 1).cast("bigint")).alias("positives"),
     )
-    m = binary_metrics(scored, threshold, keys, with_ranking=False).join(ranking_metrics(scored, keys), list(keys))
+    dist = score_distribution(scored, keys)  # one ordered pass for AUC/AP and the percentiles
+    m = binary_metrics(scored, threshold, keys, with_ranking=False).join(
+        ranking_metrics(scored, keys, dist), list(keys))
     best = best_threshold(threshold_sweep(scored, keys), keys)
     best = best.select(*keys, *[F.col(c).alias(f"best_{c}") for c in ("threshold", "f1", "precision", "recall", "positive_rate")])
-    summary = probability_summary(scored, keys)
+    summary = probability_summary(scored, keys, dist)
     summary = summary.select(*keys, *[F.col(c).alias(f"prob_{c}") for c in summary.columns if c not in keys])
     return counts.join(m, list(keys)).join(best, list(keys)).join(summary, list(keys))
 

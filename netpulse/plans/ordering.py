@@ -130,7 +130,16 @@ def exact_quantiles(
     """
     counts = df.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("_c"))
     ranked = ordered_prefix(counts, [value_col], ["_c"], keys)
-    totals = ranked.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    return quantiles_from_ranked(ranked, value_col, "_c", "cum__c", quantiles, keys)
+
+
+def quantiles_from_ranked(ranked: DataFrame, value_col: str, count_col: str, cum_col: str,
+                          quantiles: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """Quantiles from a table of distinct values with their counts and the count of smaller
+    values (the output of one ordered pass, shareable with other order statistics)."""
+    counts = ranked.select(*keys, value_col, F.col(count_col).cast("double").alias("_c"),
+                           F.col(cum_col).cast("double").alias("_cum"))
+    totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
     spec = F.array(*[F.struct(F.lit(k).alias("q_name"), F.lit(float(q)).alias("q")) for k, q in quantiles.items()])
     targets = totals.select(*keys, "_n", F.inline(spec))
     targets = targets.withColumn("_pos", F.col("q") * (F.col("_n") - 1).cast("double"))
@@ -145,11 +154,11 @@ def exact_quantiles(
             )
         ).alias("_t"),
     ).select(*keys, "q_name", "_frac", "_t.side", "_t.rank")
-    cond = [ranked[k] == targets[k] for k in keys] + [
-        ranked["cum__c"] <= targets["rank"],
-        targets["rank"] < ranked["cum__c"] + ranked["_c"].cast("double"),
+    cond = [counts[k] == targets[k] for k in keys] + [
+        counts["_cum"] <= targets["rank"],
+        targets["rank"] < counts["_cum"] + counts["_c"],
     ]
-    hit = targets.join(ranked, on=cond, how="inner").select(
+    hit = targets.join(counts, on=cond, how="inner").select(
         *[targets[k] for k in keys], "q_name", "_frac", "side", F.col(value_col).cast("double").alias("_v")
     )
     pivoted = hit.groupBy(*keys, "q_name", "_frac").agg(
