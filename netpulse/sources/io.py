@@ -106,7 +106,8 @@ def _arff_headers(lines: DataFrame) -> dict[str, list[str]]:
 
 
 def read_arff(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """ARFF files -> one string column per attribute plus ``source`` (file stem).
+    """ARFF files -> one string column per attribute plus ``source`` (file stem) and ``_row``
+    (0-based data-row position in the file).
 
     Comment (``%``) and blank lines are skipped; every non-header line is a data
     row parsed as CSV with ``'`` quotes. Files with different attribute lists are
@@ -137,7 +138,8 @@ def read_arff(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    return out
+    # data-row position within its file, from scan order (no shuffle)
+    return scan_order_index(out, ["source"], name="_row")
 
 
 # ------------------------------------------------------------------ packet dumps and ping logs

@@ -48,7 +48,8 @@ def test_arff_to_sensor_rows(spark, tmpdir_path):
     p = _write(tmpdir_path, "vpn_sample.arff", ARFF)
     raw = IO.read_arff(spark, p)
     assert set(["flow_id", "total_fwd_packets", "class", "source"]) <= set(raw.columns)
-    out = convert_labelled_app_flows(raw.drop("_file", "_block"), "source", ["_mono"]).orderBy("session_id").collect()
+    out = convert_labelled_app_flows(raw.drop("_file", "_block", "_mono"), "source", row_col="_row")
+    out = out.orderBy("session_id").collect()
     assert [r["session_id"] for r in out] == ["alpha", "beta"]
     assert [r["label"] for r in out] == [0, 1]
     assert [r["rtt_ms"] for r in out] == [20.0, 40.0]
