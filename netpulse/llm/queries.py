@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netpulse.llm import packing, token_files
+from netpulse.llm import packing, pii, secrets, token_files
 from netpulse.llm.common import read
+from netpulse.llm.spans import joined
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,8 +22,27 @@ def op10_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.stored_digest(spark, path)
 
 
+def _count(spans, kind):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op8_candidate_boosting_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(read(spark, sf_dir, "documents"))
+    found = found.withColumn("base", F.filter("spans", lambda s: s["base"]))
+    return found.select("doc_id", *[_count("base", k) for k in pii.KINDS],
+                        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op9_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[_count("base", k) for k in secrets.STRONG],
+                        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_candidate_boosting_pii": op8_candidate_boosting_pii,
+    "op9_multipart_secrets": op9_multipart_secrets,
     "op10_token_orc": op10_token_orc,
 }
 ORACLE: dict[str, str] = {}
