@@ -49,4 +49,19 @@ def in_blocks(texts: DataFrame, blocks: int) -> DataFrame:
     )
 
 
-__all__ = ["BLOCK_BYTES", "block_count", "fold", "id_text", "in_blocks", "materialize", "read", "text_bytes"]
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, k: int, held_out: int, max_rows: int,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(label, h, text) of at most ``max_rows`` labelled documents outside the held-out fold
+    (crc32 of the id mod ``k``), half of each label where there are enough: those whose ids have the
+    smallest hashes. Ids labelled twice count with the larger label; null labels and ids don't count."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    known = known.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known.where(fold("doc_id", k) != held_out).withColumn("h", F.xxhash64("doc_id", F.lit(k)))
+    # labels may name documents that the table lacks: join the ids before taking the smallest hashes
+    known = known.join(docs.select(F.col(id_col).cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    picked = [known.where(F.col("label") == y).orderBy("h", "doc_id").limit(max_rows // 2) for y in (0, 1)]
+    picked = F.broadcast(materialize(picked[0].unionByName(picked[1])))  # at most max_rows ids
+    return id_text(docs, id_col, text_col).join(picked, "doc_id").select("label", "h", "text")
+
+
+__all__ = ["BLOCK_BYTES", "block_count", "fold", "id_text", "in_blocks", "labelled_sample", "materialize", "read", "text_bytes"]

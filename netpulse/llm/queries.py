@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpulse.llm import packing, pii, secrets, token_files
-from netpulse.llm.common import read
+from netpulse.llm import packing, pii, quality, secrets, token_files, toxicity
+from netpulse.llm.common import fold, read
 from netpulse.llm.spans import joined
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,7 +39,24 @@ def op9_multipart_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def _scored(scores: DataFrame, folds: int, held_out: int) -> DataFrame:
+    return scores.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def op2_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return _scored(toxicity.toxicity_scores(docs, labels, "toxic", folds=4, held_out=2), 4, 2)
+
+
+def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return _scored(quality.quality_scores(docs, labels, "quality", folds=5, held_out=0), 5, 0)
+
+
 QUERIES = {
+    "op2_compression_toxicity": op2_compression_toxicity,
+    "op5_ftrl_quality": op5_ftrl_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_candidate_boosting_pii": op8_candidate_boosting_pii,
     "op9_multipart_secrets": op9_multipart_secrets,
