@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpulse.llm import packing, pii, quality, secrets, token_files, toxicity
+from netpulse.llm import ngram_join, packing, pii, quality, secrets, token_files, toxicity
 from netpulse.llm.common import fold, read
 from netpulse.llm.spans import joined
 
@@ -49,6 +49,11 @@ def op2_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.toxicity_scores(docs, labels, "toxic", folds=4, held_out=2), 4, 2)
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.jaccard_components(read(spark, sf_dir, "documents"), k=5, percent=75)
+    return found.select("doc_id", "n_shingles", "component_id", "class")
+
+
 def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return _scored(quality.quality_scores(docs, labels, "quality", folds=5, held_out=0), 5, 0)
@@ -56,6 +61,7 @@ def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_compression_toxicity": op2_compression_toxicity,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_ftrl_quality": op5_ftrl_quality,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_candidate_boosting_pii": op8_candidate_boosting_pii,
