@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpulse.llm import ngram_join, packing, pii, quality, secrets, token_files, toxicity
+from netpulse.llm import lattice_dedup, ngram_join, packing, pii, quality, secrets, token_files, toxicity
 from netpulse.llm.common import fold, read
 from netpulse.llm.spans import joined
 
@@ -49,6 +49,10 @@ def op2_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(toxicity.toxicity_scores(docs, labels, "toxic", folds=4, held_out=2), 4, 2)
 
 
+def op1_e8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_components(read(spark, sf_dir, "documents"), k=5, percent=75)
     return found.select("doc_id", "n_shingles", "component_id", "class")
@@ -60,6 +64,7 @@ def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_e8_lattice_dedup": op1_e8_lattice_dedup,
     "op2_compression_toxicity": op2_compression_toxicity,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_ftrl_quality": op5_ftrl_quality,
