@@ -53,10 +53,7 @@ class Features:
         """(feature, row) pairs, sorted by row."""
         hs = self.hasher
         k, start, end, row = self._runs(buf, off)
-        hs._grow(len(buf))
-        total = np.zeros(len(buf) + 1, U64)
-        np.cumsum(hs.code[buf] * hs.pow[: len(buf)], out=total[1:])
-        word = mix((total[end] - total[start]) * hs.inv[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        word = hs._hash(buf, start, end)
         upper = np.zeros(len(buf) + 1, np.int64)
         np.cumsum((buf >= 65) & (buf <= 90), out=upper[1:])
         n_upper, length = upper[end] - upper[start], end - start

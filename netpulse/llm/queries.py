@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpulse.llm import lattice_dedup, ngram_join, packing, pii, quality, secrets, token_files, toxicity
+from netpulse.llm import decontaminate, lattice_dedup, ngram_join, packing, pii, quality, secrets, token_files, toxicity
 from netpulse.llm.common import fold, read
 from netpulse.llm.spans import joined
 
@@ -53,6 +53,10 @@ def op1_e8_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_dedup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.jaccard_components(read(spark, sf_dir, "documents"), k=5, percent=75)
     return found.select("doc_id", "n_shingles", "component_id", "class")
@@ -66,6 +70,7 @@ def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_e8_lattice_dedup": op1_e8_lattice_dedup,
     "op2_compression_toxicity": op2_compression_toxicity,
+    "op3_bm25_decontamination": op3_bm25_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_ftrl_quality": op5_ftrl_quality,
     "op7_best_fit_packing": op7_best_fit_packing,

@@ -39,6 +39,8 @@ class Hasher:
         self.lower = _lower_table()
         self.space = np.zeros(256, bool)
         self.space[[9, 10, 11, 12, 13, 32]] = True
+        self.alnum = np.ones(256, bool)
+        self.alnum[:128] = [chr(c).isalnum() for c in range(128)]
         self.code = mix(self.lower.astype(U64), 7)
         self.pow = self.inv = np.ones(1, U64)
 
@@ -67,12 +69,31 @@ class Hasher:
 
     def word_hashes(self, buf: np.ndarray, off: np.ndarray):
         """(hash, row) of every word in order."""
+        _, _, row, h = self.located_words(buf, off)
+        return h, row
+
+    def located_words(self, buf: np.ndarray, off: np.ndarray):
+        """(start, end, row, hash) of every word in order."""
         start, end, row = self.words(buf, off)
+        return start, end, row, self._hash(buf, start, end)
+
+    def _hash(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         self._grow(len(buf))
         total = np.zeros(len(buf) + 1, U64)
         np.cumsum(self.code[buf] * self.pow[: len(buf)], out=total[1:])
         h = (total[end] - total[start]) * self.inv[start]
-        return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93)), row
+        return mix(h + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+    def tokens(self, buf: np.ndarray, off: np.ndarray):
+        """(start, end, row, hash) of every run of letters, digits and non-ASCII bytes."""
+        solid = self.alnum[buf]
+        edge = np.zeros(len(buf) + 1, bool)
+        edge[off[:-1]] = edge[len(buf)] = True
+        first, last = solid.copy(), solid.copy()
+        first[1:] &= ~solid[:-1] | edge[1:-1]
+        last[:-1] &= ~solid[1:] | edge[1:-1]
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        return start, end, np.searchsorted(off, start, side="right") - 1, self._hash(buf, start, end)
 
     def shingles(self, buf: np.ndarray, off: np.ndarray, k: int):
         """(hash, row) of every window of k words; a text of 1 to k-1 words gives one over them all."""
@@ -91,10 +112,10 @@ class Hasher:
             rows.append(row[: len(acc)][inside])
         for r in np.flatnonzero((count > 0) & (count < k)):
             part = h[begin[r] : begin[r + 1]]
-            acc = U64(0)
-            for j, x in enumerate(part):
-                acc += mix(np.array([x], U64), j + 1)[0]
-            out.append(mix(np.array([acc], U64), 60 + len(part)))
+            acc = np.zeros(1, U64)
+            for j in range(len(part)):
+                acc += mix(part[j : j + 1], j + 1)
+            out.append(mix(acc, 60 + len(part)))
             rows.append(np.array([r]))
         hs, rs = np.concatenate(out), np.concatenate(rows)
         if len(out) > 2:
