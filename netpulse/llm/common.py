@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpulse.session import materialize
+from netpulse.session import checkpoint_dir, materialize
 
 #: bytes of text that one task of a block-wise operator holds (plus its working arrays)
 BLOCK_BYTES = 24 << 20
@@ -36,8 +37,10 @@ def text_bytes(texts: DataFrame) -> int:
 
 
 def block_count(texts: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """How many blocks of about ``block_bytes`` of text hold all of ``texts``."""
-    return max(1, math.ceil(text_bytes(texts) / block_bytes))
+    """How many blocks of at most about ``block_bytes`` of text hold all of ``texts``; with little
+    text smaller blocks, so that every core has one."""
+    size = text_bytes(texts)
+    return max(1, math.ceil(size / block_bytes), min(texts.sparkSession.sparkContext.defaultParallelism, size // (2 << 20)))
 
 
 def in_blocks(texts: DataFrame, blocks: int) -> DataFrame:
@@ -64,4 +67,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, k: int, held
     return id_text(docs, id_col, text_col).join(picked, "doc_id").select("label", "h", "text")
 
 
-__all__ = ["BLOCK_BYTES", "block_count", "fold", "id_text", "in_blocks", "labelled_sample", "materialize", "read", "text_bytes"]
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a large intermediate as Parquet in the cluster's shared checkpoint folder and read it back:
+    lineage is cut, and unlike a checkpoint the columns are encoded and can be pruned."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+__all__ = ["BLOCK_BYTES", "block_count", "fold", "id_text", "in_blocks", "labelled_sample", "materialize", "read", "text_bytes", "written"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpulse.llm import decontaminate, lattice_dedup, ngram_join, packing, pii, quality, secrets, token_files, toxicity
+from netpulse.llm import decontaminate, lattice_dedup, ngram_join, packing, pii, ppm, quality, secrets, token_files, toxicity
 from netpulse.llm.common import fold, read
 from netpulse.llm.spans import joined
 
@@ -67,12 +67,17 @@ def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.quality_scores(docs, labels, "quality", folds=5, held_out=0), 5, 0)
 
 
+def op6_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.text_scores(read(spark, sf_dir, "documents"), fold("doc_id", 7) == 2)
+
+
 QUERIES = {
     "op1_e8_lattice_dedup": op1_e8_lattice_dedup,
     "op2_compression_toxicity": op2_compression_toxicity,
     "op3_bm25_decontamination": op3_bm25_decontamination,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_ftrl_quality": op5_ftrl_quality,
+    "op6_ppm_scores": op6_ppm_scores,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_candidate_boosting_pii": op8_candidate_boosting_pii,
     "op9_multipart_secrets": op9_multipart_secrets,
