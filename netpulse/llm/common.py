@@ -26,6 +26,20 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
+def text_key(text_col: str = "text") -> Column:
+    """64 bits that tell rows of one id apart by their text."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` rows with (``left_semi``) or without (``left_anti``) their id and text key in ``chosen``
+    (doc_id, key); null ids match null ids, and no column of ``docs`` can clash."""
+    right = chosen.select(F.col("doc_id").alias("_chosen_id"), F.col("key").alias("_chosen_key")).distinct()
+    left = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.join(right, left[id_col].cast("long").eqNullSafe(right["_chosen_id"])
+                     & (text_key(text_col) == right["_chosen_key"]), how)
+
+
 def fold(id_col: str | Column, k: int) -> Column:
     """crc32 of the id written as text, mod k; a null id counts as the empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
@@ -75,4 +89,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-__all__ = ["BLOCK_BYTES", "block_count", "fold", "id_text", "in_blocks", "labelled_sample", "materialize", "read", "text_bytes", "written"]
+__all__ = ["BLOCK_BYTES", "block_count", "fold", "id_text", "in_blocks", "labelled_sample", "materialize", "read", "rows_of", "text_bytes", "text_key", "written"]

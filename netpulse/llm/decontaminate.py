@@ -19,7 +19,7 @@ The index is made by DataFrame joins; items are dealt into shards of at most ``S
 text, and only one shard's index at a time is sent to the tasks.
 
 Nulls: null or wordless items are never found; a null text is the empty text. Rows that repeat an
-id give one result per (id, item); a null id is one of its own. No items or no documents, no rows.
+id are told apart by their text; identical rows give one result per item. No items or no documents, no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netpulse.llm.common import id_text, materialize
+from netpulse.llm.common import id_text, materialize, text_key
 from netpulse.llm.textops import U64, Hasher, mix, slices, starts
 
 THETA, REST = 0.6, 0.2
@@ -176,7 +176,7 @@ class Index:
 
 
 def _search(index: Index, theta: float):
-    """(doc_id, item_id, score, question, answer) of the verified passages of every document."""
+    """(doc_id, key, item_id, score, question, answer) of the verified passages of every document."""
 
     def run(batches):
         hasher = Hasher()
@@ -188,7 +188,7 @@ def _search(index: Index, theta: float):
                 _, _, row, h = hasher.tokens(buf, off)
                 if not len(h):
                     continue
-                ids = batch.column("doc_id").slice(a, b - a).to_pylist()
+                ids, keys = (batch.column(c).slice(a, b - a).to_pylist() for c in ("doc_id", "key"))
                 at = starts(row, b - a)
                 place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = known[place] == h
@@ -209,15 +209,15 @@ def _search(index: Index, theta: float):
                         for chunk, score in found:
                             q, s = (np.isin(g, near).mean() if len(g) else 1.0 for g in (index.question[chunk], index.answer[chunk]))
                             if q >= MIN_QUESTION and s >= MIN_ANSWER:
-                                out.append((ids[r], index.items[chunk], score, float(q), float(s)))
+                                out.append((ids[r], keys[r], index.items[chunk], score, float(q), float(s)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate([pa.int64(), pa.int64(), *[pa.float64()] * 3])],
-                ["doc_id", "item_id", "score", "question", "answer"])
+                [pa.array([o[i] for o in out], t) for i, t in enumerate([*[pa.int64()] * 3, *[pa.float64()] * 3])],
+                ["doc_id", "key", "item_id", "score", "question", "answer"])
 
     return run
 
 
-FOUND = "doc_id long, item_id long, score double, question double, answer double"
+FOUND = "doc_id long, key long, item_id long, score double, question double, answer double"
 
 
 def item_chunks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", question_col: str | None = None,
@@ -248,9 +248,10 @@ def item_chunks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
 def contaminated(docs: DataFrame, items: DataFrame, theta: float = THETA, id_col: str = "doc_id", text_col: str = "text",
                  item_id_col: str = "item_id", item_text_col: str = "text", question_col: str | None = None,
                  answer_col: str | None = None) -> DataFrame:
-    """(doc_id, item_id, score, question, answer): the best verified passage of each pair."""
+    """(doc_id, key, item_id, score, question, answer): the best verified passage of each pair of a
+    document (key: its ``text_key``) and an item."""
     chunks = item_chunks(items, item_id_col, item_text_col, question_col, answer_col)
-    texts = id_text(docs, id_col, text_col).withColumn("text", F.lower("text"))
+    texts = id_text(docs, id_col, text_col).withColumn("key", text_key()).withColumn("text", F.lower("text"))
     found = None
     for shard in sorted(r[0] for r in chunks.select("shard").distinct().collect()):
         index = Index(chunks.where(F.col("shard") == shard).orderBy("chunk").collect())  # at most SHARD_BYTES of text
@@ -258,4 +259,4 @@ def contaminated(docs: DataFrame, items: DataFrame, theta: float = THETA, id_col
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], FOUND)
-    return found.groupBy("doc_id", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question", "answer")])
+    return found.groupBy("doc_id", "key", "item_id").agg(*[F.max(c).alias(c) for c in ("score", "question", "answer")])

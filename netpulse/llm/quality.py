@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netpulse.llm.common import id_text, labelled_sample
+from netpulse.llm.common import id_text, labelled_sample, text_key
 from netpulse.llm.textops import U64, Hasher, mix, slices, starts
 
 DIM = 1 << 18
@@ -119,7 +119,7 @@ def fit(sample: DataFrame) -> np.ndarray:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, held_out: int = 0,
                    max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): the probability of label 1 of every whole text."""
+    """(doc_id, key, score): the probability of label 1 of every whole text; key is its ``text_key``."""
     model = fit(labelled_sample(docs, labels, label, folds, held_out, max_train, id_col, text_col))
 
     def run(batches):
@@ -127,6 +127,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", f
         w, b = model[:-1], model[-1]
         for batch in batches:
             margin = np.array([w[u] @ x for u, x in features.vectors(batch.column("text"))]) + b
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1.0 / (1.0 + np.exp(-margin)))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(1.0 / (1.0 + np.exp(-margin)))], ["doc_id", "key", "score"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return id_text(docs, id_col, text_col).withColumn("key", text_key()).mapInArrow(run, "doc_id long, key long, score double")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netpulse.llm.common import fold, id_text, labelled_sample
+from netpulse.llm.common import fold, id_text, labelled_sample, text_key
 
 MAX_TRAIN = 6000
 WINDOW = 8  # words
@@ -159,7 +159,7 @@ def train(texts: list[str], labels: list[int], odds: float) -> dict | None:
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 4, held_out: int = 2,
                     max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score): the probability of label 1 of every whole text."""
+    """(doc_id, key, score): the probability of label 1 of every whole text; key is its ``text_key``."""
     sample = labelled_sample(docs, labels, label, folds, held_out, max_train, id_col, text_col)
     share = labels.where((fold(id_col, folds) != held_out) & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
     odds = share / (1 - share) if share and share < 1 else 1.0
@@ -186,6 +186,6 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", fo
             if model and texts:
                 x = (np.array([distance.features(t) for t in texts]) - mean) / scale
                 p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(p)], ["doc_id", "key", "score"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(score, "doc_id long, score double")
+    return id_text(docs, id_col, text_col).withColumn("key", text_key()).mapInArrow(score, "doc_id long, key long, score double")
