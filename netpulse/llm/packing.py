@@ -40,19 +40,17 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     def run(batches):
         enc = Encoder(tokenizer)
-        end = int(end_id).to_bytes(4, "little")
-        width = 4 * capacity
+        end = np.array([end_id], np.uint32)
         row = 0
         for batch in batches:
             ids, cols = batch.column(0).to_pylist(), [[], [], [], [], [], []]
-            texts = batch.column(1).to_pylist()
-            for a in range(0, len(texts), 500):
-                for doc_id, raw in zip(ids[a : a + 500], enc.encode(texts[a : a + 500])):
-                    raw += end
-                    for k in range(0, len(raw), width):
-                        part = raw[k : k + width]
+            for a, b, tokens, ends in enc.encode(batch.column(1)):
+                for doc_id, text in zip(ids[a:b], np.split(tokens, ends[:-1])):
+                    text = np.concatenate([text, end]).astype("<u4")
+                    for k in range(0, len(text), capacity):
+                        part = text[k : k + capacity]
                         row += 1
-                        for c, v in zip(cols, (doc_id, k // width, k // 4, len(part) // 4, zlib.crc32(part), row)):
+                        for c, v in zip(cols, (doc_id, k // capacity, k, len(part), zlib.crc32(part), row)):
                             c.append(v)
             types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)],

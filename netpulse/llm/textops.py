@@ -46,7 +46,7 @@ class Hasher:
 
     def _grow(self, n: int) -> None:
         if len(self.pow) <= n:
-            size = max(n + 1, 2 * len(self.pow))
+            size = n + 1 + n // 8
             step = np.full(size, _BASE, U64)
             step[0] = 1
             self.pow = np.multiply.accumulate(step)
@@ -142,7 +142,7 @@ def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(col, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(col, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) in pieces of about ``limit`` bytes, whole texts each."""
     buf, off = buffers(col)
     a, n = 0, len(off) - 1

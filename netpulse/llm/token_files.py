@@ -36,19 +36,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def _encode(tokenizer: str, end_id: int):
     def run(batches):
         enc = Encoder(tokenizer)
-        end = int(end_id).to_bytes(4, "little")
         done = 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a in range(0, len(texts), 500):
-                raws = [r + end for r in enc.encode(texts[a : a + 500])]
-                n = np.array([len(r) // 4 for r in raws], np.int64)
-                at = np.concatenate([[0], np.cumsum(n)])
-                ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)),
-                                               pa.array(np.frombuffer(b"".join(raws), "<u4").astype(np.int32)))
-                part = batch.slice(a, len(raws))
+            for a, b, tokens, ends in enc.encode(batch.column("text")):
+                at = np.concatenate([[0], ends + np.arange(1, b - a + 1)])
+                ids = np.full(at[-1], end_id, np.int32)  # every text's last place keeps the end id
+                inside = np.ones(len(ids), bool)
+                inside[at[1:] - 1] = False
+                ids[inside] = tokens
+                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("part"), pa.array(done + at[:-1]), pa.array(n), ids],
+                    [part.column("doc_id"), part.column("part"), pa.array(done + at[:-1]), pa.array(np.diff(at)),
+                     pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))],
                     ["doc_id", "part", "part_start", "n_tokens", "ids"])
                 done += int(at[-1])
 
@@ -84,7 +83,7 @@ def _crc(batches):
     for batch in batches:
         ids = batch.column("ids")
         at = ids.offsets.to_numpy()
-        raw = ids.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+        raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
         crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
         n = (at[1:] - at[:-1]).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
