@@ -90,3 +90,8 @@ def require_columns(df, required: Iterable[str], what: str) -> None:
     missing = sorted(set(required) - set(df.columns))
     if missing:
         raise ValueError(f"Missing required {what} columns: {missing}")
+
+
+def trim_all(c: Column) -> Column:
+    """Without leading and trailing white space of any kind."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")

@@ -100,7 +100,7 @@ def validate_phases(phases: DataFrame) -> DataFrame:
         | (F.col("label") < 0)
         | ~F.col("severity").isin(*SEVERITIES)
     )
-    return phases.where(bad)
+    return phases.where(F.coalesce(bad, F.lit(True)))  # a missing field is a violation
 
 
 def holdout_domains(frame: DataFrame) -> list[str]:
@@ -113,9 +113,9 @@ def holdout_folds(frame: DataFrame, domains: Sequence[str] | None = None) -> Dat
     own domain and train for the others (the k-fold layout the fits consume)."""
     names = list(domains) if domains is not None else holdout_domains(frame)
     if len(names) < 2:
-        raise ValueError("Leave-one-domain-out evaluation requires at least two domains.")
+        raise ValueError(f"need two domains or more to hold one out, found {len(names)}")
     if len(set(names)) != len(names):
-        raise ValueError("Domain names must be unique.")
+        raise ValueError("a domain is listed twice")
     out = frame.withColumn("holdout", F.explode(F.array(*[F.lit(d) for d in names])))
     return out.withColumn("role", F.when(F.col("holdout") == F.col("domain"), F.lit("eval")).otherwise(F.lit("train")))
 

@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import time
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netpulse.functions.exprs import clip
+from netpulse.functions.exprs import clip, hash_order
+from netpulse.operators import metrics as M
+from netpulse.operators.windows import FEATURE_COLUMNS
+from netpulse.plans.ordering import row_index
+from netpulse.session import materialize
 
 # The rule baseline flags a window at probability >= 0.7;
 # trained models default to 0.15.
@@ -25,20 +39,6 @@ def rule_score(features: DataFrame, threshold: float = RULE_THRESHOLD, variation
 
 # ------------------------------------------------------------------ MLlib estimators
 
-import time  # noqa: E402
-from collections.abc import Sequence  # noqa: E402
-from dataclasses import dataclass, field  # noqa: E402
-
-from pyspark.ml import Pipeline, PipelineModel  # noqa: E402
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier  # noqa: E402
-from pyspark.ml.feature import StandardScaler, VectorAssembler  # noqa: E402
-from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
-from pyspark.ml.regression import LinearRegression  # noqa: E402
-
-from netpulse.functions.exprs import hash_order  # noqa: E402
-from netpulse.operators import metrics as M  # noqa: E402
-from netpulse.operators.windows import FEATURE_COLUMNS  # noqa: E402
-
 # Estimator settings of the registry (tree counts are overridable).
 DEFAULT_TREES = 300
 LEARNING_RATE = 0.05
@@ -110,8 +110,11 @@ class SigmoidCalibrated:
     pairs: list = field(default_factory=list)
 
     def fit(self, frame: DataFrame) -> SigmoidCalibrated:
-        keyed = frame.withColumn("_fold", F.abs(F.xxhash64(hash_order(self.seed, "session_id", "window_start")))
-                                 % F.lit(self.folds))
+        # dealt in hash order inside each label, so every fold has its share of both classes
+        rank = row_index(frame.select("label", "session_id", "window_start").withColumn(
+            "_h", hash_order(self.seed, "session_id", "window_start")), ["_h", "session_id", "window_start"], keys=["label"], name="_i")
+        folds = rank.select("session_id", "window_start", F.pmod("_i", F.lit(self.folds)).alias("_fold"))
+        keyed = materialize(frame.join(folds, ["session_id", "window_start"]))
         self.pairs = []
         for i in range(self.folds):
             base_model = self.base.fit(keyed.where(F.col("_fold") != i))
@@ -144,22 +147,14 @@ def _probabilities(model, frame: DataFrame) -> DataFrame:
     return positive_probability(out)
 
 
-def _parallel(fn, items: Sequence, max_workers: int = 4) -> list:
-    """Submit independent fits from driver threads: each stays a distributed MLlib job, and
-    small folds share the cluster instead of running one after another."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=max(1, min(max_workers, len(items)))) as pool:
-        return list(pool.map(fn, items))
-
-
 def _require_two_classes(frame: DataFrame) -> None:
     if frame.select("label").distinct().limit(2).count() < 2:
         raise ValueError("Training data must contain both classes.")
 
 
-def fit_sensor_model(train: DataFrame, algorithm: str, seed: int = DEFAULT_SEED, num_trees: int | None = None):
-    est = build_estimator(algorithm, seed, num_trees)
+def fit_sensor_model(train: DataFrame, algorithm: str, seed: int = DEFAULT_SEED, num_trees: int | dict | None = None):
+    """(model, seconds). ``num_trees``: a number, or one for some algorithms by name."""
+    est = build_estimator(algorithm, seed, num_trees.get(algorithm) if isinstance(num_trees, dict) else num_trees)
     data = balanced_weights(model_input(train))
     t0 = time.perf_counter()
     model = est.fit(data)
@@ -179,19 +174,20 @@ def evaluation_report(scored: DataFrame, threshold: float, keys: Sequence[str] =
 
 
 def train_sensor(features: DataFrame, algorithm: str = "lightgbm", validation_ratio: float = 0.2,
-                 seed: int = DEFAULT_SEED, threshold: float = MODEL_THRESHOLD, num_trees: int | None = None):
+                 seed: int = DEFAULT_SEED, threshold: float = MODEL_THRESHOLD, num_trees: int | dict | None = None):
     """Split by session, fit, evaluate on validation sessions. Returns (model, report, metadata)."""
     from netpulse.operators.sampling import split_by_session
 
     _require_two_classes(features)
-    split = split_by_session(features, validation_ratio, seed).cache()
+    split = materialize(split_by_session(features, validation_ratio, seed))
     train = split.where(F.col("split") == "train").drop("split")
     valid = split.where(F.col("split") == "validation").drop("split")
     model, seconds = fit_sensor_model(train, algorithm, seed, num_trees)
     scored = score(model, valid, threshold)
     report = evaluation_report(scored.withColumn("scope", F.lit("validation")), threshold, ["scope"])
     meta = {"algorithm": algorithm, "threshold": threshold, "fit_seconds": seconds, "seed": seed,
-            "validation_ratio": validation_ratio, "feature_columns": list(FEATURE_COLUMNS)}
+            "validation_ratio": validation_ratio, "feature_columns": list(FEATURE_COLUMNS),
+            **_report_counts(train, valid)}
     return model, report, meta
 
 
@@ -207,94 +203,117 @@ def train_sensor_multidomain(features: DataFrame, algorithm: str = "lightgbm", v
     from netpulse.operators.sampling import balance_domains, split_by_session_per_domain
 
     _require_two_classes(features)
-    split = split_by_session_per_domain(features, validation_ratio, seed).cache()
+    split = materialize(split_by_session_per_domain(features, validation_ratio, seed))
     train = split.where(F.col("split") == "train").drop("split")
     valid = split.where(F.col("split") == "validation").drop("split")
     fit_rows = balance_domains(train, seed) if balance else train
     model, seconds = fit_sensor_model(fit_rows, algorithm, seed, num_trees)
-    scored = score(model, valid, threshold).cache()
+    scored = materialize(score(model, valid, threshold))
     pooled = evaluation_report(scored.withColumn("domain", F.lit("__pooled__")), threshold, ["domain"])
     per_domain = evaluation_report(scored, threshold, ["domain"])
     macro = M.macro_metrics(per_domain).withColumn("domain", F.lit("__macro__"))
     report = pooled.unionByName(per_domain).unionByName(macro, allowMissingColumns=True)
-    meta = {"algorithm": algorithm, "threshold": threshold, "fit_seconds": seconds, "balanced": balance}
+    by_domain = {r["domain"]: r["n"] for r in train.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    after = {r["domain"]: r["n"] for r in fit_rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+    meta = {"algorithm": algorithm, "threshold": threshold, "fit_seconds": seconds, "balanced": balance,
+            "feature_columns": list(FEATURE_COLUMNS), "rows_by_domain": by_domain, "fit_rows_by_domain": after,
+            **_report_counts(fit_rows, valid)}
     return model, report, meta
 
 
+def _report_counts(train: DataFrame, evaluated: DataFrame) -> dict[str, int]:
+    """Row and class counts that go with a report."""
+    out = {}
+    for name, frame in (("train", train), ("eval", evaluated)):
+        r = frame.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == 1).cast("long")).alias("pos")).first()
+        out |= {f"{name}_rows": int(r["n"]), f"{name}_positive": int(r["pos"] or 0)}
+    return out
+
+
+def _with_counts(report: DataFrame, counts: dict[str, int]) -> DataFrame:
+    return report.withColumns({k: F.lit(v).cast("long") for k, v in counts.items()})
+
+
 def evaluate_transfer(source: DataFrame, target: DataFrame, algorithm: str = "lightgbm", seed: int = DEFAULT_SEED,
-                      threshold: float = MODEL_THRESHOLD, max_rows: int | None = None, num_trees: int | None = None):
-    """Fit on dataset A, evaluate on dataset B (both optionally downsampled)."""
+                      threshold: float = MODEL_THRESHOLD, max_train_rows: int | None = None, num_trees: int | None = None):
+    """Fit on dataset A, evaluate on all of dataset B. ``max_train_rows`` bounds the labelled rows of the
+    fit; evaluation rows are never cut."""
     from netpulse.operators.sampling import downsample
 
-    a = downsample(source, max_rows, seed)
-    b = downsample(target, max_rows, seed)
+    a = downsample(source, max_train_rows, seed)
     _require_two_classes(a)
     model, seconds = fit_sensor_model(a, algorithm, seed, num_trees)
-    scored = score(model, b, threshold).withColumn("scope", F.lit("target"))
-    return evaluation_report(scored, threshold, ["scope"]).withColumn("fit_seconds", F.lit(seconds))
+    scored = score(model, target, threshold).withColumn("scope", F.lit("target"))
+    report = evaluation_report(scored, threshold, ["scope"]).withColumn("fit_seconds", F.lit(seconds))
+    return _with_counts(report, _report_counts(a, target))
 
 
 def evaluate_holdouts(features: DataFrame, algorithm: str = "logistic_regression", seed: int = DEFAULT_SEED,
                       threshold: float = MODEL_THRESHOLD, balance: bool = True, num_trees: int | None = None):
-    """Leave-one-domain-out: one fit per holdout domain (each a distributed fit), predictions
-    stacked, all metrics in one grouped aggregate keyed by holdout; macro rows at the default
-    and the best threshold."""
+    """Leave-one-domain-out: one fit per holdout domain (each a distributed fit), predictions stacked,
+    all metrics in one grouped aggregate keyed by holdout; macro rows at the default and the best threshold.
+
+    Rows are not copied per holdout. Each row is ranked once in hash order inside its domain; the fold of
+    holdout h trains on the rows of the other domains whose rank is below their smallest row count.
+    """
     from netpulse.operators.joins import check_domains, holdout_domains
-    from netpulse.operators.sampling import balance_domains
 
     names = holdout_domains(features)
     if len(names) < 2:
-        raise ValueError("Leave-one-domain-out evaluation requires at least two domains.")
+        raise ValueError(f"need two domains or more to hold one out, found {len(names)}")
     bad = check_domains(features).where(~F.col("ok")).limit(1).collect()
     if bad:
-        raise ValueError(f"Every domain needs both classes; failing: {bad[0]['domain']}")
-    from netpulse.operators.joins import holdout_folds
-
-    feats = features.cache()
-    train_folds = holdout_folds(feats, names).where(F.col("role") == "train").drop("role")
-    if balance:
-        train_folds = balance_domains(train_folds, seed, groups=("holdout",))
-    train_folds = train_folds.cache()
-
-    def fit_one(d: str):
-        model, _ = fit_sensor_model(train_folds.where(F.col("holdout") == d).drop("holdout"), algorithm, seed, num_trees)
-        return score(model, feats.where(F.col("domain") == d), threshold).withColumn("holdout", F.lit(d))
-
-    preds = _parallel(fit_one, names)
+        raise ValueError(f"Domain {bad[0]['domain']} lacks one of the classes")
+    key = ["session_id", "window_start"]
+    ranked = row_index(features.select("domain", *key).withColumn("_h", hash_order(seed, *key)), ["_h", *key], keys=["domain"], name="_i")
+    feats = materialize(features.join(ranked.select("domain", *key, "_i"), ["domain", *key]))
+    rows = {r["domain"]: r["n"] for r in feats.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    preds, extra = [], []
+    for d in names:  # one after another, so that each fit's time means something
+        train = feats.where(F.col("domain") != d)
+        if balance and len(names) > 2:
+            train = train.where(F.col("_i") < min(n for k, n in rows.items() if k != d))
+        train = train.drop("_i")
+        held = feats.where(F.col("domain") == d).drop("_i")
+        model, seconds = fit_sensor_model(train, algorithm, seed, num_trees)
+        preds.append(score(model, held, threshold).withColumn("holdout", F.lit(d)))
+        counts = _report_counts(train, held)
+        extra.append((d, float(seconds), *[counts[k] for k in _COUNTS]))
     stacked = preds[0]
     for p in preds[1:]:
         stacked = stacked.unionByName(p)
     per = evaluation_report(stacked, threshold, ["holdout"])
     macro = M.macro_metrics(per).withColumn("holdout", F.lit("__macro__"))
-    return per.unionByName(macro, allowMissingColumns=True)
+    about = per.sparkSession.createDataFrame(extra, "holdout string, fit_seconds double, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return per.unionByName(macro, allowMissingColumns=True).join(about, "holdout", "left")
+
+
+_COUNTS = ("train_rows", "train_positive", "eval_rows", "eval_positive")
 
 
 def compare_models(features: DataFrame, algorithms: Sequence[str] = ALGORITHMS, validation_ratio: float = 0.2,
-                   seed: int = DEFAULT_SEED, threshold: float = MODEL_THRESHOLD, max_rows: int | None = None,
-                   num_trees: int | None = None) -> DataFrame:
-    """One split, N estimators; stacked predictions, metrics grouped by algorithm, ranked."""
+                   seed: int = DEFAULT_SEED, threshold: float = MODEL_THRESHOLD, max_train_rows: int | None = None,
+                   num_trees: int | dict | None = None) -> DataFrame:
+    """One split, N estimators fitted one after another; stacked predictions, metrics grouped by algorithm,
+    ranked. ``max_train_rows`` bounds the train side of the split only."""
     from netpulse.operators.sampling import downsample, split_by_session
 
-    data = downsample(features, max_rows, seed)
-    _require_two_classes(data)
-    split = split_by_session(data, validation_ratio, seed).cache()
-    train = split.where(F.col("split") == "train").drop("split")
+    _require_two_classes(features)
+    split = materialize(split_by_session(features, validation_ratio, seed))
+    train = downsample(split.where(F.col("split") == "train").drop("split"), max_train_rows, seed)
     valid = split.where(F.col("split") == "validation").drop("split")
-    train = train.cache()
-    secs: dict[str, float] = {}
-
-    def fit_one(a: str):
-        model, s = fit_sensor_model(train, a, seed, num_trees)
-        secs[a] = s
-        return score(model, valid, threshold).withColumn("algorithm", F.lit(a))
-
-    preds = _parallel(fit_one, list(algorithms))
+    preds, secs = [], []
+    for a in algorithms:
+        model, seconds = fit_sensor_model(train, a, seed, num_trees)
+        secs.append((a, float(seconds)))
+        preds.append(score(model, valid, threshold).withColumn("algorithm", F.lit(a)))
     stacked = preds[0]
     for p in preds[1:]:
         stacked = stacked.unionByName(p)
     report = evaluation_report(stacked, threshold, ["algorithm"])
-    fit = report.sparkSession.createDataFrame([(a, float(s)) for a, s in secs.items()], "algorithm string, fit_seconds double")
-    return M.rank_models(report.join(fit, "algorithm"))
+    fit = report.sparkSession.createDataFrame(secs, "algorithm string, fit_seconds double")
+    return M.rank_models(_with_counts(report.join(fit, "algorithm"), _report_counts(train, valid)))
 
 
 # ------------------------------------------------------------------ next-gap forecaster
@@ -311,7 +330,7 @@ def train_iat_forecaster(iat: DataFrame, sequence_length: int = 20, validation_r
 
     stats = iat_stats(iat).first()  # one row
     seq = iat_sequences(iat, sequence_length, require_samples=True)
-    split = tail_split(seq, validation_ratio).withColumn("x", array_to_vector("inputs")).cache()
+    split = materialize(tail_split(seq, validation_ratio)).withColumn("x", array_to_vector("inputs"))
     train = split.where(F.col("split") == "train")
     if train.limit(1).count() == 0:
         raise ValueError("Forecast training needs at least one training sample.")
@@ -336,8 +355,36 @@ def infer_iat_forecaster(model, iat: DataFrame, metadata: dict) -> DataFrame:
                        F.abs(F.col("predicted_iat_ms") - F.col("actual_iat_ms")).alias("abs_error_ms"))
 
 
-def save_model(model, path: str) -> None:
-    if isinstance(model, PipelineModel):
-        model.write().overwrite().save(path)
+def _metadata(spark: SparkSession, path: str, value: dict | None = None) -> dict:
+    """Write (or read) the small metadata JSON beside a model, through Spark so that any store works."""
+    if value is not None:
+        spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata_json")
+        return value
+    return json.loads(spark.read.text(f"{path}/metadata_json").first()["value"])
+
+
+def save_model(model, path: str, metadata: dict | None = None) -> None:
+    """Save any model of this module with its metadata: a pipeline, a calibrated model or the forecaster."""
+    path = path.rstrip("/")
+    if isinstance(model, SigmoidCalibrated):
+        kind = {"kind": "sigmoid", "seed": model.seed, "folds": model.folds}
+        for i, (base, curve) in enumerate(model.pairs):
+            base.write().overwrite().save(f"{path}/base{i}")
+            curve.write().overwrite().save(f"{path}/curve{i}")
+    elif isinstance(model, (PipelineModel, LinearRegressionModel)):
+        kind = {"kind": "pipeline" if isinstance(model, PipelineModel) else "forecaster"}
+        model.write().overwrite().save(f"{path}/model")
     else:
-        raise ValueError("Only pipeline models are saved in Spark format.")
+        raise ValueError(f"cannot save a {type(model).__name__}")
+    _metadata(SparkSession.getActiveSession(), path, {**(metadata or {}), "_model": kind})
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[object, dict]:
+    """(model, metadata) as saved by ``save_model``."""
+    path = path.rstrip("/")
+    meta = _metadata(spark, path)
+    kind = meta.pop("_model")
+    if kind["kind"] == "sigmoid":
+        pairs = [(PipelineModel.load(f"{path}/base{i}"), LogisticRegressionModel.load(f"{path}/curve{i}")) for i in range(kind["folds"])]
+        return SigmoidCalibrated(None, kind["seed"], kind["folds"], pairs), meta
+    return (PipelineModel if kind["kind"] == "pipeline" else LinearRegressionModel).load(f"{path}/model"), meta

@@ -23,7 +23,7 @@ DEFAULT_SEED = 42
 
 def _check_ratio(ratio: float) -> None:
     if not 0.0 <= ratio < 1.0:
-        raise ValueError("validation_ratio must be in the range [0.0, 1.0).")
+        raise ValueError(f"validation_ratio is {ratio}; it must be at least 0 and below 1")
 
 
 def _quotas(sessions: DataFrame, keys: Sequence[str], ratio: float) -> DataFrame:
@@ -95,31 +95,29 @@ def balance_domains(frame: DataFrame, seed: int = DEFAULT_SEED, row_key: Sequenc
 
     ``groups`` balances several frames in one pass (e.g. every holdout fold at once).
     """
-    h = hash_order(seed, *row_key)
-    ranked = row_index(frame.withColumn("_h", h), ["_h", *row_key], keys=[*groups, "domain"], name="_i")
+    full = [*groups, "domain", *row_key]
+    keys = frame.select(*full).withColumn("_h", hash_order(seed, *row_key))
+    ranked = row_index(keys, ["_h", *row_key], keys=[*groups, "domain"], name="_i")
     counts = ranked.groupBy(*groups, "domain").agg(F.count(F.lit(1)).alias("_rows"))  # from the checkpointed ranking
     target = counts.groupBy(*groups).agg(F.min("_rows").alias("_target"), F.count(F.lit(1)).alias("_domains"))
     # one row per group (a single row without groups): bounded by the number of folds
     kept = ranked.join(F.broadcast(target), on=list(groups), how="inner") if groups else ranked.crossJoin(F.broadcast(target))
-    keep = (F.col("_domains") < 2) | (F.col("_i") < F.col("_target"))
-    return kept.where(keep).drop("_h", "_i", "_target", "_domains")
-
-
-# Up to this many rows a top-k keeps N rows per task and merges them in one task;
-# beyond it the distributed ordered index is used (no single task sees N x tasks rows).
-TOPK_MAX_ROWS = 10_000
+    keep = kept.where((F.col("_domains") < 2) | (F.col("_i") < F.col("_target"))).select(*full)
+    return frame.join(keep, on=full, how="left_semi")
 
 
 def downsample(frame: DataFrame, max_rows: int | None, seed: int = DEFAULT_SEED,
                row_key: Sequence[str] = ("session_id", "window_start")) -> DataFrame:
-    """At most ``max_rows`` rows chosen by hash order; fewer rows stay unchanged."""
+    """At most ``max_rows`` rows chosen by hash order; fewer rows stay unchanged.
+
+    Only the (unique) key is ranked; the rows join their rank on it, so wide rows never pass
+    through the ordered index, and no task sees more than its range of keys.
+    """
     if max_rows is None:
         return frame
-    h = hash_order(seed, *row_key)
-    if max_rows <= TOPK_MAX_ROWS:
-        return frame.withColumn("_h", h).orderBy("_h", *row_key).limit(int(max_rows)).drop("_h")
-    ranked = row_index(frame.withColumn("_h", h), ["_h", *row_key], name="_i")
-    return ranked.where(F.col("_i") < F.lit(int(max_rows))).drop("_h", "_i")
+    keys = frame.select(*row_key).withColumn("_h", hash_order(seed, *row_key))
+    ranked = row_index(keys, ["_h", *row_key], name="_i").where(F.col("_i") < F.lit(int(max_rows)))
+    return frame.join(ranked.select(*row_key), on=list(row_key), how="left_semi")
 
 
 def keep_sessions(frame: DataFrame, sessions: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:

@@ -120,7 +120,7 @@ def window_start_column(ts: Column, window_seconds: int) -> Column:
 
 def window_aggregate_exprs(columns: list[str]) -> list[Column]:
     """Aggregate expressions of one tumbling window (shared by batch and stream)."""
-    aggs = [F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in _SUMMED_RAW]
+    aggs = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMMED_RAW]  # whole numbers stay so, fractions are kept
     aggs += [
         F.avg("rtt_ms").alias("rtt_mean"),
         F.coalesce(F.stddev_samp("rtt_ms"), F.lit(0.0)).alias("rtt_std"),

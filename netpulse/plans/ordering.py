@@ -300,41 +300,3 @@ def narrow_row_index(df: DataFrame, order_cols: Sequence[str], keys: Sequence[st
     narrow = df.select(*keys, *order_cols)
     idx = row_index(narrow, list(order_cols), keys=list(keys), name=name)
     return df.join(idx, on=[*keys, *order_cols], how="inner")
-
-
-def _scan_positions(keys: Sequence[str], name: str):
-    def run(batches):
-        counts = pd.Series(dtype="int64")  # rows seen so far in this task, per key
-        for pdf in batches:
-            if pdf.empty:
-                yield pdf.assign(**{name: pd.Series([], dtype="int64")})
-                continue
-            if len(keys) == 1:
-                key = pdf[keys[0]].astype(str)
-            elif keys:
-                key = pdf[list(keys)].astype(str).agg("\x1f".join, axis=1)
-            else:
-                key = pd.Series("", index=pdf.index)
-            pos = key.groupby(key, sort=False).cumcount().to_numpy()
-            base = key.map(counts).fillna(0).astype("int64").to_numpy()
-            counts = counts.add(key.value_counts(), fill_value=0).astype("int64")
-            yield pdf.assign(**{name: base + pos})
-
-    return run
-
-
-def scan_order_index(df: DataFrame, keys: Sequence[str], name: str = "row_index") -> DataFrame:
-    """0-based position per key group in the order rows come out of the scan (file order).
-
-    Valid only directly on a file scan (plus filters/projections): every task numbers its
-    rows locally, a table with one row per (partition, key) gives each partition its offset,
-    and the wide rows are never shuffled.
-    """
-    tagged = df.withColumn(_PID, F.spark_partition_id())
-    schema = T.StructType([*tagged.schema.fields, T.StructField(name, T.LongType())])
-    local = tagged.mapInPandas(_scan_positions(list(keys), name), schema)
-    counts = tagged.groupBy(_PID, *keys).agg(F.count(F.lit(1)).alias("_np_n"))
-    before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(_PID, *keys, F.coalesce(F.sum("_np_n").over(before), F.lit(0)).alias("_np_off"))
-    out = local.join(offsets, on=[_PID, *keys], how="left")
-    return out.withColumn(name, (F.col(name) + F.col("_np_off")).cast("bigint")).drop(_PID, "_np_off")

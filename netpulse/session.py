@@ -53,7 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        # only when the session names no shared folder (local tests and the bench)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # a single-machine session without a shared folder (tests, the bench)
         configured = tempfile.mkdtemp(prefix="netpulse-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -1,23 +1,24 @@
 """Scans and sinks: tables, ARFF flow files, packet dumps, ping logs, manifests, reports.
 
-Every reader returns a lazy DataFrame; only bounded header material (ARFF
-attribute lists) is read on the driver. Row order inside a file, where a
-format needs it, comes from the scan itself (file path, block start and the
-in-partition id), never from collecting lines.
+Only header lines are read on the driver. Row order inside a file, where a
+format needs it, comes from one materialized scan (file path, block start and
+the id within the task), never from collecting lines.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 from pathlib import PurePath
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netpulse.functions.exprs import require_columns
+from netpulse.functions.exprs import require_columns, trim_all
 from netpulse.operators.windows import sensor_feature_frame
-from netpulse.plans.ordering import scan_order_index
+from netpulse.plans.ordering import narrow_row_index
+from netpulse.session import materialize
 
 # ARFF attribute declaration and the two ping line shapes
 # (an optional "[epoch] " prefix, replies with seq and time, timeouts with seq).
@@ -64,10 +65,20 @@ def file_stem(path_col: Column) -> Column:
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
+def source_name(path_col: Column, files: Sequence[str]) -> Column:
+    """A file's stem, with as many parent folders before it as tell all ``files`` apart."""
+    parts = [PurePath(f).with_suffix("").parts for f in files]
+    k = 1
+    while len({p[-k:] for p in parts}) < len(set(parts)):
+        k += 1
+    tail = F.regexp_extract(path_col, rf"((?:[^/]+/){{0,{k - 1}}}[^/]+)$", 1)
+    return F.regexp_replace(tail, r"\.[^./]*$", "")
+
+
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Scan-time order key of each line/row: (file path, block start, in-partition id).
+    """Scan-time order key of each line/row: (file path, block start, id within the task).
 
-    Must be applied directly on a file scan, before any shuffle.
+    Must be applied directly on a file scan (and its filters), before any shuffle.
     """
     return df.select(
         "*",
@@ -77,94 +88,137 @@ def with_file_order(df: DataFrame) -> DataFrame:
     )
 
 
+def number_rows(tagged: DataFrame, name: str) -> DataFrame:
+    """0-based position of each row in its file, from the tags of ``with_file_order``.
+
+    The tagged rows are materialized, so positions and offsets come from one and the same scan: ids are
+    consecutive within a block, and a table with one row per block gives the rows before it.
+    """
+    rows = materialize(tagged)
+    blocks = rows.groupBy("_file", "_block").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    out = rows.join(shift, ["_file", "_block"])  # one row per block: the planner measures that side
+    return out.withColumn(name, (F.col("_mono") + F.col("_shift")).cast("bigint")).drop("_block", "_mono", "_shift")
+
+
+def _first_lines(spark: SparkSession, path: str, until: Callable[[str], bool], most: int = 100_000) -> list[str]:
+    """The lines of a file up to the first for which ``until`` holds (the header, never the data)."""
+    jvm = spark._jvm
+    file = jvm.org.apache.hadoop.fs.Path(path)
+    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    lines = []
+    try:
+        while len(lines) < most and (line := reader.readLine()) is not None:
+            lines.append(line)
+            if until(line):
+                break
+    finally:
+        reader.close()
+    return lines
+
+
 def read_flow_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Flow CSV files with header rows, every column as text, plus ``source`` (file stem) and
-    ``_row`` (0-based row position in its file, from scan order; no shuffle of the rows)."""
+    """Flow CSV files with header rows, every column as text, plus ``source`` (file stem, with parent
+    folders where stems repeat) and ``_row`` (0-based row position in its file).
+
+    Files are grouped by header: each group is read under its own, and groups are joined by column name."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(paths)
-    tagged = raw.withColumn("source", file_stem(F.col("_metadata.file_path")))
-    return scan_order_index(tagged, ["source"], name="_row")
+    files = sorted(spark.read.text(paths).inputFiles())
+    by_header: dict[str, list[str]] = {}
+    for f in files:
+        head = _first_lines(spark, f, lambda _: True)
+        by_header.setdefault(head[0].strip() if head else "", []).append(f)
+    frames = [with_file_order(spark.read.option("header", True).option("inferSchema", False).csv(own))
+              for head, own in by_header.items() if head]
+    if not frames:
+        raise ValueError("none of the flow files has a header row")
+    tagged = frames[0]
+    for f in frames[1:]:
+        tagged = tagged.unionByName(f, allowMissingColumns=True)
+    return number_rows(tagged, "_row").withColumn("source", source_name(F.col("_file"), files)).drop("_file")
 
 
 # ------------------------------------------------------------------ ARFF
 
 
-def _arff_headers(lines: DataFrame) -> dict[str, list[str]]:
-    """Attribute names per file, in declaration order (header lines only: bounded)."""
-    attrs = (
-        lines.where(F.lower(F.col("line")).startswith("@attribute"))
-        .select("_file", "_block", "_mono", F.regexp_extract("line", ARFF_ATTRIBUTE, 1).alias("name"))
-        .orderBy("_file", "_block", "_mono")
-        .collect()
-    )
-    out: dict[str, list[str]] = {}
-    for r in attrs:
-        if not r["name"]:
-            raise ValueError(f"Invalid ARFF attribute declaration in {r['_file']}")
-        out.setdefault(r["_file"], []).append(r["name"].strip("\"'"))
-    return out
+def _arff_header(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """(attribute names in order, number of lines up to and with ``@data``) of one file."""
+    lines = _first_lines(spark, path, lambda line: line.strip().lower().startswith("@data"))
+    names = []
+    for line in lines:
+        if line.strip().lower().startswith("@attribute"):
+            found = re.match(ARFF_ATTRIBUTE, line.strip())
+            if not found:
+                raise ValueError(f"Invalid ARFF attribute declaration in {path}")
+            names.append(found.group(1).strip("\"'"))
+    return names, len(lines)
 
 
 def read_arff(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """ARFF files -> one string column per attribute plus ``source`` (file stem) and ``_row``
-    (0-based data-row position in the file).
+    """ARFF files -> one string column per attribute plus ``source`` (file stem, with parent folders where
+    stems repeat) and ``_row`` (0-based data-row position in the file).
 
-    Comment (``%``) and blank lines are skipped; every non-header line is a data
-    row parsed as CSV with ``'`` quotes. Files with different attribute lists are
-    parsed apart and unioned by name.
+    Rows are the lines after ``@data``, whatever they begin with, but for comments (``%``) and blank
+    lines, parsed as CSV with ``'`` quotes. Files with different attribute lists are parsed apart and
+    joined by name.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = with_file_order(spark.read.text(paths))
-    lines = raw.select(F.trim("value").alias("line"), "_file", "_block", "_mono")
-    lines = lines.where((F.length("line") > 0) & ~F.col("line").startswith("%"))
-    headers = _arff_headers(lines)
-    data = lines.where(~F.col("line").startswith("@"))
+    files = sorted(spark.read.text(paths).inputFiles())
+    headers = {f: _arff_header(spark, f) for f in files}
+    schemas = list(dict.fromkeys(tuple(names) for names, _ in headers.values() if names))
+    if not schemas:
+        raise ValueError("No ARFF attributes found.")
+    about = spark.createDataFrame([(f, n, schemas.index(tuple(names))) for f, (names, n) in headers.items() if names],
+                                  "_file string, _skip int, _schema int")
+    # paths as the scan spells them
+    lines = number_rows(with_file_order(spark.read.text(paths)), "_line")
+    lines = lines.join(about.withColumn("_file", _plain_path(F.col("_file"))).withColumnRenamed("_file", "_plain"),
+                       _plain_path(F.col("_file")) == F.col("_plain")).drop("_plain")
+    data = lines.select(trim_all(F.col("value")).alias("line"), "_file", "_line", "_skip", "_schema").where(
+        (F.col("_line") >= F.col("_skip")) & (F.length("line") > 0) & ~F.col("line").startswith("%"))
+    data = narrow_row_index(data, ["_line"], keys=["_file"], name="_row")
     frames = []
-    by_schema: dict[tuple[str, ...], list[str]] = {}
-    for file, names in headers.items():
-        by_schema.setdefault(tuple(names), []).append(file)
-    for names, files in by_schema.items():
+    for k, names in enumerate(schemas):
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-        part = data.where(F.col("_file").isin(files))
-        parsed = part.select(
-            F.from_csv("line", schema.simpleString(), {"quote": "'", "ignoreLeadingWhiteSpace": "true"}).alias("r"),
-            file_stem(F.col("_file")).alias("source"),
-            "_file", "_block", "_mono",
-        )
-        frames.append(parsed.select(*[F.col(f"r._c{i}").alias(n) for i, n in enumerate(names)],
-                                    "source", "_file", "_block", "_mono"))
-    if not frames:
-        raise ValueError("No ARFF attributes found.")
+        parsed = data.where(F.col("_schema") == k).select(
+            F.from_csv("line", schema.simpleString(), {"quote": "'", "ignoreLeadingWhiteSpace": "true"}).alias("r"), "_file", "_row")
+        frames.append(parsed.select(*[F.col(f"r._c{i}").alias(n) for i, n in enumerate(names)], "_file", "_row"))
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
-    # data-row position within its file, from scan order (no shuffle)
-    return scan_order_index(out, ["source"], name="_row")
+    return out.withColumn("source", source_name(F.col("_file"), files)).drop("_file")
+
+
+def _plain_path(path: Column) -> Column:
+    """A path without its scheme's empty authority, as file listings and scans differ in it."""
+    return F.regexp_replace(path, r"^([a-z0-9]+):/+", "$1:/")
 
 
 # ------------------------------------------------------------------ packet dumps and ping logs
 
 
 def read_packet_dump(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Text dumps (``epoch rest...`` per line) -> trace_id (file stem), packet_index, epoch.
+    """Text dumps (``epoch rest...`` per line) -> trace_id (file stem, with parent folders where stems
+    repeat), packet_index, epoch.
 
-    Lines whose first token is not a number are skipped; the index counts the
-    valid lines of a file from 0 in file order (distributed ordered index).
+    Lines whose first token is not a number are skipped; the index counts the valid lines of a file
+    from 0 in file order.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = with_file_order(spark.read.text(paths))
-    first = F.split(F.trim("value"), r"\s+", 2).getItem(0)
-    rows = raw.select(
-        file_stem(F.col("_file")).alias("trace_id"), first.try_cast("double").alias("epoch"), "_file", "_block", "_mono"
-    ).where(F.col("epoch").isNotNull())
-    indexed = scan_order_index(rows, ["trace_id"], name="packet_index")
-    return indexed.select("trace_id", "packet_index", "epoch")
+    raw = spark.read.text(paths)
+    files = sorted(raw.inputFiles())
+    first = F.split(trim_all(F.col("value")), r"\s+", 2).getItem(0)
+    valid = raw.select(first.try_cast("double").alias("epoch"), "_metadata").where(F.col("epoch").isNotNull())
+    rows = number_rows(with_file_order(valid).select("epoch", "_file", "_block", "_mono"), "packet_index")
+    return rows.select(source_name(F.col("_file"), files).alias("trace_id"), "packet_index", "epoch")
 
 
 def parse_ping_log(lines: DataFrame, text_col: str = "value") -> DataFrame:
     """Ping output lines -> probe events; replies: lost 0 and RTT; timeouts: lost 1, RTT 0.
     Other lines are dropped; ``epoch`` is NULL where the line has no ``[epoch]`` prefix."""
-    line = F.trim(F.col(text_col))
+    line = trim_all(F.col(text_col))
     is_reply = line.rlike(PING_REPLY)
     is_timeout = ~is_reply & line.rlike(PING_TIMEOUT)
     epoch = F.when(is_reply, F.regexp_extract(line, PING_REPLY, 1)).otherwise(F.regexp_extract(line, PING_TIMEOUT, 1))
@@ -223,7 +277,7 @@ def read_manifests(spark: SparkSession, paths: str | Sequence[str], validate: bo
     """
     from netpulse.operators.joins import SEVERITIES, validate_phases
 
-    m = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", multi_line).json(paths)
+    m = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST" if validate else "PERMISSIVE").json(paths)
     runs = m.select("run_id", "domain", "application", "scenario",
                     F.coalesce("window_seconds", F.lit(5)).alias("window_seconds"),
                     F.coalesce("files.raw_metrics", F.lit("sensor_metrics_raw.csv")).alias("raw_metrics"),

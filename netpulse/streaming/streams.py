@@ -11,7 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
-from datetime import datetime
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -100,7 +100,7 @@ def _baseline_output_schema(window_schema: T.StructType) -> T.StructType:
     return T.StructType(fields)
 
 
-def _baseline_fn(columns: list[str], session_timeout_ms: int):
+def _baseline_fn(columns: list[str], session_timeout_ms: int | None):
     floors = {c: floor for c, (_, floor) in BASELINE_FEATURES.items()}
 
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -125,23 +125,26 @@ def _baseline_fn(columns: list[str], session_timeout_ms: int):
                 denom = max(s, floors[c]) if s is not None else float("nan")
                 pdf[_BASE_OUT[c]] = pdf[c] / denom
         state.update(tuple(start))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + session_timeout_ms)
+        if session_timeout_ms is not None:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + session_timeout_ms)
         yield pdf[[*[c for c in columns if c != "label"], *_BASE_OUT.values(), "label"]]
 
     return fn
 
 
 def stream_session_baseline(window_rows: DataFrame, delay: str = "1 minute",
-                            session_timeout_ms: int = 24 * 3600 * 1000) -> DataFrame:
+                            session_timeout_ms: int | None = None) -> DataFrame:
     """The 7 session-relative features on a stream of window rows: the first non-null value of
-    each baseline feature per session is kept in state (evicted after ``session_timeout_ms``
-    of event time without data)."""
+    each baseline feature per session is kept in state.
+
+    By default a session keeps its baseline for good, as in batch. ``session_timeout_ms`` evicts
+    sessions without data for that much event time; one that comes back later starts a new baseline,
+    which changes results."""
     rows = window_rows.withWatermark("window_start", delay)
     out_schema = _baseline_output_schema(window_rows.schema)
+    timeout = GroupStateTimeout.NoTimeout if session_timeout_ms is None else GroupStateTimeout.EventTimeTimeout
     return rows.groupBy("session_id").applyInPandasWithState(
-        _baseline_fn(window_rows.columns, session_timeout_ms), out_schema, _STATE_SCHEMA, "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
+        _baseline_fn(window_rows.columns, session_timeout_ms), out_schema, _STATE_SCHEMA, "append", timeout)
 
 
 def stream_alerts(features: DataFrame, threshold: float = RULE_THRESHOLD, model=None) -> DataFrame:
@@ -173,7 +176,7 @@ def ingest_batch(store_path: str, rejects_path: str | None = None):
     """``foreachBatch`` writer: validate, stamp, write the batch under its id (overwrite -> idempotent on replay)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        accepted, rejected = D.ingest_session_aggregates(batch, created_at=datetime.utcnow())
+        accepted, rejected = D.ingest_session_aggregates(batch, created_at=datetime.now(timezone.utc))
         accepted.write.mode("overwrite").parquet(os.path.join(store_path, f"batch_id={batch_id}"))
         if rejects_path:
             rejected.write.mode("overwrite").parquet(os.path.join(rejects_path, f"batch_id={batch_id}"))

@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from netpulse.functions.exprs import hash_order
 from netpulse.operators import joins as J
 from netpulse.operators import sampling as S
 
@@ -88,9 +89,10 @@ def test_folds(spark):
         J.holdout_folds(f.where("domain = 'd0'"))
 
 
-def test_downsample_topk_and_index_agree(spark, monkeypatch):
+def test_downsample_takes_the_smallest_hashes(spark):
     f = _features(spark, 40)
-    a = sorted((r["session_id"], r["window_start"]) for r in S.downsample(f, 13, 7).collect())
-    monkeypatch.setattr(S, "TOPK_MAX_ROWS", 0)
-    b = sorted((r["session_id"], r["window_start"]) for r in S.downsample(f, 13, 7).collect())
-    assert a == b and len(a) == 13
+    h = hash_order(7, "session_id", "window_start")
+    for n in (0, 13, 1000):
+        got = sorted((r["session_id"], r["window_start"]) for r in S.downsample(f, n, 7).collect())
+        want = sorted((r["session_id"], r["window_start"]) for r in f.orderBy(h, "session_id", "window_start").limit(n).collect())
+        assert got == want
\ No newline at end of file
