@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netpulse.operators.clean import normalize_sensor_metrics
+from netpulse.session import small
 
 # What a row no phase covers is labelled with.
 UNLABELED = "unlabeled"
@@ -42,7 +43,8 @@ def label_by_phase(raw: DataFrame, phases: DataFrame, runs: DataFrame | None = N
     label, impairment_type, severity. No covering phase -> ``unlabeled``, label 0,
     severity ``none``.
     """
-    table = run_table(raw, phases, runs)
+    # one row per run, computed once and counted: broadcast while few, so the rows stay where they are
+    table = small(run_table(raw, phases, runs))
     rows = raw.drop("label") if "label" in raw.columns else raw
     j = rows.join(table, on="run_id", how="left")
     offset = (F.unix_micros("timestamp") - F.unix_micros("capture_start")).cast("double") / F.lit(1e6)

@@ -75,34 +75,27 @@ def _score_table(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def score_distribution(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Distinct scores with positives, negatives and the counts of lower scores (one ordered pass).
+    """Distinct scores with positives, negatives and the counts of higher scores (one ordered pass).
 
     Shared by ROC AUC / average precision and by the probability percentiles.
     """
-    return ordered_prefix(_score_table(scored, keys), ["probability"], ["pos", "neg"], keys)
+    return ordered_prefix(_score_table(scored, keys), [F.col("probability").desc()], ["pos", "neg"], keys)
 
 
 def ranking_metrics(scored: DataFrame, keys: Sequence[str] = (), distribution: DataFrame | None = None) -> DataFrame:
     """Exact ROC AUC (ties count one half) and step-wise average precision.
 
-    Per distinct score s (ascending) with running counts of lower scores:
-    AUC = sum pos_s * (neg_below + neg_s / 2) / (P * N);
-    AP  = sum pos_s / P * TP_s / (TP_s + FP_s), TP_s = P - pos_below, FP_s = N - neg_below.
+    Per distinct score s with the running counts of higher scores, TP_s = pos_above + pos_s and
+    FP_s = neg_above + neg_s: AUC = sum neg_s * (pos_above + pos_s / 2) / (P * N) and
+    AP = sum pos_s * TP_s / (TP_s + FP_s) / P. Both are plain sums; no totals are joined.
     """
     pref = distribution if distribution is not None else score_distribution(scored, keys)
-    # totals from the checkpointed prefix table: the scores are not aggregated twice
-    totals = pref.groupBy(*keys).agg(
-        F.sum("pos").cast("double").alias("_P"), F.sum("neg").cast("double").alias("_N")
-    )
-    j = pref.join(totals, on=list(keys), how="inner") if keys else pref.crossJoin(totals)  # one-row totals
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
-    tp_s = F.col("_P") - F.col("cum_pos")
-    fp_s = F.col("_N") - F.col("cum_neg")
-    auc_part = pos * (F.col("cum_neg") + neg / F.lit(2.0))
+    tp_s, fp_s = F.col("cum_pos") + pos, F.col("cum_neg") + neg
+    auc_part = neg * (F.col("cum_pos") + pos / F.lit(2.0))
     ap_part = F.when(F.col("pos") > 0, pos * tp_s / (tp_s + fp_s)).otherwise(F.lit(0.0))
-    agg = j.groupBy(*keys).agg(
-        F.sum(auc_part).alias("_auc"), F.sum(ap_part).alias("_ap"), F.first("_P").alias("_P"), F.first("_N").alias("_N")
-    )
+    agg = pref.groupBy(*keys).agg(
+        F.sum(auc_part).alias("_auc"), F.sum(ap_part).alias("_ap"), F.sum(pos).alias("_P"), F.sum(neg).alias("_N"))
     both = (F.col("_P") > 0) & (F.col("_N") > 0)
     return agg.select(
         *keys,
@@ -161,7 +154,7 @@ def probability_summary(scored: DataFrame, keys: Sequence[str] = (), distributio
     if distribution is not None:
         d = distribution.withColumn("_cnt", F.col("pos") + F.col("neg")).withColumn(
             "_before", F.col("cum_pos") + F.col("cum_neg"))
-        q = quantiles_from_ranked(d, "probability", "_cnt", "_before", SUMMARY_QUANTILES, keys)
+        q = quantiles_from_ranked(d, "probability", "_cnt", "_before", SUMMARY_QUANTILES, keys, descending=True)
     else:
         q = exact_quantiles(scored, "probability", SUMMARY_QUANTILES, keys)
     # a global aggregate always has one row, so an empty input still yields a (zero) summary

@@ -47,6 +47,11 @@ def features(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ("domain"
     return windows.sensor_feature_frame(bridge.sensor_raw(events(spark, sf_dir)), WINDOW_SECONDS, extra_keys=keys)
 
 
+def window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window rows under ``features``, all that counts and labels need."""
+    return windows.window_aggregate(bridge.sensor_raw(events(spark, sf_dir)), WINDOW_SECONDS, ("domain",))
+
+
 # ------------------------------------------------------------------ §2.3 windows
 
 _W = WINDOW_SECONDS
@@ -96,17 +101,17 @@ _DOMAIN_FEATURES = O.features_ctes(_W, keys=("domain",), rounded=False)
 
 @register("session_labels", O.with_ctes(*_DOMAIN_FEATURES) + "SELECT domain, session_id, max(label) AS label FROM features GROUP BY ALL")
 def q_session_labels(spark, sf_dir):
-    return windows.session_labels(features(spark, sf_dir), keys=("domain", "session_id"))
+    return windows.session_labels(window_rows(spark, sf_dir), keys=("domain", "session_id"))
 
 
 @register("class_balance", O.with_ctes(*_DOMAIN_FEATURES) + "SELECT label, count(*) AS rows FROM features GROUP BY label")
 def q_class_balance(spark, sf_dir):
-    return windows.class_balance(features(spark, sf_dir))
+    return windows.class_balance(window_rows(spark, sf_dir))
 
 
 @register("rows_by_domain", O.with_ctes(*_DOMAIN_FEATURES) + "SELECT domain, count(*) AS rows FROM features GROUP BY domain")
 def q_rows_by_domain(spark, sf_dir):
-    return windows.rows_by_domain(features(spark, sf_dir))
+    return windows.rows_by_domain(window_rows(spark, sf_dir))
 
 
 @register(
@@ -114,7 +119,7 @@ def q_rows_by_domain(spark, sf_dir):
     O.with_ctes(*_DOMAIN_FEATURES) + "SELECT domain, label, count(*) AS rows FROM features GROUP BY domain, label",
 )
 def q_class_balance_by_domain(spark, sf_dir):
-    return windows.class_balance_by_domain(features(spark, sf_dir))
+    return windows.class_balance_by_domain(window_rows(spark, sf_dir))
 
 
 @register(
@@ -617,7 +622,7 @@ def q_holdout_folds(spark, sf_dir):
       count(DISTINCT label) >= 2 AS ok FROM features GROUP BY domain""",
 )
 def q_check_domains(spark, sf_dir):
-    return J.check_domains(features(spark, sf_dir))
+    return J.check_domains(window_rows(spark, sf_dir))
 
 
 @register(

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netpulse.session import checkpoint_dir
+from netpulse.session import checkpoint_dir, small
 
 _PID = "_np_pid"
 
@@ -47,14 +47,15 @@ def _local_prefix(keys: Sequence[str], values: Sequence[str]):
             vals = pdf[list(values)].astype("float64").fillna(0.0)
             if keys:
                 key_frame = pdf[list(keys)]
-                starts = (key_frame != key_frame.shift()).any(axis=1)
+                before = key_frame.shift()
+                starts = ~((key_frame == before) | (key_frame.isna() & before.isna())).all(axis=1)
                 gid = starts.cumsum()
                 inclusive = vals.groupby(gid).cumsum()
-                first_key = tuple(key_frame.iloc[0])
+                first_key = tuple(None if pd.isna(x) else x for x in key_frame.iloc[0])
                 if last_key is not None and first_key == last_key:
                     first_group = gid == gid.iloc[0]
                     inclusive.loc[first_group] += carry
-                last_key = tuple(key_frame.iloc[-1])
+                last_key = tuple(None if pd.isna(x) else x for x in key_frame.iloc[-1])
                 last_group = gid == gid.iloc[-1]
                 carry = inclusive.loc[last_group].iloc[-1].to_numpy()
             else:
@@ -100,10 +101,10 @@ def ordered_prefix(
     offsets = totals.select(
         _PID, *keys, *[F.coalesce(F.sum(f"_tot_{v}").over(before), F.lit(0.0)).alias(f"_off_{v}") for v in value_cols]
     )
-    if not keys:
-        # one row per range partition: bounded by the partition count, not the data
-        offsets = F.broadcast(offsets)
-    joined = local.join(offsets, on=[_PID, *keys], how="left")
+    # one row per range partition and key in it
+    there = small(offsets.select(*[F.col(c).alias(f"_np_o_{c}") for c in (_PID, *keys)], *[f"_off_{v}" for v in value_cols]))
+    match = [F.col(c).eqNullSafe(F.col(f"_np_o_{c}")) for c in (_PID, *keys)]
+    joined = local.join(there, on=match, how="left")
     out_cols = [c for c in df.columns]
     return joined.select(
         *out_cols,
@@ -134,9 +135,10 @@ def exact_quantiles(
 
 
 def quantiles_from_ranked(ranked: DataFrame, value_col: str, count_col: str, cum_col: str,
-                          quantiles: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Quantiles from a table of distinct values with their counts and the count of smaller
-    values (the output of one ordered pass, shareable with other order statistics)."""
+                          quantiles: dict[str, float], keys: Sequence[str] = (), descending: bool = False) -> DataFrame:
+    """Quantiles from a table of distinct values with their counts and the count of smaller (or with
+    ``descending`` larger) values: the output of one ordered pass, shareable with other statistics.
+    The targets (groups x quantiles) are counted and broadcast, so the values are never shuffled by group."""
     counts = ranked.select(*keys, value_col, F.col(count_col).cast("double").alias("_c"),
                            F.col(cum_col).cast("double").alias("_cum"))
     totals = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
@@ -146,6 +148,7 @@ def quantiles_from_ranked(ranked: DataFrame, value_col: str, count_col: str, cum
     targets = targets.select(
         *keys,
         "q_name",
+        (F.col("_n") - 1).cast("double").alias("_last"),
         (F.col("_pos") - F.floor("_pos").cast("double")).alias("_frac"),
         F.explode(
             F.array(
@@ -153,13 +156,16 @@ def quantiles_from_ranked(ranked: DataFrame, value_col: str, count_col: str, cum
                 F.struct(F.lit("hi").alias("side"), F.ceil("_pos").cast("double").alias("rank")),
             )
         ).alias("_t"),
-    ).select(*keys, "q_name", "_frac", "_t.side", "_t.rank")
-    cond = [counts[k] == targets[k] for k in keys] + [
-        counts["_cum"] <= targets["rank"],
-        targets["rank"] < counts["_cum"] + counts["_c"],
+    ).select(*keys, "q_name", "_frac", "_last", "_t.side", "_t.rank")
+    if descending:
+        targets = targets.withColumn("rank", F.col("_last") - F.col("rank"))
+    targets = small(targets.select(*[F.col(k).alias(f"_np_t_{k}") for k in keys], "q_name", "_frac", "side", "rank"))
+    cond = [F.col(k).eqNullSafe(F.col(f"_np_t_{k}")) for k in keys] + [
+        F.col("_cum") <= F.col("rank"),
+        F.col("rank") < F.col("_cum") + F.col("_c"),
     ]
-    hit = targets.join(counts, on=cond, how="inner").select(
-        *[targets[k] for k in keys], "q_name", "_frac", "side", F.col(value_col).cast("double").alias("_v")
+    hit = counts.join(targets, on=cond, how="inner").select(
+        *[F.col(f"_np_t_{k}").alias(k) for k in keys], "q_name", "_frac", "side", F.col(value_col).cast("double").alias("_v")
     )
     pivoted = hit.groupBy(*keys, "q_name", "_frac").agg(
         F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("_lo"),

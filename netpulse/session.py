@@ -87,3 +87,16 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: a table of at most this many (narrow) rows may be sent to every task
+BROADCAST_ROWS = 200_000
+
+
+def small(df, most: int = BROADCAST_ROWS):
+    """Compute a lookup table once and count it: marked for broadcast up to ``most`` rows. A larger one
+    is returned as a plain scan, so that a join shuffles it and adaptive execution can split hot keys."""
+    from pyspark.sql import functions as F
+
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= most else df
