@@ -85,7 +85,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write a large intermediate as Parquet in the cluster's shared checkpoint folder and read it back:
     lineage is cut, and unlike a checkpoint the columns are encoded and can be pruned."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

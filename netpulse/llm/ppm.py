@@ -34,35 +34,36 @@ ORDER = 5  # context bytes
 END = 10  # the end symbol: a byte that no word holds
 LOG10 = np.log(10.0)
 WORD, STRING = 0, 1
+BLOCK = 14 << 20  # bytes of text in a block
 
 
 def stream(hasher: Hasher, buf: np.ndarray, off: np.ndarray, order: int):
     """(strings, row of each symbol, word hashes, row of each word) of a batch of texts."""
     n_rows = len(off) - 1
-    start, end, row, h = hasher.located_words(buf, off)
-    words = np.bincount(row, minlength=n_rows)
-    empty = words == 0
-    size = np.bincount(row, weights=end - start, minlength=n_rows).astype(np.int64) + words + empty
-    begin = np.cumsum(size) - size
-    out = np.full(int(size.sum()), END, np.uint8)
-    if len(start):
-        # each word is followed by one separator: a space, or the end symbol after the last
-        length = end - start
-        gap = np.cumsum(length + 1) - length - 1 + np.cumsum(empty)[row]
-        at = np.repeat(gap - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        source = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-        out[at] = hasher.lower[buf[source]]
-        last = np.append(row[1:] != row[:-1], True)
-        out[(gap + length)[~last]] = 32
-    rows = np.repeat(np.arange(n_rows), size)
-    place = np.arange(len(out)) - begin[rows]
-    code = out.astype(U64)
-    for k in range(1, order + 1):
-        before = np.full(len(out), END, np.uint8)
-        before[k:] = out[:-k]
-        before[place < k] = END
-        code |= before.astype(U64) << U64(8 * k)
-    return code, rows, h, row
+    # one end symbol after every text: each word is then followed by a byte that can hold its separator
+    size = np.diff(off)
+    place = np.arange(len(buf)) + np.repeat(np.arange(n_rows), size)
+    full = np.full(len(buf) + n_rows, END, np.uint8)
+    full[place] = buf
+    off = off + np.arange(n_rows + 1)
+    start, end, row, h = hasher.located_words(full, off)
+    keep = ~hasher.space[full]
+    keep[end] = True
+    last = np.append(row[1:] != row[:-1], True) if len(row) else np.zeros(0, bool)
+    full = hasher.lower[full]
+    full[end[~last]] = 32
+    full[end[last]] = END
+    empty = np.bincount(row, minlength=n_rows) == 0
+    keep[off[1:][empty] - 1] = True
+    kept = np.concatenate([[0], np.cumsum(keep)])[off]
+    rows = np.repeat(np.arange(n_rows), np.diff(kept))
+    # before every text the context is end symbols; a string is read as the upper bytes of eight
+    at = np.arange(kept[-1]) + order * (rows + 1)
+    padded = np.full(8 + len(at) + order * n_rows, END, np.uint8)
+    padded[at + 8] = full[keep]
+    words = np.ndarray((len(padded) - 7,), ">u8", padded, strides=(1,))
+    strings = words[at + 1].astype(U64) & U64((1 << (8 * (order + 1))) - 1)
+    return strings, rows, h, row
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,21 +76,39 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return k[first], np.add.reduceat(n, first)
 
 
+class _Counts:
+    """Sums by key, merged whenever the parts have grown large."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts, self.size = [], [], 0
+
+    def add(self, keys: np.ndarray, weight: int) -> None:
+        u, n = np.unique(keys, return_counts=True)
+        self.keys.append(u)
+        self.counts.append(n * weight)
+        self.size += len(u)
+        if self.size > 500_000:
+            k, n = self.done()
+            self.keys, self.counts, self.size = [k], [n], 0  # the merged part is counted when it is merged again
+
+    def done(self) -> tuple[np.ndarray, np.ndarray]:
+        return _merge(self.keys, self.counts)
+
+
 def _table_counts(table: pa.Table, hasher: Hasher, order: int):
     """Distinct words and strings of a block with their training counts, and its training tokens and texts."""
     train = ~table.column("held").to_numpy(zero_copy_only=False).astype(bool)
-    found = {WORD: ([], []), STRING: ([], [])}
+    found = {WORD: _Counts(), STRING: _Counts()}
     tokens = 0  # words and ends
     for a, b, buf, off in slices(table.column("text")):
         code, rows, h, row = stream(hasher, buf, off, order)
         here = train[a:b]
         tokens += int(here[row].sum()) + int(here.sum())
         for kind, keys, own in ((WORD, h, row), (STRING, code, rows)):
-            for some, weight in ((keys[here[own]], 1), (keys[~here[own]], 0)):
-                u, n = np.unique(some, return_counts=True)
-                found[kind][0].append(u)
-                found[kind][1].append(n * weight)
-    return {k: _merge(*v) for k, v in found.items()}, (tokens, int(train.sum()))
+            trained = here[own]
+            found[kind].add(keys[trained], 1)
+            found[kind].add(keys[~trained], 0)
+    return {k: v.done() for k, v in found.items()}, (tokens, int(train.sum()))
 
 
 def _send(order: int):
@@ -99,6 +118,7 @@ def _send(order: int):
         parts = [(np.full(len(k), kind, np.int8), k.view(np.int64), n) for kind, (k, n) in counts.items()]
         parts.append((np.array([2, 3], np.int8), np.zeros(2, np.int64), np.array(tokens)))
         kind, key, n = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        pa.default_memory_pool().release_unused()
         return pa.table({"block": pa.array(np.full(len(key), block, np.int32)), "kind": pa.array(kind), "key": pa.array(key), "n": pa.array(n)})
 
     return run
@@ -187,6 +207,35 @@ def _probabilities(pairs: np.ndarray, order: int):
     return run
 
 
+class _Lookup:
+    """Values by key: keys are dealt into buckets by a multiplicative hash, a few probes find each."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.bits = U64(64 - max(1, int(4 * len(keys) + 1).bit_length()))
+        bucket = self._bucket(keys)
+        order = np.argsort(bucket, kind="stable")
+        self.keys, self.values = np.append(keys[order], U64(0)), np.append(values[order], 0.0)
+        number = np.bincount(bucket, minlength=1 << int(U64(64) - self.bits))
+        self.most = int(number.max(initial=0))
+        self.start = np.concatenate([[0], np.cumsum(number)]).astype(np.int32)
+
+    def _bucket(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """Values of the keys, 0 where there is none."""
+        at = self.start[self._bucket(keys)]
+        hit = self.keys[at] == keys
+        out = np.where(hit, self.values[at], 0.0)
+        todo = np.flatnonzero(~hit)
+        for k in range(1, self.most):
+            place = np.minimum(at[todo] + k, len(self.keys) - 1)
+            hit = self.keys[place] == keys[todo]
+            out[todo[hit]] = self.values[place[hit]]
+            todo = todo[~hit]
+        return out
+
+
 def _score(order: int, train_tokens: int, train_texts: int, distinct: int):
     """Per text of a block: counts and scores, from the answers (kind, key, value)."""
 
@@ -194,20 +243,16 @@ def _score(order: int, train_tokens: int, train_texts: int, distinct: int):
         hasher = Hasher()
         kind, key, value = (answers.column(c).to_numpy() for c in ("kind", "key", "value"))
         key = key.view(U64)
-        sorted_by = {}
-        for k in (WORD, STRING):
-            at = np.flatnonzero(kind == k)
-            at = at[np.argsort(key[at])]
-            sorted_by[k] = key[at], value[at]
+        known = {k: _Lookup(key[kind == k], value[kind == k]) for k in (WORD, STRING)}
         base = np.log10(train_tokens + distinct + 1.0)
         out = []
         for a, b, buf, off in slices(texts.column("text")):
             code, rows, h, row = stream(hasher, buf, off, order)
-            n, m = _find(*sorted_by[WORD], h), b - a
-            logs = sorted_by[STRING][1][np.searchsorted(sorted_by[STRING][0], code)]
+            n, m = known[WORD].get(h), b - a
+            logs = known[STRING].get(code)
             tokens = np.bincount(row, minlength=m) + 1
-            known = np.bincount(row, n > 0, m).astype(np.int64) + (train_texts > 0)
-            out.append((tokens, known, np.bincount(row, np.log10(n + 1.0), m) + np.log10(train_texts + 1.0) - tokens * base,
+            met = np.bincount(row, n > 0, m).astype(np.int64) + (train_texts > 0)
+            out.append((tokens, met, np.bincount(row, np.log10(n + 1.0), m) + np.log10(train_texts + 1.0) - tokens * base,
                         np.bincount(rows, logs, m)))
         cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0) for i in range(4)]
         return pa.table([texts.column("doc_id"), texts.column("held"), pa.array(cols[0].astype(np.int64)),
@@ -224,7 +269,7 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def text_scores(docs: DataFrame, held_out: Column, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every whole text by a model of the texts for which ``held_out`` (of doc_id) is false."""
     texts = id_text(docs, id_col, text_col)
-    texts = in_blocks(texts, block_count(texts)).withColumn("held", held_out)
+    texts = in_blocks(texts, block_count(texts, BLOCK)).withColumn("held", held_out)
     sent = written(texts.groupBy("block").applyInArrow(_send(order), "block int, kind byte, key long, n long"), "ppm-counts")
     words, strings = sent.where(F.col("kind") == WORD), sent.where(F.col("kind") == STRING)
     totals = sent.where("kind >= 2").groupBy("kind").agg(F.sum("n").alias("n")).collect()
@@ -233,7 +278,7 @@ def text_scores(docs: DataFrame, held_out: Column, order: int = ORDER, id_col: s
 
     # words: the training count over all blocks; a word that no training text holds needs no answer
     word_counts = words.withColumn("all", F.sum("n").over(Window.partitionBy("key"))).where("all > 0")
-    word_counts = written(word_counts.select("block", "key", F.col("all").cast("double").alias("value"), "n"), "ppm-words")
+    word_counts = written(word_counts.select("block", "key", F.col("all").cast("double").alias("value")), "ppm-words")
     distinct = word_counts.select("key").distinct().count() + (train_texts > 0)
 
     # strings: one row each, scored with all strings of its last two context bytes
