@@ -6,10 +6,11 @@ group is packed by itself, and the groups' sequences are simply numbered apart:
 global packing this costs less than one sequence a group.
 
 In a group, best-fit decreasing gives the first incumbent. Where it exceeds the lower bound,
-a branch-and-bound walks bin by bin: around the largest piece left it enumerates fillings of the
-rest, drops those dominated by another (as many pieces, none smaller), tries the least wasteful
-first, and abandons a branch whose waste so far rules out fewer sequences than the incumbent.
-The search ends at the lower bound or after ``nodes`` bins; the incumbent is always a whole packing.
+a branch-and-bound walks bin by bin: around the largest piece left it enumerates the fillings of the
+rest from all lengths left, the least wasteful first, passes over dominated ones, goes on with the
+next filling on backtracking, and abandons a branch whose waste so far rules out fewer sequences
+than the incumbent. The search ends at the lower bound, when all fillings were tried, or after
+``nodes`` of them; the incumbent is always a whole packing.
 
 Nulls: a null text is the empty text (its one end id is packed); null or repeated ids are kept
 as they are, row by row. An empty table gives no rows.
@@ -20,6 +21,8 @@ from __future__ import annotations
 import bisect
 import math
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -94,117 +97,145 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 class _Left:
-    """Pieces left, by length; the set of lengths is a bit mask, so the longest fit is one operation."""
+    """Pieces left: their number by length, and the distinct lengths in order and as a bit mask."""
 
     def __init__(self, lengths: list[int], capacity: int) -> None:
         self.count = [0] * (capacity + 1)
+        self.lengths: list[int] = []
         self.mask = 0
         for x in lengths:
             self.put(x)
 
     def put(self, x: int) -> None:
+        if not self.count[x]:
+            bisect.insort(self.lengths, x)
+            self.mask |= 1 << x
         self.count[x] += 1
-        self.mask |= 1 << x
 
     def take(self, x: int) -> None:
         self.count[x] -= 1
         if not self.count[x]:
+            del self.lengths[bisect.bisect_left(self.lengths, x)]
             self.mask ^= 1 << x
 
     def longest(self, room: int) -> int:
-        return (self.mask & ((1 << (room + 1)) - 1)).bit_length() - 1 if room > 0 else -1
-
-
-def fillings(left: _Left, room: int, width: int = 6) -> list[tuple[int, tuple[int, ...]]]:
-    """Undominated fillings of ``room`` as (waste, pieces), least waste first. From each of the
-    longest ``width`` first pieces and of their longest partners, the rest is filled longest first;
-    a filling without waste ends the search."""
-    found: list[tuple[int, tuple[int, ...]]] = []
-
-    def fill(chosen: list[int], room: int) -> None:
-        taken = list(chosen)
-        for x in chosen:
-            left.take(x)
-        while (x := left.longest(room)) > 0:
-            left.take(x)
-            taken.append(x)
-            room -= x
-        for x in taken:
-            left.put(x)
-        found.append((room, tuple(sorted(taken, reverse=True))))
-
-    first = room
-    for _ in range(width):
-        a = left.longest(first)
-        if a <= 0:
+        i = bisect.bisect_right(self.lengths, room)
+        return self.lengths[i - 1] if i else -1
+
+
+def dominated(left: _Left, filling: tuple[int, ...], waste: int) -> bool:
+    """Whether a piece that is left can replace pieces of the filling that are together shorter (none
+    of them, too, where the waste holds it), or two or more that are together as long."""
+    one, more = 0, 0  # sums of one piece, and of two or more, as bits
+    for x in filling:
+        more |= (more | one) << x
+        one |= 1 << x
+    span, wide = (1 | one | more) << 1, 1
+    while wide < waste:  # every sum, longer by 1 to ``waste``
+        step = min(wide, waste - wide)
+        span |= span << step
+        wide += step
+    others = left.mask
+    for x in set(filling):
+        if left.count[x] == filling.count(x):
+            others ^= 1 << x
+    return bool(((span if waste else 0) | more) & others)
+
+
+def fillings(left: _Left, room: int, common_first: bool = False) -> Iterator[tuple[int, tuple[int, ...], bool]]:
+    """All fillings of ``room`` as (waste, pieces, dominated), least waste first and then longest (or
+    most common) piece first, one at a time: subset sums over the distinct lengths tell where a filling
+    can be completed. ``left`` has to be in the same state whenever the next one is drawn."""
+    whole = (1 << (room + 1)) - 1
+    lengths = left.lengths[: bisect.bisect_right(left.lengths, room)]
+    reach = [1]  # sums of the shortest lengths as bits; of more lengths than that, every sum
+    for x in lengths:
+        sums = reach[-1]
+        if sums == whole:
             break
-        first, second = a - 1, room - a
-        left.take(a)
-        partners = []
-        for _ in range(width):
-            b = left.longest(second)
-            if b <= 0:
+        for _ in range(min(left.count[x], room // x)):
+            if (longer := (sums | sums << x) & whole) == sums:
                 break
-            partners.append(b)
-            second = b - 1
-        left.put(a)
-        for chosen in [[a, b] for b in partners] or [[a]]:
-            fill(chosen, room - sum(chosen))
-            if found[-1][0] == 0:
-                return [found[-1]]
-    found = sorted(set(found))
-    kept = [f for f in found if not any(
-        g is not f and len(g[1]) == len(f[1]) and all(x >= y for x, y in zip(g[1], f[1])) for g in found)]
-    return kept or [(room, ())]
+            sums = longer
+        reach.append(sums)
+    last = len(reach) - 1
+
+    def exact(i: int, need: int) -> Iterator[tuple[int, ...]]:
+        if need == 0:
+            yield ()
+            return
+        i = bisect.bisect_right(lengths, need, 0, i)
+        if not reach[min(i, last)] >> need & 1:
+            return
+        longest = range(i - 1, -1, -1)  # of the filling; the rest is shorter
+        for j in sorted(longest, key=lambda j: -left.count[lengths[j]]) if common_first else longest:
+            x, below = lengths[j], reach[min(j, last)]
+            for k in range(min(left.count[x], need // x), 0, -1):
+                if below >> (need - k * x) & 1:
+                    for rest in exact(j, need - k * x):
+                        yield (x,) * k + rest
+
+    sums = reach[last]
+    while sums:
+        need = sums.bit_length() - 1
+        sums ^= 1 << need
+        for filling in exact(len(lengths), need):
+            yield room - need, filling, dominated(left, filling, room - need)
 
 
 def bin_completion(lengths: list[int], capacity: int, nodes: int) -> list[list[int]]:
-    """The fewest bins found: best-fit decreasing, improved by branch-and-bound bin completion."""
+    """The fewest bins found: best-fit decreasing, improved by two branch-and-bound searches, one for
+    each order of equally wasteful fillings, that look at ``nodes`` fillings together."""
     best = best_fit(lengths, capacity)
     bound = lower_bound(np.array(lengths, np.int64), capacity)
+    for common_first in (False, True):
+        if len(best) > bound:
+            best = _search(best, bound, lengths, capacity, nodes // 2, common_first)
+    return best
+
+
+def _search(best: list[list[int]], bound: int, lengths: list[int], capacity: int, nodes: int,
+            common_first: bool) -> list[list[int]]:
+    """``best``, or the packing in fewest bins that bin completion finds."""
     total = sum(lengths)
-    if len(best) <= bound:
-        return best
     left = _Left(lengths, capacity)
-    path: list[tuple[tuple[int, ...], int, list]] = []  # (bin, its waste, fillings not yet tried)
+    # (bin, its waste, fillings drawn for it, their generator); a bin that was not yet revised keeps no generator
+    path: list[tuple[tuple[int, ...], int, int, Iterator | None]] = []
     waste, spent, n_left = 0, 0, len(lengths)
-
-    def undo() -> list:
-        nonlocal waste, n_left
-        chosen, w, rest = path.pop()
-        for x in chosen:
-            left.put(x)
-        n_left += len(chosen)
-        waste -= w
-        return rest
-
-    options = None
+    options, drawn, revised = None, 0, False
     while spent < nodes:
-        if options is None:  # a new bin around the largest piece left
-            largest = left.longest(capacity)
-            left.take(largest)
-            options = [(w, (largest, *f)) for w, f in fillings(left, capacity - largest)]
-            left.put(largest)
-        allowed = (len(best) - 1) * capacity - total
-        if options and waste + options[0][0] <= allowed:
-            w, chosen = options[0]
+        largest = left.longest(capacity)  # a bin around the largest piece left
+        left.take(largest)
+        if options is None:
+            options = islice(fillings(left, capacity - largest, common_first), drawn, None)
+        w, filling, worse = next(options, (capacity, (), True))
+        left.put(largest)
+        drawn += 1
+        spent += 1
+        if waste + w <= (len(best) - 1) * capacity - total:
+            if worse:
+                continue
+            chosen = (largest, *filling)
             for x in chosen:
                 left.take(x)
             n_left -= len(chosen)
             waste += w
-            path.append((chosen, w, options[1:]))
-            options = None
-            spent += 1
-            if n_left == 0:
-                if len(path) < len(best):
-                    best = [list(c) for c, _, _ in path]
-                if len(best) <= bound:
-                    break
-                options = undo()
-        elif path:
-            options = undo()
-        else:
+            path.append((chosen, w, drawn, options if revised else None))
+            options, drawn, revised = None, 0, False
+            if n_left:
+                continue
+            if len(path) < len(best):
+                best = [list(c) for c, _, _, _ in path]
+            if len(best) <= bound:
+                break
+        if not path:
             break
+        chosen, w, drawn, options = path.pop()
+        for x in chosen:
+            left.put(x)
+        n_left += len(chosen)
+        waste -= w
+        revised = True
     return best
 
 

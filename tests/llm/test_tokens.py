@@ -1,5 +1,6 @@
 """Tokenized outputs: ids, packing and ORC files against the plain tokenizer."""
 
+import itertools
 import random
 import zlib
 
@@ -96,6 +97,31 @@ def test_bin_completion_improves_best_fit():
     assert better
 
 
+def test_fillings_are_all_enumerated_once():
+    left = packing._Left([7, 7, 6, 5, 5, 4, 3, 2, 2, 1], 20)
+    for room in (4, 11, 20):
+        for common_first in (False, True):
+            got = list(packing.fillings(left, room, common_first))
+            every = {t for r in range(11) for t in itertools.combinations([7, 7, 6, 5, 5, 4, 3, 2, 2, 1], r) if sum(t) <= room}
+            assert sorted(f for _, f, _ in got) == sorted(every)
+            assert [w for w, _, _ in got] == sorted(room - sum(f) for f in every)
+
+
+def test_bin_completion_reaches_middling_lengths():
+    """Exact triples of lengths in which the longest pieces alone say little."""
+    rng = random.Random(1)
+    lengths = []
+    while len(lengths) < 1500:
+        a, b = rng.randint(520, 860), rng.randint(520, 860)
+        if 520 <= 2048 - a - b <= 860:
+            lengths += [a, b, 2048 - a - b]
+    bins = packing.bin_completion(lengths, 2048, nodes=2 * len(lengths))
+    assert sorted(x for b in bins for x in b) == sorted(lengths)
+    assert max(map(sum, bins)) <= 2048
+    assert len(packing.best_fit(lengths, 2048)) > 1.05 * 500
+    assert len(bins) <= 1.02 * 500
+
+
 def test_orc_round_trip(spark, make, prose, odd_rows, plain, tmpdir_path):
     rows = prose + odd_rows
     path = token_files.new_folder(spark, "t")
