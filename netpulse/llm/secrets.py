@@ -29,10 +29,11 @@ SCOPE = 300
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
-# Weak parts.
-KEY = r"(?<![A-Za-z0-9+/=_.-])[A-Za-z0-9+/_-]{20,64}+={0,2}+(?![A-Za-z0-9+/_-])"
-ACCOUNT = r"""(?i)\b(?:client_?id|user(?:name)?|login|account)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9@._-]{3,64}+)"""
-ENDPOINT = r"""(?i)\b(?:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\x20\x09-\x0D"'<>]{3,200}+"""
+# Weak parts. A key right after "=" is left out where the assign pattern takes it.
+KEY = (r"""(?:(?<![A-Za-z0-9+/=_.-])|(?<==)(?<!(?i:password|passwd|secret|token|api_?key)["']?\x20{0,16}=))"""
+       r"[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_-])")
+ACCOUNT = r"""(?i)\b(?:client_?id|user(?:name)?|login|account)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9@._-]{3,}+)"""
+ENDPOINT = r"""(?i)\b(?:https?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\x20\x09-\x0D"'<>]{3,}+"""
 
 
 def parts(text: Column) -> Column:
