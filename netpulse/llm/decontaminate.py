@@ -47,7 +47,7 @@ def _chunks(batches):
     """Per chunk of every item: its terms with counts, and the 3-grams of question and answer."""
     hasher = Hasher()
     for batch in batches:
-        shard, item = batch.column("shard").to_pylist(), batch.column("item_id").to_pylist()
+        shard, item, name = (batch.column(c).to_pylist() for c in ("shard", "item_id", "row"))
         answer_at = batch.column("answer_at").to_pylist()
         out = []
         for a, b, buf, off in slices(batch.column("text"), 1 << 20):
@@ -65,7 +65,7 @@ def _chunks(batches):
                     lo, hi = n * c // pieces, n * (c + 1) // pieces
                     term, tf = np.unique(words[lo:hi], return_counts=True)
                     q, s = words[lo : min(hi, cut)], words[max(lo, cut) : hi]
-                    out.append((shard[a + r], item[a + r], f"{item[a + r]}:{c}:{a + r}", hi - lo, term.view(np.int64), tf,
+                    out.append((shard[a + r], item[a + r], f"{name[a + r]}:{c}", hi - lo, term.view(np.int64), tf,
                                 grams(q).view(np.int64), grams(s).view(np.int64)))
         if out:
             kinds = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), *[pa.list_(pa.int64())] * 2]
@@ -226,7 +226,8 @@ def item_chunks(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")) if not question_col else F.concat_ws(
         "\n", F.col(question_col).cast("string"), F.col(answer_col).cast("string"))
     cut = F.octet_length(F.lower(F.coalesce(F.col(question_col).cast("string"), F.lit("")))) if question_col else F.lit(None)
-    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.lower(text).alias("text"), cut.cast("long").alias("answer_at"))
+    rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.lower(text).alias("text"), cut.cast("long").alias("answer_at"),
+                        F.monotonically_increasing_id().alias("row"))  # names the item's chunks: ids and texts can repeat
     shards = max(1, math.ceil((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / SHARD_BYTES))
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
     schema = ("shard int, item_id long, chunk string, len int, terms array<long>, tfs array<long>, "

@@ -190,6 +190,18 @@ def test_planted_passages_are_found_and_others_left(spark, make, prose, odd_rows
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(make(rows), items_table(spark, items)).collect()} == want
 
 
+def test_items_that_repeat_in_several_partitions(spark, make):
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(40))
+    first, other = ([(i, text()) for i in [*range(6), None]] for _ in range(2))
+    rows = [(k, "before it " + t + " and after") for k, (_, t) in enumerate(first + other)]
+    # the same rows in the same order, then other texts under the same ids
+    parts = [items_table(spark, part) for part in (first, first, other)]
+    got = decontaminate.contaminated(make(rows), parts[0].unionByName(parts[1]).unionByName(parts[2])).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, i) for k, (i, _) in enumerate(first + other)}
+    assert all(r.score > 0.99 for r in got)
+
+
 def test_question_without_answer_is_no_leak(spark, make):
     q, a = "which river runs past the old mill near the tall oak at dawn", "the silver stream of evermore"
     items = spark.createDataFrame([(1, q, a)], "item_id long, question string, answer string")
