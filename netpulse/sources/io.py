@@ -8,7 +8,7 @@ the id within the task), never from collecting lines.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from pathlib import PurePath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -102,21 +102,19 @@ def number_rows(tagged: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, (F.col("_mono") + F.col("_shift")).cast("bigint")).drop("_block", "_mono", "_shift")
 
 
-def _first_lines(spark: SparkSession, path: str, until: Callable[[str], bool], most: int = 100_000) -> list[str]:
+def _first_lines(spark: SparkSession, path: str, until: Callable[[str], bool]) -> Iterator[str]:
     """The lines of a file up to the first for which ``until`` holds (the header, never the data)."""
     jvm = spark._jvm
     file = jvm.org.apache.hadoop.fs.Path(path)
     stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
     reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    lines = []
     try:
-        while len(lines) < most and (line := reader.readLine()) is not None:
-            lines.append(line)
+        while (line := reader.readLine()) is not None:
+            yield line
             if until(line):
                 break
     finally:
         reader.close()
-    return lines
 
 
 def read_flow_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -128,7 +126,7 @@ def read_flow_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     files = sorted(spark.read.text(paths).inputFiles())
     by_header: dict[str, list[str]] = {}
     for f in files:
-        head = _first_lines(spark, f, lambda _: True)
+        head = list(_first_lines(spark, f, lambda _: True))
         by_header.setdefault(head[0].strip() if head else "", []).append(f)
     frames = [with_file_order(spark.read.option("header", True).option("inferSchema", False).csv(own))
               for head, own in by_header.items() if head]
@@ -145,15 +143,15 @@ def read_flow_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 def _arff_header(spark: SparkSession, path: str) -> tuple[list[str], int]:
     """(attribute names in order, number of lines up to and with ``@data``) of one file."""
-    lines = _first_lines(spark, path, lambda line: line.strip().lower().startswith("@data"))
-    names = []
-    for line in lines:
+    names, n = [], 0
+    for line in _first_lines(spark, path, lambda line: line.strip().lower().startswith("@data")):
+        n += 1
         if line.strip().lower().startswith("@attribute"):
             found = re.match(ARFF_ATTRIBUTE, line.strip())
             if not found:
                 raise ValueError(f"Invalid ARFF attribute declaration in {path}")
             names.append(found.group(1).strip("\"'"))
-    return names, len(lines)
+    return names, n
 
 
 def read_arff(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

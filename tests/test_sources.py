@@ -140,3 +140,11 @@ def test_packet_dump_split_file_keeps_line_order(spark, tmpdir_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert [i for i, _ in rows] == list(range(3000))
     assert all(abs(e - (1000 + i * 0.01)) < 1e-9 for i, e in rows)
+
+
+def test_arff_header_of_any_length(spark, tmpdir_path):
+    path = f"{tmpdir_path}/long.arff"
+    with open(path, "w") as f:
+        f.write("@relation r\n@attribute a numeric\n" + "% note\n" * 100_001 + "@attribute b numeric\n@data\n1,2\n3,4\n")
+    rows = IO.read_arff(spark, path).orderBy("_row").collect()
+    assert [(r.a, r.b, r["_row"]) for r in rows] == [("1", "2", 0), ("3", "4", 1)]
