@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 
 from netpulse.llm.common import materialize, text_bytes
 from netpulse.llm.textops import U64, Hasher, buffers, mix
-from netpulse.llm.textruns import BLANK, LOWER, PIECE_END, coded, gathered, packed, runs, sums, text_codes, unpacked
+from netpulse.llm.textruns import BLANK, LOWER, PIECE_END, coded, gathered, lines, packed, runs, sums, text_codes, unpacked
 from netpulse.session import small
 
 MIN_COUNT, LONGEST, TOP = 100, 5, 2000
-BLOCK, BUCKET = 16 << 20, 8 << 20  # bytes of text whose suffixes a block collects, and a bucket sorts
+BLOCK, BUCKET = 8 << 20, 8 << 20  # bytes of text whose suffixes a block collects, and a bucket sorts
 SAMPLE = 8 << 20  # bytes of text that heavy prefixes are looked for in, and 4 KB more a bucket
-RANGE = (1 << 21) - 16  # words coded together: their codes take 21 bits
+RANGE = 1 << 20  # words coded together: their codes take 21 bits
 _CODE = 21
 
 
@@ -57,11 +57,11 @@ class Suffixes:
 
     def __init__(self, codes: np.ndarray, words: pa.Array, lang: np.ndarray, langs: list[str], left: np.ndarray, longest: int) -> None:
         n = len(left)
-        column = [np.where(left > j, np.append(codes[j:], np.zeros(j, codes.dtype))[:n] + 1, 0).astype(np.int64) for j in range(longest)]
+        column = [np.where(left > j, np.append(codes[j:], np.zeros(j, codes.dtype))[:n] + 1, 0).astype(np.int32) for j in range(longest)]
         packs = [lang.astype(np.int64) + 1]
         for j, c in enumerate(column):  # three codes to a long
             if j % 3 == 2:
-                packs.append(c)
+                packs.append(c.astype(np.int64))
             else:
                 packs[-1] = packs[-1] << _CODE | c
         order = np.lexsort(packs[::-1])
@@ -70,7 +70,7 @@ class Suffixes:
         first = np.flatnonzero(new)
         self.weight = np.diff(np.append(first, n))
         at = order[first]
-        self.keys = np.stack([lang[at].astype(np.int32) + 1, *[c[at].astype(np.int32) for c in column]])
+        self.keys = np.stack([lang[at].astype(np.int32) + 1, *[c[at] for c in column]])
         self.words, self.langs, self.longest = words, langs, longest
 
     def prefixes(self, hasher: Hasher) -> list[np.ndarray]:
@@ -106,17 +106,17 @@ def block_suffixes(batches, longest: int) -> Iterator[Suffixes]:
         n = len(start)
         if not n:
             continue
-        piece = np.cumsum(PIECE_END[buf], dtype=np.int32)[start]
+        piece = np.searchsorted(np.flatnonzero(PIECE_END[buf]), start)
         last = np.flatnonzero(np.append((row[1:] != row[:-1]) | (piece[1:] != piece[:-1]), True))  # words that close a piece
         left = last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1
         lang, langs = text_codes(table.column("lang"))
         lang = lang[row]
-        letters = np.concatenate([[0], np.cumsum(solid)])
+        at = np.append(0, np.cumsum(end - start))  # places in the words' bytes alone
         flat = buf[solid]
+        del buf, solid
         for a in range(0, n, RANGE):
             b, c = min(n, a + RANGE), min(n, a + RANGE + longest - 1)  # the last words' followers belong to the next range too
-            at = letters[start[a:c]]
-            codes, words = coded(flat, np.s_[at[0] : at[-1] + end[c - 1] - start[c - 1]], start[a:c], end[a:c])
+            codes, words = coded(flat, np.s_[at[a] : at[c]], start[a:c], end[a:c])
             yield Suffixes(codes, words, lang[a:b], langs, left[a:b], longest)
 
 
@@ -255,7 +255,7 @@ def _sort(least: int, longest: int):
                     continue
                 text, lang, *code, w, d = unpacked(r["data"], r["size"])
                 here = np.array([0] + [langs.setdefault(x, len(langs) + 1) for x in json.loads(r["langs"])], np.int32)
-                words.append(pa.array(text.tobytes().split(b"\n"), pa.binary()))
+                words.append(lines(text))
                 keys.append(np.stack([here[lang], *code]).astype(np.int32))
                 weight.append(w)
                 depth.append(d)

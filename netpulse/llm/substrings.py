@@ -35,8 +35,8 @@ from netpulse.llm.textops import U64, Hasher, buffers, mix
 from netpulse.llm.textruns import WORD_END, coded, gathered, hash_filter, passes, runs
 
 WINDOW, ANCHOR = 35, 8  # words
-BLOCK = 12 << 20  # bytes of text worked on at once
-RANGE = 1 << 22  # edges worked on at once
+BLOCK = 6 << 20  # bytes of text worked on at once
+RANGE = 1 << 20  # edges worked on at once
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)  # odd
 _PLACE = (1 << 24) - 1
 
@@ -52,7 +52,7 @@ class Sequences:
         if len(self.powers[0][0]) <= n:
             self.powers = []
             for base in _BASES:
-                step, back = np.full(n + n // 4 + 1, base, U64), np.full(n + n // 4 + 1, pow(base, -1, 1 << 64), U64)
+                step, back = np.full(n + n // 8 + 1, base, U64), np.full(n + n // 8 + 1, pow(base, -1, 1 << 64), U64)
                 step[0] = back[0] = 1
                 self.powers.append((np.multiply.accumulate(step), np.multiply.accumulate(back)))
         self.total = []
