@@ -9,10 +9,10 @@ whose words also start anywhere else. Edges are not handled one by one:
 * Paths are counted by digest. A path that occurs twice is repeated as a whole, and all its edges with it. An anchor
   with two different paths is a branching place: sources part there, and part of a path may still be repeated. All other
   paths hold nothing that is repeated.
-* A second scan gives the source coordinates (document, first word, edges) of paths at repeated or branching anchors, found with
-  bitmaps of at most 8 MB, which lose none; those at branching anchors come with the digests of their edges.
-  A join with the repeated paths decides on whole paths. Paths that are not repeated are opened to edges, which are counted
-  with the edges of the repeated paths at branching anchors and joined back to their coordinates.
+* A second scan gives the source coordinates (document, first word, edges) of repeated paths and of paths at branching places, found
+  with bitmaps of at most 8 MB, which lose none. A join with the repeated paths decides on whole paths.
+* At branching places paths that occur once, and one occurrence of each repeated path, come with the digests of their edges.
+  These are counted, and the repeated ones joined back to the coordinates of the opened paths.
 * Neighbouring and overlapping spans of a document become one cover, which is joined to its text.
 
 Digests are 128 bits over 64-bit hashes of words (as written, without lower-casing). A row is known by 128 bits of its
@@ -132,16 +132,28 @@ def block_paths(batches, k: int):
 
 
 def _paths(k: int):
-    """(anchor, low, high, n): a range's distinct paths and how often it has them."""
+    """(anchor, low, high, n, k1): a range's distinct paths, how often it has them, and the row of one of them."""
 
     def run(batches):
-        for _, p, _ in block_paths(batches, k):
+        for table, p, _ in block_paths(batches, k):
             order = np.lexsort((p.high, p.low))
             low, high = p.low[order], p.high[order]
             first = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(low)])
-            out = [p.anchor[order][first].view(np.int64), low[first].view(np.int64), high[first].view(np.int64), np.diff(np.append(first, len(low)))]
+            of = order[first]
+            out = [p.anchor[of].view(np.int64), low[first].view(np.int64), high[first].view(np.int64), np.diff(np.append(first, len(low))),
+                   table.column("k1").to_numpy()[p.row[of]]]
             for a in range(0, len(first), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in out], ["anchor", "low", "high", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in out], ["anchor", "low", "high", "n", "k1"])
+
+    return run
+
+
+def _passing(bitmap: np.ndarray, column: str):
+    """Rows whose ``column`` passes the bitmap."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(passes(bitmap, batch.column(column).to_numpy())))
 
     return run
 
@@ -149,14 +161,16 @@ def _paths(k: int):
 PLACED = "low long, high long, k1 long, k2 long, first int, edges int, inner array<struct<low: long, high: long>>"
 
 
-def _places(k: int, repeated: np.ndarray, branching: np.ndarray):
-    """Coordinates of the paths whose anchors pass ``repeated`` or ``branching``; the latter with the digests of their edges."""
+def _places(k: int, repeated: np.ndarray, open_paths: np.ndarray, samples: np.ndarray):
+    """Coordinates of paths whose anchors pass ``repeated`` or which pass ``open_paths``; with the digests of their edges where they
+    pass ``open_paths``, or their row and they pass ``samples``."""
 
     def run(batches):
         for table, p, first in block_paths(batches, k):
-            opened = passes(branching, p.anchor)
-            keys = [table.column(c).to_numpy() for c in ("k1", "k2")]
+            keys = [table.column(c).to_numpy()[p.row] for c in ("k1", "k2")]
+            opened = passes(open_paths, p.low)
             chosen = np.flatnonzero(opened | passes(repeated, p.anchor))
+            opened |= passes(samples, p.low ^ keys[0].view(U64))
             for a in range(0, len(chosen), 20_000):
                 some = chosen[a : a + 20_000]
                 inner = p.edge_digests(some[opened[some]])
@@ -164,32 +178,66 @@ def _places(k: int, repeated: np.ndarray, branching: np.ndarray):
                 pairs = pa.StructArray.from_arrays([pa.array(d.view(np.int64)) for d in inner], ["low", "high"])
                 lists = pa.ListArray.from_arrays(pa.array(at), pairs, mask=pa.array(~opened[some]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p.low[some].view(np.int64)), pa.array(p.high[some].view(np.int64)), *[pa.array(c[p.row[some]]) for c in keys],
+                    [pa.array(p.low[some].view(np.int64)), pa.array(p.high[some].view(np.int64)), *[pa.array(c[some]) for c in keys],
                      pa.array(first[some].astype(np.int32)), pa.array(p.edges[some].astype(np.int32)), lists],
                     ["low", "high", "k1", "k2", "first", "edges", "inner"])
 
     return run
 
 
+def _flat(inner: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(the list of every item, items' fields) of lists without nulls."""
+    items = inner.flatten()
+    return np.repeat(np.arange(len(inner)), pc.list_value_length(inner).to_numpy()), [items.field(c).to_numpy() for c in ("low", "high")]
+
+
+def _edges(batches):
+    """(low, high, n) of the paths' edges: an edge of a repeated path counts twice."""
+    for batch in batches:
+        of, (low, high) = _flat(batch.column("inner"))
+        n = np.where(batch.column("whole").to_numpy(zero_copy_only=False), 2, 1)[of]
+        yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(n)], ["low", "high", "n"])
+
+
+def _edge_places(again: np.ndarray):
+    """(low, high, k1, k2, first) of the edges that pass ``again``."""
+
+    def run(batches):
+        for batch in batches:
+            of, (low, high) = _flat(batch.column("inner"))
+            at = np.searchsorted(of, np.arange(len(batch)))
+            here = passes(again, low)
+            first = batch.column("first").to_numpy()[of] + (np.arange(len(of)) - at[of])
+            keys = [batch.column(c).to_numpy()[of[here]] for c in ("k1", "k2")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (low[here], high[here], *keys, first[here].astype(np.int32))],
+                                             ["low", "high", "k1", "k2", "first"])
+
+    return run
+
+
 def repeated_spans(rows: DataFrame, k: int = WINDOW) -> DataFrame:
     """(k1, k2, first, edges): runs of windows of a row that occur anywhere else too, by the row's key. ``rows``: k1, k2, text."""
-    paths = rows.select("text").mapInArrow(_paths(k), "anchor long, low long, high long, n long")
-    paths = paths.groupBy("anchor", "low", "high").agg(F.sum("n").alias("n"))
-    # of a path that occurs once only its anchor counts from here on
-    once = F.col("n") == 1
-    paths = written(paths.select("anchor", F.when(~once, F.col("low")).alias("low"), F.when(~once, F.col("high")).alias("high")), "substring-paths")
-    whole = materialize(paths.where("low is not null"))
-    branching = materialize(paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
-    placed = rows.mapInArrow(_places(k, hash_filter(whole.select("anchor").distinct()), hash_filter(branching)), PLACED)
-    whole = whole.select("low", "high", F.lit(True).alias("whole"))
-    placed = written(placed.join(whole, ["low", "high"], "left").where("whole or inner is not null"), "substring-places")
-    # edges at branching places: those of repeated paths count once for each path and as repeated
-    known = placed.where("whole and inner is not null").dropDuplicates(["low", "high"]).select(F.explode("inner").alias("e"), F.lit(2).alias("n"))
-    single = placed.where("whole is null").select("k1", "k2", "first", F.posexplode("inner").alias("place", "e"))
-    again = known.unionByName(single.select("e", F.lit(1).alias("n"))).select("e.low", "e.high", "n")
-    again = materialize(again.groupBy("low", "high").agg(F.sum("n").alias("n")).where("n > 1").select("low", "high"))
-    single = single.select("k1", "k2", (F.col("first") + F.col("place")).alias("first"), F.lit(1).alias("edges"), "e.low", "e.high")
-    single = single.join(again, ["low", "high"]).select("k1", "k2", "first", "edges")
+    paths = rows.select("k1", "text").mapInArrow(_paths(k), "anchor long, low long, high long, n long, k1 long")
+    paths = paths.groupBy("anchor", "low", "high").agg(F.sum("n").alias("n"), F.min("k1").alias("k1"))
+    again = F.col("n") > 1
+    paths = written(paths.select("anchor", "low", F.when(again, F.col("high")).alias("high"), F.when(again, F.col("k1")).alias("k1")), "substring-paths")
+    whole = materialize(paths.where("high is not null"))
+    branching = paths.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    branching = hash_filter(materialize(branching))
+    # of the paths at branching places: those that occur once, and a place of each that is repeated
+    at_branch = _passing(branching, "anchor")
+    once = paths.where("high is null").select("anchor", "low").mapInArrow(at_branch, "anchor long, low long").select("low")
+    samples = whole.mapInArrow(at_branch, whole.schema).select(F.col("low").bitwiseXOR(F.col("k1")).alias("low"))
+    placed = rows.mapInArrow(_places(k, hash_filter(whole.select("anchor")), hash_filter(once), hash_filter(samples)), PLACED)
+    whole = materialize(whole.select("low", "high", F.lit(True).alias("whole")))
+    placed = placed.join(whole, ["low", "high"], "left").where("whole or inner is not null")
+    placed = written(placed.select("k1", "k2", "first", "edges", F.coalesce("whole", F.lit(False)).alias("whole"), "inner"), "substring-places")
+
+    opened = placed.where("inner is not null").select("inner", "whole").mapInArrow(_edges, "low long, high long, n long")
+    again = materialize(opened.groupBy("low", "high").agg(F.sum("n").alias("n")).where("n > 1").select("low", "high"))
+    single = placed.where("not whole").select("k1", "k2", "first", "inner")
+    single = single.mapInArrow(_edge_places(hash_filter(again.select("low"))), "low long, high long, k1 long, k2 long, first int")
+    single = single.join(again, ["low", "high"], "left_semi").select("k1", "k2", "first", F.lit(1).alias("edges"))
     return placed.where("whole").select("k1", "k2", "first", "edges").unionByName(single)
 
 
