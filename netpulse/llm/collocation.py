@@ -73,15 +73,14 @@ class Suffixes:
         self.keys = np.stack([lang[at].astype(np.int32) + 1, *[c[at] for c in column]])
         self.words, self.langs, self.longest = words, langs, longest
 
-    def prefixes(self, hasher: Hasher) -> list[np.ndarray]:
+    def prefixes(self, hasher: Hasher) -> Iterator[np.ndarray]:
         """For every depth from 1 a hash of the language and as many leading words (of no use beyond a piece's end)."""
-        word = _hashes(hasher, self.words)
+        word = mix(_hashes(hasher, self.words), 2)
         language = _hashes(hasher, pa.array(self.langs, pa.string()))
-        h, out = mix(language[self.keys[0] - 1], 1), []
+        h = mix(language[self.keys[0] - 1], 1)
         for j in range(1, self.longest + 1):
-            h = mix(h + mix(word[np.maximum(self.keys[j], 1) - 1], 2), j + 2)
-            out.append(h)
-        return out
+            h = mix(h + word[np.maximum(self.keys[j], 1) - 1], j + 2)
+            yield h
 
     def groups(self, depth: int) -> np.ndarray:
         """Where the runs of suffixes that agree in language and ``depth`` words begin."""
@@ -108,15 +107,15 @@ def block_suffixes(batches, longest: int) -> Iterator[Suffixes]:
             continue
         piece = np.searchsorted(np.flatnonzero(PIECE_END[buf]), start)
         last = np.flatnonzero(np.append((row[1:] != row[:-1]) | (piece[1:] != piece[:-1]), True))  # words that close a piece
-        left = last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1
+        left = np.minimum(last[np.searchsorted(last, np.arange(n))] - np.arange(n) + 1, longest).astype(np.uint8)
         lang, langs = text_codes(table.column("lang"))
         lang = lang[row]
         at = np.append(0, np.cumsum(end - start))  # places in the words' bytes alone
         flat = buf[solid]
-        del buf, solid
+        del table, buf, solid, start, end, row, piece, last
         for a in range(0, n, RANGE):
             b, c = min(n, a + RANGE), min(n, a + RANGE + longest - 1)  # the last words' followers belong to the next range too
-            codes, words = coded(flat, np.s_[at[a] : at[c]], start[a:c], end[a:c])
+            codes, words = coded(flat, np.s_[at[a] : at[c]], at[a:c], at[a + 1 : c + 1])
             yield Suffixes(codes, words, lang[a:b], langs, left[a:b], longest)
 
 
@@ -127,7 +126,9 @@ def _count_prefixes(longest: int):
         hasher = Hasher()
         for s in block_suffixes(batches, longest):
             found = [(0, np.zeros(1, np.int64), np.array([s.weight.sum()]))]
-            for d, h in enumerate(s.prefixes(hasher)[:-1], 1):
+            for d, h in enumerate(s.prefixes(hasher), 1):
+                if d == longest:
+                    break
                 there = s.keys[d] > 0
                 key, n = sums(h[there].view(np.int64), s.weight[there])
                 found.append((d, key, n))
@@ -174,18 +175,22 @@ def _route(heavy: list[np.ndarray], buckets: int, longest: int):
             at = s.groups(0)
             for i, n in zip(at.tolist(), np.add.reduceat(s.weight, at).tolist(), strict=True):
                 count(0, i, n, i)
-            prefixes = s.prefixes(hasher)
             depth = np.ones(len(s.weight), np.uint8)  # by how many words a suffix is routed; 0: it has no more
             heavier = np.ones(len(s.weight), bool)
-            for d in range(1, longest):
-                heavier &= (s.keys[d] > 0) & _in(heavy[d - 1], prefixes[d - 1])
+            to = np.zeros(len(s.weight), np.int64)
+            for d, h in enumerate(s.prefixes(hasher), 1):
+                to[heavier] = (h[heavier] % U64(buckets)).astype(np.int64)
+                if d == longest:
+                    break
+                heavier &= _in(heavy[d - 1], h)
+                if not heavier.any():
+                    break
                 at = s.groups(d)
                 total = np.add.reduceat(s.weight, at)
                 for i in np.flatnonzero(heavier[at]).tolist():
-                    count(d, int(at[i]), int(total[i]), int(prefixes[d - 1][at[i]]))
+                    count(d, int(at[i]), int(total[i]), int(h[at[i]]))
                 depth[heavier] = np.where(s.keys[d + 1][heavier] > 0, d + 1, 0)
                 heavier &= depth > 0
-            to = (np.stack(prefixes)[np.maximum(depth, 1) - 1, np.arange(len(depth))] % U64(buckets)).astype(np.int64)
             sent = np.flatnonzero(depth)
             sent = sent[np.argsort(to[sent], kind="stable")]
             cut = np.flatnonzero(np.append(True, to[sent][1:] != to[sent][:-1])) if len(sent) else np.zeros(0, np.int64)
