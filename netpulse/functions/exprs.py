@@ -54,7 +54,7 @@ def hash_order(seed: int, *keys: str | Column) -> Column:
     parts: list[Column] = [F.lit(str(seed))]
     for k in keys:
         parts.append(F.lit(":"))
-        parts.append(col_or(k).cast("string"))
+        parts.append(F.coalesce(col_or(k).cast("string"), F.lit("")))  # a null counts as empty, as in DuckDB
     return F.md5(F.concat(*parts))
 
 

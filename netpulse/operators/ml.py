@@ -4,22 +4,24 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from netpulse.functions.exprs import clip, hash_order
 from netpulse.operators import metrics as M
 from netpulse.operators.windows import FEATURE_COLUMNS
-from netpulse.plans.ordering import row_index
-from netpulse.session import materialize
+from netpulse.plans.ordering import ROW_KEY, rank_rows, with_row_key
+from netpulse.session import checkpoint_dir, materialize
 
 # The rule baseline flags a window at probability >= 0.7;
 # trained models default to 0.15.
@@ -45,10 +47,13 @@ LEARNING_RATE = 0.05
 SUBSAMPLE = 0.9
 CALIBRATION_FOLDS = 3
 DEFAULT_SEED = 42
+CHECKPOINT_ROUNDS = 10  # boosting writes its rows' state this often, which cuts their lineage
+STOP_TOLERANCE = 0.01
+BOOSTED = ("lightgbm", "lightgbm_sigmoid", "hist_gradient_boosting")
 ALGORITHMS = ("lightgbm", "lightgbm_sigmoid", "hist_gradient_boosting", "random_forest", "logistic_regression")
 NOT_IN_MLLIB = ("extra_trees",)
 
-_VEC, _W = "features_vec", "class_weight"
+_VEC, _W, _STOP = "features_vec", "class_weight", "held_for_stopping"
 
 
 def _assembler() -> VectorAssembler:
@@ -68,20 +73,22 @@ def balanced_weights(frame: DataFrame, label: str = "label") -> DataFrame:
     return frame.join(F.broadcast(w), on=label, how="left")  # k rows: bounded by the class count
 
 
-def build_estimator(algorithm: str, seed: int = DEFAULT_SEED, num_trees: int | None = None):
-    """Pipeline for a registry name; unknown names raise ``ValueError``."""
+def build_estimator(algorithm: str, seed: int = DEFAULT_SEED, num_trees: int | None = None, early_stop: bool = False):
+    """Pipeline for a registry name; unknown names raise ``ValueError``. With ``early_stop`` boosting ends, before ``num_trees``
+    rounds, where the loss on rows marked ``held_for_stopping`` no longer falls by a hundredth (or by 0.0001)."""
     trees = int(num_trees or DEFAULT_TREES)
     if algorithm in NOT_IN_MLLIB:
         raise ValueError(f"Algorithm {algorithm!r} has no MLlib counterpart.")
+    boosting = {"featuresCol": _VEC, "labelCol": "label", "maxIter": trees, "stepSize": LEARNING_RATE, "minInstancesPerNode": 40,
+                "checkpointInterval": CHECKPOINT_ROUNDS, "seed": seed}
+    if early_stop:
+        boosting |= {"validationIndicatorCol": _STOP, "validationTol": STOP_TOLERANCE}
     if algorithm in ("lightgbm", "lightgbm_sigmoid"):
-        est = GBTClassifier(featuresCol=_VEC, labelCol="label", weightCol=_W, maxIter=trees, stepSize=LEARNING_RATE,
-                            subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(SUBSAMPLE), maxDepth=6,
-                            minInstancesPerNode=40, seed=seed)
+        est = GBTClassifier(weightCol=_W, subsamplingRate=SUBSAMPLE, featureSubsetStrategy=str(SUBSAMPLE), maxDepth=6, **boosting)
         if algorithm == "lightgbm_sigmoid":
             return SigmoidCalibrated(Pipeline(stages=[_assembler(), est]), seed=seed)
     elif algorithm == "hist_gradient_boosting":
-        est = GBTClassifier(featuresCol=_VEC, labelCol="label", maxIter=trees, stepSize=LEARNING_RATE, maxDepth=8,
-                            minInstancesPerNode=40, seed=seed)
+        est = GBTClassifier(maxDepth=8, **boosting)
     elif algorithm == "random_forest":
         est = RandomForestClassifier(featuresCol=_VEC, labelCol="label", weightCol=_W, numTrees=trees, maxDepth=12,
                                      minInstancesPerNode=10, seed=seed)
@@ -102,7 +109,8 @@ def positive_probability(pred: DataFrame) -> DataFrame:
 class SigmoidCalibrated:
     """Platt scaling in hash folds: each fold's base model is fitted on the other folds and a
     one-feature logistic model maps its score on the held-out fold to a probability; the
-    prediction averages the fold pairs."""
+    prediction averages the fold pairs. Folds are fitted side by side, as jobs of their own. Rows are dealt one by one, whatever
+    their keys; rows held for stopping take part in no fold's calibration."""
 
     base: Pipeline
     seed: int = DEFAULT_SEED
@@ -111,18 +119,20 @@ class SigmoidCalibrated:
 
     def fit(self, frame: DataFrame) -> SigmoidCalibrated:
         # dealt in hash order inside each label, so every fold has its share of both classes
-        rank = row_index(frame.select("label", "session_id", "window_start").withColumn(
-            "_h", hash_order(self.seed, "session_id", "window_start")), ["_h", "session_id", "window_start"], keys=["label"], name="_i")
-        folds = rank.select("session_id", "window_start", F.pmod("_i", F.lit(self.folds)).alias("_fold"))
-        keyed = materialize(frame.join(folds, ["session_id", "window_start"]))
-        self.pairs = []
-        for i in range(self.folds):
-            base_model = self.base.fit(keyed.where(F.col("_fold") != i))
-            held = positive_probability(base_model.transform(keyed.where(F.col("_fold") == i)))
+        rows = with_row_key(frame.withColumn("_h", hash_order(self.seed, "session_id", "window_start")))
+        rank = rank_rows(rows, ["_h", "session_id", "window_start"], ["label"], "_i")
+        folds = rank.select(ROW_KEY, F.pmod("_i", F.lit(self.folds)).alias("_fold"))
+        keyed = materialize(rows.join(folds, ROW_KEY))
+        held_for_stopping = F.col(_STOP) if _STOP in frame.columns else F.lit(False)
+
+        def pair(i: int):
+            base_model = self.base.fit(keyed.where((F.col("_fold") != i) | held_for_stopping))
+            held = positive_probability(base_model.transform(keyed.where((F.col("_fold") == i) & ~held_for_stopping)))
             held = held.select("label", F.col("probability").alias("_raw"))
             held = VectorAssembler(inputCols=["_raw"], outputCol="_score").transform(held)
-            cal = LogisticRegression(featuresCol="_score", labelCol="label", maxIter=100).fit(held)
-            self.pairs.append((base_model, cal))
+            return base_model, LogisticRegression(featuresCol="_score", labelCol="label", maxIter=100).fit(held)
+
+        self.pairs = side_by_side([lambda i=i: pair(i) for i in range(self.folds)])
         return self
 
     def transform(self, frame: DataFrame) -> DataFrame:
@@ -140,6 +150,13 @@ class SigmoidCalibrated:
         return out.withColumn("probability", F.array(F.lit(1.0) - p, p)).drop(*names)
 
 
+def side_by_side(jobs: Sequence[Callable]) -> list:
+    """Results of driver functions that each submit Spark jobs, run at the same time (a handful: one a fold or an estimator)."""
+    run = inheritable_thread_target(SparkSession.getActiveSession())(lambda job: job())
+    with ThreadPool(len(jobs)) as pool:
+        return pool.map(run, jobs)
+
+
 def _probabilities(model, frame: DataFrame) -> DataFrame:
     out = model.transform(frame)
     if isinstance(model, SigmoidCalibrated):
@@ -152,10 +169,32 @@ def _require_two_classes(frame: DataFrame) -> None:
         raise ValueError("Training data must contain both classes.")
 
 
-def fit_sensor_model(train: DataFrame, algorithm: str, seed: int = DEFAULT_SEED, num_trees: int | dict | None = None):
-    """(model, seconds). ``num_trees``: a number, or one for some algorithms by name."""
-    est = build_estimator(algorithm, seed, num_trees.get(algorithm) if isinstance(num_trees, dict) else num_trees)
-    data = balanced_weights(model_input(train))
+def hold_for_stopping(train: DataFrame, share: float, seed: int = DEFAULT_SEED) -> DataFrame:
+    """Mark the rows of about ``share`` of the sessions, by the hash of their id, with ``held_for_stopping``.
+    Whole sessions are held, so that no session is on both sides; a side without both classes raises."""
+    if not 0.0 < share < 1.0:
+        raise ValueError(f"the share of sessions held for stopping is {share}; it must be between 0 and 1")
+    marked = train.withColumn(_STOP, F.substring(hash_order(seed, F.lit("stop"), "session_id"), 1, 8) < f"{int(share * (1 << 32)):08x}")
+    sides = marked.groupBy(_STOP).agg(F.count_distinct("label").alias("classes")).collect()  # two rows at most
+    if sorted(r["classes"] for r in sides) != [2, 2]:
+        raise ValueError("too few sessions to hold some for stopping: both sides need both classes")
+    return marked
+
+
+def boosting_rounds(model) -> list[int]:
+    """Trees of each boosted model within ``model`` (one, or one a calibration fold; none for other estimators)."""
+    models = [m for m, _ in model.pairs] if isinstance(model, SigmoidCalibrated) else [model]
+    return [m.stages[-1].getNumTrees for m in models if isinstance(m.stages[-1], GBTClassificationModel)]
+
+
+def fit_sensor_model(train: DataFrame, algorithm: str, seed: int = DEFAULT_SEED, num_trees: int | dict | None = None,
+                     stop_share: float = 0.0):
+    """(model, seconds). ``num_trees``: a number, or one for some algorithms by name. With ``stop_share`` boosted models hold
+    that share of the sessions back and stop when these no longer gain (``build_estimator``); by default all rounds run."""
+    early_stop = stop_share > 0.0 and algorithm in BOOSTED
+    est = build_estimator(algorithm, seed, num_trees.get(algorithm) if isinstance(num_trees, dict) else num_trees, early_stop)
+    checkpoint_dir(train.sparkSession)  # boosting cuts its lineage there
+    data = balanced_weights(model_input(hold_for_stopping(train, stop_share, seed) if early_stop else train))
     t0 = time.perf_counter()
     model = est.fit(data)
     return model, time.perf_counter() - t0
@@ -174,7 +213,8 @@ def evaluation_report(scored: DataFrame, threshold: float, keys: Sequence[str] =
 
 
 def train_sensor(features: DataFrame, algorithm: str = "lightgbm", validation_ratio: float = 0.2,
-                 seed: int = DEFAULT_SEED, threshold: float = MODEL_THRESHOLD, num_trees: int | dict | None = None):
+                 seed: int = DEFAULT_SEED, threshold: float = MODEL_THRESHOLD, num_trees: int | dict | None = None,
+                 stop_share: float = 0.0):
     """Split by session, fit, evaluate on validation sessions. Returns (model, report, metadata)."""
     from netpulse.operators.sampling import split_by_session
 
@@ -182,10 +222,10 @@ def train_sensor(features: DataFrame, algorithm: str = "lightgbm", validation_ra
     split = materialize(split_by_session(features, validation_ratio, seed))
     train = split.where(F.col("split") == "train").drop("split")
     valid = split.where(F.col("split") == "validation").drop("split")
-    model, seconds = fit_sensor_model(train, algorithm, seed, num_trees)
+    model, seconds = fit_sensor_model(train, algorithm, seed, num_trees, stop_share)
     scored = score(model, valid, threshold)
     report = evaluation_report(scored.withColumn("scope", F.lit("validation")), threshold, ["scope"])
-    meta = {"algorithm": algorithm, "threshold": threshold, "fit_seconds": seconds, "seed": seed,
+    meta = {"algorithm": algorithm, "threshold": threshold, "fit_seconds": seconds, "seed": seed, "rounds": boosting_rounds(model),
             "validation_ratio": validation_ratio, "feature_columns": list(FEATURE_COLUMNS),
             **_report_counts(train, valid)}
     return model, report, meta
@@ -265,8 +305,9 @@ def evaluate_holdouts(features: DataFrame, algorithm: str = "logistic_regression
     if bad:
         raise ValueError(f"Domain {bad[0]['domain']} lacks one of the classes")
     key = ["session_id", "window_start"]
-    ranked = row_index(features.select("domain", *key).withColumn("_h", hash_order(seed, *key)), ["_h", *key], keys=["domain"], name="_i")
-    feats = materialize(features.join(ranked.select("domain", *key, "_i"), ["domain", *key]))
+    keyed = with_row_key(features.withColumn("_h", hash_order(seed, *key)))
+    ranked = rank_rows(keyed, ["_h", *key], ["domain"], "_i")
+    feats = materialize(keyed.join(ranked.select(ROW_KEY, "_i"), ROW_KEY).select(*features.columns, "_i"))
     rows = {r["domain"]: r["n"] for r in feats.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     preds, extra = [], []
@@ -294,7 +335,7 @@ _COUNTS = ("train_rows", "train_positive", "eval_rows", "eval_positive")
 
 def compare_models(features: DataFrame, algorithms: Sequence[str] = ALGORITHMS, validation_ratio: float = 0.2,
                    seed: int = DEFAULT_SEED, threshold: float = MODEL_THRESHOLD, max_train_rows: int | None = None,
-                   num_trees: int | dict | None = None) -> DataFrame:
+                   num_trees: int | dict | None = None, stop_share: float = 0.0) -> DataFrame:
     """One split, N estimators fitted one after another; stacked predictions, metrics grouped by algorithm,
     ranked. ``max_train_rows`` bounds the train side of the split only."""
     from netpulse.operators.sampling import downsample, split_by_session
@@ -305,7 +346,7 @@ def compare_models(features: DataFrame, algorithms: Sequence[str] = ALGORITHMS,
     valid = split.where(F.col("split") == "validation").drop("split")
     preds, secs = [], []
     for a in algorithms:
-        model, seconds = fit_sensor_model(train, a, seed, num_trees)
+        model, seconds = fit_sensor_model(train, a, seed, num_trees, stop_share)
         secs.append((a, float(seconds)))
         preds.append(score(model, valid, threshold).withColumn("algorithm", F.lit(a)))
     stacked = preds[0]

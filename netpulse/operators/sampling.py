@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from netpulse.functions.exprs import hash_order
 from netpulse.operators.windows import session_labels
-from netpulse.plans.ordering import row_index
+from netpulse.plans.ordering import ROW_KEY, rank_rows, row_index, with_row_key
 from netpulse.session import materialize
 
 DEFAULT_SEED = 42
@@ -93,31 +93,34 @@ def balance_domains(frame: DataFrame, seed: int = DEFAULT_SEED, row_key: Sequenc
                     groups: Sequence[str] = ()) -> DataFrame:
     """Undersample every domain to the smallest domain's row count (one domain: unchanged).
 
-    ``groups`` balances several frames in one pass (e.g. every holdout fold at once).
+    ``groups`` balances several frames in one pass (e.g. every holdout fold at once). Rows count one by one: null and
+    repeated keys are kept or left like others (of equal keys by content); a null domain or group is one like others.
     """
-    full = [*groups, "domain", *row_key]
-    keys = frame.select(*full).withColumn("_h", hash_order(seed, *row_key))
-    ranked = row_index(keys, ["_h", *row_key], keys=[*groups, "domain"], name="_i")
+    rows = with_row_key(frame.withColumn("_h", hash_order(seed, *row_key)))
+    ranked = rank_rows(rows, ["_h", *row_key], [*groups, "domain"], "_i")
     counts = ranked.groupBy(*groups, "domain").agg(F.count(F.lit(1)).alias("_rows"))  # from the checkpointed ranking
     target = counts.groupBy(*groups).agg(F.min("_rows").alias("_target"), F.count(F.lit(1)).alias("_domains"))
+    target = target.select(*[F.col(g).alias(f"_t_{g}") for g in groups], "_target", "_domains")
     # one row per group (a single row without groups): bounded by the number of folds
-    kept = ranked.join(F.broadcast(target), on=list(groups), how="inner") if groups else ranked.crossJoin(F.broadcast(target))
-    keep = kept.where((F.col("_domains") < 2) | (F.col("_i") < F.col("_target"))).select(*full)
-    return frame.join(keep, on=full, how="left_semi")
+    same = [F.col(g).eqNullSafe(F.col(f"_t_{g}")) for g in groups]
+    kept = ranked.join(F.broadcast(target), on=same, how="inner") if groups else ranked.crossJoin(F.broadcast(target))
+    kept = kept.where((F.col("_domains") < 2) | (F.col("_i") < F.col("_target"))).select(ROW_KEY)
+    return rows.join(kept, ROW_KEY, "left_semi").select(*[F.col(f"`{c}`") for c in frame.columns])
 
 
 def downsample(frame: DataFrame, max_rows: int | None, seed: int = DEFAULT_SEED,
                row_key: Sequence[str] = ("session_id", "window_start")) -> DataFrame:
-    """At most ``max_rows`` rows chosen by hash order; fewer rows stay unchanged.
+    """``max_rows`` rows chosen by hash order, or all of fewer. Null and repeated keys count row by row (of equal keys
+    by content), so the number is exact.
 
-    Only the (unique) key is ranked; the rows join their rank on it, so wide rows never pass
+    Only the key is ranked; the rows join their rank on a number of their own, so wide rows never pass
     through the ordered index, and no task sees more than its range of keys.
     """
     if max_rows is None:
         return frame
-    keys = frame.select(*row_key).withColumn("_h", hash_order(seed, *row_key))
-    ranked = row_index(keys, ["_h", *row_key], name="_i").where(F.col("_i") < F.lit(int(max_rows)))
-    return frame.join(ranked.select(*row_key), on=list(row_key), how="left_semi")
+    rows = with_row_key(frame.withColumn("_h", hash_order(seed, *row_key)))
+    ranked = rank_rows(rows, ["_h", *row_key], name="_i").where(F.col("_i") < F.lit(int(max_rows)))
+    return rows.join(ranked.select(ROW_KEY), ROW_KEY, "left_semi").select(*[F.col(f"`{c}`") for c in frame.columns])
 
 
 def keep_sessions(frame: DataFrame, sessions: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:

@@ -16,6 +16,7 @@ from netpulse.functions.exprs import round_doubles
 from netpulse.operators import windows
 from netpulse.plans import bridge
 from netpulse.plans import oracle as O
+from netpulse.session import materialize
 
 # Fixed parameters of the bridge fixtures: one-day windows over the event month.
 WINDOW_SECONDS = 86400
@@ -901,11 +902,6 @@ def q_load_domains(spark, sf_dir):
 
 from netpulse.operators import ml as ML  # noqa: E402
 
-# Boosting is one Spark job a tree level: the registered fits of boosted trees run 10 rounds instead of the
-# library's 300 (README, "Differences"). Forests, logistic and Huber fits run at the library's defaults.
-_TREES = {"lightgbm": 10, "lightgbm_sigmoid": 10, "hist_gradient_boosting": 10}
-
-
 def _fit_features(spark, sf_dir):
     return features(spark, sf_dir)
 
@@ -921,12 +917,11 @@ def q_rule_score(spark, sf_dir):
 
 @register("build_estimator")
 def q_build_estimator(spark, sf_dir):
-    """Fit every registry estimator once and score the training rows."""
-    feats = features(spark, sf_dir)
-    parts = []
-    for a in ("lightgbm", "hist_gradient_boosting", "random_forest", "logistic_regression"):
-        model, _ = ML.fit_sensor_model(feats, a, num_trees=_TREES)
-        parts.append(ML.score(model, feats).withColumn("algorithm", F.lit(a)))
+    """Fit every registry estimator once, at its full size, and score the training rows."""
+    feats = materialize(features(spark, sf_dir))
+    names = ("lightgbm", "hist_gradient_boosting", "random_forest", "logistic_regression")
+    models = ML.side_by_side([lambda a=a: ML.fit_sensor_model(feats, a)[0] for a in names])
+    parts = [ML.score(m, feats).withColumn("algorithm", F.lit(a)) for a, m in zip(names, models, strict=True)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -936,14 +931,14 @@ def q_build_estimator(spark, sf_dir):
 @register("calibrate_sigmoid")
 def q_calibrate_sigmoid(spark, sf_dir):
     """Three-fold Platt scaling of a boosted model; calibrated scores of all rows."""
-    feats = features(spark, sf_dir)
-    model, _ = ML.fit_sensor_model(feats, "lightgbm_sigmoid", num_trees=_TREES)
+    feats = materialize(features(spark, sf_dir))
+    model, _ = ML.fit_sensor_model(feats, "lightgbm_sigmoid")
     return ML.score(model, feats)
 
 
 @register("train_sensor")
 def q_train_sensor(spark, sf_dir):
-    _, report, _ = ML.train_sensor(_fit_features(spark, sf_dir), "lightgbm", num_trees=_TREES)
+    _, report, _ = ML.train_sensor(_fit_features(spark, sf_dir), "lightgbm")
     return report
 
 
@@ -956,7 +951,7 @@ def q_infer_sensor(spark, sf_dir):
 
 @register("train_sensor_multidomain")
 def q_train_sensor_multidomain(spark, sf_dir):
-    _, report, _ = ML.train_sensor_multidomain(_fit_features(spark, sf_dir), "random_forest", num_trees=_TREES)
+    _, report, _ = ML.train_sensor_multidomain(_fit_features(spark, sf_dir), "random_forest")
     return report
 
 
@@ -976,7 +971,7 @@ def q_evaluate_holdouts(spark, sf_dir):
 
 @register("compare_models")
 def q_compare_models(spark, sf_dir):
-    return ML.compare_models(_fit_features(spark, sf_dir), num_trees=_TREES)
+    return ML.compare_models(_fit_features(spark, sf_dir))
 
 
 @register("train_iat_forecaster")

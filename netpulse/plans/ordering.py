@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from netpulse.session import checkpoint_dir, small
+from netpulse.session import checkpoint_dir, materialize, small
 
 _PID = "_np_pid"
 
@@ -175,83 +175,75 @@ def quantiles_from_ranked(ranked: DataFrame, value_col: str, count_col: str, cum
     return pivoted.groupBy(*keys).agg(*[F.max(F.when(F.col("q_name") == k, value)).alias(k) for k in quantiles])
 
 
-def _local_history(keys: Sequence[str], value: str, length: int, out_col: str):
-    """In-partition trailing history of ``value`` (up to ``length`` earlier rows of the same key).
+_SEQ, _CARRY = "_np_seq", "_np_carry"
 
-    Vectorized per Arrow batch: key-run starts and in-run positions with numpy,
-    histories as slices of one array. Rows of the partition's first key run with
-    fewer than ``length`` in-partition predecessors are flagged ``_np_open``; the
-    edge pass recomputes them (their history may start in an earlier partition).
-    """
 
-    def key_array(pdf: pd.DataFrame) -> np.ndarray:
-        if not keys:
-            return np.zeros(len(pdf), dtype=np.int8)
-        if len(keys) == 1:
-            return pdf[keys[0]].to_numpy()
-        out = np.empty(len(pdf), dtype=object)
-        out[:] = list(zip(*[pdf[k].tolist() for k in keys]))
-        return out
+def _history(keys: Sequence[str], value: str, length: int, out_col: str, columns: Sequence[str]):
+    """Trailing history of ``value`` (up to ``length`` earlier rows of the same key) of a partition's rows.
+
+    Works on Arrow columns: starts of key runs and places in them as arrays, the histories of a batch as one list
+    array over the values. The partition's first row brings the values that precede it in earlier partitions.
+    """
 
     def run(batches):
-        carry_key, carry_vals, carry_count = None, None, 0
-        runs_seen = 0  # key runs started so far in this partition
-        for pdf in batches:
-            n = len(pdf)
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        last_key, held = None, None  # of the row before: its key, and the last values of its run (itself included)
+        for batch in batches:
+            n = batch.num_rows
             if n == 0:
                 continue
-            kv = key_array(pdf)
-            vals = pdf[value].to_numpy()
-            new_run = np.empty(n, dtype=bool)
-            new_run[0] = carry_key is None or bool(kv[0] != carry_key)
-            if n > 1:
-                new_run[1:] = kv[1:] != kv[:-1]
-            idx = np.arange(n)
-            run_start = np.maximum.accumulate(np.where(new_run, idx, 0))
-            pos = idx - run_start
-            continuing = np.cumsum(new_run) == 0
-            pos[continuing] += carry_count
-            prefix = carry_vals if (carry_vals is not None and continuing.any()) else vals[:0]
-            c = len(prefix)
-            ext = np.concatenate([prefix, vals])
-            take = np.minimum(pos, length)
-            hist = [ext[c + i - h: c + i] for i, h in enumerate(take.tolist())]
-            # a row belongs to the partition's first key run iff exactly one run has started by it
-            first_run = (runs_seen + np.cumsum(new_run)) == 1
-            out = pdf.copy()
-            out[out_col] = hist
-            out["_np_open"] = first_run & (pos < length)
-            yield out
-            runs_seen += int(new_run.sum())
-            last_start = c + int(run_start[-1]) if not continuing[-1] else 0
-            carry_vals = ext[max(last_start, len(ext) - length):]
-            carry_key = kv[-1]
-            carry_count = int(pos[-1]) + 1
+            key_cols = [batch.column(k) for k in keys]
+            values = batch.column(value)
+            new = np.zeros(n, dtype=bool)
+            for c in key_cols:
+                differs = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, n - 1)), False)
+                differs = pc.or_(differs, pc.not_equal(pc.is_null(c.slice(1)), pc.is_null(c.slice(0, n - 1))))
+                new[1:] |= differs.to_numpy(zero_copy_only=False)
+            first_key = [c[0].as_py() for c in key_cols]
+            if held is None:
+                held = pa.array(batch.column(_CARRY)[0].as_py() or [], values.type)
+            elif first_key != last_key:
+                held = values.slice(0, 0)
+            c = len(held)
+            line = pa.concat_arrays([held, values])
+            row = np.arange(n)
+            start = np.maximum.accumulate(np.where(new, row, 0))
+            begun = np.cumsum(new) > 0  # not in the run that earlier rows began
+            take = np.minimum(np.where(begun, row - start, row + c), length)
+            at = np.concatenate([[0], np.cumsum(take)])
+            inside = np.arange(at[-1]) + np.repeat(c + row - take - at[:-1], take)
+            history = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), line.take(pa.array(inside)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in columns], history], [*columns, out_col])
+            run_start = c + int(start[-1]) if begun[-1] else 0
+            held = line.slice(max(run_start, len(line) - length))
+            last_key = [x[n - 1].as_py() for x in key_cols]
 
     return run
 
 
-def _edges(length: int):
-    """First and last ``length`` rows of every partition, with their in-partition position."""
-
-    def run(batches):
-        head = []
-        tail = None
-        pos = 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pdf = pdf.assign(_np_pos=range(pos, pos + len(pdf)))
-            pos += len(pdf)
-            if sum(len(h) for h in head) < length:
-                need = length - sum(len(h) for h in head)
-                head.append(pdf.iloc[:need])
-            tail = pdf.iloc[-length:] if tail is None else pd.concat([tail, pdf]).iloc[-length:]
-        if head:
-            both = pd.concat([*head, tail]).drop_duplicates(subset=["_np_pos"])
-            yield both
-
-    return run
+def _carries(ranged: DataFrame, keys: Sequence[str], value: str, length: int) -> DataFrame:
+    """(_np_pid, _np_carry): for every range partition whose first key began earlier, the ``length`` values before it, oldest first.
+
+    Only the last ``length`` rows of a partition can be needed by later ones. They are numbered through all partitions and
+    meet the partitions' first rows on that number in steps of ``length``, so no key's rows come together."""
+    pid, pos = F.shiftright(_SEQ, 33).cast("int"), F.col(_SEQ).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(pid.alias(_PID)).agg(F.count(F.lit(1)).alias("_np_n"))
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = F.broadcast(sizes.withColumn("_np_from", F.coalesce(F.sum("_np_n").over(before), F.lit(0))))
+    placed = ranged.select(pid.alias(_PID), pos.alias("_np_pos"), *keys, F.col(value).alias("_np_value")).join(sizes, _PID)
+    tails = placed.where(F.col("_np_pos") >= F.col("_np_n") - length).select(
+        (F.col("_np_from") + F.col("_np_pos")).alias("_np_at"), *[F.col(k).alias(f"_np_k_{k}") for k in keys], "_np_value")
+    tails = tails.withColumn("_np_step", F.floor(F.col("_np_at") / length).cast("long"))
+    firsts = placed.where((F.col("_np_pos") == 0) & (F.col("_np_from") > 0))
+    steps = F.array_distinct(F.array(*[F.floor((F.col("_np_from") - d) / length).cast("long") for d in (1, length)]))
+    firsts = firsts.select(_PID, "_np_from", *keys, F.explode(steps).alias("_np_step"))
+    same = [F.col(k).eqNullSafe(F.col(f"_np_k_{k}")) for k in keys]
+    near = [F.col("_np_at") < F.col("_np_from"), F.col("_np_at") >= F.col("_np_from") - length]
+    met = firsts.join(tails.withColumnRenamed("_np_step", "_np_step2"), [F.col("_np_step") == F.col("_np_step2"), *same, *near])
+    listed = met.groupBy(_PID).agg(F.sort_array(F.collect_list(F.struct("_np_at", "_np_value"))).alias("_np_list"))
+    return listed.select(_PID, F.transform("_np_list", lambda x: x["_np_value"]).alias(_CARRY))
 
 
 def ordered_history(
@@ -267,42 +259,47 @@ def ordered_history(
     ``order_cols`` order (oldest first) — ``collect_list`` over ``rowsBetween(-length, -1)``
     without putting a whole key in one task.
 
-    Rows are range-partitioned on (keys, order); each task builds its rows'
-    history locally; rows whose history reaches into an earlier partition are
-    recomputed from the partitions' edge rows (at most 2 * length per partition).
+    Rows are range-partitioned on (keys, order) and pinned by a checkpoint. A table with one row of at most ``length``
+    values for each partition (its size is bounded by that) carries the history over the partitions'
+    edges, so that one pass gives every row its whole history. Null keys are a key of their own.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
-    sort_cols = [*keys, *order_cols]
+    sort_cols = list(dict.fromkeys([*keys, *order_cols]))
     ranged = (
         _range(df, sort_cols, num_partitions)
         .sortWithinPartitions(*sort_cols)
-        .withColumn(_PID, F.spark_partition_id())
+        .withColumn(_SEQ, F.monotonically_increasing_id())
         .checkpoint(eager=True)
     )
-    vtype = ranged.schema[value].dataType
-    hist_schema = T.StructType(
-        [*ranged.schema.fields, T.StructField(out_col, T.ArrayType(vtype), True), T.StructField("_np_open", T.BooleanType())]
-    )
-    local = ranged.mapInPandas(_local_history(list(keys), value, length, out_col), hist_schema)
-    closed = local.where(~F.col("_np_open")).drop("_np_open", _PID)
+    carries = F.broadcast(_carries(ranged, keys, value, length))
+    first = F.col(_SEQ).bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    rows = ranged.withColumn(_PID, F.shiftright(_SEQ, 33).cast("int")).join(carries, _PID, "left")
+    rows = rows.select(*df.columns, F.when(first, F.col(_CARRY)).alias(_CARRY))
+    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(df.schema[value].dataType), True)])
+    return rows.mapInArrow(_history(list(keys), value, length, out_col, df.columns), schema)
+
+
+ROW_KEY, _TIE = "_np_row", "_np_tie"
+
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """``df`` with a number for each row (``_np_row``), fixed by writing the rows once, and a hash of the row's content
+    (``_np_tie``): rows that agree in a key are told apart, and those of equal hash are (but for chance) the same row."""
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return materialize(df.withColumns({_TIE: F.xxhash64(*plain), ROW_KEY: F.monotonically_increasing_id()}))
+
 
-    edge_schema = T.StructType([*ranged.schema.fields, T.StructField("_np_pos", T.LongType())])
-    edges = ranged.mapInPandas(_edges(length), edge_schema)
-    order_w = Window.partitionBy(*keys).orderBy(*order_cols) if keys else Window.orderBy(*order_cols)
-    edge_hist = edges.withColumn(out_col, F.collect_list(value).over(order_w.rowsBetween(-length, -1)))
-    opened = local.where(F.col("_np_open")).select(_PID, *keys, *order_cols)
-    fixed = opened.join(edge_hist.select(_PID, *keys, *order_cols, out_col), on=[_PID, *keys, *order_cols], how="inner")
-    reopened = local.where(F.col("_np_open")).drop(out_col, "_np_open").join(
-        fixed, on=[_PID, *keys, *order_cols], how="inner"
-    ).drop(_PID)
-    return closed.unionByName(reopened)
+def rank_rows(rows: DataFrame, order_cols: Sequence[str], keys: Sequence[str] = (), name: str = "row_index") -> DataFrame:
+    """(_np_row, keys, ``name``): positions of the rows of ``with_row_key`` in ``order_cols`` order within their key group, from the
+    narrow columns only. Every row has one: nulls come first and are a key of their own, ties are ranked by content."""
+    narrow = rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keys, *order_cols, _TIE, ROW_KEY])])
+    return row_index(narrow, [*order_cols, _TIE, ROW_KEY], keys=list(keys), name=name).select(ROW_KEY, *keys, name)
 
 
 def narrow_row_index(df: DataFrame, order_cols: Sequence[str], keys: Sequence[str] = (), name: str = "row_index") -> DataFrame:
-    """``row_index`` computed on the (keys, order) projection only and joined back on that
-    (unique) key: the wide rows take one hash shuffle instead of a range shuffle plus a
-    checkpoint; a unique join key cannot be skewed."""
-    narrow = df.select(*keys, *order_cols)
-    idx = row_index(narrow, list(order_cols), keys=list(keys), name=name)
-    return df.join(idx, on=[*keys, *order_cols], how="inner")
+    """``row_index`` computed on the (keys, order) projection only and joined back on a key of the row itself: wide rows are
+    written once and take one hash shuffle on a unique key; rows with null or repeated keys keep their place."""
+    rows = with_row_key(df)
+    ranked = rank_rows(rows, order_cols, keys, name).select(ROW_KEY, name)
+    return rows.join(ranked, ROW_KEY).select(*[F.col(f"`{c}`") for c in df.columns], name)
