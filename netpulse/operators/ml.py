@@ -296,11 +296,10 @@ def evaluate_holdouts(features: DataFrame, algorithm: str = "logistic_regression
     Rows are not copied per holdout. Each row is ranked once in hash order inside its domain; the fold of
     holdout h trains on the rows of the other domains whose rank is below their smallest row count.
     """
-    from netpulse.operators.joins import check_domains, holdout_domains
+    from netpulse.operators.joins import check_domains, fold_rows, fold_table, holdout_domains
 
     names = holdout_domains(features)
-    if len(names) < 2:
-        raise ValueError(f"need two domains or more to hold one out, found {len(names)}")
+    folds = fold_table(features.sparkSession, names)
     bad = check_domains(features).where(~F.col("ok")).limit(1).collect()
     if bad:
         raise ValueError(f"Domain {bad[0]['domain']} lacks one of the classes")
@@ -312,11 +311,11 @@ def evaluate_holdouts(features: DataFrame, algorithm: str = "logistic_regression
 
     preds, extra = [], []
     for d in names:  # one after another, so that each fit's time means something
-        train = feats.where(F.col("domain") != d)
+        train = fold_rows(feats, folds, d, "train")
         if balance and len(names) > 2:
             train = train.where(F.col("_i") < min(n for k, n in rows.items() if k != d))
         train = train.drop("_i")
-        held = feats.where(F.col("domain") == d).drop("_i")
+        held = fold_rows(feats, folds, d, "eval").drop("_i")
         model, seconds = fit_sensor_model(train, algorithm, seed, num_trees)
         preds.append(score(model, held, threshold).withColumn("holdout", F.lit(d)))
         counts = _report_counts(train, held)

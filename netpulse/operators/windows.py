@@ -35,6 +35,7 @@ RAW_SENSOR_COLUMNS = [
     "resets",
     "label",
 ]
+UNLABELLED_COLUMNS = [c for c in RAW_SENSOR_COLUMNS if c != "label"]  # what rows to be scored must have
 
 OPTIONAL_COLUMN_AGGREGATES = {
     "flow_duration_ms": "mean",
@@ -118,6 +119,11 @@ def window_start_column(ts: Column, window_seconds: int) -> Column:
     return F.window(ts, f"{int(window_seconds)} seconds").start
 
 
+def label_of(frame: DataFrame) -> list[str]:
+    """``label``, where there is one: rows to be scored have none."""
+    return ["label"] if "label" in frame.columns else []
+
+
 def window_aggregate_exprs(columns: list[str]) -> list[Column]:
     """Aggregate expressions of one tumbling window (shared by batch and stream)."""
     aggs = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in _SUMMED_RAW]  # whole numbers stay so, fractions are kept
@@ -125,8 +131,9 @@ def window_aggregate_exprs(columns: list[str]) -> list[Column]:
         F.avg("rtt_ms").alias("rtt_mean"),
         F.coalesce(F.stddev_samp("rtt_ms"), F.lit(0.0)).alias("rtt_std"),
         F.count("timestamp").alias("sample_count"),
-        F.max("label").alias("label"),
     ]
+    if "label" in columns:
+        aggs.append(F.max("label").alias("label"))
     for name, how in OPTIONAL_COLUMN_AGGREGATES.items():
         if name in columns:
             value = F.col(name).cast("double")
@@ -136,7 +143,7 @@ def window_aggregate_exprs(columns: list[str]) -> list[Column]:
 
 
 def _prepare_raw(raw: DataFrame) -> DataFrame:
-    require_columns(raw, RAW_SENSOR_COLUMNS, "sensor")
+    require_columns(raw, UNLABELLED_COLUMNS, "sensor")
     ts_type = raw.schema["timestamp"].dataType
     # Null group keys are dropped (the reference's groupby does so); Spark would keep them.
     return raw.withColumn("timestamp", as_utc_timestamp("timestamp", ts_type)).where(
@@ -145,7 +152,7 @@ def _prepare_raw(raw: DataFrame) -> DataFrame:
 
 
 def window_aggregate(raw: DataFrame, window_seconds: int = 5, extra_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Per (session, tumbling window) sums, RTT mean/std, counts and optional columns."""
+    """Per (session, tumbling window) sums, RTT mean/std, counts and optional columns; the label if the rows have one."""
     frame = _prepare_raw(raw)
     keys = [F.col("session_id"), *[F.col(k) for k in extra_keys]]
     grouped = frame.groupBy(*keys, window_start_column(F.col("timestamp"), window_seconds).alias("window_start"))
@@ -196,7 +203,7 @@ def window_features(windows: DataFrame, window_seconds: int = 5) -> DataFrame:
     }
     keys = [c for c in windows.columns if c not in set(RAW_SENSOR_COLUMNS[2:]) | set(OPTIONAL_COLUMN_AGGREGATES)
             and c not in {"rtt_mean", "rtt_std", "sample_count", "label"}]
-    return windows.select(*keys, *[e.alias(n) for n, e in features.items()], F.col("label"))
+    return windows.select(*keys, *[e.alias(n) for n, e in features.items()], *label_of(windows))
 
 
 def session_start_values(features: DataFrame, session_key: str = "session_id") -> DataFrame:
@@ -230,18 +237,18 @@ def session_baseline_features(features: DataFrame, session_key: str = "session_i
             value = F.col(name) / clip_lower(start, floor)
         derived.append(value.alias(_BASELINE_OUTPUT[name]))
     keep = [c for c in features.columns if c != "label"]
-    return joined.select(*keep, *derived, F.col("label"))
+    return joined.select(*keep, *derived, *label_of(features))
 
 
 def sensor_feature_frame(raw: DataFrame, window_seconds: int = 5, extra_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Raw sensor rows -> one row per (session, window) with the 30 features and the label.
+    """Raw sensor rows -> one row per (session, window) with the 30 features, and the label if the rows have one.
 
     ``extra_keys`` are carried through as grouping keys (e.g. ``domain``).
     """
     windows = window_aggregate(raw, window_seconds, extra_keys)
     feats = window_features(windows, window_seconds)
     out = session_baseline_features(feats)
-    return out.select("session_id", *extra_keys, "window_start", *FEATURE_COLUMNS, "label")
+    return out.select("session_id", *extra_keys, "window_start", *FEATURE_COLUMNS, *label_of(out))
 
 
 # ---------------------------------------------------------------- counts

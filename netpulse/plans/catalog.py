@@ -7,7 +7,6 @@ so engine-specific summation order cannot flip a value hash.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -603,6 +602,14 @@ def q_build_experiment_dataset(spark, sf_dir):
     return out.select(*[c.strip('"') for c in _EXP_OUT.split(", ")], "packets_sent", "packets_lost", "rtt_ms")
 
 
+@register("label_by_phase_steps", O.with_ctes(*O.experiment_ctes()) + f"SELECT {_EXP_OUT} FROM labelled")
+def q_label_by_phase_steps(spark, sf_dir):
+    """The interval join as it runs with too many runs to broadcast: on (run, step of time)."""
+    raw, phases, runs = _experiment(spark, sf_dir)
+    out = J.label_by_phase(raw, phases, runs, always_steps=True)
+    return out.select(*[c.strip('"') for c in _EXP_OUT.split(", ")])
+
+
 @register(
     "holdout_folds",
     O.with_ctes(*_DOMAIN_FEATURES)
@@ -892,10 +899,10 @@ from netpulse.sources import io as IO  # noqa: E402
     + "SELECT * REPLACE (concat(domain, '::', session_id) AS session_id) FROM features",
 )
 def q_load_domains(spark, sf_dir):
-    """Three sources tagged with their domain name; sessions become ``domain::session``."""
-    raw = bridge.sensor_raw(events(spark, sf_dir))
-    frames = {d: raw.where(F.col("domain") == d) for d in ("d0", "d1", "d2")}
-    return IO.tag_domains(frames, _W)
+    """A folder with a table for each domain, read in one scan; sessions become ``domain::session``."""
+    folder = IO.fresh_folder(spark, "domains")
+    bridge.sensor_raw(events(spark, sf_dir)).write.partitionBy("domain").parquet(folder)
+    return IO.load_domains(spark, folder, _W)
 
 
 # ------------------------------------------------------------------ §2.8 MLlib jobs (rows-only checks)
@@ -944,9 +951,13 @@ def q_train_sensor(spark, sf_dir):
 
 @register("infer_sensor")
 def q_infer_sensor(spark, sf_dir):
-    feats = _fit_features(spark, sf_dir)
-    model, _, meta = ML.train_sensor(feats, "logistic_regression")
-    return ML.infer_sensor(model, feats.drop("label"), metadata=meta)
+    """A model is trained, saved and loaded again, and scores raw rows that have no label."""
+    model, _, meta = ML.train_sensor(_fit_features(spark, sf_dir), "logistic_regression")
+    path = IO.fresh_folder(spark, "model")
+    ML.save_model(model, path, meta)
+    model, meta = ML.load_model(spark, path)
+    raw = bridge.sensor_raw(events(spark, sf_dir)).drop("label")
+    return ML.infer_sensor(model, windows.sensor_feature_frame(raw, _W, extra_keys=("domain",)), metadata=meta)
 
 
 @register("train_sensor_multidomain")
@@ -1055,21 +1066,18 @@ def q_stream_ingest_aggregates(spark, sf_dir):
         "isp_id", "traffic_type", "hour_bucket",
         F.when(F.col("event_type") == "signup", F.upper("transport")).otherwise(F.col("transport")).alias("transport"),
         "success_count", "failure_count", "event_id")
-    q = ST.stream_ingest_aggregates(incoming, os.path.join(base, "store"), os.path.join(base, "_checkpoint"),
-                                    os.path.join(base, "rejects"))
+    q = ST.stream_ingest_aggregates(incoming, f"{base}/store", f"{base}/_checkpoint", f"{base}/rejects")
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(base, "store")).drop("created_at", "batch_id")
+    return spark.read.parquet(f"{base}/store").drop("created_at", "batch_id")
 
 
 @register("stream_transport_scores")
 def q_stream_transport_scores(spark, sf_dir):
-    """Running bandit scores per (isp, transport), kept as a snapshot table."""
+    """Running bandit scores per (isp, transport): update mode into a table with a folder for each batch."""
     base = ST.scratch(spark, "scores")
-    scores_df = ST.stream_transport_scores(bridge.decisions(_events_stream(spark, sf_dir)))
-    q = (scores_df.writeStream.outputMode("complete").foreachBatch(ST.snapshot_writer(os.path.join(base, "snapshot")))
-         .option("checkpointLocation", os.path.join(base, "_checkpoint")).trigger(availableNow=True).start())
+    q = ST.stream_scores_to(bridge.decisions(_events_stream(spark, sf_dir)), f"{base}/scores", f"{base}/_checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(base, "snapshot"))
+    return ST.read_versioned(spark, f"{base}/scores")
 
 
 @register(
@@ -1151,16 +1159,67 @@ def q_read_manifests(spark, sf_dir):
     return phases
 
 
-@register("read_packet_dump")
+@register(
+    "dataset_from_run_folders",
+    O.with_ctes(*O.experiment_ctes())
+    + f"SELECT {_EXP_OUT}, packets_sent, packets_lost, round(rtt_ms, 6) AS rtt_ms FROM labelled",
+)
+def q_dataset_from_run_folders(spark, sf_dir):
+    """Run folders written from the data (a manifest and a folder of raw CSV files each), read in one scan and labelled."""
+    root = IO.fresh_folder(spark, "runs")
+    raw, _, _ = _experiment(spark, sf_dir)
+    raw = raw.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    raw.withColumns({"run": F.col("run_id"), "kind": F.lit("raw")}).drop("run_id").write.partitionBy("run", "kind").option("header", True).csv(root)
+    manifests = _manifest_rows(spark, sf_dir).withColumns({"run": F.col("run_id"), "files": F.struct(F.lit("kind=raw").alias("raw_metrics"))})
+    manifests.write.mode("append").partitionBy("run").json(root)
+    out = J.dataset_from_run_folders(spark, root, "run=*/*.json", strict_coverage=False, multi_line=False)
+    out = out.withColumns({c: F.col(c).cast("bigint") for c in ("packets_sent", "packets_lost")})
+    return out.select(*[c.strip('"') for c in _EXP_OUT.split(", ")], "packets_sent", "packets_lost", "rtt_ms")
+
+
+def _arff_value(column):
+    return F.concat(F.lit("'"), column, F.lit("'"))
+
+
+@register(
+    "read_arff",
+    """SELECT concat('part=', CAST(event_id % 5 AS VARCHAR), '/flows') AS source,
+      row_number() OVER (PARTITION BY event_id % 5 ORDER BY event_id) - 1 AS _row, CAST(event_id AS VARCHAR) AS id,
+      event_type AS kind, CASE WHEN event_id % 5 < 3 THEN CAST(user_id AS VARCHAR) END AS user FROM events""",
+)
+def q_read_arff(spark, sf_dir):
+    """Five ARFF files of two layouts written from the events (header lines, then rows in id order) and read back."""
+    folder = IO.fresh_folder(spark, "arff")
+    ev = events(spark, sf_dir).select((F.col("event_id") % 5).alias("part"), "event_id", "event_type", "user_id")
+    # one file's lines are one task's output, in order; a file's header comes before its rows
+    head = spark.range(5).select(F.col("id").alias("part"), F.posexplode(F.when(F.col("id") < 3, F.array(*map(F.lit, (
+        "@relation flows", "@attribute id numeric", "@attribute kind string", "@attribute user numeric", "@data")))).otherwise(F.array(*map(F.lit, (
+            "% two columns, the other way round", "@relation flows", "@ATTRIBUTE 'kind' string", "@attribute id numeric", "", "@DATA"))))).alias("pos", "value"))
+    body = F.when(F.col("part") < 3, F.concat_ws(",", F.col("event_id"), _arff_value(F.col("event_type")), F.col("user_id"))).otherwise(
+        F.concat_ws(",", F.col("event_type"), F.col("event_id")))
+    lines = head.select("part", (F.col("pos") - 10).cast("long").alias("at"), "value").unionByName(
+        ev.select("part", F.col("event_id").alias("at"), body.alias("value")))
+    lines.repartition(5, "part").sortWithinPartitions("part", "at").select("part", "value").write.partitionBy("part").text(folder)
+    out = IO.read_arff(spark, folder)
+    # part files have random names: the folder tells them apart
+    return out.withColumn("source", F.concat(F.regexp_extract("source", "(part=[0-9]+)", 1), F.lit("/flows"))).select("source", "_row", "id", "kind", "user")
+
+
+@register(
+    "read_packet_dump",
+    """SELECT concat('trace=u', CAST(user_id AS VARCHAR)) AS trace_id,
+      row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS packet_index,
+      round(CAST(epoch_us(ts) AS DOUBLE) / 1e6, 6) AS epoch FROM events""",
+)
 def q_read_packet_dump(spark, sf_dir):
-    """Packet-dump text (epoch first, other tokens after) written from events and read back."""
-    path = ST.scratch(spark, "dump")
-    ev = events(spark, sf_dir)
-    line = F.format_string("%.6f IP 10.0.0.%d > 10.0.0.1: length %d",
-                           F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6), F.col("user_id") % 250,
-                           F.col("event_id"))
-    ev.select(line.alias("value")).write.mode("overwrite").text(path)
-    return IO.read_packet_dump(spark, path)
+    """Packet-dump text (epoch first, other tokens after), a folder for each trace, written from events and read back."""
+    path = IO.fresh_folder(spark, "dump")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    line = F.format_string("%.6f IP 10.0.0.%d > 10.0.0.1: length %d", micros / F.lit(1e6), F.col("user_id") % 250, F.col("event_id"))
+    rows = events(spark, sf_dir).select(F.concat(F.lit("u"), F.col("user_id")).alias("trace"), "ts", "event_id", line.alias("value"))
+    rows = rows.repartitionByRange("trace", "ts", "event_id").sortWithinPartitions("trace", "ts", "event_id")
+    rows.select("trace", "value").write.partitionBy("trace").text(path)
+    return IO.read_packet_dump(spark, path, by_folder=True).withColumn("epoch", F.round("epoch", 6))
 
 
 # ------------------------------------------------------------------ oracles of the stream queries

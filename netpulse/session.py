@@ -93,10 +93,10 @@ def materialize(df):
 BROADCAST_ROWS = 200_000
 
 
-def small(df, most: int = BROADCAST_ROWS):
-    """Compute a lookup table once and count it: marked for broadcast up to ``most`` rows. A larger one
+def small(df, most: int | None = None):
+    """Compute a lookup table once and count it: marked for broadcast up to ``most`` (``BROADCAST_ROWS``) rows. A larger one
     is returned as a plain scan, so that a join shuffles it and adaptive execution can split hot keys."""
     from pyspark.sql import functions as F
 
     df = materialize(df)
-    return F.broadcast(df) if df.count() <= most else df
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df

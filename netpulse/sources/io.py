@@ -1,14 +1,17 @@
 """Scans and sinks: tables, ARFF flow files, packet dumps, ping logs, manifests, reports.
 
-Only header lines are read on the driver. Row order inside a file, where a
-format needs it, comes from one materialized scan (file path, block start and
+Headers are found by the tasks that read the files; the driver sees the distinct ones. Row order inside a
+file, where a format needs it, comes from one materialized scan (file path, block start and
 the id within the task), never from collecting lines.
 """
 
 from __future__ import annotations
 
+import csv
 import re
-from collections.abc import Callable, Iterator, Mapping, Sequence
+import uuid
+from collections import Counter
+from collections.abc import Mapping, Sequence
 from pathlib import PurePath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,7 +21,7 @@ from pyspark.sql import types as T
 from netpulse.functions.exprs import require_columns, trim_all
 from netpulse.operators.windows import sensor_feature_frame
 from netpulse.plans.ordering import narrow_row_index
-from netpulse.session import materialize
+from netpulse.session import checkpoint_dir, materialize, small
 
 # ARFF attribute declaration and the two ping line shapes
 # (an optional "[epoch] " prefix, replies with seq and time, timeouts with seq).
@@ -59,6 +62,11 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         raise ValueError(f"Unsupported file format: {suffix}")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under the session's shared checkpoint directory."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def file_stem(path_col: Column) -> Column:
     """File name without directory and last extension."""
     name = F.regexp_extract(path_col, r"([^/]+)$", 1)
@@ -88,70 +96,74 @@ def with_file_order(df: DataFrame) -> DataFrame:
     )
 
 
-def number_rows(tagged: DataFrame, name: str) -> DataFrame:
-    """0-based position of each row in its file, from the tags of ``with_file_order``.
+def number_rows(tagged: DataFrame, name: str, group: str = "_file") -> DataFrame:
+    """0-based position of each row in its file (or in all files of a ``group``, by path), from the tags of ``with_file_order``.
 
     The tagged rows are materialized, so positions and offsets come from one and the same scan: ids are
     consecutive within a block, and a table with one row per block gives the rows before it.
     """
     rows = materialize(tagged)
-    blocks = rows.groupBy("_file", "_block").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(group, *([] if group == "_file" else ["_file"]), "_block").agg(F.min("_mono").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     shift = blocks.select("_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
     out = rows.join(shift, ["_file", "_block"])  # one row per block: the planner measures that side
     return out.withColumn(name, (F.col("_mono") + F.col("_shift")).cast("bigint")).drop("_block", "_mono", "_shift")
 
 
-def _first_lines(spark: SparkSession, path: str, until: Callable[[str], bool]) -> Iterator[str]:
-    """The lines of a file up to the first for which ``until`` holds (the header, never the data)."""
-    jvm = spark._jvm
-    file = jvm.org.apache.hadoop.fs.Path(path)
-    stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    try:
-        while (line := reader.readLine()) is not None:
-            yield line
-            if until(line):
-                break
-    finally:
-        reader.close()
+def _header_names(line: str) -> list[str]:
+    """Column names of a CSV header line: empty ones by place, repeated ones with their place after them."""
+    names = next(csv.reader([line]))
+    lower = Counter(n.lower() for n in names)
+    return [f"_c{i}" if not n else f"{n}{i}" if lower[n.lower()] > 1 else n for i, n in enumerate(names)]
 
 
-def read_flow_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Flow CSV files with header rows, every column as text, plus ``source`` (file stem, with parent
-    folders where stems repeat) and ``_row`` (0-based row position in its file).
+def _by_layout(lines: DataFrame, text: Column, layout: str, names: Sequence[Sequence[str]], keep: Sequence[str], options: dict) -> DataFrame:
+    """Parse CSV text once for all files: column ``layout`` says which list of ``names`` a line's fields follow. Columns are united by name."""
+    width = max(map(len, names))
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(width)])
+    parsed = lines.select(F.from_csv(text, schema.simpleString(), options).alias("_r"), F.col(layout).alias("_layout"), *keep)
+    places: dict[str, list[Column]] = {}
+    for k, own in enumerate(names):
+        for i, name in enumerate(own):
+            field = F.col(f"_r._c{i}")
+            places.setdefault(name, []).append(field if len(names) == 1 else F.when(F.col("_layout") == k, field))
+    return parsed.select(*[F.coalesce(*found).alias(name) for name, found in places.items()], *keep)
+
+
+def _numbered(found: DataFrame, column: str) -> tuple[DataFrame, list]:
+    """``found`` (one row a file) with the number of its value of ``column`` as ``_layout``, and the distinct values by number.
+    Files differ little in their headers: the driver sees the distinct ones only."""
+    distinct = found.groupBy(column).agg(F.min("_file").alias("_f")).orderBy("_f").collect()
+    values = [r[column] for r in distinct]
+    numbers = found.sparkSession.createDataFrame([(v, i) for i, v in enumerate(values)], T.StructType([found.schema[column], T.StructField("_layout", T.IntegerType())]))
+    return small(found.join(F.broadcast(numbers), column)), values
+
 
-    Files are grouped by header: each group is read under its own, and groups are joined by column name."""
+def read_csv_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """CSV files with header rows, every column as text, plus ``_file`` and ``_row`` (0-based row position in its file).
+
+    One scan: lines are numbered as they are read, a file's first line is its header, wherever the file is read, and each line is
+    parsed by its own file's header; columns are united by name. Blank lines are skipped; records end with their line. A file
+    without any line gives no rows."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = sorted(spark.read.text(paths).inputFiles())
-    by_header: dict[str, list[str]] = {}
-    for f in files:
-        head = list(_first_lines(spark, f, lambda _: True))
-        by_header.setdefault(head[0].strip() if head else "", []).append(f)
-    frames = [with_file_order(spark.read.option("header", True).option("inferSchema", False).csv(own))
-              for head, own in by_header.items() if head]
-    if not frames:
+    lines = with_file_order(spark.read.text(paths).where(F.length(trim_all(F.col("value"))) > 0))
+    lines = number_rows(lines, "_line")
+    heads = lines.where(F.col("_line") == 0).select("_file", trim_all(F.col("value")).alias("_head"))
+    heads, headers = _numbered(heads, "_head")
+    if not headers:
         raise ValueError("none of the flow files has a header row")
-    tagged = frames[0]
-    for f in frames[1:]:
-        tagged = tagged.unionByName(f, allowMissingColumns=True)
-    return number_rows(tagged, "_row").withColumn("source", source_name(F.col("_file"), files)).drop("_file")
+    data = lines.where(F.col("_line") > 0).join(heads.select("_file", "_layout"), "_file").withColumn("_row", F.col("_line") - 1)
+    return _by_layout(data, F.col("value"), "_layout", [_header_names(h) for h in headers], ["_file", "_row"], {})
 
 
-# ------------------------------------------------------------------ ARFF
+def read_flow_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``read_csv_rows`` with ``source`` (file stem, with parent folders where stems repeat) in place of the file."""
+    rows = read_csv_rows(spark, paths)
+    files = sorted(spark.read.text([paths] if isinstance(paths, str) else list(paths)).inputFiles())
+    return rows.withColumn("source", source_name(F.col("_file"), files)).drop("_file")
 
 
-def _arff_header(spark: SparkSession, path: str) -> tuple[list[str], int]:
-    """(attribute names in order, number of lines up to and with ``@data``) of one file."""
-    names, n = [], 0
-    for line in _first_lines(spark, path, lambda line: line.strip().lower().startswith("@data")):
-        n += 1
-        if line.strip().lower().startswith("@attribute"):
-            found = re.match(ARFF_ATTRIBUTE, line.strip())
-            if not found:
-                raise ValueError(f"Invalid ARFF attribute declaration in {path}")
-            names.append(found.group(1).strip("\"'"))
-    return names, n
+# ------------------------------------------------------------------ ARFF
 
 
 def read_arff(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -159,57 +171,63 @@ def read_arff(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     stems repeat) and ``_row`` (0-based data-row position in the file).
 
     Rows are the lines after ``@data``, whatever they begin with, but for comments (``%``) and blank
-    lines, parsed as CSV with ``'`` quotes. Files with different attribute lists are parsed apart and
-    joined by name.
+    lines, parsed as CSV with ``'`` quotes. Headers are read by the tasks that read the files: a file's attributes are the
+    declarations above its ``@data`` line. Files with different attribute lists are parsed by their own and
+    united by name; a file without ``@data`` gives no rows, one without attributes is left out.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = sorted(spark.read.text(paths).inputFiles())
-    headers = {f: _arff_header(spark, f) for f in files}
-    schemas = list(dict.fromkeys(tuple(names) for names, _ in headers.values() if names))
+    raw = spark.read.text(paths)
+    files = sorted(raw.inputFiles())
+    lines = number_rows(with_file_order(raw), "_line").withColumn("_text", trim_all(F.col("value")))
+    lower = F.lower("_text")
+    skip = lines.where(lower.startswith("@data")).groupBy("_file").agg((F.min("_line") + 1).alias("_skip"))
+    declared = lines.where(lower.startswith("@attribute")).join(small(skip), "_file").where(F.col("_line") < F.col("_skip"))
+    name = F.regexp_extract("_text", ARFF_ATTRIBUTE, 1)
+    if not (bad := declared.where(~F.col("_text").rlike(ARFF_ATTRIBUTE)).limit(1)).isEmpty():
+        raise ValueError(f"Invalid ARFF attribute declaration in {bad.first()['_file']}")
+    # a header's lines only, however many rows follow it
+    heads = declared.groupBy("_file", "_skip").agg(F.sort_array(F.collect_list(F.struct("_line", name.alias("name")))).alias("_names"))
+    heads, schemas = _numbered(heads.select("_file", "_skip", F.transform("_names", lambda x: x["name"]).alias("_names")), "_names")
     if not schemas:
         raise ValueError("No ARFF attributes found.")
-    about = spark.createDataFrame([(f, n, schemas.index(tuple(names))) for f, (names, n) in headers.items() if names],
-                                  "_file string, _skip int, _schema int")
-    # paths as the scan spells them
-    lines = number_rows(with_file_order(spark.read.text(paths)), "_line")
-    lines = lines.join(about.withColumn("_file", _plain_path(F.col("_file"))).withColumnRenamed("_file", "_plain"),
-                       _plain_path(F.col("_file")) == F.col("_plain")).drop("_plain")
-    data = lines.select(trim_all(F.col("value")).alias("line"), "_file", "_line", "_skip", "_schema").where(
-        (F.col("_line") >= F.col("_skip")) & (F.length("line") > 0) & ~F.col("line").startswith("%"))
-    data = narrow_row_index(data, ["_line"], keys=["_file"], name="_row")
-    frames = []
-    for k, names in enumerate(schemas):
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-        parsed = data.where(F.col("_schema") == k).select(
-            F.from_csv("line", schema.simpleString(), {"quote": "'", "ignoreLeadingWhiteSpace": "true"}).alias("r"), "_file", "_row")
-        frames.append(parsed.select(*[F.col(f"r._c{i}").alias(n) for i, n in enumerate(names)], "_file", "_row"))
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
+    data = lines.join(heads.select("_file", "_skip", "_layout"), "_file").where(
+        (F.col("_line") >= F.col("_skip")) & (F.length("_text") > 0) & ~F.col("_text").startswith("%"))
+    data = narrow_row_index(data.select("_text", "_file", "_line", "_layout"), ["_line"], keys=["_file"], name="_row")
+    names = [[n.strip("\"'") for n in own] for own in schemas]
+    out = _by_layout(data, F.col("_text"), "_layout", names, ["_file", "_row"], {"quote": "'", "ignoreLeadingWhiteSpace": "true"})
     return out.withColumn("source", source_name(F.col("_file"), files)).drop("_file")
 
 
-def _plain_path(path: Column) -> Column:
-    """A path without its scheme's empty authority, as file listings and scans differ in it."""
-    return F.regexp_replace(path, r"^([a-z0-9]+):/+", "$1:/")
+def plain_path(path: Column) -> Column:
+    """A path without its scheme's empty authority and escapes, as listings, scans and users spell it differently."""
+    return _decoded(F.regexp_replace(path, r"^([a-z0-9]+):/+", "$1:/"))
+
+
+def _decoded(path: Column) -> Column:
+    return F.url_decode(F.regexp_replace(path, r"\+", "%2B"))
 
 
 # ------------------------------------------------------------------ packet dumps and ping logs
 
 
-def read_packet_dump(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+def read_packet_dump(spark: SparkSession, paths: str | Sequence[str], by_folder: bool = False) -> DataFrame:
     """Text dumps (``epoch rest...`` per line) -> trace_id (file stem, with parent folders where stems
     repeat), packet_index, epoch.
 
     Lines whose first token is not a number are skipped; the index counts the valid lines of a file
-    from 0 in file order.
+    from 0 in file order. With ``by_folder`` all files of a folder are one trace, in the order of their names,
+    which the folder names.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     raw = spark.read.text(paths)
     files = sorted(raw.inputFiles())
     first = F.split(trim_all(F.col("value")), r"\s+", 2).getItem(0)
     valid = raw.select(first.try_cast("double").alias("epoch"), "_metadata").where(F.col("epoch").isNotNull())
-    rows = number_rows(with_file_order(valid).select("epoch", "_file", "_block", "_mono"), "packet_index")
+    tagged = with_file_order(valid).select("epoch", "_file", "_block", "_mono")
+    if by_folder:
+        folder = F.regexp_extract("_file", r"([^/]+)/[^/]+$", 1)
+        return number_rows(tagged.withColumn("trace_id", folder), "packet_index", "trace_id").select("trace_id", "packet_index", "epoch")
+    rows = number_rows(tagged, "packet_index")
     return rows.select(source_name(F.col("_file"), files).alias("trace_id"), "packet_index", "epoch")
 
 
@@ -276,7 +294,8 @@ def read_manifests(spark: SparkSession, paths: str | Sequence[str], validate: bo
     from netpulse.operators.joins import SEVERITIES, validate_phases
 
     m = spark.read.schema(MANIFEST_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST" if validate else "PERMISSIVE").json(paths)
-    runs = m.select("run_id", "domain", "application", "scenario",
+    m = m.select("*", F.col("_metadata.file_path").alias("manifest_path"))
+    runs = m.select("run_id", "manifest_path", "domain", "application", "scenario",
                     F.coalesce("window_seconds", F.lit(5)).alias("window_seconds"),
                     F.coalesce("files.raw_metrics", F.lit("sensor_metrics_raw.csv")).alias("raw_metrics"),
                     F.col("created_at").try_cast("timestamp").alias("created_at"))
@@ -297,6 +316,34 @@ def read_manifests(spark: SparkSession, paths: str | Sequence[str], validate: bo
     return runs, phases
 
 
+def read_run_folders(spark: SparkSession, root: str, manifests: str = "*/manifest.json", multi_line: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Run folders under ``root`` -> (raw rows of all runs with their ``run_id``, phases, runs).
+
+    Each run's manifest names its raw CSV file, or a folder of such files, relative to the folder that the manifest lies in. Just these are read, all
+    in one scan, and a row's run comes from the path it was read from; runs may differ in their columns. A raw file that is not
+    there is an error, and so are two manifests with the same run or the same raw file. Columns are text.
+    """
+    runs, phases = read_manifests(spark, f"{root.rstrip('/')}/{manifests}", multi_line=multi_line)
+    runs = materialize(runs.withColumn("_raw", F.concat(F.regexp_replace("manifest_path", r"/[^/]*$", "/"), F.regexp_replace("raw_metrics", r"^(\./)+|/+$", ""))))
+    again = runs.groupBy("run_id").count().where("count > 1").select(F.col("run_id").alias("twice"))
+    again = again.unionByName(runs.groupBy(F.col("_raw").alias("twice")).count().where("count > 1").select("twice")).limit(3).collect()
+    if again:
+        raise ValueError(f"more than one manifest for {[r.twice for r in again]}")
+    # one path a run: what the driver lists for the scan anyway
+    paths = [r["path"] for r in runs.select(F.concat(F.regexp_replace(_decoded(F.col("manifest_path")), r"/[^/]*$", "/"), F.col("raw_metrics")).alias("path")).collect()]
+    if not paths:
+        raise ValueError(f"no manifest found at {root}/{manifests}")
+    rows = read_csv_rows(spark, paths)
+    known = small(runs.select(plain_path(F.col("_raw")).alias("_raw"), "run_id"))
+    path = plain_path(F.col("_file"))
+    keyed = rows.drop("run_id").withColumns({"_path": path, "_folder": F.regexp_replace(path, r"/[^/]*$", "")})
+    files = known.select(F.col("_raw").alias("_path"), F.col("run_id").alias("_by_file"))
+    folders = known.select(F.col("_raw").alias("_folder"), F.col("run_id").alias("_by_folder"))
+    keyed = keyed.join(files, "_path", "left").join(folders, "_folder", "left")
+    raw = keyed.withColumn("run_id", F.coalesce("_by_file", "_by_folder")).drop("_path", "_folder", "_by_file", "_by_folder", "_file", "_row")
+    return raw, phases, runs.drop("_raw")
+
+
 # ------------------------------------------------------------------ reports and domains
 
 
@@ -310,32 +357,50 @@ def write_report(report: DataFrame, path: str) -> None:
     report_json(report).write.mode("overwrite").text(path)
 
 
+def domain_features(raw: DataFrame, window_seconds: int = 5) -> DataFrame:
+    """Raw sensor rows with a ``domain`` column -> one feature frame with ``domain::session`` ids."""
+    require_columns(raw, ["session_id", "domain"], "sensor")
+    tagged = raw.withColumn("session_id", F.concat("domain", F.lit("::"), F.col("session_id").cast("string")))
+    return sensor_feature_frame(tagged, window_seconds, extra_keys=("domain",))
+
+
 def tag_domains(frames: Mapping[str, DataFrame], window_seconds: int = 5) -> DataFrame:
     """Raw sensor frames per domain -> one feature frame with ``domain`` and ``domain::session`` ids."""
     if not frames:
-        raise ValueError("At least one input path is required.")
+        raise ValueError("no domain is given")
     parts = []
     for name, raw in frames.items():
         require_columns(raw, ["session_id"], "sensor")
-        parts.append(raw.withColumn("domain", F.lit(str(name))).withColumn(
-            "session_id", F.concat(F.lit(f"{name}::"), F.col("session_id").cast("string"))))
+        parts.append(raw.withColumn("domain", F.lit(str(name))))
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p, allowMissingColumns=True)
-    return sensor_feature_frame(union, window_seconds, extra_keys=("domain",))
+    return domain_features(union, window_seconds)
+
+
+def read_domain_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw rows of all tables in a folder in one scan, with ``domain``: the name of the file or folder just below it that a row comes
+    from, without its suffix (and without ``domain=``). Parquet tables; a domain that is added later is read without a change."""
+    rows = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(folder)
+    top = F.regexp_extract(plain_path(F.col("_metadata.file_path")), re.escape(PurePath(folder.rstrip("/")).name) + r"/([^/]+)", 1)
+    name = F.regexp_replace(F.regexp_replace(top, r"\.[^.]*$", ""), "^domain=", "")
+    return rows.select("*", name.alias("_domain")).drop("domain").withColumnRenamed("_domain", "domain")
 
 
-def load_domains(spark: SparkSession, paths: Sequence[str] | Mapping[str, str], window_seconds: int = 5,
+def load_domains(spark: SparkSession, paths: str | Sequence[str] | Mapping[str, str], window_seconds: int = 5,
                  domain_names: Sequence[str] | None = None) -> DataFrame:
-    """Feature frames of several sources with a domain column; names default to file stems."""
+    """Feature frames of several sources with a domain column; names default to file stems. A single path is a folder
+    that holds a table for each domain, read in one scan."""
+    if isinstance(paths, str):
+        return domain_features(read_domain_folder(spark, paths), window_seconds)
     if isinstance(paths, Mapping):
         named = dict(paths)
     else:
         paths = list(paths)
         if not paths:
-            raise ValueError("At least one input path is required.")
+            raise ValueError("no domain is given")
         names = list(domain_names) if domain_names is not None else [PurePath(p).stem for p in paths]
         if len(names) != len(paths):
-            raise ValueError("domain_names must have the same length as input_paths.")
+            raise ValueError(f"{len(names)} domain names for {len(paths)} paths")
         named = dict(zip(names, paths))
     return tag_domains({n: read_table(spark, p) for n, p in named.items()}, window_seconds)

@@ -8,45 +8,30 @@ previous micro-batch's watermark are dropped.
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
+from netpulse.functions.exprs import require_columns
 from netpulse.operators import decisions as D
 from netpulse.operators.ml import RULE_THRESHOLD, rule_score
 from netpulse.operators.windows import (
+    _BASELINE_OUTPUT,
     BASELINE_FEATURES,
-    RAW_SENSOR_COLUMNS,
+    UNLABELLED_COLUMNS,
     window_aggregate_exprs,
     window_features,
 )
-from netpulse.session import checkpoint_dir
+from netpulse.sources.io import fresh_folder as scratch
 from netpulse.sources.io import parse_ping_log
 
-_BASE_OUT = {
-    "packet_loss_ratio": "packet_loss_ratio_delta",
-    "rtt_mean_ms": "rtt_mean_ratio_to_session_start",
-    "packets_per_second": "packets_per_second_ratio_to_session_start",
-    "retransmission_ratio": "retransmission_ratio_delta",
-    "flow_bytes_per_second": "flow_bytes_per_second_ratio_to_session_start",
-    "flow_iat_cv": "flow_iat_cv_delta",
-    "active_idle_ratio": "active_idle_ratio_to_session_start",
-}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the session's shared checkpoint directory."""
-    base = checkpoint_dir(spark)
-    base = base[len("file:"):] if base.startswith("file:") else base
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
-
 
 def stream_table(spark: SparkSession, directory: str, name: str, schema: T.StructType | None = None,
                  max_files_per_trigger: int | None = None) -> DataFrame:
@@ -63,10 +48,10 @@ def run_available_now(df: DataFrame, path: str | None = None, mode: str = "appen
     """Run a streaming query over everything available now into a parquet sink; return the sink path."""
     spark = df.sparkSession
     path = path or scratch(spark, name)
-    q = (df.writeStream.format(fmt).outputMode(mode).option("path", os.path.join(path, "data"))
-         .option("checkpointLocation", os.path.join(path, "_checkpoint")).trigger(availableNow=True).start())
+    q = (df.writeStream.format(fmt).outputMode(mode).option("path", f"{path}/data")
+         .option("checkpointLocation", f"{path}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return os.path.join(path, "data")
+    return f"{path}/data"
 
 
 # ------------------------------------------------------------------ window features
@@ -74,10 +59,8 @@ def run_available_now(df: DataFrame, path: str | None = None, mode: str = "appen
 
 def stream_window_features(raw: DataFrame, window_seconds: int = 5, delay: str = "1 minute",
                            extra_keys: tuple[str, ...] = ()) -> DataFrame:
-    """Window aggregation + window-local features on a stream (append mode, watermark ``delay``)."""
-    missing = sorted(set(RAW_SENSOR_COLUMNS) - set(raw.columns))
-    if missing:
-        raise ValueError(f"Missing required sensor columns: {missing}")
+    """Window aggregation + window-local features on a stream (append mode, watermark ``delay``); with the label if rows have one."""
+    require_columns(raw, UNLABELLED_COLUMNS, "sensor")
     frame = raw.withColumn("timestamp", F.col("timestamp").cast("timestamp")).where(
         F.col("session_id").isNotNull() & F.col("timestamp").isNotNull()
     ).withWatermark("timestamp", delay)
@@ -90,61 +73,103 @@ def stream_window_features(raw: DataFrame, window_seconds: int = 5, delay: str =
 
 # ------------------------------------------------------------------ session baseline in state
 
-_STATE_SCHEMA = T.StructType([T.StructField(f"s_{c}", T.DoubleType()) for c in BASELINE_FEATURES])
+#: rows of a session that a task holds while it looks for the session's first values; more go to the state store
+HELD_ROWS = 10_000
 
 
 def _baseline_output_schema(window_schema: T.StructType) -> T.StructType:
     fields = [f for f in window_schema.fields if f.name != "label"]
-    fields += [T.StructField(n, T.DoubleType()) for n in _BASE_OUT.values()]
-    fields.append(window_schema["label"])
+    fields += [T.StructField(_BASELINE_OUTPUT[c], T.DoubleType()) for c in BASELINE_FEATURES]
+    fields += [f for f in window_schema.fields if f.name == "label"]
     return T.StructType(fields)
 
 
-def _baseline_fn(columns: list[str], session_timeout_ms: int | None):
-    floors = {c: floor for c, (_, floor) in BASELINE_FEATURES.items()}
-
-    def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        start = list(state.get) if state.exists else [None] * len(BASELINE_FEATURES)
-        frames = [b for b in batches if not b.empty]
-        if not frames:
-            return
-        pdf = pd.concat(frames).sort_values("window_start")
-        for i, c in enumerate(BASELINE_FEATURES):
-            if start[i] is None:
-                vals = pdf[c].dropna()
-                if len(vals):
-                    start[i] = float(vals.iloc[0])
-        for i, (c, (kind, _)) in enumerate(BASELINE_FEATURES.items()):
-            s = start[i]
-            if kind == "delta":
-                pdf[_BASE_OUT[c]] = pdf[c] - s if s is not None else float("nan")
-            else:
-                denom = max(s, floors[c]) if s is not None else float("nan")
-                pdf[_BASE_OUT[c]] = pdf[c] / denom
-        state.update(tuple(start))
-        if session_timeout_ms is not None:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + session_timeout_ms)
-        yield pdf[[*[c for c in columns if c != "label"], *_BASE_OUT.values(), "label"]]
+class SessionBaseline(StatefulProcessor):
+    """First non-null value of each baseline feature of a session, a value state for each; rows leave piece by piece.
+
+    Once all values are known, rows pass straight through. In a batch in which some are not known yet, they are found first: its rows wait
+    in memory up to ``HELD_ROWS`` and beyond that in a list in the state store, which is emptied before the batch ends."""
 
-    return fn
+    def __init__(self, schema: T.StructType, timeout_ms: int | None) -> None:
+        self.schema, self.timeout_ms = schema, timeout_ms
+        self.columns = [f.name for f in schema.fields]
+        self.out = [c for c in self.columns if c != "label"] + [_BASELINE_OUTPUT[c] for c in BASELINE_FEATURES] + [c for c in self.columns if c == "label"]
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        one = T.StructType([T.StructField("value", T.DoubleType())])
+        self.starts = {c: handle.getValueState(f"start_{c}", one) for c in BASELINE_FEATURES}
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def _relative(self, rows: pd.DataFrame, start: dict) -> pd.DataFrame:
+        rows = rows.sort_values("window_start")
+        for c, (kind, floor) in BASELINE_FEATURES.items():
+            s = start.get(c)
+            if s is None:
+                rows[_BASELINE_OUTPUT[c]] = float("nan")
+            else:
+                rows[_BASELINE_OUTPUT[c]] = rows[c] - s if kind == "delta" else rows[c] / max(s, floor)
+        return rows[self.out]
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        start = {c: s.get()[0] for c, s in self.starts.items() if s.exists()}
+        unknown = [c for c in BASELINE_FEATURES if c not in start]
+        first: dict[str, tuple] = {}
+        held, n_held, spilled = [], 0, False
+        for part in rows:
+            if part.empty:
+                continue
+            if not unknown:
+                yield self._relative(part, start)
+                continue
+            for c in unknown:
+                there = part.loc[part[c].notna(), ["window_start", c]]
+                if len(there):
+                    at, value = there.loc[there["window_start"].idxmin()]
+                    if c not in first or at < first[c][0]:
+                        first[c] = (at, float(value))
+            held.append(part)
+            n_held += len(part)
+            if n_held >= HELD_ROWS:
+                for p in held:
+                    self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in p[self.columns].astype(object).itertuples(index=False)])
+                held, n_held, spilled = [], 0, True
+        for c, (_, value) in first.items():
+            self.starts[c].update((value,))
+            start[c] = value
+        for part in held:
+            yield self._relative(part, start)
+        if spilled:
+            stored = self.waiting.get()
+            while piece := list(islice(stored, HELD_ROWS)):
+                yield self._relative(pd.DataFrame(piece, columns=self.columns), start)
+            self.waiting.clear()
+        if self.timeout_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.timeout_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for s in self.starts.values():
+            s.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_session_baseline(window_rows: DataFrame, delay: str = "1 minute",
                             session_timeout_ms: int | None = None) -> DataFrame:
     """The 7 session-relative features on a stream of window rows: the first non-null value of
-    each baseline feature per session is kept in state.
+    each baseline feature per session is kept in state (``SessionBaseline``).
 
     By default a session keeps its baseline for good, as in batch. ``session_timeout_ms`` evicts
     sessions without data for that much event time; one that comes back later starts a new baseline,
     which changes results."""
     rows = window_rows.withWatermark("window_start", delay)
-    out_schema = _baseline_output_schema(window_rows.schema)
-    timeout = GroupStateTimeout.NoTimeout if session_timeout_ms is None else GroupStateTimeout.EventTimeTimeout
-    return rows.groupBy("session_id").applyInPandasWithState(
-        _baseline_fn(window_rows.columns, session_timeout_ms), out_schema, _STATE_SCHEMA, "append", timeout)
+    return rows.groupBy("session_id").transformWithStateInPandas(
+        SessionBaseline(window_rows.schema, session_timeout_ms), _baseline_output_schema(window_rows.schema), "append",
+        "none" if session_timeout_ms is None else "eventTime")
 
 
 def stream_alerts(features: DataFrame, threshold: float = RULE_THRESHOLD, model=None) -> DataFrame:
@@ -177,9 +202,9 @@ def ingest_batch(store_path: str, rejects_path: str | None = None):
 
     def write(batch: DataFrame, batch_id: int) -> None:
         accepted, rejected = D.ingest_session_aggregates(batch, created_at=datetime.now(timezone.utc))
-        accepted.write.mode("overwrite").parquet(os.path.join(store_path, f"batch_id={batch_id}"))
+        accepted.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
         if rejects_path:
-            rejected.write.mode("overwrite").parquet(os.path.join(rejects_path, f"batch_id={batch_id}"))
+            rejected.write.mode("overwrite").parquet(f"{rejects_path}/batch_id={batch_id}")
 
     return write
 
@@ -199,11 +224,56 @@ def stream_transport_scores(log: DataFrame) -> DataFrame:
     return agg.withColumn("score", F.coalesce(start[F.col("transport")], F.lit(0.0)) + F.col("reward_sum"))
 
 
-def snapshot_writer(path: str):
-    """``foreachBatch`` writer that replaces a small snapshot table (complete-mode state)."""
+SCORE_KEYS = ("isp_id", "transport")
+
+
+def versioned_writer(path: str, keys: tuple[str, ...] = SCORE_KEYS, whole_every: int = 50):
+    """``foreachBatch`` writer of an update-mode table: every batch's changed keys go to a folder of their own, never over another's.
+
+    A batch counts once its line in ``commits`` is there, which is written last (one row, so one file, by rename). A batch that is replayed is written
+    again beside its first copy; its latest line counts. Each ``whole_every``-th batch stores all keys, and readers start from there."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        spark = batch.sparkSession
+        folder = f"batch={batch_id:012d}-{uuid.uuid4().hex}"
+        whole = batch_id % whole_every == 0
+        if whole and batch_id > 0:
+            batch = newest(read_versioned(spark, path, keys, below=batch_id).withColumn("_version", F.lit(0)).unionByName(
+                batch.withColumn("_version", F.lit(1))), keys, "_version")
+        batch.write.parquet(f"{path}/data/{folder}")
+        done = [(batch_id, folder, whole, datetime.now(timezone.utc).timestamp())]
+        spark.createDataFrame(done, COMMITS).coalesce(1).write.mode("append").json(f"{path}/commits")
 
     return write
 
+
+COMMITS = "batch_id long, folder string, whole boolean, at double"
+
+
+def newest(rows: DataFrame, keys: tuple[str, ...], version: str) -> DataFrame:
+    """The row of the highest version of each key."""
+    others = [c for c in rows.columns if c not in (*keys, version)]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), version).alias("_v"))
+    return best.select(*keys, *[F.col(f"_v.{c}") for c in others])
+
+
+def read_versioned(spark: SparkSession, path: str, keys: tuple[str, ...] = SCORE_KEYS, below: int | None = None) -> DataFrame:
+    """The newest row of every key over the committed batches (those before ``below``): a batch that is being written is not seen."""
+    commits = spark.read.schema(COMMITS).json(f"{path}/commits")
+    if below is not None:
+        commits = commits.where(F.col("batch_id") < below)
+    commits = commits.groupBy("batch_id").agg(F.max_by(F.struct("folder", "whole"), "at").alias("c")).select("batch_id", "c.*")
+    start = commits.where("whole").agg(F.max("batch_id")).first()[0]
+    # at most as many folders as there are batches between two whole ones
+    folders = [r["folder"] for r in commits.where(F.col("batch_id") >= (start or 0)).select("folder").collect()]
+    if not folders:
+        raise ValueError(f"no batch is committed at {path}")
+    rows = spark.read.parquet(*[f"{path}/data/{f}" for f in folders])
+    batch = F.regexp_extract(F.col("_metadata.file_path"), r"/batch=(\d+)-", 1).cast("long")
+    return newest(rows.withColumn("_batch", batch), keys, "_batch")
+
+
+def stream_scores_to(log: DataFrame, path: str, checkpoint: str):
+    """Start the stream that keeps the running scores of ``log`` at ``path`` (update mode: only keys that changed are written)."""
+    return (stream_transport_scores(log).writeStream.outputMode("update").foreachBatch(versioned_writer(path))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
