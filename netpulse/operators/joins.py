@@ -56,7 +56,7 @@ def _meet_by_step(rows: DataFrame, phases: DataFrame, runs: DataFrame | None, st
     steps = materialize(rows.groupBy("run_id", "_step").agg(F.min("timestamp").alias("capture_start")))
     about = run_table(steps.withColumnRenamed("capture_start", "timestamp"), phases, runs)
     table = steps.drop("capture_start").join(about, "run_id")
-    from_start = (F.col("_step") * F.lit(width) - F.unix_micros("capture_start")).cast("double") / F.lit(1e6)
+    from_start = F.col("_step").cast("double") * F.lit(float(step_seconds)) - F.unix_micros("capture_start").cast("double") / F.lit(1e6)
     margin = 1.0  # a second: rounding never decides which phases a step gets
     near = F.filter("phases", lambda p: (p["start_offset_seconds"] < from_start + F.lit(step_seconds + margin))
                     & (p["end_offset_seconds"] > from_start - F.lit(margin)))

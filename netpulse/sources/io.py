@@ -143,8 +143,8 @@ def read_csv_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """CSV files with header rows, every column as text, plus ``_file`` and ``_row`` (0-based row position in its file).
 
     One scan: lines are numbered as they are read, a file's first line is its header, wherever the file is read, and each line is
-    parsed by its own file's header; columns are united by name. Blank lines are skipped; records end with their line. A file
-    without any line gives no rows."""
+    parsed by its own file's header; columns are united by name. Blank lines are skipped; records end with their line; a quote within
+    quotes is doubled. A file without any line gives no rows."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = with_file_order(spark.read.text(paths).where(F.length(trim_all(F.col("value"))) > 0))
     lines = number_rows(lines, "_line")
@@ -153,7 +153,7 @@ def read_csv_rows(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     if not headers:
         raise ValueError("none of the flow files has a header row")
     data = lines.where(F.col("_line") > 0).join(heads.select("_file", "_layout"), "_file").withColumn("_row", F.col("_line") - 1)
-    return _by_layout(data, F.col("value"), "_layout", [_header_names(h) for h in headers], ["_file", "_row"], {})
+    return _by_layout(data, F.col("value"), "_layout", [_header_names(h) for h in headers], ["_file", "_row"], {"escape": '"'})
 
 
 def read_flow_csv(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

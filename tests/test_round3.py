@@ -149,3 +149,255 @@ def test_registry_runs_at_full_size(spark):
     for pipe in stages.values():
         assert pipe.getStages()[1].getMaxIter() == 300 and pipe.getStages()[1].getCheckpointInterval() == 10
     assert ML.build_estimator("lightgbm_sigmoid").base.getStages()[1].getMaxIter() == 300
+
+
+# ---------------------------------------------------------------- runs and phases
+
+import json  # noqa: E402
+import os  # noqa: E402
+
+from netpulse import session  # noqa: E402
+from netpulse.operators import joins as J  # noqa: E402
+from netpulse.operators.windows import sensor_feature_frame, window_aggregate, window_features  # noqa: E402
+from netpulse.sources import io as IO  # noqa: E402
+from netpulse.streaming import streams as ST  # noqa: E402
+
+PHASES = "run_id string, pos int, phase_name string, start_offset_seconds double, end_offset_seconds double, label int, impairment_type string, severity string"
+
+
+@pytest.fixture(scope="module")
+def experiment(spark):
+    """One hot run, overlapping phases, phases over the edges of steps, rows without a run, a time or a phase, a run without phases."""
+    rng = random.Random(2)
+    rows = [("hot", T0 + timedelta(milliseconds=rng.randrange(40_000_000)), i) for i in range(400)]
+    rows += [(f"r{i % 5}", T0 + timedelta(seconds=rng.randrange(9000)), i) for i in range(60)]
+    rows += [(None, T0, 1), ("hot", None, 2), ("bare", T0, 3), ("r1", datetime(2020, 1, 1), 4)]
+    phases = [(r, p, f"{r}{p}", a, b, p % 2, "loss", "mild") for r in ("hot", "r0", "r1", "r2", "r3")
+              for p, (a, b) in enumerate([(0.0, 3600.0), (3000.5, 7200.0), (7200.0, 7200.25), (10_000.0, 30_000.0)])]
+    runs = spark.createDataFrame([(r, f"app-{r}") for r in ("hot", "r0", "r1", "bare")], "run_id string, application string")
+    return spark.createDataFrame(rows, "run_id string, timestamp timestamp, v int"), spark.createDataFrame(phases, PHASES), runs
+
+
+@pytest.mark.parametrize("step", [600.0, 3600.0, 1e9])
+def test_steps_label_as_the_broadcast_does(experiment, monkeypatch, step):
+    raw, phases, runs = experiment
+    want = sorted(map(str, J.label_by_phase(raw, phases, runs).collect()))
+    monkeypatch.setattr(session, "BROADCAST_ROWS", 0)
+    got = J.label_by_phase(raw, phases, runs, step_seconds=step)
+    assert sorted(map(str, got.collect())) == want
+    assert sorted(map(str, J.label_by_phase(raw, phases, None, step).collect())) == sorted(map(str, J.label_by_phase(raw, phases, None, step, True).collect()))
+
+
+def test_steps_never_bring_a_run_together(experiment, spark):
+    """Rows are shuffled on (run, step) only: no exchange of theirs is by the run alone."""
+    raw, phases, runs = experiment
+    plan = J.label_by_phase(raw, phases, runs, always_steps=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_step" in plan
+    text = J.label_by_phase(raw, phases, runs, always_steps=True)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(run_id" not in text.split("LogicalRDD")[0] or "_step" in text
+
+
+def run_folder(root, run, raw_name, text, phases, **more):
+    folder = os.path.join(root, run)
+    os.makedirs(os.path.dirname(os.path.join(folder, raw_name)) or folder, exist_ok=True)
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, raw_name), "w") as f:
+        f.write(text)
+    manifest = {"run_id": run, "created_at": "2026-04-06T00:00:00Z", "domain": f"dom-{run}", "application": "web", "scenario": "loss",
+                "window_seconds": 5, "files": {"raw_metrics": more.get("names", raw_name)},
+                "phases": [{"name": n, "start_offset_seconds": a, "duration_seconds": d, "label": y, "impairment_type": "loss"} for n, a, d, y in phases]}
+    with open(os.path.join(folder, "manifest.json"), "w") as f:
+        json.dump(manifest, f, indent=1)
+
+
+HEAD = "session_id,timestamp,packets_sent,packets_lost,rtt_ms,retransmissions,resets"
+
+
+def test_run_folders(spark, tmpdir_path):
+    root = os.path.join(tmpdir_path, "all runs+1")
+    run_folder(root, "r 1", "sensor_metrics_raw.csv", f"{HEAD}\ns1,2026-04-06 10:00:00,10,1,20.5,0,0\n\ns1,2026-04-06 10:00:12,10,2,21,1,0\n", [("a", 0, 10, 0), ("b", 10, 10, 1)])
+    swapped = "rtt_ms,session_id,timestamp,packets_sent,packets_lost,retransmissions,resets,extra\n7,s2,2026-04-06 11:00:00,5,0,0,0,x\n"
+    run_folder(root, "r2", "raw/part-0.csv", swapped, [("only", 0, 60, 1)], names="raw")
+    with open(os.path.join(root, "r2", "raw", "part-1.csv"), "w") as f:
+        f.write(f"{HEAD}\ns3,2026-04-06 11:00:05,6,1,8,0,1\n")
+    with open(os.path.join(root, "r2", "notes.csv"), "w") as f:  # named by no manifest
+        f.write("a,b\n1,2\n")
+    got = sorted((r.run_id, r.session_id, r.rtt_ms, r.phase_name, r.label, r.domain) for r in J.dataset_from_run_folders(spark, root).collect())
+    assert got == [("r 1", "s1", 20.5, "a", 0, "dom-r 1"), ("r 1", "s1", 21.0, "b", 1, "dom-r 1"),
+                   ("r2", "s2", 7.0, "only", 1, "dom-r2"), ("r2", "s3", 8.0, "only", 1, "dom-r2")]
+    run_folder(root, "r3", "sensor_metrics_raw.csv", f"{HEAD}\ns,2026-04-06 10:00:00,1,0,1,0,0\ns,2026-04-06 10:09:00,1,0,1,0,0\n", [("short", 0, 5, 0)])
+    with pytest.raises(ValueError, match="do not cover"):
+        J.dataset_from_run_folders(spark, root)
+    assert J.dataset_from_run_folders(spark, root, strict_coverage=False).count() == 6
+    os.remove(os.path.join(root, "r3", "sensor_metrics_raw.csv"))
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        J.dataset_from_run_folders(spark, root).count()
+
+
+def test_two_manifests_of_one_run_are_an_error(spark, tmpdir_path):
+    run_folder(tmpdir_path, "a", "raw.csv", f"{HEAD}\n", [("p", 0, 5, 0)])
+    os.makedirs(os.path.join(tmpdir_path, "b"))
+    with open(os.path.join(tmpdir_path, "a", "manifest.json")) as f, open(os.path.join(tmpdir_path, "b", "manifest.json"), "w") as g:
+        g.write(f.read())
+    with pytest.raises(ValueError, match="more than one manifest"):
+        IO.read_run_folders(spark, tmpdir_path)
+
+
+# ---------------------------------------------------------------- readers
+
+
+def write(folder, name, text):
+    path = os.path.join(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(text)
+    return path
+
+
+def test_csv_headers_are_each_file_s_own(spark, tmpdir_path):
+    a = write(tmpdir_path, "a.csv", '\nx,"y, z",x,\n1,"2, 2",3,4\n \n5,6\n')
+    b = write(tmpdir_path, "b.csv", 'w,x0\n"é ""q""",8,9\n')
+    c = write(tmpdir_path, "c.csv", "")
+    rows = IO.read_flow_csv(spark, [a, b, c])
+    assert rows.columns == ["x0", "y, z", "x2", "_c3", "w", "_row", "source"]
+    got = sorted((r.source, r._row, r.x0, r["y, z"], r.x2, r._c3, r.w) for r in rows.collect())
+    assert got == [("a", 0, "1", "2, 2", "3", "4", None), ("a", 1, "5", "6", None, None, None), ("b", 0, "8", None, None, None, 'é "q"')]
+    with pytest.raises(ValueError, match="header"):
+        IO.read_flow_csv(spark, [c])
+
+
+def test_many_small_files_in_few_splits(spark, tmpdir_path):
+    for i in range(40):
+        write(tmpdir_path, f"f{i}.csv", "a,b\n" + f"{i},0\n" * (i % 3) if i % 2 else "b,a\n" + f"0,{i}\n" * (i % 3))
+    rows = IO.read_flow_csv(spark, tmpdir_path)
+    assert sorted((r.source, r._row) for r in rows.collect()) == sorted((f"f{i}", j) for i in range(40) for j in range(i % 3))
+    assert all(r.source == f"f{r.a}" and r.b == "0" for r in rows.collect())
+
+
+def test_arff_files_of_two_layouts(spark, tmpdir_path):
+    write(tmpdir_path, "a.arff", "@relation r\n@attribute x numeric\n@attribute 'y y' string\n@data\n1,'p, q'\n@attribute,2\n")
+    write(tmpdir_path, "b.arff", "@attribute z string\n@attribute x numeric\n@DATA\nt,3\n")
+    write(tmpdir_path, "no-data.arff", "@attribute z string\n")
+    got = sorted((r.source, r._row, r.x, r["y y"], r.z) for r in IO.read_arff(spark, tmpdir_path).collect())
+    assert got == [("a", 0, "1", "p, q", None), ("a", 1, "@attribute", "2", None), ("b", 0, "3", None, "t")]
+    bad = write(tmpdir_path, "bad/c.arff", "@attribute x\n@data\n1\n")
+    with pytest.raises(ValueError, match="Invalid ARFF attribute"):
+        IO.read_arff(spark, bad)
+
+
+def test_dump_folders_are_traces(spark, tmpdir_path):
+    write(tmpdir_path, "t1/a.txt", "1.0 x\nbad\n2.0 x\n")
+    write(tmpdir_path, "t1/b.txt", "3.0 x\n")
+    write(tmpdir_path, "t2/a.txt", "9.0 x\n")
+    rows = IO.read_packet_dump(spark, [os.path.join(tmpdir_path, t) for t in ("t1", "t2")], by_folder=True)
+    assert sorted((r.trace_id, r.packet_index, r.epoch) for r in rows.collect()) == [("t1", 0, 1.0), ("t1", 1, 2.0), ("t1", 2, 3.0), ("t2", 0, 9.0)]
+
+
+SENSOR = "session_id string, timestamp timestamp, packets_sent long, packets_lost long, rtt_ms double, retransmissions long, resets long"
+
+
+def sensor_rows(session, n, start=T0, rtt=20.0):
+    return [(session, start + timedelta(seconds=i), 10, i % 3, rtt + i, i % 2, 0) for i in range(n)]
+
+
+def test_domains_of_a_folder(spark, tmpdir_path):
+    for name in ("alpha.parquet", "domain=beta", "gamma"):
+        spark.createDataFrame(sensor_rows("s", 6), SENSOR).write.parquet(os.path.join(tmpdir_path, name))
+    read = lambda: sorted(r.session_id for r in IO.load_domains(spark, tmpdir_path).select("session_id").distinct().collect())
+    assert read() == ["alpha::s", "beta::s", "gamma::s"]
+    spark.createDataFrame(sensor_rows("t", 6), SENSOR).write.parquet(os.path.join(tmpdir_path, "delta.parquet"))
+    assert read() == ["alpha::s", "beta::s", "delta::t", "gamma::s"]
+
+
+# ---------------------------------------------------------------- rows without labels
+
+
+def test_unlabelled_rows_are_scored(spark, noisy, tmpdir_path):
+    model, _, meta = ML.train_sensor(noisy, "logistic_regression")
+    path = os.path.join(tmpdir_path, "model")
+    ML.save_model(model, path, meta)
+    loaded, meta = ML.load_model(spark, path)
+    raw = spark.createDataFrame(sensor_rows("s1", 40) + sensor_rows("s2", 7), SENSOR)
+    batch = sensor_feature_frame(raw, 5)
+    assert "label" not in batch.columns
+    scored = ML.infer_sensor(loaded, batch, metadata=meta).collect()
+    assert len(scored) == 10 and all(0 <= r.probability <= 1 for r in scored)
+    # the same rows as a stream, through windows, baseline and the saved model
+    src = os.path.join(tmpdir_path, "raw")
+    raw.unionByName(spark.createDataFrame(sensor_rows("end", 1, T0 + timedelta(hours=1)), SENSOR)).coalesce(1).write.parquet(src)
+    wins = ST.run_available_now(ST.stream_window_features(spark.readStream.schema(raw.schema).parquet(src), 5, "10 seconds"), os.path.join(tmpdir_path, "w"))
+    stream = spark.readStream.schema(spark.read.parquet(wins).schema).parquet(wins)
+    feats = ST.run_available_now(ST.stream_session_baseline(stream, "10 seconds"), os.path.join(tmpdir_path, "b"))
+    stream = spark.readStream.schema(spark.read.parquet(feats).schema).parquet(feats)
+    alerts = spark.read.parquet(ST.run_available_now(ST.stream_alerts(stream, 0.0, loaded), os.path.join(tmpdir_path, "a")))
+    got = {(r.session_id, r.window_start): r.probability for r in alerts.collect()}
+    want = {(r.session_id, r.window_start): r.probability for r in scored}
+    assert got == pytest.approx(want)
+
+
+# ---------------------------------------------------------------- streams
+
+
+@pytest.mark.parametrize("held", [10_000, 7])
+def test_stream_baseline_over_many_batches(spark, tmpdir_path, monkeypatch, held):
+    """Batch parity over several micro-batches, with the first values missing at first; rows beyond the bound wait in the state store."""
+    monkeypatch.setattr(ST, "HELD_ROWS", held)
+    rng = random.Random(4)
+    rows = [(f"s{i % 3}", T0 + timedelta(seconds=5 * (i // 3)), 10, i % 3, None if i < 100 and i % 3 == 1 else 20.0 + rng.random() * i, i % 2, 0) for i in range(240)]
+    wins = window_features(window_aggregate(spark.createDataFrame(rows, SENSOR), 5), 5).cache()
+    src = os.path.join(tmpdir_path, "wins")
+    for k in range(4):  # sessions go on from batch to batch
+        lo, hi = (T0 + timedelta(seconds=100 * x) for x in (k, k + 1))
+        wins.where((F.col("window_start") >= F.lit(lo)) & (F.col("window_start") < F.lit(hi))).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(wins.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    out = spark.read.parquet(ST.run_available_now(ST.stream_session_baseline(stream, "1 day"), os.path.join(tmpdir_path, "sink")))
+    names = list(ST._BASELINE_OUTPUT.values())
+    got = {(r.session_id, r.window_start): [r[c] for c in names] for r in out.collect()}
+    assert len(got) == out.count() == wins.count()
+    firsts = {}
+    for r in sorted(wins.collect(), key=lambda r: r.window_start):
+        for c in ST.BASELINE_FEATURES:
+            if r[c] is not None:
+                firsts.setdefault((r.session_id, c), (r.window_start, r[c]))
+    batch_of = lambda t: int((t - T0).total_seconds() // 100)
+    for r in wins.collect():
+        for (c, (kind, floor)), name in zip(ST.BASELINE_FEATURES.items(), names, strict=True):
+            found = firsts.get((r.session_id, c))
+            mine = got[r.session_id, r.window_start][names.index(name)]
+            if found is None or r[c] is None or batch_of(found[0]) > batch_of(r.window_start):  # not known when the row left
+                assert mine is None or mine != mine
+            else:
+                assert mine == pytest.approx(r[c] - found[1] if kind == "delta" else r[c] / max(found[1], floor))
+
+
+def scores(spark, rows):
+    return spark.createDataFrame(rows, "isp_id string, transport string, score double")
+
+
+def test_versioned_table_survives_replay(spark, tmpdir_path):
+    write = ST.versioned_writer(tmpdir_path, whole_every=3)
+    read = lambda: sorted(tuple(r) for r in ST.read_versioned(spark, tmpdir_path).collect())
+    write(scores(spark, [("a", "quic", 1.0), ("b", "doh", 2.0)]), 0)
+    write(scores(spark, [("a", "quic", 3.0)]), 1)
+    assert read() == [("a", "quic", 3.0), ("b", "doh", 2.0)]
+    write(scores(spark, [("a", "quic", 3.0)]), 1)  # the batch again
+    assert read() == [("a", "quic", 3.0), ("b", "doh", 2.0)]
+    # a batch whose files are there but which is not committed yet is not seen
+    scores(spark, [("a", "quic", 99.0)]).write.parquet(f"{tmpdir_path}/data/batch=000000000002-half")
+    assert read() == [("a", "quic", 3.0), ("b", "doh", 2.0)]
+    write(scores(spark, [("c", "quic", 5.0)]), 2)
+    write(scores(spark, [("c", "quic", 6.0)]), 3)  # all keys again: earlier folders are read no more
+    files = {f.rsplit("batch=", 1)[1][:12] for f in ST.read_versioned(spark, tmpdir_path).inputFiles()}
+    assert read() == [("a", "quic", 3.0), ("b", "doh", 2.0), ("c", "quic", 6.0)] and files == {"000000000003"}
+    write(scores(spark, [("c", "quic", 6.0)]), 3)
+    write(scores(spark, [("b", "doh", 7.0)]), 4)
+    assert read() == [("a", "quic", 3.0), ("b", "doh", 7.0), ("c", "quic", 6.0)]
+
+
+def test_fold_rows_are_filters(spark):
+    df = spark.createDataFrame([(d, i) for d in ("a", "b", "c") for i in range(3)], "domain string, v int")
+    folds = J.fold_table(spark, ["a", "b", "c"])
+    assert J.fold_rows(df, folds, "b", "eval").count() == 3 and J.fold_rows(df, folds, "b", "train").count() == 6
+    assert J.holdout_folds(df).groupBy("holdout", "role").count().collect().__len__() == 6
+    with pytest.raises(ValueError):
+        J.fold_table(spark, ["a", "a"])
