@@ -10,6 +10,7 @@ ROC AUC / average precision and exact percentiles.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import numpy as np
@@ -203,7 +204,8 @@ def _history(keys: Sequence[str], value: str, length: int, out_col: str, columns
                 new[1:] |= differs.to_numpy(zero_copy_only=False)
             first_key = [c[0].as_py() for c in key_cols]
             if held is None:
-                held = pa.array(batch.column(_CARRY)[0].as_py() or [], values.type)
+                carried = json.loads(batch.column(_CARRY)[0].as_py() or "[]")
+                held = pa.array([float(v) if isinstance(v, str) else v for v in carried], values.type)  # NaN is text in JSON
             elif first_key != last_key:
                 held = values.slice(0, 0)
             c = len(held)
@@ -226,13 +228,16 @@ def _history(keys: Sequence[str], value: str, length: int, out_col: str, columns
 def _carries(ranged: DataFrame, keys: Sequence[str], value: str, length: int) -> DataFrame:
     """(_np_pid, _np_carry): for every range partition whose first key began earlier, the ``length`` values before it, oldest first.
 
-    Only the last ``length`` rows of a partition can be needed by later ones. They are numbered through all partitions and
+    Only the last ``length`` rows of a partition can be needed by later ones. They are numbered through all partitions (from the
+    partitions' sizes: a number each on the driver, which plans a task for each anyway) and
     meet the partitions' first rows on that number in steps of ``length``, so no key's rows come together."""
     pid, pos = F.shiftright(_SEQ, 33).cast("int"), F.col(_SEQ).bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ranged.groupBy(pid.alias(_PID)).agg(F.count(F.lit(1)).alias("_np_n"))
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
-    sizes = F.broadcast(sizes.withColumn("_np_from", F.coalesce(F.sum("_np_n").over(before), F.lit(0))))
-    placed = ranged.select(pid.alias(_PID), pos.alias("_np_pos"), *keys, F.col(value).alias("_np_value")).join(sizes, _PID)
+    sizes = sorted(ranged.groupBy(pid.alias(_PID)).agg(F.count(F.lit(1)).alias("n")).collect())
+    before = np.concatenate([[0], np.cumsum([r["n"] for r in sizes])]).tolist()
+    offsets = ranged.sparkSession.createDataFrame([(r[_PID], r["n"], f) for r, f in zip(sizes, before)], f"{_PID} int, _np_n long, _np_from long")
+    placed = ranged.select(pid.alias(_PID), pos.alias("_np_pos"), *keys, F.col(value).alias("_np_value")).where(
+        (F.col("_np_pos") == 0) | (F.col("_np_pos") >= max(0, min((r["n"] for r in sizes), default=0) - length)))
+    placed = placed.join(F.broadcast(offsets), _PID)
     tails = placed.where(F.col("_np_pos") >= F.col("_np_n") - length).select(
         (F.col("_np_from") + F.col("_np_pos")).alias("_np_at"), *[F.col(k).alias(f"_np_k_{k}") for k in keys], "_np_value")
     tails = tails.withColumn("_np_step", F.floor(F.col("_np_at") / length).cast("long"))
@@ -272,10 +277,14 @@ def ordered_history(
         .withColumn(_SEQ, F.monotonically_increasing_id())
         .checkpoint(eager=True)
     )
-    carries = F.broadcast(_carries(ranged, keys, value, length))
-    first = F.col(_SEQ).bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    rows = ranged.withColumn(_PID, F.shiftright(_SEQ, 33).cast("int")).join(carries, _PID, "left")
-    rows = rows.select(*df.columns, F.when(first, F.col(_CARRY)).alias(_CARRY))
+    if ranged.rdd.getNumPartitions() > 1:
+        carries = F.broadcast(_carries(ranged, keys, value, length))
+        first = F.col(_SEQ).bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        rows = ranged.withColumn(_PID, F.shiftright(_SEQ, 33).cast("int")).join(carries, _PID, "left")
+        # as text: a list column that is null in all rows but one costs more to send than all others
+        rows = rows.select(*df.columns, F.when(first, F.to_json(_CARRY, {"ignoreNullFields": "false"})).alias(_CARRY))
+    else:  # no edges
+        rows = ranged.select(*df.columns, F.lit(None).cast("string").alias(_CARRY))
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(df.schema[value].dataType), True)])
     return rows.mapInArrow(_history(list(keys), value, length, out_col, df.columns), schema)
 

@@ -104,7 +104,7 @@ def test_history_without_keys_and_rows(spark):
 
 
 def test_history_is_one_python_pass(spark):
-    df = spark.createDataFrame([(i % 3, i, i * 1.0) for i in range(50)], "k int, i int, v double")
+    df = spark.createDataFrame([(i % 3, i, float("nan") if i % 7 == 3 else i * 1.1) for i in range(50)], "k int, i int, v double")
     plan = ordered_history(df, ["i"], "v", 3, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") + plan.count("PythonMapInArrow") == 1 and "MapInPandas" not in plan
 
