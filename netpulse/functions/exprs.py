@@ -89,7 +89,7 @@ def round_doubles(df, places: int = 6, exclude: Iterable[str] = ()):
 def require_columns(df, required: Iterable[str], what: str) -> None:
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"Missing required {what} columns: {missing}")
+        raise ValueError(f"{what} rows lack the columns {missing}")
 
 
 def trim_all(c: Column) -> Column:

@@ -9,7 +9,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netpulse.plans.ordering import ordered_prefix
+from netpulse.plans.ordering import ROW_KEY, ordered_prefix, with_row_key
 
 # Transports, their starting bandit scores (ties prefer the earlier one),
 # the neutral success rate without history, and the recent-list limits.
@@ -73,23 +73,28 @@ def success_rate_by_context(aggregates: DataFrame, hours: Sequence[int] = tuple(
 def choose_transport(log: DataFrame, agent_col: str = "isp_id", order_col: str = "event_id") -> DataFrame:
     """Offline replay of the greedy bandit: before each logged decision, every arm's score is its
     start score plus the rewards it earned earlier for the same agent; the max wins (ties in
-    quic, webrtc, doh order). Running sums use the distributed ordered prefix."""
+    quic, webrtc, doh order). Running sums use the distributed ordered prefix, which takes the agent, the order and the rewards
+    only: a log with more columns is joined back on a key of its rows."""
+    needed = list(dict.fromkeys([agent_col, order_col, "transport", "reward"]))
+    wide = bool(set(log.columns) - set(needed))
+    rows = with_row_key(log) if wide else log
+    own = [ROW_KEY] if wide else []
     per_arm = {t: F.when(F.col("transport") == t, F.col("reward").cast("double")).otherwise(F.lit(0.0)) for t in TRANSPORTS}
-    marked = log.withColumns({f"_r_{t}": e for t, e in per_arm.items()})
-    pref = ordered_prefix(marked, [order_col], [f"_r_{t}" for t in TRANSPORTS], keys=[agent_col])
+    marked = rows.select(*needed, *own).withColumns({f"_r_{t}": e for t, e in per_arm.items()})
+    pref = ordered_prefix(marked, [order_col, *own], [f"_r_{t}" for t in TRANSPORTS], keys=[agent_col])
     scores = {t: F.lit(START_SCORES[t]) + F.col(f"cum__r_{t}") for t in TRANSPORTS}
     ranked = F.array(*[
         F.struct(scores[t].alias("score"), F.lit(len(TRANSPORTS) - i).alias("priority"), F.lit(t).alias("transport"))
         for i, t in enumerate(TRANSPORTS)
     ])
     best = F.array_max(ranked)
-    cols = [c for c in log.columns]
-    return pref.select(
-        *cols,
+    out = pref.select(
+        *(own if wide else log.columns),
         *[scores[t].alias(f"score_{t}") for t in TRANSPORTS],
         best["transport"].alias("chosen_transport"),
         best["score"].alias("chosen_score"),
     )
+    return rows.join(out, ROW_KEY).select(*log.columns, *out.columns[1:]) if wide else out
 
 
 def recent_aggregates(aggregates: DataFrame, limit: int | None = RECENT_DEFAULT, id_col: str = "id") -> DataFrame:

@@ -117,8 +117,7 @@ def build_experiment_dataset(raw: DataFrame, phases: DataFrame, runs: DataFrame
         examples = uncovered_rows(labelled).collect()  # at most 5 rows
         if examples:
             raise ValueError(
-                "Manifest phases do not cover every sensor row. "
-                f"Example uncovered rows: {[r.asDict() for r in examples]}"
+                f"the phases of the runs do not cover all rows, for example {[r.asDict() for r in examples]}"
             )
     return labelled.drop("covered")
 
@@ -188,7 +187,7 @@ def check_domains(frame: DataFrame) -> DataFrame:
 def union_sources(frames: Sequence[DataFrame]) -> DataFrame:
     """UNION ALL by column name; columns missing on one side become NULL."""
     if not frames:
-        raise ValueError("At least one input is required.")
+        raise ValueError("no frame is given to unite")
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)

@@ -97,7 +97,7 @@ def build_estimator(algorithm: str, seed: int = DEFAULT_SEED, num_trees: int | N
         lr = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol=_W, maxIter=2000, tol=1e-4)
         return Pipeline(stages=[_assembler(), scaler, lr])
     else:
-        raise ValueError(f"Unknown sensor algorithm {algorithm!r}; choose from {ALGORITHMS}")
+        raise ValueError(f"no estimator is called {algorithm!r}; there are {ALGORITHMS}")
     return Pipeline(stages=[_assembler(), est])
 
 
@@ -166,7 +166,7 @@ def _probabilities(model, frame: DataFrame) -> DataFrame:
 
 def _require_two_classes(frame: DataFrame) -> None:
     if frame.select("label").distinct().limit(2).count() < 2:
-        raise ValueError("Training data must contain both classes.")
+        raise ValueError("a fit needs rows of both classes")
 
 
 def hold_for_stopping(train: DataFrame, share: float, seed: int = DEFAULT_SEED) -> DataFrame:
@@ -364,7 +364,9 @@ def train_iat_forecaster(iat: DataFrame, sequence_length: int = 20, validation_r
     """Sequences -> tail split -> Huber-loss linear regression on the history vector.
 
     Returns (model, report, metadata with sequence length, mean, std). Replaces the
-    recurrent network with an MLlib regressor under the same loss.
+    recurrent network with an MLlib regressor under the same loss. Like epochs, the optimizer's iterations are judged on the validation
+    samples: fits of an eighth, a quarter, a half and all of ``max_iter`` run side by side, and the one of the lowest
+    validation Huber loss is kept (of equal ones the shortest; without validation samples the longest).
     """
     from netpulse.operators.sequences import iat_sequences, iat_stats, tail_split
 
@@ -373,14 +375,24 @@ def train_iat_forecaster(iat: DataFrame, sequence_length: int = 20, validation_r
     split = materialize(tail_split(seq, validation_ratio)).withColumn("x", array_to_vector("inputs"))
     train = split.where(F.col("split") == "train")
     if train.limit(1).count() == 0:
-        raise ValueError("Forecast training needs at least one training sample.")
-    lr = LinearRegression(featuresCol="x", labelCol="target", loss="huber", maxIter=max_iter, regParam=reg_param)
-    model = lr.fit(train)
-    valid = model.transform(split.where(F.col("split") == "validation")).withColumn(
-        "predicted_iat_ms", F.col("prediction") * F.col("std") + F.col("mean"))
+        raise ValueError("no sample is left to train the forecaster on")
+    validation = split.where(F.col("split") == "validation")
+    steps = sorted({max(1, max_iter // d) for d in (8, 4, 2, 1)})
+
+    def fit(n: int):
+        lr = LinearRegression(featuresCol="x", labelCol="target", loss="huber", maxIter=n, regParam=reg_param)
+        model = lr.fit(train)
+        return model, M.huber_loss(model.transform(validation), "target", "prediction").first()["huber_loss"]
+
+    fits = side_by_side([lambda n=n: fit(n) for n in steps])
+    losses = {n: loss for n, (_, loss) in zip(steps, fits, strict=True)}
+    chosen = min(steps, key=lambda n: losses[n]) if None not in losses.values() else steps[-1]
+    model = fits[steps.index(chosen)][0]
+    valid = model.transform(validation).withColumn("predicted_iat_ms", F.col("prediction") * F.col("std") + F.col("mean"))
     report = M.regression_metrics(valid, "actual_iat_ms", "predicted_iat_ms").crossJoin(
         M.huber_loss(valid, "target", "prediction"))
-    meta = {"sequence_length": sequence_length, "mean": stats["mean"], "std": stats["std"]}
+    meta = {"sequence_length": sequence_length, "mean": stats["mean"], "std": stats["std"], "iterations": chosen,
+            "validation_losses": {str(n): v for n, v in losses.items()}}
     return model, report, meta
 
 

@@ -85,7 +85,7 @@ def split_by_session_per_domain(features: DataFrame, validation_ratio: float = 0
     out = split_by_session(features, validation_ratio, seed, keys=("domain",))
     if require_validation and validation_ratio > 0.0:
         if out.where(F.col("split") == "validation").limit(1).count() == 0:
-            raise ValueError("validation split produced an empty validation frame.")
+            raise ValueError("no session of any domain is left for validation")
     return out
 
 

@@ -15,7 +15,7 @@ from netpulse.functions.exprs import round_doubles
 from netpulse.operators import windows
 from netpulse.plans import bridge
 from netpulse.plans import oracle as O
-from netpulse.session import materialize
+from netpulse.session import materialize, small
 
 # Fixed parameters of the bridge fixtures: one-day windows over the event month.
 WINDOW_SECONDS = 86400
@@ -453,11 +453,11 @@ _PATTERN = "scan"
     "FROM ml JOIN mf USING (source)",
 )
 def q_label_by_pattern(spark, sf_dir):
-    """Numeric labels where a whole source is 0/1, else substring rule (per-source flag, broadcast)."""
+    """Numeric labels where a whole source is 0/1, else substring rule (per-source flag, counted)."""
     df = _mixed_labels(flows(spark, sf_dir))
     text = F.coalesce(F.col("Label").cast("string"), F.lit("nan"))
     flags = C.source_flags(df, "source", {"ok": C._all_numeric_binary(text)})
-    j = df.join(F.broadcast(flags), "source")
+    j = df.join(small(flags), "source")
     return j.select("event_id", "source", C.label_by_pattern(text, F.col("ok"), _PATTERN).alias("label"))
 
 
@@ -1040,6 +1040,18 @@ def q_stream_alerts(spark, sf_dir):
     return spark.read.parquet(ST.run_available_now(ST.stream_alerts(feats, threshold=_T), name="alerts"))
 
 
+@register("stream_alerts_model")
+def q_stream_alerts_model(spark, sf_dir):
+    """Alerts of a saved model: trained in batch, saved, loaded by the stream of feature rows, which have no label."""
+    model, _, meta = ML.train_sensor(_fit_features(spark, sf_dir), "logistic_regression")
+    saved = IO.fresh_folder(spark, "model")
+    ML.save_model(model, saved, meta)
+    model, meta = ML.load_model(spark, saved)
+    path = _stream_baseline(spark, sf_dir)
+    feats = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).drop("label")
+    return spark.read.parquet(ST.run_available_now(ST.stream_alerts(feats, meta["threshold"], model), name="model-alerts"))
+
+
 def _ping_lines(events_df):
     """Ping output text derived from events: errors are timeouts, others replies with RTT = value."""
     seq = F.col("event_id").cast("string")

@@ -48,7 +48,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     if suffix == ".parquet":
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.parquet(path)
-    raise ValueError(f"Unsupported file format: {suffix}")
+    raise ValueError(f"a table is .csv or .parquet, not {suffix or 'without suffix'}")
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -59,7 +59,7 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     elif suffix == ".parquet":
         df.write.mode(mode).parquet(path)
     else:
-        raise ValueError(f"Unsupported file format: {suffix}")
+        raise ValueError(f"a table is .csv or .parquet, not {suffix or 'without suffix'}")
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -184,12 +184,12 @@ def read_arff(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     declared = lines.where(lower.startswith("@attribute")).join(small(skip), "_file").where(F.col("_line") < F.col("_skip"))
     name = F.regexp_extract("_text", ARFF_ATTRIBUTE, 1)
     if not (bad := declared.where(~F.col("_text").rlike(ARFF_ATTRIBUTE)).limit(1)).isEmpty():
-        raise ValueError(f"Invalid ARFF attribute declaration in {bad.first()['_file']}")
+        raise ValueError(f"{bad.first()['_file']} declares an attribute without a name or type")
     # a header's lines only, however many rows follow it
     heads = declared.groupBy("_file", "_skip").agg(F.sort_array(F.collect_list(F.struct("_line", name.alias("name")))).alias("_names"))
     heads, schemas = _numbered(heads.select("_file", "_skip", F.transform("_names", lambda x: x["name"]).alias("_names")), "_names")
     if not schemas:
-        raise ValueError("No ARFF attributes found.")
+        raise ValueError("none of the files declares an attribute above its data")
     data = lines.join(heads.select("_file", "_skip", "_layout"), "_file").where(
         (F.col("_line") >= F.col("_skip")) & (F.length("_text") > 0) & ~F.col("_text").startswith("%"))
     data = narrow_row_index(data.select("_text", "_file", "_line", "_layout"), ["_line"], keys=["_file"], name="_row")
@@ -312,7 +312,7 @@ def read_manifests(spark: SparkSession, paths: str | Sequence[str], validate: bo
     if validate:
         bad = validate_phases(phases).limit(5).collect()  # at most 5 rows
         if bad:
-            raise ValueError(f"Invalid manifest phases: {[r.asDict() for r in bad]}")
+            raise ValueError(f"phases break the manifest rules: {[r.asDict() for r in bad]}")
     return runs, phases
 
 

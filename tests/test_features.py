@@ -42,7 +42,7 @@ def test_one_window_exact_values(spark):
 
 
 def test_missing_columns_raise(spark):
-    with pytest.raises(ValueError, match="Missing required sensor columns"):
+    with pytest.raises(ValueError, match="sensor rows lack the columns"):
         sensor_feature_frame(b1(spark).drop("rtt_ms"), 5)
 
 

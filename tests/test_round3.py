@@ -281,7 +281,7 @@ def test_arff_files_of_two_layouts(spark, tmpdir_path):
     got = sorted((r.source, r._row, r.x, r["y y"], r.z) for r in IO.read_arff(spark, tmpdir_path).collect())
     assert got == [("a", 0, "1", "p, q", None), ("a", 1, "@attribute", "2", None), ("b", 0, "3", None, "t")]
     bad = write(tmpdir_path, "bad/c.arff", "@attribute x\n@data\n1\n")
-    with pytest.raises(ValueError, match="Invalid ARFF attribute"):
+    with pytest.raises(ValueError, match="declares an attribute without"):
         IO.read_arff(spark, bad)
 
 
@@ -401,3 +401,25 @@ def test_fold_rows_are_filters(spark):
     assert J.holdout_folds(df).groupBy("holdout", "role").count().collect().__len__() == 6
     with pytest.raises(ValueError):
         J.fold_table(spark, ["a", "a"])
+
+
+def test_bandit_of_a_wide_log(spark):
+    from netpulse.operators.decisions import choose_transport
+
+    rng = random.Random(9)
+    rows = [(f"isp{i % 3}", i // 2, rng.choice(["quic", "webrtc", "doh"]), rng.choice([0, 1]), f"note {i}") for i in range(60)]
+    wide = spark.createDataFrame(rows, "isp_id string, event_id long, transport string, reward int, note string")
+    one = wide.where("event_id % 2 = 0").dropDuplicates(["event_id"])
+    got = sorted(map(str, choose_transport(one).drop("note").collect()))
+    assert got == sorted(map(str, choose_transport(one.drop("note")).collect())) and len(got) == 15
+    assert choose_transport(wide).count() == 60  # repeated orders keep their rows
+
+
+def test_forecaster_keeps_the_best_iterations(spark):
+    rows = [(t, i, 20.0 + off + 0.5 * i + (i % 5)) for t, off in (("trace-a", 0.0), ("trace-b", 5.0)) for i in range(30)]
+    iat = spark.createDataFrame(rows, "trace_id string, packet_index long, iat_ms double")
+    _, report, meta = ML.train_iat_forecaster(iat, 5, validation_ratio=0.2, max_iter=16)
+    losses = meta["validation_losses"]
+    assert sorted(map(int, losses)) == [2, 4, 8, 16] and losses[str(meta["iterations"])] == min(losses.values())
+    assert report.first()["huber_loss"] == pytest.approx(min(losses.values()))
+    assert ML.train_iat_forecaster(iat, 5, validation_ratio=0.0, max_iter=4)[2]["iterations"] == 4
