@@ -150,3 +150,62 @@ def test_spans_match_redaction(make, many):
                 out += t[at : s.start] + f"[{s.kind.upper()}]"
                 at = s.end
         assert after[i] == out + t[at:]
+
+
+@pytest.fixture(scope="module")
+def planted():
+    """Spelled-out addresses and national numbers, after cue words and without, among look-alikes: (rows, wanted, unwanted)."""
+    rng = random.Random(8)
+    digit = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, wanted, unwanted = [], set(), set()
+    for i in range(480):
+        number, spelled = f"({digit(3)}) {digit(3)}-{digit(4)}", f"{name()} (at) {name()} (dot) org"
+        kind = i % 8
+        text, span, good = [
+            (f"please call {number} today about {name()}", number, True), (f"write to {spelled} today about {name()}", spelled, True),
+            (f"order {number} was shipped from {name()}", number, False), (f"the array {name()}[at] {name()}[dot] size was shipped", None, False),
+            (f"plain {name()} with +1 {number} today", None, None), (f"lot {digit(8)} was shipped, item {digit(11)}", digit(8), None),
+            (f"say {name()} and {number} today about {name()}", number, True), (f"say {name()} as {number} was shipped from {name()}", number, False),
+        ][kind]
+        rows.append((i, text))
+        if good is True:
+            wanted.add((i, text.index(span), kind >= 6))
+        elif good is False and span:
+            unwanted.add((i, text.index(span)))
+    return rows, wanted, unwanted
+
+
+def test_the_model_adds_spans(make, planted):
+    """Numbers and addresses after cue words are added, and so are those without one in the same surroundings; look-alikes are not."""
+    rows, wanted, unwanted = planted
+    spans = pii.personal_data(make(rows)).select("doc_id", F.inline("spans")).collect()
+    added = {(r.doc_id, r.start) for r in spans if not r.base}
+    after_cue = {(i, a) for i, a, plain in wanted if not plain}
+    plain = {(i, a) for i, a, p in wanted if p}
+    assert after_cue <= added
+    assert len(plain & added) >= 0.9 * len(plain)
+    assert not added & unwanted
+    assert len(added - after_cue - plain) == 0
+    redacted = {r.doc_id: r.text for r in pii.redact(make(rows)).collect()}
+    assert redacted[0].startswith("please call [PHONE] today") and redacted[1].startswith("write to [EMAIL] today")
+    assert redacted[2] == rows[2][1] and "+1" not in redacted[4]
+
+
+def test_thresholds_come_from_raw_scores(make, planted):
+    """Every threshold is a score that spans reach."""
+    rows, _, _ = planted
+    docs = make(rows).select(pii.candidates(F.col("text")).alias("c")).select(F.inline("c"))
+    model = pii.fit(docs)
+    best = docs.where("loose").agg(F.max(model.score(F.col("f")))).first()[0]
+    assert model.trees and model.with_cue <= model.without <= best
+
+
+def test_few_examples_still_count(make):
+    """One labelled loose span is enough; with none, or only look-alikes, nothing is added."""
+    text = "please call (017) 555-7713 today"
+    added = lambda rows: [(r.doc_id, r.kind) for r in pii.personal_data(make(rows)).select("doc_id", F.inline("spans")).collect() if not r.base]
+    assert added([(1, text)]) == [(1, "phone")]
+    assert added([(1, text), (2, "order (017) 555-7713 was shipped")]) in ([(1, "phone")], [])
+    assert added([(2, "order (017) 555-7713 was shipped"), (3, "see (017) 555-7713")]) == []
+    assert added([(3, "see (017) 555-7713")]) == []
