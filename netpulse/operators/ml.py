@@ -150,10 +150,10 @@ class SigmoidCalibrated:
         return out.withColumn("probability", F.array(F.lit(1.0) - p, p)).drop(*names)
 
 
-def side_by_side(jobs: Sequence[Callable]) -> list:
-    """Results of driver functions that each submit Spark jobs, run at the same time (a handful: one a fold or an estimator)."""
+def side_by_side(jobs: Sequence[Callable], at_once: int = 4) -> list:
+    """Results of driver functions that each submit Spark jobs, some at the same time: one fit's short jobs leave cores idle."""
     run = inheritable_thread_target(SparkSession.getActiveSession())(lambda job: job())
-    with ThreadPool(len(jobs)) as pool:
+    with ThreadPool(min(at_once, len(jobs))) as pool:
         return pool.map(run, jobs)
 
 
@@ -290,8 +290,8 @@ def evaluate_transfer(source: DataFrame, target: DataFrame, algorithm: str = "li
 
 def evaluate_holdouts(features: DataFrame, algorithm: str = "logistic_regression", seed: int = DEFAULT_SEED,
                       threshold: float = MODEL_THRESHOLD, balance: bool = True, num_trees: int | None = None):
-    """Leave-one-domain-out: one fit per holdout domain (each a distributed fit), predictions stacked,
-    all metrics in one grouped aggregate keyed by holdout; macro rows at the default and the best threshold.
+    """Leave-one-domain-out: one fit per holdout domain (each a distributed fit, up to four at the same time, which ``fit_seconds``
+    includes), predictions stacked, all metrics in one grouped aggregate keyed by holdout; macro rows at the default and the best threshold.
 
     Rows are not copied per holdout. Each row is ranked once in hash order inside its domain; the fold of
     holdout h trains on the rows of the other domains whose rank is below their smallest row count.
@@ -309,17 +309,17 @@ def evaluate_holdouts(features: DataFrame, algorithm: str = "logistic_regression
     feats = materialize(keyed.join(ranked.select(ROW_KEY, "_i"), ROW_KEY).select(*features.columns, "_i"))
     rows = {r["domain"]: r["n"] for r in feats.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
 
-    preds, extra = [], []
-    for d in names:  # one after another, so that each fit's time means something
+    def one(d: str):
         train = fold_rows(feats, folds, d, "train")
         if balance and len(names) > 2:
             train = train.where(F.col("_i") < min(n for k, n in rows.items() if k != d))
         train = train.drop("_i")
         held = fold_rows(feats, folds, d, "eval").drop("_i")
         model, seconds = fit_sensor_model(train, algorithm, seed, num_trees)
-        preds.append(score(model, held, threshold).withColumn("holdout", F.lit(d)))
         counts = _report_counts(train, held)
-        extra.append((d, float(seconds), *[counts[k] for k in _COUNTS]))
+        return score(model, held, threshold).withColumn("holdout", F.lit(d)), (d, float(seconds), *[counts[k] for k in _COUNTS])
+
+    preds, extra = (list(x) for x in zip(*side_by_side([lambda d=d: one(d) for d in names]), strict=True))
     stacked = preds[0]
     for p in preds[1:]:
         stacked = stacked.unionByName(p)

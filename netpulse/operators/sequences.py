@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from netpulse.functions.exprs import require_columns
 from netpulse.operators.clean import parse_mixed_timestamps
-from netpulse.plans.ordering import narrow_row_index, ordered_history, row_index
-from netpulse.session import materialize
+from netpulse.plans.ordering import laid_out_history, lay_out, narrow_row_index, ordered_history, row_index
 
 # Default gap ceiling (ms) and history length.
 DEFAULT_MAX_IAT_MS = 5000.0
@@ -90,13 +89,13 @@ def iat_sequences(
     Normalization uses the global mean / population std of all rows (``iat_stats``).
     """
     frame, order = _ordered_iat(iat)
+    laid = lay_out(frame, order, ["trace_id"])  # read by the statistics and by the history pass
     if stats is None:
-        frame = materialize(frame)  # read by the statistics and by the history pass
-        stats = iat_stats(frame)
-    z = frame.crossJoin(F.broadcast(stats)).withColumn(  # one-row table
+        stats = iat_stats(laid)
+    z = laid.crossJoin(F.broadcast(stats)).withColumn(  # one-row table
         "_z", (F.col("iat_ms") - F.col("mean")) / F.col("std")
     )
-    hist = ordered_history(z, order, "_z", sequence_length, keys=["trace_id"], out_col="inputs")
+    hist = laid_out_history(z, "_z", sequence_length, ["trace_id"], "inputs")
     out = hist.where(F.size("inputs") == sequence_length).select(
         "trace_id", "packet_index", "inputs", F.col("_z").alias("target"), F.col("iat_ms").alias("actual_iat_ms"),
         "mean", "std",

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netpulse.functions.exprs import as_utc_timestamp, clip_lower, require_columns
-from netpulse.session import small
 
 # The raw sensor schema, the optional per-flow columns with the
 # aggregate each one gets inside a window, and the 30 output features in order.
@@ -222,11 +221,11 @@ def session_start_values(features: DataFrame, session_key: str = "session_id") -
 def session_baseline_features(features: DataFrame, session_key: str = "session_id") -> DataFrame:
     """Add the 7 features relative to the session's first window.
 
-    The start values (one row per session) are computed once and counted: broadcast while few, else
-    joined as a plain table, so that adaptive execution can split a hot session's rows. The window
-    rows are not written; callers that read the result several times materialize it themselves.
+    The start values (one row per session) are a plain join side: adaptive execution measures it, broadcasts it while it is
+    small and can split a hot session's rows otherwise. Nothing is written; callers that read the result several times
+    materialize it themselves.
     """
-    starts = small(session_start_values(features, session_key))
+    starts = session_start_values(features, session_key)
     joined = features.join(starts, on=session_key, how="left")
     derived = []
     for name, (kind, floor) in BASELINE_FEATURES.items():

@@ -268,25 +268,32 @@ def ordered_history(
     values for each partition (its size is bounded by that) carries the history over the partitions'
     edges, so that one pass gives every row its whole history. Null keys are a key of their own.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+    return laid_out_history(lay_out(df, order_cols, keys, num_partitions), value, length, keys, out_col)
+
+
+def lay_out(df: DataFrame, order_cols: Sequence[str], keys: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+    """``df`` in range partitions sorted by (keys, order), pinned by a checkpoint, with each row's place (``_np_seq``): the input of
+    ``laid_out_history``, and of other work on the same rows before it."""
+    checkpoint_dir(df.sparkSession)
     sort_cols = list(dict.fromkeys([*keys, *order_cols]))
-    ranged = (
-        _range(df, sort_cols, num_partitions)
-        .sortWithinPartitions(*sort_cols)
-        .withColumn(_SEQ, F.monotonically_increasing_id())
-        .checkpoint(eager=True)
-    )
+    ranged = _range(df, sort_cols, num_partitions).sortWithinPartitions(*sort_cols)
+    return ranged.withColumn(_SEQ, F.monotonically_increasing_id()).checkpoint(eager=True)
+
+
+def laid_out_history(ranged: DataFrame, value: str, length: int, keys: Sequence[str] = (), out_col: str = "history") -> DataFrame:
+    """``ordered_history`` of rows from ``lay_out`` (with columns added or dropped since, but no rows moved)."""
+    columns = [c for c in ranged.columns if c != _SEQ]
     if ranged.rdd.getNumPartitions() > 1:
         carries = F.broadcast(_carries(ranged, keys, value, length))
         first = F.col(_SEQ).bitwiseAND(F.lit((1 << 33) - 1)) == 0
         rows = ranged.withColumn(_PID, F.shiftright(_SEQ, 33).cast("int")).join(carries, _PID, "left")
         # as text: a list column that is null in all rows but one costs more to send than all others
-        rows = rows.select(*df.columns, F.when(first, F.to_json(_CARRY, {"ignoreNullFields": "false"})).alias(_CARRY))
+        rows = rows.select(*columns, F.when(first, F.to_json(_CARRY, {"ignoreNullFields": "false"})).alias(_CARRY))
     else:  # no edges
-        rows = ranged.select(*df.columns, F.lit(None).cast("string").alias(_CARRY))
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.ArrayType(df.schema[value].dataType), True)])
-    return rows.mapInArrow(_history(list(keys), value, length, out_col, df.columns), schema)
+        rows = ranged.select(*columns, F.lit(None).cast("string").alias(_CARRY))
+    fields = [ranged.schema[c] for c in columns]
+    schema = T.StructType([*fields, T.StructField(out_col, T.ArrayType(ranged.schema[value].dataType), True)])
+    return rows.mapInArrow(_history(list(keys), value, length, out_col, columns), schema)
 
 
 ROW_KEY, _TIE = "_np_row", "_np_tie"
