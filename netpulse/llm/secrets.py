@@ -8,7 +8,8 @@ at least one of the two being an identifier or a secret, starts within ``scope``
 
 The link is an interval join: parts are binned by ``start / scope``, one side is dealt to its own
 and both neighbouring bins, and the join on (text, bin) checks the distance. Parts of equal
-texts are joined once (rows are keyed by the text's 64-bit hash), so copies add nothing.
+texts are joined once (rows are keyed by the text's 64-bit hash), so copies add nothing. Linked parts
+go back only to rows that hold weak candidates, whose copies are dealt over ``DEALT`` parts of the join.
 
 Nulls: a null text is the empty text, without spans; ids are carried along row by row.
 """
@@ -24,6 +25,7 @@ from netpulse.llm.spans import SPAN, matches, only_if
 KINDS = ("assign", "access", "hex", "key", "id", "endpoint")
 STRONG = KINDS[:3]
 SCOPE = 300
+DEALT = 32  # parts that the copies of one text are dealt over
 
 # Fixed base patterns.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]+)"""
@@ -72,10 +74,14 @@ def in_order(spans: Column) -> Column:
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
     """Per document ``base`` (strong spans) and ``spans`` (with linked weak parts), by start, then kind."""
     found = materialize(id_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("key"), parts(F.col("text")).alias("parts")))
-    weak = F.exists("parts", lambda s: ~s["kind"].isin(*STRONG))
-    rows = found.where(weak & (F.size("parts") > 1)).select("key", "parts").distinct().select("key", F.inline("parts"))
+    weak = F.exists("parts", lambda s: ~s["kind"].isin(*STRONG)) & (F.size("parts") > 1)
+    rows = found.where(weak).select("key", "parts").distinct().select("key", F.inline("parts"))
     added = linked(rows, scope).groupBy("key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("added"))
+    added = added.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    # rows are numbered in their written order, so copies of a text are dealt evenly
+    dealt = found.where(weak).withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(DEALT)).cast("int"))
+    with_weak = dealt.join(added, ["key", "deal"], "left").select("doc_id", "parts", "added")
     strong = F.filter("parts", lambda s: s["kind"].isin(*STRONG))
-    return found.join(added, "key", "left").select(
-        "doc_id", in_order(strong).alias("base"),
-        in_order(F.concat(strong, F.coalesce("added", F.filter("parts", lambda s: F.lit(False))))).alias("spans"))
+    none = F.filter("parts", lambda s: F.lit(False))
+    return found.where(~weak).select("doc_id", "parts", none.alias("added")).unionByName(with_weak).select(
+        "doc_id", in_order(strong).alias("base"), in_order(F.concat(strong, F.coalesce("added", none))).alias("spans"))
