@@ -1,12 +1,13 @@
 """Embedding near-duplicates by E8 lattice hashing.
 
-A random rotation (a seeded orthonormal matrix) is cut into projections to eight dimensions, one
-for each table. A table decodes a vector's projection, divided by ``scale``, to its nearest E8
+Random rotations (seeded orthonormal matrices) are cut into projections to eight dimensions, one
+for each table. One rotation gives vectors of 64 dimensions and more enough tables; narrower ones
+get as many rotations as make ``TABLES`` tables. A table decodes a vector's projection, divided by ``scale``, to its nearest E8
 lattice point. A vector is stored in its own cell of every table and asks, in every table, its
 own cell and those of the ``probes`` neighbouring lattice points nearest to its projection. The
-tables split one rotation, so a pair that is far apart in one is nearer in the others: with
-``scale`` 0.18 and 5 probes a pair at cosine 0.9 is found in some table almost surely (see the
-recall test). Pairs that meet are verified by cosine in double precision.
+tables of a rotation split it, so a pair that is far apart in one is nearer in the others: with
+``scale`` 0.18 and 5 probes a pair at cosine 0.9 is found in some table almost surely, at every
+width (see the recall test). Pairs that meet are verified by cosine in double precision.
 
 Equal vectors are one class first and count with their number of rows. A cell is compared in
 tiles: its vectors are dealt into chunks of about ``CHUNK`` and a task compares two chunks, so
@@ -35,6 +36,7 @@ from netpulse.llm.textops import U64, mix
 
 THRESHOLD = 0.9
 SCALE, PROBES = 0.18, 5
+TABLES = 8  # at least
 CHUNK = 1024  # vectors of a cell in one tile side
 SEED = 8
 
@@ -79,9 +81,11 @@ class Lattice:
 
     def __init__(self, dim: int, scale: float, probes: int) -> None:
         width = -(-dim // 8) * 8
-        self.rotation = np.linalg.qr(np.random.default_rng(SEED + dim).normal(size=(width, width)))[0][:, :dim]
-        self.tables, self.probes = width // 8, probes
-        self.scale = scale * np.sqrt(64.0 / width)  # projections shrink with the number of tables
+        rotations = -(-TABLES * 8 // width)
+        rng = np.random.default_rng(SEED + dim)
+        self.rotation = np.concatenate([np.linalg.qr(rng.normal(size=(width, width)))[0][:, :dim] for _ in range(rotations)])
+        self.tables, self.probes = rotations * width // 8, probes
+        self.scale = scale * np.sqrt(64.0 / width)  # projections shrink with a rotation's number of tables
         self.around = neighbours()
 
     def cells(self, unit: np.ndarray) -> np.ndarray:
