@@ -4,6 +4,8 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from netpulse.llm import lattice_dedup, ngram_join
@@ -78,6 +80,34 @@ def test_jaccard_large_group_of_near_copies(make):
     assert groups(make(rows)) == expected_groups(rows)
 
 
+def test_texts_of_a_token_are_added_up_over_blocks():
+    """A passage that all texts hold, copies of a text within a block, and tokens of one text only."""
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [f"{common} " + " ".join(f"t{i}x{j}" for j in range(12)) for i in range(40)]
+    texts[7] = texts[3]
+    block = [i % 4 for i in range(40)]  # the two copies share a block
+    batch = pa.RecordBatch.from_pydict({"block": pa.array(block, pa.int32()), "text": texts})
+    sent = pa.Table.from_batches(list(ngram_join._send(5, 3)([batch])))
+    entries = sent.group_by(["block", "part"]).aggregate([("tokens", "count")])
+    assert entries.num_rows == sent.num_rows  # a block's tokens are sent once a range
+    want, cut = {}, np.uint64(64 - 8 * ngram_join.COUNTED)
+    held = {}
+    for t, b in dict.fromkeys(zip(texts, block)):
+        for token in next(ngram_join.text_sets(ngram_join.Hasher(), pa.array([t]), 5)):
+            if token < ngram_join.U64(ngram_join._TOP):
+                token = int(token >> cut << cut)
+                want[token] = want.get(token, 0) + 1
+                held.setdefault(b, set()).add(token)
+    got = {}
+    for part in set(sent.column("part").to_pylist()):
+        answers = ngram_join._count(sent.filter(pc.equal(sent.column("part"), part)))
+        for r in answers.to_pylist():
+            got.setdefault(r["block"], {}).update(
+                zip(ngram_join.unpack(r["tokens"], ngram_join.COUNTED).tolist(), np.frombuffer(r["texts"], np.uint32).tolist()))
+    assert max(want.values()) == 39
+    assert got == {b: {t: want[t] for t in tokens if want[t] > 1} for b, tokens in held.items()}
+
+
 def test_prefix_shares_a_token_under_every_order():
     rng = np.random.default_rng(0)
     for _ in range(200):
@@ -160,17 +190,27 @@ def test_links_of_unusable_vectors(spark):
     assert lattice_dedup.near_duplicates(vectors(spark, [])).collect() == []
 
 
+def test_links_of_narrow_vectors_match_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for width in (8, 16, 32):
+        centre = rng.normal(size=(12, width))
+        rows += [(1000 * width + i, (centre[i % 12] + 0.15 * rng.normal(size=width)).tolist()) for i in range(72)]
+    check_links(spark, rows)
+
+
+@pytest.mark.parametrize("width", [5, 8, 16, 24, 32, 64, 100])
 @pytest.mark.parametrize("cosine", [0.9001, 0.92, 0.95])
-def test_recall_of_the_tables(cosine):
+def test_recall_of_the_tables(cosine, width):
     """Share of pairs at a cosine that meet in a cell that one of them is stored in."""
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(1500, 64))
+    x = rng.normal(size=(1500, width))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    u = rng.normal(size=(1500, 64))
+    u = rng.normal(size=(1500, width))
     u -= (u * x).sum(1)[:, None] * x
     u /= np.linalg.norm(u, axis=1)[:, None]
     y = cosine * x + np.sqrt(1 - cosine**2) * u
-    lattice = lattice_dedup.Lattice(64, lattice_dedup.SCALE, lattice_dedup.PROBES)
+    lattice = lattice_dedup.Lattice(width, lattice_dedup.SCALE, lattice_dedup.PROBES)
     a, b = lattice.cells(x), lattice.cells(y)
     met = ((a == b[:, :, :1]) | (b == a[:, :, :1])).any((1, 2))
     assert met.mean() >= 0.995
