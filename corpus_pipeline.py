@@ -18,7 +18,8 @@ REJECT_SCORE = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression-distance classifier rejects go."""
+    """Documents that the compression-distance classifier rejects go. A null text is scored as the empty text; rows
+    of a null id are judged by their text; of rows that repeat an id each is judged by its own text."""
     scores = toxicity.toxicity_scores(docs, read(spark, sf_dir, "labels"), "toxic", folds=4, held_out=2)
     return rows_of(docs, scores.where(F.col("score") >= REJECT_SCORE), "left_anti")
 
@@ -38,17 +39,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row judged by its own text; null and empty texts stay, and
+    without items all rows do."""
     return rows_of(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")), "left_anti")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; personal data in its text gives way to the kind in brackets."""
+    """Every document stays; personal data in its text gives way to the kind in brackets. Null texts stay null,
+    null and repeated ids stay as they are."""
     return pii.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenized pieces with their sequence and place."""
+    """Tokenized pieces with their sequence and place. A null text is the empty text: one piece that holds the end id
+    alone; rows that repeat an id, or lack one, are packed row by row."""
     return packing.best_fit_packing(docs, TOKENIZER, capacity=2048, end_id=0)
 
 
