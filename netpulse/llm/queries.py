@@ -60,8 +60,8 @@ def op3_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ngram_join.jaccard_components(read(spark, sf_dir, "documents"), k=5, percent=75)
-    return found.select("doc_id", "n_shingles", "component_id", "class")
+    found = ngram_join.jaccard_links(read(spark, sf_dir, "documents"), k=5, percent=75)
+    return found.select("doc_id", "n_shingles", "component_id", "class", "n_links")
 
 
 def op5_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

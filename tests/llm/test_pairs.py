@@ -80,6 +80,44 @@ def test_jaccard_large_group_of_near_copies(make):
     assert groups(make(rows)) == expected_groups(rows)
 
 
+def links(df):
+    return sorted(((r.doc_id, r.n_links) for r in ngram_join.jaccard_links(df).collect()), key=str)
+
+
+def expected_link_counts(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    return sorted(((i, sum(bool(s and u) and k != j and 100 * len(s & u) >= 75 * len(s | u) for j, (_, u) in enumerate(sets)))
+                   for k, (i, s) in enumerate(sets)), key=str)
+
+
+def test_links_are_counted_like_brute_force(make, prose, odd_rows):
+    assert links(make(prose)) == expected_link_counts(prose)
+    assert links(make(odd_rows)) == expected_link_counts(odd_rows)
+    assert links(make([])) == []
+
+
+def test_links_of_a_component_over_many_tiles(make, monkeypatch):
+    """A chain of texts that each link with some neighbours only, of growing sizes, with copies; tiles of a few classes."""
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(base[: 40 + 2 * (i // 2)])) for i in range(120)]  # two copies each
+    for i in range(120, 180):
+        ws = list(base[:100])
+        for _ in range(rng.choice([1, 2, 3])):
+            ws[rng.randrange(len(ws))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(ws)))
+    rows += [(None, rows[5][1]), (7, rows[9][1]), (7, rows[9][1])]
+    assert links(make(rows)) == expected_link_counts(rows)
+
+
+def test_overlaps_are_intersections():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint64) for n in (0, 3, 50, 200, 280)]
+    got = ngram_join.overlaps(sets[:3], sets[2:], width=64)
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in sets[2:]] for x in sets[:3]]
+
+
 def test_texts_of_a_token_are_added_up_over_blocks():
     """A passage that all texts hold, copies of a text within a block, and tokens of one text only."""
     common = " ".join(f"c{i}" for i in range(30))
