@@ -913,13 +913,14 @@ def _fit_features(spark, sf_dir):
     return features(spark, sf_dir)
 
 
-@register("rule_score", O.with_ctes(*_SCORES) + "SELECT session_id, domain, window_start, label, probability, "
-          "probability >= 0.7 AS degraded FROM scores")
+_RULE = "(packet_loss_ratio + rtt_cv + retransmission_ratio + reset_ratio) / 4.0"
+
+
+@register("rule_score", O.with_ctes(*_DOMAIN_FEATURES) + f"""SELECT session_id, domain, window_start, label, round(p, 6) AS probability,
+    p >= {ML.RULE_THRESHOLD} AS degraded FROM (SELECT *, CASE WHEN {_RULE} IS NULL THEN NULL ELSE least(greatest({_RULE}, 0.0), 1.0) END AS p FROM features)""")
 def q_rule_score(spark, sf_dir):
     """Rule baseline on the window features: mean of four ratios, degraded at 0.7."""
-    out = ML.rule_score(features(spark, sf_dir))
-    return out.select("session_id", "domain", "window_start", "label", F.round("probability", 6).alias("probability"),
-                      (F.round("probability", 6) >= F.lit(ML.RULE_THRESHOLD)).alias("degraded"))
+    return ML.rule_score(features(spark, sf_dir)).select("session_id", "domain", "window_start", "label", "probability", "degraded")
 
 
 @register("build_estimator")
@@ -966,12 +967,14 @@ def q_train_sensor_multidomain(spark, sf_dir):
     return report
 
 
+_D0 = "(domain = 'd0')"
+
+
 @register("evaluate_transfer")
 def q_evaluate_transfer(spark, sf_dir):
     """Fit on domain d0, evaluate on the other domains."""
     feats = _fit_features(spark, sf_dir)
-    return ML.evaluate_transfer(feats.where(F.col("domain") == "d0"), feats.where(F.col("domain") != "d0"),
-                                "logistic_regression")
+    return ML.evaluate_transfer(feats.where(_D0), feats.where(f"NOT {_D0}"), "logistic_regression")
 
 
 @register("evaluate_holdouts")
@@ -998,6 +1001,110 @@ def q_infer_iat_forecaster(spark, sf_dir):
     return ML.infer_iat_forecaster(model, gaps, meta)
 
 
+# ------------------------------------------------------------------ §2.8 what a fit cannot change: splits, rows, classes, keys, flags
+
+_POS = "CAST(count(*) FILTER (WHERE {0} AND label = 1) AS BIGINT)"
+
+
+def _counted(train: str, held: str) -> str:
+    """Row and class counts of a report's two sides, as SQL over one relation with ``label``."""
+    return (f"count(*) FILTER (WHERE {held}) AS rows, CAST(count(*) FILTER (WHERE {held} AND label = 0) AS BIGINT) AS negatives, "
+            f"{_POS.format(held)} AS positives, count(*) FILTER (WHERE {train}) AS train_rows, {_POS.format(train)} AS train_positive, "
+            f"count(*) FILTER (WHERE {held}) AS eval_rows, {_POS.format(held)} AS eval_positive")
+
+
+_REPORT_COUNTS = ("rows", "negatives", "positives", "train_rows", "train_positive", "eval_rows", "eval_positive")
+
+
+def _meta_counts(report, meta):
+    return report.withColumns({c: F.lit(meta[c]).cast("long") for c in _REPORT_COUNTS[3:]})
+
+
+@register(
+    "train_sensor_counts",
+    O.with_ctes(*_DOMAIN_FEATURES, *O.split_ctes(_RATIO, _SEED, ()))
+    + f"SELECT 'validation' AS scope, {_counted('NOT is_val', 'is_val')} FROM features f JOIN v ON f.session_id = v.session_id",
+)
+def q_train_sensor_counts(spark, sf_dir):
+    """Rows and classes of both sides of a fit, as its report and metadata state them."""
+    _, report, meta = ML.train_sensor(_fit_features(spark, sf_dir), "logistic_regression", _RATIO, _SEED)
+    return _meta_counts(report, meta).select("scope", *_REPORT_COUNTS)
+
+
+@register(
+    "train_sensor_multidomain_counts",
+    O.with_ctes(*_DOMAIN_FEATURES, *O.split_ctes(_RATIO, _SEED, ("domain",)), f"""sides AS (SELECT f.domain, f.label, v.is_val,
+        row_number() OVER (PARTITION BY f.domain, v.is_val ORDER BY {_hash_sql(_SEED, 'f.session_id', 'f.window_start')}, f.session_id,
+          f.window_start) - 1 AS i FROM features f JOIN v ON f.session_id = v.session_id AND f.domain = v.domain)""",
+      "least_rows AS (SELECT min(c) AS target FROM (SELECT count(*) AS c FROM sides WHERE NOT is_val GROUP BY domain))",
+      f"""all_rows AS (SELECT {_counted('NOT is_val AND i < target', 'is_val')} FROM sides, least_rows)""")
+    + """SELECT domain, rows, negatives, positives, train_rows, train_positive, eval_rows, eval_positive FROM (
+      SELECT '__pooled__' AS domain, rows, negatives, positives FROM all_rows
+      UNION ALL SELECT domain, count(*), CAST(count(*) FILTER (WHERE label = 0) AS BIGINT), CAST(count(*) FILTER (WHERE label = 1) AS BIGINT)
+      FROM sides WHERE is_val GROUP BY domain) r, (SELECT * EXCLUDE (rows, negatives, positives) FROM all_rows) a""",
+)
+def q_train_sensor_multidomain_counts(spark, sf_dir):
+    """The balanced fit's rows and classes, and those of the pooled and of each domain's validation rows."""
+    _, report, meta = ML.train_sensor_multidomain(_fit_features(spark, sf_dir), "logistic_regression", _RATIO, _SEED)
+    return _meta_counts(report.where("domain <> '__macro__'"), meta).select("domain", *_REPORT_COUNTS)
+
+
+@register(
+    "evaluate_transfer_counts",
+    O.with_ctes(*_DOMAIN_FEATURES) + f"SELECT 'target' AS scope, {_counted(_D0, 'NOT ' + _D0)} FROM features",
+)
+def q_evaluate_transfer_counts(spark, sf_dir):
+    """Rows and classes of the fit's source and of its target."""
+    return q_evaluate_transfer(spark, sf_dir).select("scope", *_REPORT_COUNTS)
+
+
+@register(
+    "evaluate_holdouts_counts",
+    O.with_ctes(*_DOMAIN_FEATURES, f"""ranked AS (SELECT domain, label, row_number() OVER (PARTITION BY domain
+        ORDER BY {_hash_sql(_SEED, 'session_id', 'window_start')}, session_id, window_start) - 1 AS i FROM features)""",
+      "sizes AS (SELECT domain, count(*) AS c FROM features GROUP BY domain)",
+      "holds AS (SELECT h.domain AS holdout, min(o.c) AS target FROM sizes h JOIN sizes o ON h.domain <> o.domain GROUP BY ALL)")
+    + f"SELECT holdout, {_counted('domain <> holdout AND i < target', 'domain = holdout')} FROM ranked, holds GROUP BY holdout",
+)
+def q_evaluate_holdouts_counts(spark, sf_dir):
+    """Each fold's balanced training rows and its held-out domain, with their classes."""
+    return q_evaluate_holdouts(spark, sf_dir).where("holdout <> '__macro__'").select("holdout", *_REPORT_COUNTS)
+
+
+@register(
+    "compare_models_counts",
+    O.with_ctes(*_DOMAIN_FEATURES, *O.split_ctes(_RATIO, _SEED, ()))
+    + f"SELECT algorithm, {_counted('NOT is_val', 'is_val')} FROM features f JOIN v ON f.session_id = v.session_id, "
+    "(SELECT unnest(['logistic_regression', 'random_forest']) AS algorithm) GROUP BY algorithm",
+)
+def q_compare_models_counts(spark, sf_dir):
+    """One split serves all compared estimators (the two that fit fast): a row for each, over the same rows."""
+    out = ML.compare_models(_fit_features(spark, sf_dir), ("logistic_regression", "random_forest"), _RATIO, _SEED)
+    return out.select("algorithm", *_REPORT_COUNTS)
+
+
+@register(
+    "infer_sensor_rows",
+    O.with_ctes(*_DOMAIN_FEATURES) + "SELECT session_id, domain, window_start, TRUE AS is_probability, TRUE AS flag_follows FROM features",
+)
+def q_infer_sensor_rows(spark, sf_dir):
+    """Every unlabelled window is scored once by the saved and loaded model, with a probability and the flag that follows from it."""
+    out = q_infer_sensor(spark, sf_dir)
+    return out.select("session_id", "domain", "window_start", F.col("probability").between(0.0, 1.0).alias("is_probability"),
+                      (F.col("degraded") == (F.col("probability") >= F.lit(ML.MODEL_THRESHOLD))).alias("flag_follows"))
+
+
+@register(
+    "infer_iat_forecaster_rows",
+    _SEQ_SQL + "SELECT trace_id, packet_index AS target_packet_index, round(actual_iat_ms, 6) AS actual_iat_ms, TRUE AS error_follows FROM seq",
+)
+def q_infer_iat_forecaster_rows(spark, sf_dir):
+    """Every sample gets one forecast of its gap, and the error that follows from it."""
+    out = q_infer_iat_forecaster(spark, sf_dir)
+    error = F.abs(F.col("predicted_iat_ms") - F.col("actual_iat_ms"))
+    return out.select("trace_id", "target_packet_index", "actual_iat_ms", (F.abs(F.col("abs_error_ms") - error) <= 2e-6).alias("error_follows"))
+
+
 # ------------------------------------------------------------------ §2.10 streams (rows-only checks)
 
 from netpulse.streaming import streams as ST  # noqa: E402
@@ -1140,6 +1247,15 @@ def q_write_report(spark, sf_dir):
     return spark.read.text(path)
 
 
+@register("write_report_values", ORACLE["metrics_by_domain"])
+def q_write_report_values(spark, sf_dir):
+    """The report's JSON lines parsed again: every value of the report is in them."""
+    report = M.metrics_by_domain(scores(spark, sf_dir), _T, ["domain"])
+    path = ST.scratch(spark, "report")
+    IO.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 def _manifest_rows(spark, sf_dir):
     """One manifest document per run found in the data, phases nested in listing order."""
     ev = events(spark, sf_dir)
