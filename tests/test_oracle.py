@@ -10,7 +10,8 @@ import __spark_entry__ as E
 SF = "/root/testdata/sf0.001"
 SAMPLE = ["sensor_feature_frame", "threshold_sweep", "roc_auc", "probability_summary", "label_by_phase",
           "iat_sequences", "split_by_session_per_domain", "convert_labelled_app_flows", "choose_transport",
-          "success_rate_by_context", "assign_row_ids", "metrics_by_domain"]
+          "success_rate_by_context", "assign_row_ids", "metrics_by_domain", "rule_score", "write_report_values",
+          "evaluate_holdouts_counts", "infer_iat_forecaster_rows"]
 
 
 def _norm(v):
