@@ -8,9 +8,8 @@
    a cue word is a feature: these give the weak labels.
 3. Weak labels: a base span is personal data if it passes its check, and not if it fails. A loose span
    is after a cue word for personal data (``CUE``), and not after one for other numbers (``OTHER``); without either it has none.
-4. Boosted trees are fitted on at most ``max_train`` distinct candidates of each label's half (the smallest hashes over all
-   candidates, weighted by how often they occur).
-5. Two thresholds are calibrated on labelled loose spans outside the fit: loose spans after a cue are added from the lowest score at which half of the
+4. Boosted trees are fitted on all distinct labelled candidates (weighted by how often they occur) but for a quarter, by hash.
+5. Two thresholds are calibrated on all labelled loose spans outside the fit: loose spans after a cue are added from the lowest score at which half of the
    labelled ones at or above it are personal data, those without a cue from where ``precision`` of them are. Spans after ``OTHER``
    words and spans that overlap a base span are never added. Base spans always stay.
 
@@ -27,14 +26,13 @@ import math
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netpulse.llm.common import id_text, materialize
 from netpulse.llm.spans import digits, let, luhn, matches, no_spans, only_if, overlaps
 
 KINDS = ("email", "ip", "card", "phone")
-MAX_TRAIN = 20_000
 
 # Fixed base patterns; possessive forms match the same spans as the plain ones.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -55,6 +53,7 @@ OTHER = rf"(?i)(?<![a-z0-9])({_OTHER})(?:\s+(?:is|to|number|no))?\W{{0,6}}$"
 CAND = ("struct<kind:string,start:int,end:int,base:boolean,loose:boolean,cue:boolean,other:boolean,label:int,f:array<double>>")
 BEFORE, AFTER = 16, 8  # buckets of the words before and after a span
 N_FEATURES = 13 + BEFORE + AFTER
+SCORE_STEPS = 4096  # of the calibration's running counts
 
 
 def _parts_ok(ip: Column) -> Column:
@@ -171,42 +170,47 @@ def _node(n):
     return (n.split().featureIndex(), n.split().threshold(), _node(n.leftChild()), _node(n.rightChild()))
 
 
-def fit(cands: DataFrame, max_train: int = MAX_TRAIN, precision: float = 0.95, trees: int = 12, seed: int = 17) -> SpanModel:
-    """Fit and calibrate on at most ``max_train`` distinct labelled candidates (columns of CAND)."""
-    labelled = cands.where("label is not null").groupBy("label", "f", "loose").agg(F.count(F.lit(1)).alias("w")).withColumn(
-        "h", F.xxhash64(F.lit(seed), "f", "loose"))
-    # the smallest hashes of each label: a top-k, merged from the tasks' own
-    parts = [labelled.where(F.col("label") == y).orderBy("h", "loose").limit(max_train // 2) for y in (0, 1)]
-    sample = materialize(parts[0].unionByName(parts[1]).coalesce(4))
+def fit(cands: DataFrame, precision: float = 0.95, trees: int = 12, seed: int = 17) -> SpanModel:
+    """Fit and calibrate on all distinct labelled candidates (columns of CAND)."""
+    labelled = materialize(cands.where("label is not null").groupBy("label", "f", "loose").agg(F.count(F.lit(1)).alias("w")).withColumn(
+        "h", F.xxhash64(F.lit(seed), "f", "loose")))
     held = F.pmod("h", F.lit(4)) == 0
     out = SpanModel([])
-    if sample.where(~held).select("label").distinct().count() == 2:
+    if labelled.where(~held).select("label").distinct().count() == 2:
         rows = VectorAssembler(inputCols=[f"f{i}" for i in range(N_FEATURES)], outputCol="features").transform(
-            sample.where(~held).select("label", F.sqrt("w").alias("w"), *[F.col("f")[i].alias(f"f{i}") for i in range(N_FEATURES)]))
+            labelled.where(~held).select("label", F.sqrt("w").alias("w"), *[F.col("f")[i].alias(f"f{i}") for i in range(N_FEATURES)]))
         model = GBTClassifier(labelCol="label", weightCol="w", maxIter=trees, maxDepth=3, maxBins=32, stepSize=0.3, seed=seed).fit(rows)
         out.trees = [(w, _node(t._call_java("rootNode"))) for t, w in zip(model.trees, model.treeWeights)]
     # calibration on loose spans outside the fit, or on all of them where that has none
-    loose = sample.where("loose").select("label", "w", held.alias("held"), out.score(F.col("f")).alias("p"))
-    table = loose.groupBy("held", "p").agg(F.sum(F.col("label") * F.col("w")).alias("pos"), F.sum("w").alias("n")).collect()  # at most max_train
-    table = [r for r in table if r["held"]] or table
-    pos = n = 0
-    for p in sorted({r["p"] for r in table}, reverse=True):
-        pos += sum(r["pos"] for r in table if r["p"] == p)
-        n += sum(r["n"] for r in table if r["p"] == p)
-        below = math.nextafter(p, 0.0) - 1e-9  # a score that is summed in another order still reaches it
-        if 2 * pos >= n:
-            out.with_cue = below
-        if pos >= precision * n:
-            out.without = below
+    loose = labelled.where("loose").select("label", "w", held.alias("held"), out.score(F.col("f")).alias("p"))
+    scored = materialize(loose.groupBy("held", "p").agg(F.sum(F.col("label") * F.col("w")).alias("pos"), F.sum("w").alias("n")))
+    if not scored.where("held").isEmpty():
+        scored = scored.where("held")
+    lowest = _lowest_scores(scored, 0.5, precision)
+    # a score that is summed in another order still reaches its threshold
+    out.with_cue, out.without = (2.0 if p is None else math.nextafter(p, 0.0) - 1e-9 for p in lowest)
     return out
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
+def _lowest_scores(scored: DataFrame, *shares: float) -> list[float | None]:
+    """For each share the lowest score (0 to 1) at or above which at least that share of the spans is personal data, or None, over all rows of
+    (p, pos, n). Counts run on within steps of the score; the counts above a step come from a table of its few steps."""
+    steps = scored.groupBy("p").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n")).withColumn("step", F.floor(F.col("p") * SCORE_STEPS))
+    above = Window.orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = steps.groupBy("step").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))  # at most SCORE_STEPS + 1 rows
+    totals = totals.select("step", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("pos", "n")])
+    upto = Window.partitionBy("step").orderBy(F.col("p").desc())
+    counts = steps.join(F.broadcast(totals), "step").select(
+        "p", *[(F.col(f"{c}_above") + F.sum(c).over(upto)).alias(c) for c in ("pos", "n")])
+    return list(counts.agg(*[F.min(F.when(F.col("pos") >= F.col("n") * F.lit(share), F.col("p"))) for share in shares]).first())
+
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document ``spans``: all accepted CAND structs by kind as listed, then start."""
     found = id_text(docs, id_col, text_col).select(
         "doc_id", candidates(F.col("text")).alias("cands"))
     found = materialize(found)
-    model = fit(found.select(F.inline("cands")), max_train)
+    model = fit(found.select(F.inline("cands")))
     return found.select("doc_id", in_order(model.accepted(F.col("cands"))).alias("spans"))
 
 
@@ -218,13 +222,13 @@ def in_order(spans: Column) -> Column:
     return F.array_distinct(F.array_sort(keyed))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_train: int = MAX_TRAIN) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table with every accepted span of ``text_col`` replaced by its kind in brackets;
     other columns, clashing names included, are kept as they are. Null texts stay null, rows with null or repeated ids
     are rows like others, an empty table stays empty."""
     cands = id_text(docs, id_col, text_col).select(candidates(F.col("text")).alias("cands"))
     cands = materialize(cands.where(F.size("cands") > 0))
-    model = fit(cands.select(F.inline("cands")), max_train)
+    model = fit(cands.select(F.inline("cands")))
     text = F.col(text_col)
 
     def rebuilt(spans: Column) -> Column:
