@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +86,7 @@ def _baseline_output_schema(window_schema: T.StructType) -> T.StructType:
 
 
 class SessionBaseline(StatefulProcessor):
-    """First non-null value of each baseline feature of a session, a value state for each; rows leave piece by piece.
+    """First non-null values of the baseline features of a session, in one value state; rows leave piece by piece.
 
     Once all values are known, rows pass straight through. In a batch in which some are not known yet, they are found first: its rows wait
     in memory up to ``HELD_ROWS`` and beyond that in a list in the state store, which is emptied before the batch ends."""
@@ -97,22 +98,22 @@ class SessionBaseline(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        one = T.StructType([T.StructField("value", T.DoubleType())])
-        self.starts = {c: handle.getValueState(f"start_{c}", one) for c in BASELINE_FEATURES}
+        self.starts = handle.getValueState("starts", T.StructType([T.StructField(c, T.DoubleType()) for c in BASELINE_FEATURES]))
         self.waiting = handle.getListState("waiting", self.schema)
 
     def _relative(self, rows: pd.DataFrame, start: dict) -> pd.DataFrame:
-        rows = rows.sort_values("window_start")
+        new = {}
         for c, (kind, floor) in BASELINE_FEATURES.items():
-            s = start.get(c)
+            s, values = start.get(c), rows[c].to_numpy(dtype=float)
             if s is None:
-                rows[_BASELINE_OUTPUT[c]] = float("nan")
+                new[_BASELINE_OUTPUT[c]] = np.full(len(rows), np.nan)
             else:
-                rows[_BASELINE_OUTPUT[c]] = rows[c] - s if kind == "delta" else rows[c] / max(s, floor)
-        return rows[self.out]
+                new[_BASELINE_OUTPUT[c]] = values - s if kind == "delta" else values / max(s, floor)
+        return pd.DataFrame({c: new[c] if c in new else rows[c].array for c in self.out})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start = {c: s.get()[0] for c, s in self.starts.items() if s.exists()}
+        known = self.starts.get()  # None for a new session
+        start = {c: v for c, v in zip(BASELINE_FEATURES, known or (), strict=False) if v is not None}
         unknown = [c for c in BASELINE_FEATURES if c not in start]
         first: dict[str, tuple] = {}
         held, n_held, spilled = [], 0, False
@@ -122,21 +123,23 @@ class SessionBaseline(StatefulProcessor):
             if not unknown:
                 yield self._relative(part, start)
                 continue
+            times = part["window_start"].to_numpy()
             for c in unknown:
-                there = part.loc[part[c].notna(), ["window_start", c]]
+                values = part[c].to_numpy(dtype=float)
+                there = np.flatnonzero(~np.isnan(values))
                 if len(there):
-                    at, value = there.loc[there["window_start"].idxmin()]
-                    if c not in first or at < first[c][0]:
-                        first[c] = (at, float(value))
+                    i = there[times[there].argmin()]
+                    if c not in first or times[i] < first[c][0]:
+                        first[c] = (times[i], float(values[i]))
             held.append(part)
             n_held += len(part)
             if n_held >= HELD_ROWS:
                 for p in held:
                     self.waiting.appendList([tuple(None if pd.isna(v) else v for v in r) for r in p[self.columns].astype(object).itertuples(index=False)])
                 held, n_held, spilled = [], 0, True
-        for c, (_, value) in first.items():
-            self.starts[c].update((value,))
-            start[c] = value
+        if first:
+            start |= {c: value for c, (_, value) in first.items()}
+            self.starts.update(tuple(start.get(c) for c in BASELINE_FEATURES))
         for part in held:
             yield self._relative(part, start)
         if spilled:
@@ -150,8 +153,7 @@ class SessionBaseline(StatefulProcessor):
             self.handle.registerTimer(timerValues.getCurrentWatermarkInMs() + self.timeout_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        for s in self.starts.values():
-            s.clear()
+        self.starts.clear()
         return iter([])
 
     def close(self) -> None:
