@@ -27,11 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays; empty texts all stay.
     Of a group without ids, the row with the smallest text key stays; identical rows stay once."""
-    groups = ngram_join.jaccard_components(docs)
+    # the joins behind the groups run once: each further use would plan all of them anew on the driver
+    groups = written(ngram_join.jaccard_components(docs), "jaccard-groups")
     first = groups.where("n_shingles > 0 and component_id is null").groupBy("component").agg(F.min("key").alias("key"))
     kept = groups.where((F.col("n_shingles") == 0) | (F.col("doc_id") == F.col("component_id"))).select("doc_id", "key", "n_shingles")
     kept = kept.unionByName(first.select(F.lit(None).cast("long").alias("doc_id"), "key", F.lit(1).cast("long").alias("n_shingles")))
-    again = kept.where("n_shingles > 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    kept = written(kept, "jaccard-kept")
+    again = written(kept.where("n_shingles > 0").groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "jaccard-again")
     stays = rows_of(docs, kept, "left_semi")
     # rows that agree in id and text, if any: one of them
     once = rows_of(stays, again, "left_semi").withColumn("_text_key", text_key()).dropDuplicates(["doc_id", "_text_key"])

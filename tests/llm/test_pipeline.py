@@ -72,6 +72,12 @@ def test_run_gives_the_packed_rows_of_what_stays(spark, sf_dir):
     assert P.ORACLE_SQL is None
 
 
+def test_near_duplicate_groups_are_planned_once(spark, make, prose):
+    docs = P.drop_near_duplicates(spark, make(prose), "")
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") <= 20  # each use of the groups repeated all their joins: 59 before
+
+
 def test_toxic_documents_go(spark, make, tmp_path, monkeypatch):
     rng = random.Random(6)
     rows, labels = [], []
