@@ -102,3 +102,27 @@ def test_a_session_asks_the_state_store_twice():
     assert out[name][t0 + timedelta(days=3)] == 1.0 and out[name][t0 + timedelta(days=2)] == 0.0 and pd.isna(out[name][t0 + timedelta(days=1)])
     later = pd.concat(processor.handleInputRows(("s",), iter([rows[:1]]), None))
     assert calls() == 3 and later[name].tolist() == [1.0]
+
+
+def test_a_forest_over_many_rows_grows_in_groups(spark, monkeypatch, tmpdir_path):
+    """Growing all trees at once costs a counter for each row and tree, and more time a tree; in groups no tree is lost."""
+    assert ML.tree_groups(40_000, 300) == [300]  # one fit, as before
+    assert ML.tree_groups(14_400_000, 300) == [30] * 10 and ML.tree_groups(10 ** 12, 31) == [16, 15] and ML.tree_groups(0, 7) == [7]
+    feats = b2_features(spark)
+    whole, _ = ML.fit_sensor_model(feats, "random_forest", num_trees=7)
+    assert whole.stages[-1].getNumTrees == 7
+    monkeypatch.setattr(ML, "FOREST_COUNTERS", 3 * feats.count())
+    monkeypatch.setattr(ML, "TREES_AT_ONCE", 1)
+    model, _ = ML.fit_sensor_model(feats, "random_forest", num_trees=7)
+    assert [p.stages[-1].getNumTrees for p in model.parts] == [3, 2, 2] and ML.boosting_rounds(model) == []
+    keys = ["session_id", "window_start"]
+
+    def scored(m):
+        return [tuple(r) for r in ML.score(m, feats).select(*keys, F.round("probability", 9).alias("p"), "degraded").orderBy(*keys).collect()]
+
+    rows, each = scored(model), [scored(p) for p in model.parts]
+    for i, r in enumerate(rows):  # the mean of all trees' votes
+        assert r[2] == pytest.approx((3 * each[0][i][2] + 2 * each[1][i][2] + 2 * each[2][i][2]) / 7, abs=1e-6)
+    ML.save_model(model, tmpdir_path + "/forest", {"threshold": 0.3})
+    again, meta = ML.load_model(spark, tmpdir_path + "/forest")
+    assert scored(again) == rows and meta == {"threshold": 0.3}
