@@ -104,6 +104,16 @@ def test_a_session_asks_the_state_store_twice():
     assert calls() == 3 and later[name].tolist() == [1.0]
 
 
+def test_rows_of_a_large_fit_are_dealt_evenly(spark, monkeypatch):
+    """The scan's tasks follow the files: one large file and a small one would make every job of a fit wait for one task."""
+    even = ML.TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(ML, "ROWS_PER_TASK", 10)
+    frame = spark.range(even * 40).repartitionByRange(2, F.greatest(F.lit(50), F.col("id")))
+    sizes = [len(p) for p in ML.for_fit(frame).rdd.glom().collect()]
+    assert len(sizes) == even and sum(sizes) == even * 40 and max(sizes) <= 50
+    assert ML.for_fit(spark.range(40)).rdd.getNumPartitions() <= 4  # a small table keeps to few tasks
+
+
 def test_a_forest_over_many_rows_grows_in_groups(spark, monkeypatch, tmpdir_path):
     """Growing all trees at once costs a counter for each row and tree, and more time a tree; in groups no tree is lost."""
     assert ML.tree_groups(40_000, 300) == [300]  # one fit, as before
