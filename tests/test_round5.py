@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 
 import __spark_entry__ as E
@@ -29,3 +30,13 @@ def test_every_registry_estimator_is_built(spark, small_events, monkeypatch):
     windows = E.queries()["sensor_feature_frame"](spark, small_events).count()
     scored = E.queries()["build_estimator"](spark, small_events).groupBy("algorithm").count().collect()
     assert sorted((r["algorithm"], r["count"]) for r in scored) == [(a, windows) for a in ALL]
+
+
+def test_every_registry_estimator_is_compared(spark, small_events, monkeypatch):
+    monkeypatch.setattr(ML, "DEFAULT_TREES", 2)
+    out = E.queries()["compare_models_counts"](spark, small_events)
+    sql = E.oracle_sql()["compare_models_counts"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{small_events}/events.parquet/*.parquet')")
+    wanted = con.execute(f"SELECT {', '.join(out.columns)} FROM ({sql})").fetchall()
+    assert sorted(map(tuple, out.collect())) == sorted(wanted) and sorted(r[0] for r in wanted) == ALL
