@@ -1,3 +1,4 @@
+import os
 from datetime import datetime, timedelta
 
 import duckdb
@@ -5,6 +6,7 @@ import pytest
 
 import __spark_entry__ as E
 from netpulse.operators import ml as ML
+from netpulse.sources import io as IO
 from tests.test_ml import b2_features
 
 ALL = ["hist_gradient_boosting", "lightgbm", "lightgbm_sigmoid", "logistic_regression", "random_forest"]
@@ -40,3 +42,17 @@ def test_every_registry_estimator_is_compared(spark, small_events, monkeypatch):
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{small_events}/events.parquet/*.parquet')")
     wanted = con.execute(f"SELECT {', '.join(out.columns)} FROM ({sql})").fetchall()
     assert sorted(map(tuple, out.collect())) == sorted(wanted) and sorted(r[0] for r in wanted) == ALL
+
+
+def test_the_folders_of_a_dump_are_made_in_many_tasks(spark, small_events, monkeypatch):
+    """Making a trace's folder takes a task longer than writing its few lines, so the bytes must not decide how many tasks there are."""
+    seen = []
+    read = IO.read_packet_dump
+    monkeypatch.setattr(IO, "read_packet_dump", lambda s, path, **how: seen.append(path) or read(s, path, **how))
+    out = E.queries()["read_packet_dump"](spark, small_events)
+    rows = [tuple(r) for r in out.select("trace_id", "packet_index", "epoch").collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{small_events}/events.parquet/*.parquet')")
+    assert sorted(rows) == sorted(con.execute(E.oracle_sql()["read_packet_dump"]).fetchall()) and len(rows) == 288
+    tasks = {f.split("-")[1] for _, _, files in os.walk(seen[0].removeprefix("file:")) for f in files if f.startswith("part-")}
+    assert len(tasks) >= min(12, 2 * spark.sparkContext.defaultParallelism)
